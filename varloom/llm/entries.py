@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from varloom.cluster import ship_package
+from varloom.llm import langid, media, warc
+from varloom.llm.common import crc_rest
 from varloom.llm.minhash import near_duplicates
 
 
@@ -18,6 +21,22 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.store_texts(_table(spark, sf_dir, "documents")))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(_table(spark, sf_dir, "pages"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_rest(F.col("doc_id"), 3) == 1
+    model = langid.train(docs, ~held_out)
+    found = langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def _ready(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -30,5 +49,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: _ready(f) for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+OP3 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages
+), f AS (
+  SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON f.d = p.d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3}
