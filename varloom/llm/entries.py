@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.cluster import ship_package
-from varloom.llm import langid, media, mixing, pitman_yor, toxicity, warc
+from varloom.llm import forest, langid, media, mixing, pitman_yor, toxicity, warc
 from varloom.llm.common import crc_rest
 from varloom.llm.minhash import near_duplicates
 
@@ -54,6 +54,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(_table(spark, sf_dir, "documents"), crc_rest(F.col("doc_id"), 5) == 1)
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def _ready(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
