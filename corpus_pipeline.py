@@ -1,25 +1,68 @@
-"""The corpus pipeline: its stages run one after the other over ``documents``."""
+"""The corpus pipeline: its stages run one after the other over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of ``documents``.  ``run`` writes what each stage returns and reads it again for the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from varloom.cluster import materialize, shared_folder, ship_package
+from varloom.llm import langid, mixing, pieces, pii
+from varloom.llm.common import crc_rest
 from varloom.llm.minhash import near_duplicates
 
-#: The columns that every stage but the last returns.
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those whose language stays ambiguous, go."""
+    ship_package(spark)
+    model = langid.train(docs, crc_rest(F.col("doc_id"), 3) != 1)
+    found = langid.predict(docs, model)
+    return found.filter("lang_pred <> 'und' and not ambiguous").select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id, once."""
+    """One document of each group of near copies stays: the one with the smallest doc_id, once.
+
+    Groups are those of five-word shingles and a similarity of at least 0.8.  Rows without a doc_id go.
+    """
     ship_package(spark)
     kept = near_duplicates(docs, words=5, percent=80).filter("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
-STAGES = [("near_dedup", deduplicate)]
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts gives way to its kind in brackets; n_chars follows the new text."""
+    ship_package(spark)
+    found = pii.find(docs)
+    return found.withColumn("text", F.col("masked")).withColumn("n_chars", F.length("masked").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stands as often as the mix takes it; those that it doesn't take go."""
+    ship_package(spark)
+    copies = mixing.mix(docs).filter("copies > 0").select("doc_id", "copies")
+    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their pieces' ids and the figures of the best segmentations."""
+    ship_package(spark)
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", deduplicate),
+    ("personal_data", mask_personal_data),
+    ("mix_sources", mix_sources),
+    ("sentencepiece", encode_pieces),
+]
 
+#: SQL expresses neither the classifiers nor the lattice search; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.cluster import ship_package
-from varloom.llm import forest, langid, media, mixing, pii, pitman_yor, toxicity, warc
+from varloom.llm import forest, langid, media, mixing, pieces, pii, pitman_yor, toxicity, warc
 from varloom.llm.common import crc_rest
 from varloom.llm.minhash import near_duplicates
 
@@ -58,6 +58,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
