@@ -16,11 +16,12 @@ from varloom.llm.minhash import near_duplicates
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those whose language stays ambiguous, go."""
+    """Documents without a letter go, and those that are as near to all languages' codewords as to any."""
     ship_package(spark)
     model = langid.train(docs, crc_rest(F.col("doc_id"), 3) != 1)
     found = langid.predict(docs, model)
-    return found.filter("lang_pred <> 'und' and not ambiguous").select(*docs.columns)
+    even = F.col("ambiguous") & (F.col("score") * len(model.languages) < 1.2)
+    return found.filter((F.col("lang_pred") != "und") & ~even).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
