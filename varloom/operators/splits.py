@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varloom.operators.grouping import map_groups
 from varloom.params import Params
 
 #: Segments further apart than this belong to no common event.
@@ -119,12 +119,11 @@ def split_duplications(segs: DataFrame, p: Params) -> DataFrame:
     The fold depends on its own running means, so each read's few segments are handled in order.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("idx").to_dict("records")
-        out = [(int(pdf["read_id"].iloc[0]), d["here"][0], d["start"], d["end"], d["copies"]) for d in fold_duplications(rows, p.min_sv_len)]
-        return pd.DataFrame(out, columns=["read_id", "contig", "begin_pos", "end_pos", "copies"])
+    def run(rows: list[dict]) -> Iterator[tuple]:
+        for d in fold_duplications(rows, p.min_sv_len):
+            yield rows[0]["read_id"], d["here"][0], d["start"], d["end"], d["copies"]
 
-    return segs.groupBy("read_id").applyInPandas(run, "read_id long, contig string, begin_pos long, end_pos long, copies long")
+    return map_groups(segs, ["read_id"], ["idx"], run, "read_id long, contig string, begin_pos long, end_pos long, copies long")
 
 
 def _goes_on(former: dict, latter: dict) -> bool:
@@ -151,9 +150,8 @@ def scan_inversions(rows: list[dict]) -> Iterator[tuple[dict, bool, bool]]:
 def split_inversions(segs: DataFrame) -> DataFrame:
     """(read_id, contig, begin_pos, end_pos, inv_left, inv_right): a stretch is read on the other strand."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("idx").to_dict("records")
-        out = [(int(pdf["read_id"].iloc[0]), s["contig"], s["pos"], s["ref_end"], left, right) for s, left, right in scan_inversions(rows)]
-        return pd.DataFrame(out, columns=["read_id", "contig", "begin_pos", "end_pos", "inv_left", "inv_right"])
+    def run(rows: list[dict]) -> Iterator[tuple]:
+        for s, left, right in scan_inversions(rows):
+            yield s["read_id"], s["contig"], s["pos"], s["ref_end"], left, right
 
-    return segs.groupBy("read_id").applyInPandas(run, "read_id long, contig string, begin_pos long, end_pos long, inv_left boolean, inv_right boolean")
+    return map_groups(segs, ["read_id"], ["idx"], run, "read_id long, contig string, begin_pos long, end_pos long, inv_left boolean, inv_right boolean")
