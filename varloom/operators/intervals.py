@@ -51,3 +51,12 @@ def containing(points: DataFrame, segments: DataFrame, start: str, end: str) ->
     asked = points.withColumn("_bin", F.floor(F.col(start) / BIN))
     held = binned.select("contig", "_bin", F.col("begin_pos").alias("_b"), F.col("end_pos").alias("_e"))
     return asked.join(held, ["contig", "_bin"]).filter((F.col("_b") <= F.col(start)) & (F.col("_e") >= F.col(end))).drop("_bin")
+
+
+def running_count(df: DataFrame, keys: list[str], position: str, order: list[Column], counted: Column, name: str) -> DataFrame:
+    """Rows with how many rows up to them in ``order`` within ``keys`` are ``counted``."""
+    rows = _stretched(df, position).withColumn("_v", F.when(counted, 1).otherwise(0))
+    before = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*keys, "_s").agg(F.sum("_v").alias("_m")).withColumn("_c", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")
+    w = Window.partitionBy(*keys, "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_i", F.sum("_v").over(w)).join(carried, [*keys, "_s"]).withColumn(name, (F.col("_c") + F.col("_i")).cast("long")).drop("_s", "_v", "_c", "_i")

@@ -1 +1 @@
-
+"""Nothing here yet: the work that this library covers is one pass over finished files, without streams."""
