@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+
 
 def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[list[dict]], Iterable[tuple]], schema: str) -> DataFrame:
     """Rows that ``fn`` makes of each group's rows, in ``order``.
@@ -16,17 +18,21 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[l
     One shuffle by key and a sort; each task streams through its groups and holds one at a time.
     """
     names = [part.split()[0] for part in schema.split(", ")]
+    kinds = pa.schema([(n, KINDS[part.split()[1]]) for n, part in zip(names, schema.split(", "), strict=True)])
     key = itemgetter(*keys)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (row for pdf in frames for row in pdf.to_dict("records"))
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out, strict=True)), strict=True)), schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in batch.to_pylist())
         out: list[tuple] = []
         for _, group in groupby(rows, key=key):
             out.extend(fn(list(group)))
             if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=names)
+                yield made(out)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield made(out)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

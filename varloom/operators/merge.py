@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varloom.cluster import materialize, shared_folder
 from varloom.operators.grouping import map_groups
 from varloom.operators.intervals import numbered, running_count, running_max
 from varloom.params import Params
@@ -50,7 +51,8 @@ def relevant_ranges(reads: DataFrame) -> DataFrame:
     """
     order = [F.col("del_begin"), F.col("read_id")]
     rows = numbered(reads, ["region"], "del_begin", order, "idx")
-    rows = running_max(rows, ["region"], "del_begin", order, F.col("del_end"), "max_end")
+    # used five times from here on
+    rows = materialize(running_max(rows, ["region"], "del_begin", order, F.col("del_end"), "max_end"), shared_folder(reads.sparkSession), "ranked")
 
     def upto(value: str, name: str) -> DataFrame:
         both = rows.select("region", F.col(value).alias("x"), F.lit(0).alias("asks"), "read_id").unionByName(rows.select("region", F.col("begin").alias("x"), F.lit(1).alias("asks"), "read_id"))
@@ -96,11 +98,12 @@ def runs_of(segs: list[Segment]) -> dict[tuple[int, int], Segment]:
     return {(i, j): (segs[i][0], segs[i][0] + sum(e - b for b, e in segs[i:j])) for i in range(len(segs)) for j in range(i + 1, len(segs) + 1)}
 
 
-def best_cut(gain: dict[tuple[int, int], int], n: int) -> int:
-    """The greatest sum over all ways to cut n segments into runs."""
-    best = [0] * (n + 1)
+def best_cuts(gain: np.ndarray, n: int) -> np.ndarray:
+    """For gains (choice, read, run) of reads with n segments: the greatest sum over all ways to cut these into runs."""
+    place = {k: x for x, k in enumerate((i, j) for i in range(n) for j in range(i + 1, n + 1))}
+    best = [np.zeros(gain.shape[:2], np.int64)]
     for j in range(1, n + 1):
-        best[j] = max(best[i] + gain.get((i, j), 0) for i in range(j))
+        best.append(np.max([best[i] + gain[:, :, place[i, j]] for i in range(j)], axis=0))
     return best[n]
 
 
@@ -108,26 +111,25 @@ def omni(segs: list[Segment], others: list[list[Segment]], t: int, p: Params) ->
     """The linking of a read's segments with the greatest score; the first of equals, fewer links first.
 
     A linking's segments are runs of the read's own, so the likeness of each own run to each run of another read is
-    worked out once.
+    worked out once, and all linkings are scored together.
     """
     edges = candidate_links(segs, p.merge_distance, p.omni_edges)
     own = {k: i for i, k in enumerate(runs_of(segs))}
-    theirs = [(o, list(runs_of(o).items())) for o in others]
-    gains = _likenesses(list(runs_of(segs).values()), [r for _, runs in theirs for _, r in runs], p.omni_b[t])
-    parts, at = [], 0
-    for other, runs in theirs:
-        if gains[:, at : at + len(runs)].any():
-            parts.append((len(other), [k for k, _ in runs], slice(at, at + len(runs))))
-        at += len(runs)
+    choices = [{e for e, c in zip(edges, choice, strict=True) if c} for choice in product((False, True), repeat=len(edges))]
+    uses = np.zeros((len(choices), len(own)), np.int64)
+    for c, links in enumerate(choices):
+        cuts = [0, *(i + 1 for i in range(len(segs) - 1) if i not in links), len(segs)]
+        uses[c, [own[a] for a in zip(cuts, cuts[1:], strict=False)]] = 1
+    alike = np.zeros(len(choices), np.int64)
+    for n in sorted({len(o) for o in others}):
+        some = [o for o in others if len(o) == n]
+        gain = uses @ _likenesses(list(runs_of(segs).values()), [r for o in some for r in runs_of(o).values()], p.omni_b[t])
+        if gain.any():
+            alike += best_cuts(gain.reshape(len(choices), len(some), -1), n).sum(1)
     best, top = segs, None
-    for choice in product((False, True), repeat=len(edges)):
-        links = {e for e, c in zip(edges, choice, strict=True) if c}
+    for links, more in zip(choices, alike.tolist(), strict=True):
         made, score = linked(segs, links, p.omni_a[t])
-        if parts:
-            cuts = [0, *(i + 1 for i in range(len(segs) - 1) if i not in links), len(segs)]
-            gain = gains[[own[a] for a in zip(cuts, cuts[1:], strict=False)]].sum(0)
-            alike = sum(best_cut(dict(zip(keys, gain[where].tolist(), strict=True)), n) for n, keys, where in parts)
-            score = int(score + alike * p.omni_ratio)
+        score = int(score + more * p.omni_ratio)
         if top is None or score > top:
             best, top = made, score
     return best
@@ -153,9 +155,11 @@ def omni_merge(reads: DataFrame, t: int, p: Params) -> DataFrame:
     others = reads.select("region", "idx", F.col("sigs").alias("other")).filter(F.size("other") > 0)
     pairs = met.join(others, ["region", "idx"]).select("read_id", "idx", "other")
     rows = some.select("read_id", F.lit(-1).cast("long").alias("idx"), F.col("sigs").alias("other")).unionByName(pairs)
+    begins, ends = F.transform("other", lambda s: s["begin"]), F.transform("other", lambda s: s["begin"] + s["length"])
+    rows = rows.select("read_id", "idx", begins.alias("begins"), ends.alias("ends"))
 
     def run(group: list[dict]) -> Iterator[tuple]:
-        parts = [[(int(s["begin"]), int(s["begin"] + s["length"])) for s in row["other"]] for row in group]
+        parts = [list(zip(row["begins"], row["ends"], strict=True)) for row in group]
         for begin, end in omni(parts[0], parts[1 : p.omni_relevant + 2], t, p):
             yield group[0]["read_id"], begin, end - begin
 

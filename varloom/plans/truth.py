@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.cluster import shared_folder
+from varloom.cluster import materialize, shared_folder
 from varloom.operators import clusters as C
 from varloom.operators import merge as M
 from varloom.operators import signatures as S
@@ -108,7 +108,8 @@ def _ranged(ops: DataFrame) -> DataFrame:
     both = S.cigar_signatures(ops, "D", ONT).withColumn("gone", F.lit(True)).unionByName(S.cigar_signatures(ops, "I", ONT).withColumn("gone", F.lit(False)))
     low = lambda c, f: F.coalesce(f(F.when(F.col("gone"), F.col(c))), F.lit(-1)).cast("long")
     reads = both.groupBy("read_id").agg(low("begin_pos", F.min).alias("del_begin"), low("end_pos", F.max).alias("del_end"), F.min("begin_pos").alias("begin"))
-    return M.relevant_ranges(reads.withColumn("region", F.col("read_id") % 8))
+    reads = materialize(reads.withColumn("region", F.col("read_id") % 8), shared_folder(ops.sparkSession), "extents")
+    return M.relevant_ranges(reads)
 
 
 EXTENTS = "SELECT read_id, read_id % 8 AS region, coalesce(min(b) FILTER (WHERE op = 'D'), -1) AS del_begin, coalesce(max(b + n) FILTER (WHERE op = 'D'), -1) AS del_end, min(b) AS begin FROM sigs GROUP BY read_id"
@@ -128,6 +129,7 @@ def _with_sigs(ops: DataFrame, op: str) -> DataFrame:
 
 @query("cigar_op")
 def omni_merge(ops: DataFrame) -> DataFrame:
+    ops = materialize(ops, shared_folder(ops.sparkSession), "operations")
     return M.omni_merge(_with_sigs(ops, "D"), 0, ONT).withColumn("sv_type", F.lit(0).cast("long")).unionByName(M.omni_merge(_with_sigs(ops, "I"), 1, ONT).withColumn("sv_type", F.lit(1).cast("long")))
 
 
