@@ -76,6 +76,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.sha2(payload.cast("binary"), 256).alias("digest"), F.octet_length(payload).alias("size")
     )
     firsts = rows.filter(F.col("size") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    fs, base = filesystem(folder)
+    fs.create_dir(f"{base}/archives", recursive=True)  # without pages there are no files, but a folder
     marked = lookup(rows, materialize(firsts, folder, "firsts"), ["digest"])
 
     def run(batches):
