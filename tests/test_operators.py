@@ -7,6 +7,7 @@ from math import comb
 import pytest
 from pyspark.sql import functions as F
 
+from varloom import params
 from varloom.operators import calls, clusters, intervals, merge, splits, truth
 from varloom.operators.signatures import sorted_signatures
 from varloom.params import ONT
@@ -132,3 +133,26 @@ def test_formats_round_trip(spark, tmp_path):
     (tmp_path / "a.vcf").write_text("##x\n#CHROM\nchr1\t11\tid\tA\t<DEL>\t.\tPASS\tPRECISE;SVLEN=-40\tGT\t0/1\n")
     call = formats.read_vcf(spark, str(tmp_path / "a.vcf")).first()
     assert (call["pos"], call["info"]["SVLEN"], call["gt"]) == (10, "-40", "0/1")
+    assert formats.sample_name(formats.sam_header(spark, str(tmp_path / "a.sam"))) == "me"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_second_layer_gathers_whole_clusters(spark, seed):
+    sig = sorted_signatures(spark.createDataFrame(signatures(seed, 80), SCHEMA))
+    parts = {(r["sv_type"], r["sig_id"]): r["cluster"] for r in clusters.exact_clusters(sig, ONT).collect()}
+    got = {(r["sv_type"], r["sig_id"]): (r["cluster"], r["core"]) for r in clusters.two_layers(sig, ONT).collect()}
+    assert set(got) == set(parts)
+    into, rows = {}, {}
+    for key, part in parts.items():
+        assert into.setdefault((key[0], part), got[key][0]) == got[key][0] and got[key][0] <= part
+        rows.setdefault((key[0], got[key][0]), []).append((part, got[key][1]))
+    for found in rows.values():
+        core = [part for part, c in found if c]
+        assert len(set(core)) <= 1 and (not core or len(core) >= 0.7 * len(found))
+
+
+def test_custom_parameters():
+    p = params.with_filter(ONT, 1, "1,*,50,2,0.5,*")
+    assert (p.base1[1], p.multi1[1], p.score1[1], p.base2[1], p.multi2[1], p.base1[0]) == (1, ONT.multi1[1], 50, 2, 0.5, ONT.base1[0])
+    with pytest.raises(ValueError, match="6 fields"):
+        params.with_filter(ONT, 0, "1,2")

@@ -15,6 +15,8 @@ from varloom.params import Params
 KEYS = ["contig", "sv_type"]
 #: A cluster's columns: its contig, type and the thousand in which it begins.
 CLUSTER = ["contig", "sv_type", "locus"]
+#: Bases between the means of clusters of one second-layer cluster, and the share of rows that makes a core.
+NEAR, CORE = 200, 0.7
 
 
 def by_type(values: tuple) -> Column:
@@ -85,8 +87,12 @@ def rounds(rows: list[dict], p: Params) -> list[list[int]]:
     fixed = (near(begin) <= p.force[t] * ratio) & (near(end) <= p.force[t] * ratio)
     scaled = (near(begin) <= least * p.pos_ratio[t]) & (near(end) <= least * p.pos_ratio[t]) & (near(length) <= slack)
     link = (template[:, None] != template[None, :]) & (fixed | scaled)
-    first, last = begin.copy(), end.copy()
-    members = {i: [i] for i in range(len(rows))}
+    return gathered(link, begin.copy(), end.copy(), p.force[t] - 1, p)
+
+
+def gathered(link: np.ndarray, first: np.ndarray, last: np.ndarray, slack: float, p: Params) -> list[list[int]]:
+    """The rounds over things with extents and a table of brothers; tables and extents are used up."""
+    members = {i: [i] for i in range(len(first))}
     order = list(members)
     while True:
         order.sort(key=lambda i: first[i])
@@ -97,7 +103,7 @@ def rounds(rows: list[dict], p: Params) -> list[list[int]]:
                 b = order[at]
                 if last[a] + min(p.cluster_reach, 0.5 * (last[a] - first[a])) < first[b]:
                     break
-                apart = first[b] > last[a] + p.force[t] - 1 or first[a] > last[b] + p.force[t] - 1
+                apart = first[b] > last[a] + slack or first[a] > last[b] + slack
                 if link[a, b] and not apart:
                     members[a] += members.pop(b)
                     first[a], last[a] = min(first[a], first[b]), max(last[a], last[b])
@@ -111,6 +117,52 @@ def rounds(rows: list[dict], p: Params) -> list[list[int]]:
             return [members[i] for i in order]
 
 
+def gathered_clusters(rows: list[dict], p: Params) -> list[list[int]]:
+    """The second layer: clusters of one type, summed up, whose means lie near each other and whose lengths agree.
+
+    The more rows the smaller of two has, the better lengths must agree; clusters that share a template stay apart.
+    """
+    t = int(rows[0]["sv_type"])
+    get = lambda c: np.array([r[c] for r in rows], np.float64)
+    size, length = get("size"), get("mean_length")
+    gap = lambda x: np.abs(x[:, None] - x[None, :])
+    near = (gap(get("mean_begin")) < NEAR) & (gap(get("mean_end")) < NEAR)
+    least = np.minimum(size[:, None], size[None, :])
+    share = gap(length) / 2 / ((length[:, None] + length[None, :]) / 2) < p.length_ratio2[t] / least
+    close = gap(length) < p.force2[t] / least
+    single = (size[:, None] == 1) & (size[None, :] == 1)
+    link = near & np.where(single, close, share | close)
+    seen = [set(r["templates"]) for r in rows]
+    for i, j in zip(*np.nonzero(link & ~single), strict=True):
+        if i != j and seen[i] & seen[j]:
+            link[i, j] = False
+    return gathered(link, get("first"), get("last"), p.force[t] + NEAR, p)
+
+
+def two_layers(sig: DataFrame, p: Params) -> DataFrame:
+    """(contig, sv_type, sig_id, cluster, core): exact clusters gathered once more.
+
+    core tells whether a row is of the largest part of its cluster, where this part has at least CORE of all rows.
+    """
+    first = exact_clusters(sig, p).withColumnRenamed("cluster", "part")
+    parts = first.join(sig.select(*KEYS, "sig_id", "begin_pos", "end_pos", "length", "template"), [*KEYS, "sig_id"]).groupBy(*KEYS, "part").agg(
+        F.count(F.lit(1)).alias("size"), F.min("begin_pos").alias("first"), F.max("end_pos").alias("last"), F.avg("begin_pos").alias("mean_begin"),
+        F.avg("end_pos").alias("mean_end"), F.avg("length").alias("mean_length"), F.collect_set("template").alias("templates"),
+    )
+    order = [F.col("mean_begin"), F.col("part")]
+    grouped = islands(parts, KEYS, "mean_begin", order, F.col("mean_begin") + NEAR, "island")
+
+    def run(rows: list[dict]) -> Iterator[tuple]:
+        for found in gathered_clusters(rows, p):
+            name, total = min(rows[i]["part"] for i in found), sum(rows[i]["size"] for i in found)
+            top = max(found, key=lambda i: (rows[i]["size"], -rows[i]["part"]))
+            for i in found:
+                yield rows[i]["contig"], rows[i]["sv_type"], rows[i]["part"], name, bool(i == top and rows[i]["size"] >= CORE * total)
+
+    named = map_groups(grouped, [*KEYS, "island"], ["first", "part"], run, "contig string, sv_type long, part long, cluster long, core boolean")
+    return first.join(named, [*KEYS, "part"]).select(*KEYS, "sig_id", "cluster", "core")
+
+
 def exact_clusters(sig: DataFrame, p: Params) -> DataFrame:
     """(contig, sv_type, sig_id, cluster): cluster is the smallest number of its members."""
 

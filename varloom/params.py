@@ -34,6 +34,8 @@ class Params:
     force: tuple = (50, 150, 0, 100)
     length_ratio: tuple = (0.3, 0.1, 0.1, 0.1)
     length_min: tuple = (10, 20, 0, 0)
+    force2: tuple = (10, 50, 500, 100)
+    length_ratio2: tuple = (0.5, 0.3, 0.1, 0.5)
     hp_same: tuple = (0.8, 0.8, 0.4, 1.0)
     hp_diff: tuple = (1.4, 1.5, 1.4, 1.3)
     # filter tiers: least templates as base + multiple of coverage, least length score
@@ -63,3 +65,29 @@ CCS = replace(
     ONT, pos_ratio=(2.0, 2.5, 0.2, 0.1), force=(100, 200, 0, 100), length_ratio=(0.5, 0.5, 0.1, 0.1), length_min=(10, 50, 0, 0),
     base1=(0, 0, 4, 2), base2=(0, 0, 0, 1), multi1=(0.31, 0.33, 0.13, 0.0), multi2=(0.1, 0.3, 0.1, 0.18), score1=(55, 55, 85, 98), score2=(95, 95, 99, 0),
 )
+
+# What the fields of a custom parameter string stand for.
+CLUSTER_FIELDS = ("force", "pos_ratio", "length_min", "length_ratio", "hp_same", "hp_diff", "length_ratio2")
+FILTER_FIELDS = ("base1", "multi1", "score1", "base2", "multi2", "score2")
+
+
+def with_custom(p: Params, sv_type: int, text: str, fields: tuple[str, ...], lengths: tuple[int, ...]) -> Params:
+    """``p`` with one type's parameters from a comma-separated string; ``*`` keeps a value, another count of fields is an error."""
+    parts = text.split(",")
+    if len(parts) not in lengths:
+        raise ValueError(f"expected {' or '.join(map(str, lengths))} fields, got {len(parts)}: {text!r}")
+    new = {}
+    for name, part in zip(fields, parts, strict=False):
+        if part != "*":
+            values = list(getattr(p, name))
+            values[sv_type] = float(part)
+            new[name] = tuple(values)
+    return replace(p, **new)
+
+
+def with_cluster(p: Params, sv_type: int, text: str) -> Params:
+    return with_custom(p, sv_type, text, CLUSTER_FIELDS, (4, 5, 7))
+
+
+def with_filter(p: Params, sv_type: int, text: str) -> Params:
+    return with_custom(p, sv_type, text, FILTER_FIELDS, (6,))

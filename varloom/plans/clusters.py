@@ -35,6 +35,11 @@ def cluster_exact(sig: DataFrame) -> DataFrame:
     return C.exact_clusters(sorted_signatures(sig), ONT)
 
 
+@query("sig")
+def cluster_two_layer(sig: DataFrame) -> DataFrame:
+    return C.two_layers(sorted_signatures(sig), ONT)
+
+
 def _per_type(values: tuple) -> str:
     return "[" + ", ".join(f"CAST({v} AS DOUBLE)" for v in values) + "][a.sv_type + 1]"
 

@@ -27,6 +27,14 @@ def sam_header(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.substring(parts[0], 2, 2).alias("kind"), F.map_from_entries(F.transform(fields, lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, 4, 1 << 30)))).alias("fields"))
 
 
+def sample_name(header: DataFrame, given: str = "*") -> str:
+    """The first read group's sample, unless a name is given; without read groups the name is ``*``."""
+    if given != "*":
+        return given
+    groups = header.filter((F.col("kind") == "RG") & F.col("fields")["SM"].isNotNull()).select(F.col("fields")["SM"]).limit(1).collect()
+    return groups[0][0] if groups else "*"
+
+
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
     """(contig, size, offset, line_bases, line_width) of a FASTA index."""
     return spark.read.csv(path, sep="\t", schema="contig string, size long, offset long, line_bases int, line_width int")
