@@ -34,6 +34,7 @@ class Params:
     force: tuple = (50, 150, 0, 100)
     length_ratio: tuple = (0.3, 0.1, 0.1, 0.1)
     length_min: tuple = (10, 20, 0, 0)
+    near: tuple = (-1, -1, -1, -1)
     force2: tuple = (10, 50, 500, 100)
     length_ratio2: tuple = (0.5, 0.3, 0.1, 0.5)
     hp_same: tuple = (0.8, 0.8, 0.4, 1.0)
@@ -67,7 +68,7 @@ CCS = replace(
 )
 
 # What the fields of a custom parameter string stand for.
-CLUSTER_FIELDS = ("force", "pos_ratio", "length_min", "length_ratio", "hp_same", "hp_diff", "length_ratio2")
+CLUSTER_FIELDS = ("force", "pos_ratio", "length_min", "length_ratio", "near", "force2", "length_ratio2")
 FILTER_FIELDS = ("base1", "multi1", "score1", "base2", "multi2", "score2")
 
 
