@@ -39,7 +39,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="varloom-")
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/varloom-{uuid.uuid4().hex}"
+    # with its scheme, for readers that don't know the cluster's default file system
+    path = sc._jvm.org.apache.hadoop.fs.Path(base)
+    whole = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"{whole.rstrip('/')}/varloom-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
