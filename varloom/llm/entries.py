@@ -78,6 +78,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: _ready(f) for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+OP1 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT x AS a, x AS b FROM both_ways UNION SELECT r.a, e.y FROM reach r JOIN both_ways e ON e.x = r.b
+), low AS (
+  SELECT a, min(b) AS m FROM reach GROUP BY a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m, d.doc_id) AS component_id, d.doc_id = coalesce(m, d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON a = d.doc_id
+"""
+
 OP3 = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages
@@ -92,4 +115,4 @@ FROM p LEFT JOIN f ON f.d = p.d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3}
+    return {"op1_minhash_near_dedup": OP1, "op3_warc": OP3}
