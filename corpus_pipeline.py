@@ -14,10 +14,18 @@ from varloom.llm import langid, mixing, pieces, pii
 from varloom.llm.common import crc_rest
 from varloom.llm.minhash import near_duplicates
 
+#: Documents of a batch that goes to Python: few enough for a batch of long texts to stay small.
+BATCH_DOCS = 2_000
+
+
+def _prepare(spark: SparkSession) -> None:
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCS))
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and those that are as near to all languages' codewords as to any."""
-    ship_package(spark)
+    _prepare(spark)
     model = langid.train(docs, crc_rest(F.col("doc_id"), 3) != 1)
     found = langid.predict(docs, model)
     even = F.col("ambiguous") & (F.col("score") * len(model.languages) < 1.2)
@@ -29,21 +37,21 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Groups are those of five-word shingles and a similarity of at least 0.8.  Rows without a doc_id go.
     """
-    ship_package(spark)
+    _prepare(spark)
     kept = near_duplicates(docs, words=5, percent=80).filter("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts gives way to its kind in brackets; n_chars follows the new text."""
-    ship_package(spark)
+    _prepare(spark)
     found = pii.find(docs)
     return found.withColumn("text", F.col("masked")).withColumn("n_chars", F.length("masked").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stands as often as the mix takes it; those that it doesn't take go."""
-    ship_package(spark)
+    _prepare(spark)
     copies = mixing.mix(docs).filter("copies > 0").select("doc_id", "copies")
     taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
@@ -51,7 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their pieces' ids and the figures of the best segmentations."""
-    ship_package(spark)
+    _prepare(spark)
     return pieces.encode(docs)
 
 
