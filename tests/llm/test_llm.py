@@ -345,6 +345,27 @@ def test_language_model_on_held_out_documents(spark):
     assert row["s"] > row["b"] and row["better"] > 0.7
 
 
+def test_lm_word_order(spark):
+    """A text's score depends on its words' order: the trained order beats the reverse one."""
+    rng = random.Random(8)
+    follow = [rng.sample(range(60), 2) for _ in range(60)]
+
+    def chain(n):
+        at, out = rng.randrange(60), []
+        for _ in range(n):
+            out.append(f"w{at}")
+            at = rng.choice(follow[at])
+        return out
+
+    held = [chain(40) for _ in range(20)]
+    texts = [" ".join(chain(40)) for _ in range(200)] + [" ".join(w) for w in held] + [" ".join(w[::-1]) for w in held]
+    got = {r["doc_id"]: r for r in pitman_yor.score(frame(spark, texts), F.col("doc_id") >= 200).collect()}
+    for i in range(200, 220):
+        assert got[i]["base_score"] == pytest.approx(got[i + 20]["base_score"])
+        assert got[i]["score"] > got[i + 20]["score"] + 5
+    assert sum(got[i]["score"] for i in range(200, 220)) > sum(got[i]["base_score"] for i in range(200, 220)) + 200
+
+
 def test_character_model_sums_to_one():
     import pyarrow as pa
 

@@ -1,13 +1,15 @@
-"""A hierarchical Pitman-Yor language model of words over characters.
+"""A hierarchical Pitman-Yor language model of words after words, over characters.
 
-Words sit in one restaurant.  Its base measure is a character model: a restaurant for each context of up to ORDER bytes of
-the word so far, whose parent is the restaurant of the context without its first byte.  A new table in the word
-restaurant is a word drawn from the character model, which therefore learns from tables, not tokens.
+Each word is the context of the next one: a restaurant for each context, in which the following words sit.  Their parent is
+one restaurant of words, whose customers are the contexts' tables.  Its base measure is a character model: a restaurant
+for each context of up to ORDER bytes of the word so far, whose parent is the restaurant of the context without its
+first byte.  A new table in the word restaurant is a word drawn from the character model, which therefore learns from
+tables, not tokens.  A text's first word and its end token have the end token and the last word as contexts.
 
 Seating follows the Chinese-restaurant process and is resampled in Gibbs sweeps: each sweep reseats every word's and every
 context's customers given the rest.  Predictive probabilities are averaged over the sweeps.
 
-Word counts, vocabulary and seating of words are distributed tables that grow with the corpus.  The character
+Counts of pairs and words, vocabulary and all seating of words are distributed tables that grow with the corpus.  The character
 model is kept to its CELLS most frequent pairs of context and symbol, and so is small enough to broadcast.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.cluster import materialize, shared_folder
-from varloom.llm.common import column
+from varloom.llm.common import column, lookup
 from varloom.llm.textsets import blocks, mix64, word_bounds, word_hashes
 
 #: Bytes of context, pairs of context and symbol kept, sweeps averaged, sweeps inside the character model.
@@ -209,8 +211,33 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.int64), np.frombuffer(data, "<u4" if many else "u1", n, 1 + a * n).astype(np.int64)
 
 
-_BAG_SCHEMA = "chunk long, word binary, lid int, n_train long, doc_id long, held_out boolean, bag binary"
-_BAG_ARROW = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("lid", pa.int32()), ("n_train", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("bag", pa.binary())])
+def _pack_pairs(ids: np.ndarray, before: np.ndarray, after: np.ndarray, seen: np.ndarray) -> bytes:
+    head = np.array([len(ids), len(before)], "<i8").tobytes()
+    return head + ids.astype("<i8").tobytes() + before.astype("<u4").tobytes() + after.astype("<u4").tobytes() + seen.astype("<u4").tobytes()
+
+
+def _unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(the words' hashes, numbers of first words, of second words, occurrences in training texts)."""
+    words, n = np.frombuffer(data, "<i8", 2).tolist()
+    at = 16 + 8 * words
+    return np.frombuffer(data, "<i8", words, 16), *(np.frombuffer(data, "<u4", n, at + 4 * n * k).astype(np.int64) for k in range(3))
+
+
+def _pairs(batches):
+    for batch in batches:
+        for chunk, data in zip(column(batch, "chunk").to_pylist(), column(batch, "pairs"), strict=True):
+            ids, before, after, seen = _unpack_pairs(data.as_py())
+            for lo in range(0, len(seen), 10 * WORD_ROWS):
+                cut = slice(lo, lo + 10 * WORD_ROWS)
+                size = len(seen[cut])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(size, chunk)), pa.array(np.arange(lo, lo + size, dtype=np.int32)), *map(pa.array, (ids[before[cut]], ids[after[cut]], seen[cut]))],
+                    names=["chunk", "gid", "ctx", "wid", "n_train"],
+                )
+
+
+_BAG_SCHEMA = "chunk long, word binary, wid long, lid int, n_train long, doc_id long, held_out boolean, bag binary, pairs binary"
+_BAG_ARROW = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("wid", pa.int64()), ("lid", pa.int32()), ("n_train", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("bag", pa.binary()), ("pairs", pa.binary())])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -223,7 +250,10 @@ def _words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 def _chunk_rows(chunk: int, ids: pa.Array, held: np.ndarray, texts: pa.Array) -> list[pa.RecordBatch]:
-    """A chunk's distinct words, and its documents as bags of their numbers; the last number is the end token."""
+    """A chunk's distinct words, its distinct pairs of neighbours, and its documents as bags of the pairs' numbers.
+
+    The last word's number is the end token's.
+    """
     hashes, words, inverse, rows = [], [], [], []
     known = 0
     for first, _, data, offsets in blocks(texts):
@@ -240,17 +270,29 @@ def _chunk_rows(chunk: int, ids: pa.Array, held: np.ndarray, texts: pa.Array) ->
     word = pa.concat_arrays([pa.concat_arrays(words).take(pa.array(at)), pa.array([b""], pa.binary())])
     train = np.bincount(lid, weights=~held[row], minlength=end_lid + 1).astype(np.int64)
     train[end_lid] = (~held).sum()
-    key, count = np.unique(row * (end_lid + 1) + lid, return_counts=True)
-    cut = np.searchsorted(key, np.arange(n + 1) * (end_lid + 1))
-    lids = key % (end_lid + 1)
-    bags = [_pack(np.append(lids[a:b], end_lid), np.append(count[a:b], 1)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    # every text with its end token, and each token's predecessor; a text begins after an end token
+    ends = np.cumsum(np.bincount(row, minlength=n) + 1)
+    owner = np.repeat(np.arange(n), np.diff(ends, prepend=0))
+    tape = np.full(len(owner), end_lid, np.int64)
+    inner = np.ones(len(owner), bool)
+    inner[ends - 1] = False
+    tape[inner] = lid
+    before = np.concatenate((np.full(1, end_lid, np.int64), tape))[: len(tape)]
+    pair, gid = np.unique(before * (end_lid + 1) + tape, return_inverse=True)
+    seen = np.bincount(gid, weights=~held[owner], minlength=len(pair)).astype(np.int64)
+    key, count = np.unique(owner * len(pair) + gid, return_counts=True)
+    cut = np.searchsorted(key, np.arange(n + 1) * len(pair))
+    gids = key % max(len(pair), 1)
+    bags = [_pack(gids[a:b], count[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    ids_ = np.append(u, np.uint64(0)).view(np.int64)
 
     def made(size: int, **cols) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(size, f.type)) for f in _BAG_ARROW], schema=_BAG_ARROW)
 
     return [
-        made(len(word), chunk=pa.array(np.full(len(word), chunk)), word=word, lid=pa.array(np.arange(len(word), dtype=np.int32)), n_train=pa.array(train)),
+        made(len(word), chunk=pa.array(np.full(len(word), chunk)), word=word, wid=pa.array(ids_), lid=pa.array(np.arange(len(word), dtype=np.int32)), n_train=pa.array(train)),
         made(n, chunk=pa.array(np.full(n, chunk)), doc_id=ids, held_out=pa.array(held), bag=pa.array(bags, pa.binary())),
+        made(1, chunk=pa.array([chunk]), pairs=pa.array([_pack_pairs(ids_, pair // (end_lid + 1), pair % (end_lid + 1), seen)], pa.binary())),
     ]
 
 
@@ -296,7 +338,7 @@ def _sweep(vocabulary: DataFrame, totals: Totals, samples: list[Sample], folder:
         tables = 0.0
         held_k, held_n, size = [], [], 0
         for batch in _pieces(batches):
-            words, c = column(batch, "word"), np.asarray(column(batch, "c"))
+            words, c = column(batch, "word"), np.asarray(column(batch, "people"))
             t = np.ones(len(c)) if sample is None else t_.seated(words, word_ids(words), c, sample, sweep)[0]
             tables += t.sum()
             key, of = cells_of(words)
@@ -312,7 +354,7 @@ def _sweep(vocabulary: DataFrame, totals: Totals, samples: list[Sample], folder:
             n = np.bincount(at, weights=np.concatenate(held_n))
             yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(n, tables))], names=["cell", "n"])
 
-    got = vocabulary.filter("c > 0").mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
+    got = vocabulary.filter("people > 0").mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
     name = f"cells-{len(samples)}"
     got = materialize(got, folder, name)
     tables = got.filter("cell < 0").agg(F.sum("n")).first()[0] or 0.0
@@ -324,6 +366,36 @@ def _sweep(vocabulary: DataFrame, totals: Totals, samples: list[Sample], folder:
         samples.append(Sample(characters, float(tables)))
 
 
+def _rated(lexicon: DataFrame, totals: Totals, sample: Sample, sweep: int) -> DataFrame:
+    """``lexicon`` with p: the words' probabilities without a context, by a sample."""
+    send = lexicon.sparkSession.sparkContext.broadcast((totals, sample))
+
+    def run(batches):
+        t_, sample_ = send.value
+        for batch in _pieces(batches):
+            word, c = column(batch, "word"), np.asarray(column(batch, "people"))
+            tables, base = t_.seated(word, word_ids(word), c, sample_, sweep)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.maximum(t_.predictive(c, tables, base, sample_), 1e-300))], names=[*batch.schema.names, "p"])
+
+    return lexicon.mapInArrow(run, lexicon.withColumn("p", F.lit(0.0)).schema)
+
+
+def _seated(pairs: DataFrame, lexicon: DataFrame, discount: float, sweep: int) -> DataFrame:
+    """``pairs`` (ctx, wid, c, t) with the last sweep's tables in their contexts added to t."""
+    known = lookup(pairs, lexicon.select("wid", "p"), ["wid"])
+    known = lookup(known, lexicon.select(F.col("wid").alias("ctx"), "opened"), ["ctx"])
+
+    def run(batches):
+        for batch in batches:
+            wid, ctx, c = (np.asarray(column(batch, n)) for n in ("wid", "ctx", "c"))
+            pull = (STRENGTH + discount * np.asarray(column(batch, "opened"))) * np.asarray(column(batch, "p"))
+            ids = mix64(ctx.view(np.uint64) + mix64(wid.view(np.uint64) + np.uint64(1)))
+            t = seat(ids, c, pull, discount, 100 + sweep)
+            yield pa.RecordBatch.from_arrays([column(batch, "ctx"), column(batch, "wid"), column(batch, "c"), pa.array(np.asarray(column(batch, "t")) + t), pa.array(t)], names=["ctx", "wid", "c", "t", "last"])
+
+    return known.mapInArrow(run, "ctx long, wid long, c long, t double, last double")
+
+
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -335,47 +407,83 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     folder = shared_folder(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     made = materialize(rows.mapInArrow(_bags, _BAG_SCHEMA), folder, "bags")
-    words = made.filter("word is not null").select("chunk", "word", "lid", "n_train")
-    vocabulary = materialize(words.groupBy("word").agg(F.sum("n_train").alias("c")), folder, "vocabulary")
-    got = vocabulary.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    once, twice = got[2], got[3]
-    totals = Totals(int(got[0] or 0), int(got[1]), float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95)))
-    samples: list[Sample] = []
-    for _ in range(SAMPLES + 1):
-        _sweep(vocabulary, totals, samples, folder)
-    send = docs.sparkSession.sparkContext.broadcast((totals, samples))
-
-    def rate(batches):
-        t_, all_ = send.value
-        for batch in _pieces(batches):
-            word, c = column(batch, "word"), np.asarray(column(batch, "c"))
-            ids, p = word_ids(word), np.zeros(len(c))
-            for sweep, sample in enumerate(all_):
-                tables, base = t_.seated(word, ids, c, sample, sweep)
-                p += t_.predictive(c, tables, base, sample) / len(all_)
-            yield pa.RecordBatch.from_arrays([word, column(batch, "c"), pa.array(np.log10(np.maximum(p, 1e-300)))], names=["word", "c", "p"])
+    words = made.filter("word is not null").select("chunk", "word", "wid", "lid", "n_train")
+    pairs = made.filter("pairs is not null").select("chunk", "pairs").mapInArrow(_pairs, "chunk long, gid int, ctx long, wid long, n_train long")
+    counted = pairs.groupBy("ctx", "wid").agg(F.sum("n_train").alias("c"), F.count(F.lit(1)).alias("chunks"))
+    counted = materialize(counted.filter("c > 0"), folder, "pairs")
+    once, twice = counted.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    discount = float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95))
+
+    # a pair seen once has one table in every sweep; only the others are reseated
+    after = counted.groupBy("wid").agg(F.count(F.lit(1)).alias("people"), F.count_if(F.col("c") == 1).alias("single"))
+    before = counted.groupBy(F.col("ctx").alias("wid")).agg(F.count(F.lit(1)).alias("opened"), F.count_if(F.col("c") == 1).alias("single_opened"), F.sum("c").alias("room"))
+    lexicon = words.groupBy("word").agg(F.min("wid").alias("wid"), F.sum("n_train").alias("c")).join(after, "wid", "left").join(before, "wid", "left").na.fill(0)
+    lexicon = lexicon.withColumns({"opened": F.col("opened").cast("double"), "ps": F.array().cast("array<double>"), "backs": F.array().cast("array<double>")})
+    lexicon = materialize(lexicon, folder, "lexicon")
+    tokens, types = lexicon.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    tokens, types = int(tokens or 0), int(types)
+    again = materialize(counted.filter("c > 1").select("ctx", "wid", "c", F.lit(0.0).alias("t")), folder, "again")
+
+    def totals_of(table: DataFrame) -> Totals:
+        people, one, two = table.agg(F.sum("people"), F.count_if(F.col("people") == 1), F.count_if(F.col("people") == 2)).first()
+        return Totals(int(people or 0), types, float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95)))
 
-    rated = vocabulary.mapInArrow(rate, "word binary, c long, p double")
-    local = words.select("chunk", "word", "lid").join(rated, "word").select("chunk", "lid", "c", "p")
+    samples: list[Sample] = []
+    _sweep(lexicon, totals_of(lexicon), samples, folder)
+    for sweep in range(SAMPLES):
+        totals = totals_of(lexicon)
+        _sweep(lexicon, totals, samples, folder)
+        rated = materialize(_rated(lexicon, totals, samples[sweep], sweep), folder, f"rated-{sweep}")
+        seated = materialize(_seated(again, rated, discount, sweep), folder, f"seated-{sweep}")
+        again = seated.drop("last")
+        to_word = seated.groupBy("wid").agg(F.sum("last").cast("long").alias("more"))
+        to_room = seated.groupBy(F.col("ctx").alias("wid")).agg(F.sum("last").alias("more_opened"))
+        lexicon = rated.join(to_word, "wid", "left").join(to_room, "wid", "left").na.fill(0, ["more", "more_opened"])
+        lexicon = lexicon.withColumns({"people": F.col("single") + F.col("more"), "opened": F.col("single_opened") + F.col("more_opened")})
+        lexicon = lexicon.withColumns({"ps": F.array_append("ps", F.col("p")), "backs": F.array_append("backs", (STRENGTH + discount * F.col("opened")) / (STRENGTH + F.col("room")))})
+        lexicon = materialize(lexicon.drop("more", "more_opened", "p"), folder, f"lexicon-{sweep}")
+
+    # what a pair has of its own; pairs of one chunk that are seen once or never need no row
+    own = counted.filter("c = 1 and chunks > 1").select("ctx", "wid", F.lit(1 - discount).alias("own"))
+    own = own.unionByName(again.select("ctx", "wid", (F.col("c") - discount * F.col("t") / SAMPLES).alias("own")))
+    none = F.lit(None)
+    of_words = words.select("chunk", "word", "lid").join(lexicon, "word").select("chunk", F.col("lid").alias("at"), none.cast("double").alias("own"), "c", "room", "ps", "backs")
+    of_pairs = pairs.select("chunk", "gid", "ctx", "wid").join(own, ["ctx", "wid"]).select(
+        "chunk", F.col("gid").alias("at"), "own", *(none.cast(t).alias(n) for n, t in (("c", "long"), ("room", "long"), ("ps", "array<double>"), ("backs", "array<double>")))
+    )
+    local = of_words.unionByName(of_pairs)
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        size = left.num_rows
-        lid = left["lid"].to_numpy()
-        c, p = np.zeros(size, np.int64), np.zeros(size)
-        c[lid], p[lid] = left["c"].to_numpy(), left["p"].to_numpy()
-        t_ = send.value[0]
-        base = np.log10((c + 0.5) / (t_.tokens + 0.5 * (t_.types + 1)))
+        for data in right["pairs"].drop_null():
+            ids, first, second, seen = _unpack_pairs(data.as_py())
+        is_word = left["own"].is_null()
+        held = left.filter(is_word)
+        lid, size = held["at"].to_numpy(), len(ids)
+        c, room, ps, backs = np.zeros(size, np.int64), np.zeros(size), np.zeros((size, SAMPLES)), np.zeros((size, SAMPLES))
+        c[lid], room[lid] = held["c"].to_numpy(), held["room"].to_numpy()
+        for into, name in ((ps, "ps"), (backs, "backs")):
+            into[lid] = pa.compute.list_flatten(held[name]).to_numpy().reshape(-1, SAMPLES)
+        base = np.log10((c + 0.5) / (tokens + 0.5 * (types + 1)))
+        mine = np.where(seen > 0, 1 - discount, 0.0)
+        held = left.filter(pa.compute.invert(is_word))
+        mine[held["at"].to_numpy()] = held["own"].to_numpy()
+        p = mine / (STRENGTH + room[first])
+        for k in range(SAMPLES):
+            p += backs[first, k] * ps[second, k] / SAMPLES
+        p = np.log10(np.maximum(p, 1e-300))
+        base, known = base[second], c[second] > 0
+        right = right.filter(right["bag"].is_valid())
         out = []
         for bag in right["bag"]:
             at, n = _unpack(bag.as_py())
-            out.append((n.sum(), n[c[at] > 0].sum(), (n * base[at]).sum(), (n * p[at]).sum()))
-        tokens, known, base_score, found = zip(*out, strict=True) if out else ((), (), (), ())
+            out.append((n.sum(), n[known[at]].sum(), (n * base[at]).sum(), (n * p[at]).sum()))
+        counts, knowns, base_score, found = zip(*out, strict=True) if out else ((), (), (), ())
         return pa.Table.from_arrays(
-            [right["doc_id"], right["held_out"], pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array([t_.tokens] * len(out), pa.int64()), pa.array(base_score, pa.float64()), pa.array(found, pa.float64())],
+            [right["doc_id"], right["held_out"], pa.array(counts, pa.int64()), pa.array(knowns, pa.int64()), pa.array([tokens] * len(out), pa.int64()), pa.array(base_score, pa.float64()), pa.array(found, pa.float64())],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    bags = made.filter("bag is not null").select(F.col("chunk").alias("of_chunk"), "doc_id", "held_out", "bag")
+    bags = made.filter("bag is not null or pairs is not null").select(F.col("chunk").alias("of_chunk"), "doc_id", "held_out", "bag", "pairs")
     return local.groupBy("chunk").cogroup(bags.groupBy("of_chunk")).applyInArrow(
         look_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
