@@ -42,6 +42,16 @@ def test_islands_keep_exact_clusters(spark, seed):
     assert got == want
 
 
+def test_two_events_of_one_island_are_two_calls(spark):
+    """Deletions of 60 and of 400 bases whose reads begin at alike places lie in one island and give two calls."""
+    rows = [("c", 0, 0, 5000 + 40 * i, 5000 + 40 * i + n, n, f"{n}-{i}", 1.0, 0, False, False, 0, 0) for i in range(8) for n in (60, 400)]
+    sig = spark.createDataFrame(rows, SCHEMA + ", inv_left boolean, inv_right boolean, cn long, contig_id long")
+    assert clusters.with_islands(sig, ONT).select("island").distinct().count() == 1
+    found = calls.measured(clusters.with_clusters(sig, ONT), ONT).collect()
+    assert sorted((r["sv_len"], r["st"], r["ls"]) for r in found) == [(60, 8, 100), (400, 8, 100)]
+    assert {r["locus"] for r in found} == {5000}
+
+
 def test_running_values_cross_stretches(spark):
     rng = random.Random(1)
     rows = [("c", rng.randrange(5_000_000), rng.randrange(1000), i) for i in range(500)]

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 
 from varloom.operators.grouping import map_groups
 from varloom.operators.intervals import BIN, islands
+from varloom.operators.signatures import sorted_signatures
 from varloom.params import Params
 
 KEYS = ["contig", "sv_type"]
-#: A cluster's columns: its contig, type and the thousand in which it begins.
-CLUSTER = ["contig", "sv_type", "locus"]
+#: What is told of a cluster: its contig, type and the thousand in which it begins.
+LOCUS = ["contig", "sv_type", "locus"]
+#: A cluster's key: several clusters may begin in one thousand.
+CLUSTER = [*LOCUS, "cluster"]
+#: Names of whole numbers in the schemas of grouped rows.
+SPARK_KINDS = {"bigint": "long", "int": "long", "smallint": "long", "tinyint": "long"}
 #: Bases between the means of clusters of one second-layer cluster, and the share of rows that makes a core.
 NEAR, CORE = 200, 0.7
 
@@ -176,6 +181,22 @@ def exact_clusters(sig: DataFrame, p: Params) -> DataFrame:
     return map_groups(held, [*KEYS, "island"], ["sig_id"], run, "contig string, sv_type long, sig_id long, cluster long")
 
 
+def with_clusters(sig: DataFrame, p: Params) -> DataFrame:
+    """Adds cluster (the smallest number of its members) and locus, the thousand in which the cluster begins."""
+    held = with_islands(sorted_signatures(sig), p)
+    names = sig.columns
+
+    def run(rows: list[dict]) -> Iterator[tuple]:
+        for found in rounds(rows, p):
+            first = min(rows[i]["begin_pos"] for i in found)
+            name = min(rows[i]["sig_id"] for i in found)
+            for i in found:
+                yield *(rows[i][c] for c in names), first - first % 1000, name
+
+    schema = ", ".join(f"{f.name} {SPARK_KINDS.get(f.dataType.simpleString(), f.dataType.simpleString())}" for f in sig.schema)
+    return map_groups(held, [*KEYS, "island"], ["sig_id"], run, f"{schema}, locus long, cluster long")
+
+
 def capped(rows: DataFrame, p: Params) -> DataFrame:
     """The middle rows of clusters above the largest size, in the order of begins."""
     w = Window.partitionBy(*CLUSTER)

@@ -60,7 +60,7 @@ def with_ids(calls: DataFrame) -> DataFrame:
 
     Numbers run inside stretches of a contig; one row per contig carries what came before.
     """
-    order = [F.col("pos"), F.col("sv_len"), F.col("locus")]
+    order = [F.col("pos"), F.col("sv_len"), F.col("locus"), F.col("cluster")]
     rows = numbered(calls, ["sv_type", "contig_id"], "pos", order, "_i")
     sizes = calls.groupBy("sv_type", "contig_id").agg(F.count(F.lit(1)).alias("_n"))
     other = sizes.select("sv_type", F.col("contig_id").alias("_c"), F.col("_n").alias("_m"))

@@ -13,7 +13,7 @@ from varloom.operators import vcf as W
 from varloom.params import GENOTYPE_RATIO, ONT
 from varloom.plans.registry import query
 
-KEY = [*C.CLUSTER, "pos"]
+KEY = [*C.LOCUS, "pos"]
 
 
 def _of(values: tuple) -> str:
@@ -69,7 +69,8 @@ OUTPUT = dict(**FINAL, named=NAMES, lined=LINES, infos=INFOS)
 
 
 def _clusters(sig: DataFrame) -> DataFrame:
-    return K.measured(C.with_locus(sig, ONT), ONT)
+    rows = materialize(C.with_clusters(sig, ONT), shared_folder(sig.sparkSession), "clustered")
+    return K.measured(rows, ONT)
 
 
 def _filtered(sig: DataFrame, aln: DataFrame, contigs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,20 +108,20 @@ LOCI = "SELECT contig, sv_type, begin_pos - begin_pos % 1000 AS locus, CAST(min(
 @query("sig", "aln", sql="""SELECT l.contig, l.sv_type, l.locus, round(round(coalesce(sum(cov), 0), 6) / (l.e // 100 - l.b // 100 + 1), 4) AS average FROM loci l
 LEFT JOIN covw c ON c.contig = l.contig AND c.w BETWEEN l.b // 100 AND l.e // 100 GROUP BY l.contig, l.sv_type, l.locus, l.b, l.e""", covw=COV, loci=LOCI)
 def avg_coverage(sig: DataFrame, aln: DataFrame) -> DataFrame:
-    spans = C.with_locus(sig, ONT).groupBy(*C.CLUSTER).agg(F.min("begin_pos").alias("b"), F.max("end_pos").alias("e"))
-    return V.average(V.windows(aln, ONT), spans, F.col("b"), F.col("e"), ONT).select(*C.CLUSTER, F.round("average", 4).alias("average"))
+    spans = C.with_clusters(sig, ONT).groupBy(*C.CLUSTER).agg(F.min("begin_pos").alias("b"), F.max("end_pos").alias("e"))
+    return V.average(V.windows(aln, ONT), spans, F.col("b"), F.col("e"), ONT).select(*C.LOCUS, F.round("average", 4).alias("average"))
 
 
 @query("sig", "aln", sql="SELECT l.contig, l.sv_type, l.locus, (SELECT count(*) FROM aln a WHERE a.contig = l.contig AND (flag & 2304) = 0 AND a.pos <= l.b AND a.ref_end >= l.e) AS n FROM loci l", loci=LOCI)
 def span_count(sig: DataFrame, aln: DataFrame) -> DataFrame:
-    spans = C.with_locus(sig, ONT).groupBy(*C.CLUSTER).agg(F.min("begin_pos").alias("b"), F.max("end_pos").alias("e"))
-    return V.spanning(V.primary_segments(aln), spans, "b", "e").select(*C.CLUSTER, "n")
+    spans = C.with_clusters(sig, ONT).groupBy(*C.CLUSTER).agg(F.min("begin_pos").alias("b"), F.max("end_pos").alias("e"))
+    return V.spanning(V.primary_segments(aln), spans, "b", "e").select(*C.LOCUS, "n")
 
 
 @query("sig", sql="SELECT contig, sv_type, locus, hp0, hp1, hp2, drop_untagged, round(shp, 6) AS shp, round(co, 6) AS co FROM cut", cl=CL, hpc=HPC, cut=CUT)
 def hp_cutoff(sig: DataFrame) -> DataFrame:
-    cut = K.cutoffs(C.with_locus(sig, ONT), ONT)
-    return cut.select(*C.CLUSTER, "hp0", "hp1", "hp2", "drop_untagged", F.round("shp", 6).alias("shp"), F.round("co", 6).alias("co"))
+    cut = K.cutoffs(C.with_clusters(sig, ONT), ONT)
+    return cut.select(*C.LOCUS, "hp0", "hp1", "hp2", "drop_untagged", F.round("shp", 6).alias("shp"), F.round("co", 6).alias("co"))
 
 
 @query("sig", "aln", "contigs", sql="SELECT contig, sv_type, locus, pos, sv_len, ss, st, ss2, st2, ls, keep FROM kept", **FILTER)
@@ -153,12 +154,12 @@ def hap_regenotype(sig: DataFrame, aln: DataFrame, contigs: DataFrame) -> DataFr
 
 @query("sig", "aln", "contigs", sql="SELECT contig, sv_type, locus, vcf_pos, vcf_end, ref, alt FROM lined", **FINAL, named=NAMES, lined=LINES)
 def resolve_ref(sig: DataFrame, aln: DataFrame, contigs: DataFrame) -> DataFrame:
-    return _output(sig, aln, contigs).select(*C.CLUSTER, "vcf_pos", "vcf_end", "ref", "alt")
+    return _output(sig, aln, contigs).select(*C.LOCUS, "vcf_pos", "vcf_end", "ref", "alt")
 
 
 @query("sig", "aln", "contigs", sql="SELECT contig, sv_type, locus, id FROM lined", **FINAL, named=NAMES, lined=LINES)
 def call_ids(sig: DataFrame, aln: DataFrame, contigs: DataFrame) -> DataFrame:
-    return _output(sig, aln, contigs).select(*C.CLUSTER, "id")
+    return _output(sig, aln, contigs).select(*C.LOCUS, "id")
 
 
 @query("sig", "aln", "contigs", sql="SELECT contig_id, contig, pos, sv_type, sv_len, st, ls, gt, id FROM lined ORDER BY contig_id, pos, sv_type, sv_len", **FINAL, named=NAMES, lined=LINES)
@@ -190,7 +191,7 @@ def ref_fetch(truth: DataFrame, contigs: DataFrame) -> DataFrame:
 @query("sig", sql="""SELECT contig, sv_type, locus, round(log10(greatest(pow(0.9::DOUBLE, c0) * pow(0.1::DOUBLE, c1) / 3, 1e-300)), 6) AS gl00, round(log10(greatest(pow(0.5::DOUBLE, c0 + c1) / 3, 1e-300)), 6) AS gl01,
  round(log10(greatest(pow(0.1::DOUBLE, c0) * pow(0.9::DOUBLE, c1) / 3, 1e-300)), 6) AS gl11 FROM (SELECT contig, sv_type, locus, least(count(*) FILTER (WHERE hp <> 1), 100) AS c0, least(count(*) FILTER (WHERE hp = 1), 100) AS c1 FROM cl GROUP BY ALL)""", cl=CL)
 def gl_genotype(sig: DataFrame) -> DataFrame:
-    counts = C.with_locus(sig, ONT).groupBy(*C.CLUSTER).agg(F.least(F.count_if(F.col("hp") != 1), F.lit(100)).alias("c0"), F.least(F.count_if(F.col("hp") == 1), F.lit(100)).alias("c1"))
+    counts = C.with_clusters(sig, ONT).groupBy(*C.CLUSTER).agg(F.least(F.count_if(F.col("hp") != 1), F.lit(100)).alias("c0"), F.least(F.count_if(F.col("hp") == 1), F.lit(100)).alias("c1"))
     part = lambda p: F.round(F.log10(F.greatest(p / 3, F.lit(1e-300))), 6)
     likely = lambda r: F.pow(F.lit(1 - r), F.col("c0")) * F.pow(F.lit(r), F.col("c1"))
-    return counts.select(*C.CLUSTER, part(likely(0.1)).alias("gl00"), part(F.pow(F.lit(0.5), F.col("c0") + F.col("c1"))).alias("gl01"), part(F.pow(F.lit(0.1), F.col("c0")) * F.pow(F.lit(0.9), F.col("c1"))).alias("gl11"))
+    return counts.select(*C.LOCUS, part(likely(0.1)).alias("gl00"), part(F.pow(F.lit(0.5), F.col("c0") + F.col("c1"))).alias("gl01"), part(F.pow(F.lit(0.1), F.col("c0")) * F.pow(F.lit(0.9), F.col("c1"))).alias("gl11"))

@@ -19,7 +19,7 @@ def stats(name: str, spark: str, sql: str) -> None:
     """A query of one row per cluster: expressions for Spark and for the oracle."""
 
     def run(sig: DataFrame) -> DataFrame:
-        return C.with_locus(sig, ONT).groupBy(*C.CLUSTER).agg(*(F.expr(e) for e in spark.split("; ")))
+        return C.with_clusters(sig, ONT).groupBy(*C.CLUSTER).agg(*(F.expr(e) for e in spark.split("; "))).drop("cluster")
 
     run.__name__ = name
     query("sig", sql=f"SELECT contig, sv_type, locus, {sql} FROM cl GROUP BY contig, sv_type, locus", cl=CL)(run)
@@ -103,8 +103,8 @@ stats("weighted_site", "round(sum(begin_pos * cast(quality as double)) / sum(cas
 
 @query("sig", sql="SELECT contig, sv_type, locus, round(sum(q), 6) AS weight FROM (SELECT contig, sv_type, locus, template, max(CAST(quality AS DOUBLE)) AS q FROM cl GROUP BY ALL) GROUP BY ALL", cl=CL)
 def weight_sum(sig: DataFrame) -> DataFrame:
-    best = C.with_locus(sig, ONT).groupBy(*C.CLUSTER, "template").agg(F.max(F.col("quality").cast("double")).alias("q"))
-    return best.groupBy(*C.CLUSTER).agg(F.round(F.sum("q"), 6).alias("weight"))
+    best = C.with_clusters(sig, ONT).groupBy(*C.CLUSTER, "template").agg(F.max(F.col("quality").cast("double")).alias("q"))
+    return best.groupBy(*C.CLUSTER).agg(F.round(F.sum("q"), 6).alias("weight")).drop("cluster")
 
 
 @query("sig", sql="""SELECT contig, sv_type, locus, count(*) AS n, CAST(sum(begin_pos) AS BIGINT) AS begins FROM (
@@ -113,8 +113,8 @@ WHERE m <= 20 OR (r > (m - 20) // 2 AND r <= (m - 20) // 2 + 20) GROUP BY ALL"""
 def cluster_cap(sig: DataFrame) -> DataFrame:
     from dataclasses import replace
 
-    kept = C.capped(C.with_locus(sig, ONT), replace(ONT, max_cluster=20))
-    return kept.groupBy(*C.CLUSTER).agg(F.count(F.lit(1)).alias("n"), F.sum("begin_pos").alias("begins"))
+    kept = C.capped(C.with_clusters(sig, ONT), replace(ONT, max_cluster=20))
+    return kept.groupBy(*C.CLUSTER).agg(F.count(F.lit(1)).alias("n"), F.sum("begin_pos").alias("begins")).drop("cluster")
 
 
 @query("sig", sql="""SELECT contig, sv_type, locus, arg_min(substr(repeat('ACGT', 40), CAST(begin_pos % 4 AS INTEGER) + 1, CAST(sv_len AS INTEGER)), r) AS bases FROM (
@@ -122,11 +122,11 @@ def cluster_cap(sig: DataFrame) -> DataFrame:
  CAST(sum(length) OVER (PARTITION BY contig, sv_type, locus) // count(*) OVER (PARTITION BY contig, sv_type, locus) AS BIGINT) AS sv_len FROM cl WHERE sv_type = 1) WHERE length >= sv_len GROUP BY ALL""", cl=CL)
 def ins_consensus(sig: DataFrame) -> DataFrame:
     # bases of an insertion: ACGT repeated, from the remainder of its place on
-    rows = C.with_locus(sig.filter("sv_type = 1"), ONT).withColumn("bases", F.substring(F.repeat(F.lit("ACGT"), F.lit(40)), (F.col("begin_pos") % 4 + 1).cast("int"), F.col("length").cast("int")))
+    rows = C.with_clusters(sig.filter("sv_type = 1"), ONT).withColumn("bases", F.substring(F.repeat(F.lit("ACGT"), F.lit(40)), (F.col("begin_pos") % 4 + 1).cast("int"), F.col("length").cast("int")))
     w = Window.partitionBy(*C.CLUSTER)
-    rows = rows.withColumn("sv_len", F.expr("sum(length) over (partition by contig, sv_type, locus) div count(*) over (partition by contig, sv_type, locus)"))
+    rows = rows.withColumn("sv_len", F.expr("sum(length) over (partition by contig, sv_type, locus, cluster) div count(*) over (partition by contig, sv_type, locus, cluster)"))
     rows = rows.withColumn("r", F.row_number().over(w.orderBy("begin_pos", "length", F.desc("quality"), "template", "end_pos"))).filter("length >= sv_len")
-    return rows.groupBy(*C.CLUSTER).agg(F.min_by(F.substring("bases", F.lit(1), F.col("sv_len").cast("int")), "r").alias("bases"))
+    return rows.groupBy(*C.CLUSTER).agg(F.min_by(F.substring("bases", F.lit(1), F.col("sv_len").cast("int")), "r").alias("bases")).drop("cluster")
 
 
 @query("sig", sql="""SELECT contig, sv_type, locus, round(m1, 6) AS mean1, round(m2, 6) AS mean2, coalesce(abs(m1 - m2) > 3 * greatest(v1, v2), false) AS split FROM (
@@ -137,9 +137,9 @@ def hp_split(sig: DataFrame) -> DataFrame:
     # mean squares around haplotype 1's mean, from sums alone
     one, two = F.col("hp") == 1, F.col("hp") == 2
     square = F.col("length") * F.col("length")
-    g = C.with_locus(sig, ONT).groupBy(*C.CLUSTER).agg(
+    g = C.with_clusters(sig, ONT).groupBy(*C.CLUSTER).agg(
         *(f(F.when(h, x)).alias(n) for h, k in ((one, "1"), (two, "2")) for f, x, n in ((F.avg, F.col("length"), f"m{k}"), (F.avg, square, f"q{k}")))
     )
     around = lambda k: F.col(f"q{k}") - 2 * F.col("m1") * F.col(f"m{k}") + F.col("m1") * F.col("m1")
     apart = F.abs(F.col("m1") - F.col("m2")) > 3 * F.greatest(around("1"), around("2"))
-    return g.filter("m1 is not null and m2 is not null").select(*C.CLUSTER, F.round("m1", 6).alias("mean1"), F.round("m2", 6).alias("mean2"), F.coalesce(apart, F.lit(False)).alias("split"))
+    return g.filter("m1 is not null and m2 is not null").select(*C.LOCUS, F.round("m1", 6).alias("mean1"), F.round("m2", 6).alias("mean2"), F.coalesce(apart, F.lit(False)).alias("split"))

@@ -21,7 +21,7 @@ SITES = "SELECT contig, sv_type, begin_pos - begin_pos % 1000 AS locus, CAST(sum
 @query("truth", "sig", sql="""SELECT truth_id, locus, abs(pos - c_pos) AS apart FROM truth t JOIN sites s ON s.contig = t.contig AND s.sv_type = t.sv_type AND abs(pos - c_pos) <= 500
  AND least(sv_len, c_len) >= 0.7 * greatest(sv_len, c_len) QUALIFY row_number() OVER (PARTITION BY truth_id ORDER BY abs(pos - c_pos), abs(sv_len - c_len), locus) = 1""", sites=SITES)
 def truth_match(truth: DataFrame, sig: DataFrame) -> DataFrame:
-    return T.best_matches(truth, C.with_locus(sig, ONT).groupBy(*C.CLUSTER).agg(*C.site()))
+    return T.best_matches(truth, C.with_clusters(sig, ONT).groupBy(*C.CLUSTER).agg(*C.site()))
 
 
 @query("truth", sql="SELECT truth_id, contig, sv_type, pos FROM truth WHERE sv_type NOT IN (2, 3)")
