@@ -315,6 +315,18 @@ def test_settle_keeps_sums_and_chances():
     assert np.abs(mean - 0.37).max() < 0.06
 
 
+# -- personal data: patterns ------------------------------------------------------------------------------
+
+
+def test_pattern_confident_by_candidates(spark):
+    """Few seeds follow 'ref code'; identifiers that it shares with 'card no' make it confident, and its own are found."""
+    shared, own = [f"k{i % 10}q{'abcdefghijklmnopqrst'[i]}" for i in range(20)], [f"m{i}z" for i in range(10)]
+    texts = [f"the card no u{i}@x.org" for i in range(5)] * 10 + [f"the card no {x}" for x in shared]
+    texts += [f"the ref code u{i}@x.org" for i in range(5)] + [f"the ref code {x}" for x in shared + shared + own]
+    got = pii.find(frame(spark, texts).select("doc_id", "text")).filter(F.col("text").startswith("the ref code m")).collect()
+    assert len(got) == 10 and {r["masked"] for r in got} == {"the ref code [EMAIL]"}
+
+
 # -- language model ---------------------------------------------------------------------------------------
 
 

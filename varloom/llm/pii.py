@@ -17,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.cluster import materialize, shared_folder
-from varloom.llm.common import column
+from varloom.llm.common import column, lookup
 from varloom.llm.textsets import mix64, word_bounds, word_hashes
 
-#: Distinct entities that a pattern needs, its least score, rounds, and the most patterns that are kept (the best).
-SUPPORT, CONFIDENCE, ROUNDS, PATTERNS = 5, 0.8, 3, 20_000
+#: Distinct entities that a pattern needs, its least score, and rounds.
+SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
+#: Bits of a pattern by which words are looked up before the join with all patterns.
+SIEVE_BITS = 20
 
 # The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -124,20 +126,6 @@ class _Places:
         return _points(text, start[near]), _points(text, end[near]), pattern[near]
 
 
-def _totals(docs: DataFrame, patterns: np.ndarray) -> DataFrame:
-    """(pattern, total): occurrences of the patterns in the corpus."""
-    send = docs.sparkSession.sparkContext.broadcast(patterns)
-
-    def run(batches):
-        places = _Places(send.value)
-        for batch in batches:
-            found = [places.find(t.as_py() or "")[2] for t in column(batch, "text")]
-            key, n = np.unique(np.concatenate(found), return_counts=True) if found else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["pattern", "total"])
-
-    return docs.select("text").mapInArrow(run, "pattern long, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
-
-
 def _token(text: str, a: int, b: int) -> tuple[int, int]:
     """A word without punctuation at its edges."""
     while a < b and text[a] in EDGE:
@@ -147,21 +135,28 @@ def _token(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def _edges(docs: DataFrame, patterns: np.ndarray) -> DataFrame:
-    """(pattern, entity, candidate, n) of every word after the patterns; candidates look like identifiers."""
-    send = docs.sparkSession.sparkContext.broadcast(patterns)
+def _edges(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, entity, candidate, n) of every word after the patterns; candidates look like identifiers.
+
+    Words pass by some bits of their pattern, a bounded table, and are then joined with the patterns themselves.
+    """
+    low = F.col("pattern").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
+    bits = patterns.select(low.alias("low")).distinct().toPandas()["low"].to_numpy(np.int64)
+    send = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        places = _Places(send.value)
+        sieve = np.zeros(1 << SIEVE_BITS, bool)
+        sieve[send.value] = True
         for batch in batches:
             rows = []
             for raw in column(batch, "text"):
                 text = raw.as_py() or ""
-                start, end, pattern = places.find(text)
-                if not len(start):
+                start, end, pattern = pattern_ids(text)
+                near = np.flatnonzero(sieve[pattern & ((1 << SIEVE_BITS) - 1)])
+                if not len(near):
                     continue
                 spans = {a: b for _, a, b in base_spans(text)}
-                for a, b, p in zip(start.tolist(), end.tolist(), pattern.tolist(), strict=True):
+                for a, b, p in zip(_points(text, start[near]).tolist(), _points(text, end[near]).tolist(), pattern[near].tolist(), strict=True):
                     seed = a in spans
                     a, b = (a, spans[a]) if seed else _token(text, a, b)
                     value = text[a:b]
@@ -169,7 +164,8 @@ def _edges(docs: DataFrame, patterns: np.ndarray) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["pattern", "entity", "candidate"])
 
-    return docs.select("text").mapInArrow(run, "pattern long, entity long, candidate boolean").groupBy("pattern", "entity", "candidate").agg(F.count(F.lit(1)).alias("n"))
+    found = docs.select("text").mapInArrow(run, "pattern long, entity long, candidate boolean").groupBy("pattern", "entity", "candidate").agg(F.count(F.lit(1)).alias("n"))
+    return lookup(found, patterns.select("pattern", "kind"), ["pattern"]).filter("kind is not null").drop("kind")
 
 
 def learn(docs: DataFrame) -> dict[int, int]:
@@ -178,16 +174,10 @@ def learn(docs: DataFrame) -> dict[int, int]:
     seeds = materialize(_seed_edges(docs), folder, "seeds")
     induced = seeds.groupBy("pattern", "kind").agg(F.count_distinct("entity").alias("support"), F.sum("n").alias("hits")).filter(F.col("support") >= SUPPORT)
     best = F.max_by("kind", F.struct("hits", -F.col("kind")))
-    induced = materialize(induced.groupBy("pattern").agg(best.alias("kind"), F.sum("hits").alias("hits"), F.max("support").alias("support")), folder, "induced")
-    first = induced.orderBy(F.desc("support"), "pattern").limit(PATTERNS).toPandas()
-    if not len(first):
-        return {}
-    # a pattern that mostly precedes other words than entities or candidates can't become confident: counts leave few
-    totals = _totals(docs, first["pattern"].to_numpy(np.int64))
-    hopeful = induced.join(totals, "pattern").filter(F.col("hits") >= (1 - CONFIDENCE) * F.col("total")).select("pattern", "kind").limit(PATTERNS).toPandas()
-    if not len(hopeful):
+    induced = materialize(induced.groupBy("pattern").agg(best.alias("kind")), folder, "induced")
+    if not induced.limit(1).count():
         return {}
-    edges = materialize(_edges(docs, hopeful["pattern"].to_numpy(np.int64)), folder, "edges")
+    edges = materialize(_edges(docs, induced), folder, "edges")
     known = seeds.select("entity").distinct().withColumn("seed", F.lit(1.0))
     graph = materialize(edges.join(known, "entity", "left").select("pattern", "entity", "candidate", "n", F.coalesce("seed", F.lit(0.0)).alias("seed")), folder, "graph")
     scored = graph.groupBy("pattern").agg((F.sum(F.col("n") * F.col("seed")) / F.sum("n")).alias("score"))
@@ -200,9 +190,8 @@ def learn(docs: DataFrame) -> dict[int, int]:
             .groupBy("pattern")
             .agg((F.sum(F.col("n") * F.greatest("seed", F.when(F.col("candidate"), F.coalesce("belief", F.lit(0.0))).otherwise(0.0))) / F.sum("n")).alias("score"))
         )
-    sure = scored.filter(F.col("score") >= CONFIDENCE).select("pattern").toPandas()["pattern"]
-    kinds = dict(zip(hopeful["pattern"].tolist(), hopeful["kind"].tolist(), strict=True))
-    return {int(p): kinds[int(p)] for p in sure}
+    sure = scored.filter(F.col("score") >= CONFIDENCE).select("pattern").join(induced, "pattern").toPandas()
+    return dict(zip(sure["pattern"].tolist(), sure["kind"].tolist(), strict=True))
 
 
 def all_spans(text: str, places: _Places | None, kinds: dict[int, int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
