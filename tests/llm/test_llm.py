@@ -472,11 +472,14 @@ TEXTS = ["Hello world", "  a  b\n", "ab▁c", "\tx\n\ny ", "日本語 é😀", "
 @pytest.mark.parametrize("n", [1, 2, 4, 7])
 def test_nbest_against_all_paths(vocabulary, n):
     lattice = pieces.Lattice(vocabulary)
+    pieces.Block(lattice, TEXTS[:4])  # some segments are known, others new
     block = pieces.Block(lattice, TEXTS)
+    flat, start = block.ids()
     for i, (t, found) in enumerate(zip(TEXTS, block.nbest(n), strict=True)):
         want = brute_segmentations(vocabulary, lattice.byte_score, t, n)
         assert np.allclose([s for s, _ in found], want, rtol=1e-9)
-        ids = [pieces._changed(block, i, c) for _, c in found]
+        mine = memoryview(flat[start[i] : start[i + 1]].astype("<i4").tobytes())
+        ids = [np.frombuffer(b"".join(block.path(i, mine, c)), "<i4") for _, c in found]
         assert all(lattice.decode(x) == t.encode() for x in ids)
         assert len({x.tobytes() for x in ids}) == len(ids)
 
