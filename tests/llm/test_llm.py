@@ -498,27 +498,32 @@ def test_encode_and_decode(spark):
 
 
 def brute_neighbours(vectors, k):
-    usable = {i: np.array(v, np.float64) for i, v in vectors if v is not None and len(v) == 16 and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    usable = {i: np.array(v, np.float64) for i, v in vectors if v is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     out = {}
     for i, v in usable.items():
         if i % 50 == 0:
-            score = sorted((-float((v * w).sum() / (np.sqrt((v * v).sum()) * np.sqrt((w * w).sum()))), j) for j, w in usable.items() if j != i)
-            out[i] = score[:k]
+            score = sorted((-float((v * w).sum() / (np.sqrt((v * v).sum()) * np.sqrt((w * w).sum()))), j) for j, w in usable.items() if j != i and len(v) == len(w))
+            if score:
+                out[i] = score[:k]
     return out
 
 
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, rng.standard_normal(16).astype(np.float32).tolist()) for i in range(600)]
-    vectors += [(600 + i, vectors[7][1]) for i in range(100)] + [(800, None), (850, [0.0] * 16), (900, [float("nan")] * 16), (950, [1.0] * 3), (1000, [None] * 16)]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    vectors += [(600 + i, vectors[7][1]) for i in range(100)] + [(800, None), (850, [0.0] * 16), (900, [float("nan")] * 16), (1000, [None] * 16)]
+    # scaled copies tie with the query itself; rows of another length are compared with each other alone
+    vectors += [(1040 + i, [x * 2.0 ** (i % 9) for x in vectors[50][1]]) for i in range(40)]
+    vectors += [(1100 + i, rng.standard_normal(3).astype(np.float32).tolist()) for i in range(60)]
+    df = spark.createDataFrame([(i, v, 0.5, i, 1) for i, v in vectors + vectors[:3]], "vec_id long, embedding array<float>, score double, key long, rank int")
     got = {}
-    for r in forest.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+    for r in forest.nearest(df, F.col("vec_id") % 50 == 0, search_share=16.0).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
     want = brute_neighbours(vectors, 5)
     assert set(got) == set(want)
     for q, rows in want.items():
         assert np.allclose([s for s, _ in got[q]], [s for s, _ in rows], atol=1e-12) and [j for _, j in got[q]] == [j for _, j in rows]
+    assert [j for _, j in got[50]] == [1040, 1041, 1042, 1043, 1044]
     few = forest.nearest(df.filter("vec_id < 3"), F.col("vec_id") % 50 == 0)
     assert few.count() == 2 and forest.nearest(df.limit(0), F.lit(True)).count() == 0
 
@@ -530,7 +535,7 @@ def test_forest_recall(spark):
     x = np.array([rows[i] for i in ids])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     got = {}
-    for r in forest.nearest(docs, F.col("vec_id") % 50 == 0, search_share=0.6).collect():
+    for r in forest.nearest(docs, F.col("vec_id") % 50 == 0, k=5).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     hit = 0
     for q in got:

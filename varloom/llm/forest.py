@@ -6,13 +6,15 @@ row is indexed.
 
 A query descends all trees through one shared priority queue, nearest boundary first, until its leaves hold enough
 candidates; these are reranked by the exact cosine.  Rows with equal vectors are one candidate with its smallest ids, so
-copies neither crowd a leaf nor are lost.
+copies neither crowd a leaf nor are lost.  Every cut to the best goes by the exact cosine and then the smaller id, so ties
+are kept as they must be.
 """
 
 from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,10 @@ from varloom.llm.common import by_group, column, lists
 
 #: Trees, rows of a leaf aimed at, most levels, rows of the sample.
 TREES, LEAF_ROWS, MAX_DEPTH, SAMPLE_ROWS = 16, 64, 8, 20_000
-#: A query's leaves hold this share of all rows, and so many rows at least (a row counts once per tree that finds it).
-SEARCH_SHARE, SEARCH_LEAST = 0.6, 8_000
-#: Rows and queries of a leaf that one task compares.
-PART_ROWS, PART_QUERIES = 4_096, 1_024
-#: Candidates per query beyond k that are measured again at the end.
-SPARE = 6
+#: A query's leaves hold as many rows as this share of all (a row counts once per tree that finds it).
+SEARCH_SHARE = 1.0
+#: Rows and queries of a leaf that one task compares; pairs measured exactly at once; a margin above rounding.
+PART_ROWS, PART_QUERIES, EXACT_PAIRS, MARGIN = 4_096, 1_024, 1 << 16, 1e-9
 
 
 @dataclass
@@ -111,22 +111,36 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, search_share: floa
     """(query_id, rank, vec_id, score): each query row's ``k`` nearest other rows found, by cosine.
 
     ``vectors`` has vec_id and embedding; ``is_query`` is a condition on vec_id.  Ties go to the smaller vec_id.  Vectors that
-    are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id or of
-    another length than most.  Rows that share a vec_id and a vector are one row.
+    are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id.  The cosine is
+    that of vectors of one length, so rows of each length are searched apart.  Rows that share a vec_id are one row; of
+    different vectors it has the least, component by component.
     """
     spark = vectors.sparkSession
     folder = shared_folder(spark)
-    element = vectors.schema["embedding"].dataType.elementType.simpleString()
     rows = usable(vectors, "embedding").filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if common is None:
+    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumns({"key": F.xxhash64("v"), "key2": F.hash("v")})
+    rows = materialize(rows, folder, "rows")
+    lengths = [r["d"] for r in rows.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]
+    if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = materialize(rows.filter(F.size("v") == common["d"]).withColumn("key", F.xxhash64("v")), folder, "rows")
-    distinct = materialize(rows.groupBy("key", "v").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("vec_id")), folder, "distinct")
+    found = [_nearest(rows.filter(F.size("v") == d), d, is_query, k, search_share, f"{folder}/{d}") for d in lengths]
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest(rows: DataFrame, length: int, is_query: Column, k: int, search_share: float, folder: str) -> DataFrame:
+    """(query_id, vec_id, score): all rows of one length that may be among the ``k`` nearest.
+
+    A class of equal vectors goes by its smallest id.  A query's own class may hold nothing but itself, so k + 1 classes
+    and k + 1 ids of each are enough.
+    """
+    spark = rows.sparkSession
+    element = rows.schema["v"].dataType.elementType.simpleString()
+    distinct = materialize(rows.groupBy("key", "key2", "v").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("vec_id")), folder, "distinct")
     total = distinct.count()
     part = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 24)) < int((1 << 24) * min(1.0, SAMPLE_ROWS / total))
-    picked = distinct.filter(part).select("key", "v").orderBy("key").limit(2 * SAMPLE_ROWS).collect()
-    sample = _unit(np.array([r["v"] for r in picked], dtype=np.float64).reshape(-1, common["d"]))
+    picked = distinct.filter(part).select("vec_id", "v").orderBy("vec_id").limit(2 * SAMPLE_ROWS).collect()
+    sample = _unit(np.array([r["v"] for r in picked], dtype=np.float64).reshape(-1, length))
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(total / LEAF_ROWS, 1))))))
     trees = [grow(sample, depth, seed) for seed in range(TREES)]
     forest = spark.sparkContext.broadcast(trees)
@@ -136,14 +150,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, search_share: floa
             x = _unit(_matrix(column(batch, "v")))
             for t, tree in enumerate(forest.value):
                 place = pa.array(tree.leaves(x).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([column(batch, "key"), column(batch, "v"), pa.array(np.full(len(x), t, np.int32)), place], names=["key", "v", "tree", "leaf"])
+                yield pa.RecordBatch.from_arrays([column(batch, "vec_id"), column(batch, "v"), pa.array(np.full(len(x), t, np.int32)), place], names=["vec_id", "v", "tree", "leaf"])
 
-    placed = distinct.select("key", "v").mapInArrow(index, f"key long, v array<{element}>, tree int, leaf int")
+    placed = distinct.select("vec_id", "v").mapInArrow(index, f"vec_id long, v array<{element}>, tree int, leaf int")
     sizes = [np.zeros(1 << depth, np.int64) for _ in trees]
     for r in placed.groupBy("tree", "leaf").count().collect():
         sizes[r["tree"]][r["leaf"]] = r["count"]
     known = spark.sparkContext.broadcast(sizes)
-    wanted = int(max(search_share * total, SEARCH_LEAST))
+    wanted = int(np.ceil(search_share * total))
 
     def descend(batches):
         for batch in batches:
@@ -151,65 +165,65 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, search_share: floa
             for i in range(len(x)):
                 t, leaf = (np.array(c, np.int32) for c in zip(*search(forest.value, known.value, x[i], wanted), strict=True))
                 same = pa.array(np.full(len(t), i))
-                yield pa.RecordBatch.from_arrays([own.take(same), v.take(same), pa.array(t), pa.array(leaf)], names=["key", "v", "tree", "leaf"])
+                yield pa.RecordBatch.from_arrays([own.take(same), v.take(same), pa.array(t), pa.array(leaf)], names=["vec_id", "v", "tree", "leaf"])
 
-    queries = materialize(rows.filter(is_query).select("vec_id", "v").dropDuplicates(["vec_id"]), folder, "queries")
-    visits = queries.repartition("vec_id").mapInArrow(descend, f"key long, v array<{element}>, tree int, leaf int")
+    queries = materialize(rows.filter(is_query).select("vec_id", "v"), folder, "queries")
+    # the rows are few and small, but the descents are work: they are dealt to as many tasks as any shuffle's
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    visits = queries.repartition(tasks, "vec_id").mapInArrow(descend, f"vec_id long, v array<{element}>, tree int, leaf int")
     asked = visits.groupBy("tree", "leaf").count().collect()
+    if not asked:
+        return spark.createDataFrame([], "query_id long, vec_id long, score double")
     # at most trees times leaves rows: how many parts each leaf's rows and queries make
     plan = [(r["tree"], r["leaf"], -(-int(sizes[r["tree"]][r["leaf"]]) // PART_ROWS), -(-r["count"] // PART_QUERIES)) for r in asked]
     plan = F.broadcast(spark.createDataFrame(plan, "tree int, leaf int, parts int, asks int"))
-    here, ask = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("key"), F.col("asks")).cast("int")
+    here, ask = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("vec_id"), F.col("asks")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["tree", "leaf", "part", "ask", "kind", "key", "v"]
+    cols = ["tree", "leaf", "part", "ask", "kind", "vec_id", "v"]
     kept = placed.join(plan, ["tree", "leaf"]).withColumn("part", here).withColumn("ask", every("asks")).withColumn("kind", F.lit(0)).select(*cols)
     sent = visits.join(plan, ["tree", "leaf"]).withColumn("ask", ask).withColumn("part", every("parts")).withColumn("kind", F.lit(1)).select(*cols)
-    found = by_group(kept.unionByName(sent), ["tree", "leaf", "part", "ask"], _compare(k + SPARE), "query_id long, key long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
-    top = found.groupBy("query_id", "key").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + SPARE)
-    top = materialize(top.select("query_id", "key"), folder, "top")
-    pairs = top.join(distinct.select("key", F.col("v").alias("b"), "n", "vec_id"), "key").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("a")), "query_id")
-    exact = pairs.mapInArrow(_cosines, "query_id long, key long, n long, vec_id long, score double")
-    # of copies, k + 1 ids are enough: a query is not its own neighbour
-    copied = rows.join(distinct.filter("n > 1").select("key", "v"), ["key", "v"], "left_semi").select("key", "vec_id").distinct()
-    salted = Window.partitionBy("key", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
-    copied = copied.withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= k + 1)
-    copied = copied.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
-    several = exact.filter("n > 1").select("query_id", "key", "score").join(copied.select("key", "vec_id"), "key")
-    every_one = exact.filter("n = 1").select("query_id", "vec_id", "score").unionByName(several.select("query_id", "vec_id", "score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        every_one.filter("vec_id <> query_id").distinct()
-        .withColumn("rank", F.row_number().over(order).cast("int"))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    found = by_group(kept.unionByName(sent), ["tree", "leaf", "part", "ask"], _compare(k + 1), "query_id long, vec_id long, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    top = found.distinct().withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")
+    top = materialize(top.join(distinct.select("vec_id", "n", "key", "key2"), "vec_id"), folder, "top")
+    first = Window.partitionBy("key", "key2").orderBy("vec_id")
+    copied = rows.select("key", "key2", "vec_id").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1).drop("r")
+    several = top.filter("n > 1").select("query_id", "key", "key2", "score").join(copied, ["key", "key2"])
+    cols = ["query_id", "vec_id", "score"]
+    return top.filter("n = 1").select(*cols).unionByName(several.select(*cols)).filter("vec_id <> query_id")
+
+
+def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
 def _compare(keep: int):
-    """The best rows of a part of a leaf for each query of a part."""
+    """The best rows of a part of a leaf for each query of a part: by the exact cosine, then by the smaller id.
+
+    The product of unit vectors tells all but those within rounding of the last place apart.
+    """
 
     def run(table: pa.Table) -> pa.RecordBatch | None:
         batch = table.combine_chunks().to_batches()[0]
-        kind, key = np.asarray(column(batch, "kind")), np.asarray(column(batch, "key"))
+        kind, ids = np.asarray(column(batch, "kind")), np.asarray(column(batch, "vec_id"))
         x = _matrix(column(batch, "v"))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
         rows, asks = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
         if not len(rows) or not len(asks):
             return None
-        score = x[asks] @ x[rows].T
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = unit[asks] @ unit[rows].T
         n = min(keep, len(rows))
-        best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(key[asks], n)), pa.array(key[rows][best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())], names=["query_id", "key", "score"]
-        )
+        least = np.partition(near, len(rows) - n, axis=1)[:, len(rows) - n] - MARGIN
+        close = near >= least[:, None]
+        out, step = [], max(1, EXACT_PAIRS // len(rows))
+        for lo in range(0, len(asks), step):
+            q, r = np.nonzero(close[lo : lo + step])
+            q, r = asks[q + lo], rows[r]
+            score = _cosine(x[q], x[r])
+            order = np.lexsort((ids[r], -score, q))
+            q, r, score = q[order], r[order], score[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            out.append((ids[q[place < keep]], ids[r[place < keep]], score[place < keep]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
     return run
-
-
-def _cosines(batches):
-    """The exact cosine of each pair (a, b)."""
-    for batch in batches:
-        a, b = _matrix(column(batch, "a")), _matrix(column(batch, "b"))
-        score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-        yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("query_id", "key", "n", "vec_id")), pa.array(score)], names=["query_id", "key", "n", "vec_id", "score"])
