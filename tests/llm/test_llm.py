@@ -543,3 +543,46 @@ def test_forest_recall(spark):
         s[np.searchsorted(ids, q)] = -9
         hit += len(got[q] & set(ids[np.argsort(-s)[:5]].tolist()))
     assert hit / (5 * len(got)) >= 0.9
+
+
+def test_bootstrapping_finds_planted_identifiers(spark):
+    """Precision and recall of unseen identifiers, with and without digits; found entities induce further patterns."""
+    rng = random.Random(11)
+    name = lambda: "".join(rng.choices("abcdefghij", k=7))
+    texts, want = [], {}
+
+    def add(left, value, right, hidden):
+        before, after = " ".join(words(rng, 20)), " ".join(words(rng, 20))
+        if hidden:
+            start = len(f"{before} {left} ")
+            want[len(texts)] = (start, start + len(value))
+        texts.append(f"{before} {left} {value} {right} {after}".replace("  ", " "))
+
+    hidden = [f"{name()}[at]{name()}[dot]org" for _ in range(30)]
+    for i in range(40):
+        add("mail me:", f"{name()}{i}@{name()}.org", "soon please", False)
+        add("call office", f"+1 (555) 010-{1000 + i}", "after noon", False)
+    for v in hidden:
+        add("mail me:", v, "soon please", True)  # without a digit
+    for i in range(20):
+        add("call office", f"555.010.{2000 + i}", "after noon", True)
+    for v in hidden + [f"{name()}[at]{name()}[dot]net" for _ in range(5)]:
+        add("kontakt über", v, "bitte schreiben", True)  # a context that no fixed pattern knows
+    for i in range(100):
+        add("chapter", f"{i}.{i}a", "tells of", False)  # odd words in contexts of their own
+        add("mail", "me: never", "soon", False) if i < 4 else None
+    order = list(range(len(texts)))
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["more_spans"]] for r in pii.find(frame(spark, texts)).collect()}
+    found = {(d, s) for d in order for s in got[d]}
+    right = {(d, s) for d, s in want.items()}
+    assert len(found & right) / len(right) >= 0.95 and len(found & right) / len(found) >= 0.99
+
+
+def test_personal_data_odd_rows(spark):
+    """Null ids, repeated rows and odd column names stay; slices of patterns find what one pass finds."""
+    texts = [f"please reach me user{i}@mail{i}.example.org today ok" for i in range(12)] + ["please reach me user77[at]mail.org today ok", None, ""]
+    df = frame(spark, texts).withColumn("a`b", F.lit(1)).withColumn("masked", F.lit("x"))
+    df = df.unionByName(df).unionByName(df.withColumn("doc_id", F.lit(None).cast("long")))
+    rows = pii.find(df).collect()
+    assert len(rows) == 3 * len(texts) and all(r["a`b"] == 1 for r in rows)
+    assert sum(len(r["more_spans"]) for r in rows) == 3 and sum(r["masked"] is None for r in rows) == 3

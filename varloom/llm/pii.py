@@ -1,9 +1,11 @@
 """Personal data: fixed patterns, and contextual extraction bootstrapped from what they find.
 
-The fixed patterns' matches are the seed entities.  A lexical pattern is the pair of words before a match.  Patterns and the
-tokens that follow them form a graph with counts on its edges; in each round a pattern's score is the share of its
-occurrences that stand before entities, and an unseen token's is that of its best patterns together.  Patterns that end
-above CONFIDENCE find further identifiers: tokens with a digit, at places where no fixed pattern matched.
+The fixed patterns' matches are the seed entities.  Their contexts and those of all words that look like identifiers (with a
+digit or a sign inside) make the pattern-instance graph: a lexical pattern is the two words before, the words on both
+sides, or the two words after.  In each round a pattern that stands at SUPPORT known entities scores the share of its
+occurrences that are believed to be entities; an unseen instance is believed as its best pattern scores, and from
+CONFIDENCE on it is an entity that induces patterns in the next round.  Patterns that end above CONFIDENCE find further
+identifiers, at places where no fixed pattern matched.
 """
 
 from __future__ import annotations
@@ -15,15 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from varloom.cluster import materialize, shared_folder
 from varloom.llm.common import column, lookup
-from varloom.llm.textsets import mix64, word_bounds, word_hashes
+from varloom.llm.textsets import blocks, mix64, word_bounds, word_hashes
 
 #: Distinct entities that a pattern needs, its least score, and rounds.
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
-#: Bits of a pattern by which words are looked up before the join with all patterns.
-SIEVE_BITS = 20
+#: Bits of a pattern by which words are looked up before the join with all patterns; patterns applied in one pass.
+SIEVE_BITS, SLICE = 20, 1 << 20
 
 # The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -62,83 +65,115 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def pattern_ids(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, pattern) of every word with two words before it, in bytes; a pattern is a hash of these two."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    start, end, _ = word_bounds(data, np.array([0, len(data)]))
-    if len(start) < 3:
-        return start[:0], end[:0], np.zeros(0, np.int64)
-    h = word_hashes(data, start, end)
-    pair = mix64(h[:-2] * np.uint64(0xD1342543DE82EF95) + mix64(h[1:-1]))
-    return start[2:], end[2:], pair.view(np.int64)
-
-
-def _points(text: str, at: np.ndarray) -> np.ndarray:
-    """Byte offsets as code points."""
-    if text.isascii():
-        return at
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    return heads[at]
+_BYTES = np.arange(256)
+_DIGIT = (_BYTES >= 48) & (_BYTES <= 57)
+#: Bytes of which plain words are made.
+_PLAIN = _DIGIT | ((_BYTES | 32) >= 97) & ((_BYTES | 32) <= 122) | (_BYTES >= 128) | (_BYTES == 39) | (_BYTES == 45)
+_EDGE = np.isin(_BYTES, list(EDGE.encode()))
+
+
+class _Words:
+    """A block's words: bounds in bytes, rows, hashes, and which of them look like identifiers."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.offsets = data, offsets
+        self.start, self.end, self.row = word_bounds(data, offsets)
+        self.hash = word_hashes(data, self.start, self.end)
+        plain = _PLAIN[data]
+        opens = plain.copy()
+        opens[1:] &= ~plain[:-1]
+        count = lambda mask: np.concatenate(([0], np.cumsum(mask)))
+        runs, digits = count(opens), count(_DIGIT[data])
+        first = plain[self.start] & ~opens[self.start] if len(self.start) else np.zeros(0, bool)
+        self.odd = (runs[self.end] - runs[self.start] + first > 1) | (digits[self.end] > digits[self.start])
+
+    def patterns(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(patterns, whether they exist) around the words from ``first`` to ``last``, a row for each kind of pattern."""
+        n = len(self.hash)
+        out, there = np.zeros((3, len(first)), np.uint64), np.zeros((3, len(first)), bool)
+        for kind, (a, b) in enumerate(((first - 2, first - 1), (first - 1, last + 1), (last + 1, last + 2))):
+            ok = (a >= 0) & (b < n)
+            ok[ok] &= (self.row[a[ok]] == self.row[first[ok]]) & (self.row[b[ok]] == self.row[first[ok]])
+            there[kind] = ok
+            out[kind, ok] = mix64(self.hash[a[ok]] * np.uint64(0xD1342543DE82EF95) + mix64(self.hash[b[ok]] + np.uint64(kind)))
+        return out.view(np.int64), there
+
+    def instances(self, texts: list[str], first_row: int, spans: list[list[tuple[int, int, int]]]):
+        """(seeds, candidates): (row, kind, first word, last word, start, end) of the spans and of other odd words; starts and
+        ends are code points."""
+        seeds, covered = [], np.zeros(len(self.start), bool)
+        for r, found in enumerate(spans):
+            if not found:
+                continue
+            text = texts[first_row + r]
+            base = int(self.offsets[r])
+            for kind, a, b in found:
+                x, y = (a, b) if text.isascii() else (len(text[:a].encode()), len(text[:b].encode()))
+                i, j = (int(np.searchsorted(self.start, base + at, side="right")) - 1 for at in (x, y - 1))
+                covered[i : j + 1] = True
+                if _EDGE[self.data[self.start[i] : base + x]].all() and _EDGE[self.data[base + y : self.end[j]]].all():
+                    seeds.append((r, kind, i, j, a, b))
+        candidates = []
+        for i in np.flatnonzero(self.odd & ~covered).tolist():
+            raw = self.data[self.start[i] : self.end[i]].tobytes()
+            lead = len(raw) - len(raw.lstrip(EDGE.encode()))
+            value = raw.strip(EDGE.encode()).decode("utf-8", "replace")
+            kinds = fits(value)
+            if kinds:
+                r = int(self.row[i])
+                text, at = texts[first_row + r], int(self.start[i] - self.offsets[r]) + lead
+                at = at if text.isascii() else len(text.encode()[:at].decode("utf-8", "replace"))
+                candidates += [(r, kind, i, i, at, at + len(value)) for kind in kinds]
+        return seeds, candidates
+
+
+def fits(value: str) -> list[int]:
+    """Numbers of the kinds whose shape an unseen identifier may have."""
+    digits, letters = sum(ch.isdigit() for ch in value), sum(ch.isalpha() for ch in value)
+    runs = len(re.findall(r"[^\W_]+", value))
+    shapes = (letters >= 2 and (runs > 1 or digits > 0), digits >= 4 and digits > letters and runs >= 4, digits >= 12 and digits > letters, 7 <= digits <= 15 and digits > letters)
+    return [kind for kind, ok in enumerate(shapes) if ok]
 
 
 def _identity(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _seed_edges(docs: DataFrame) -> DataFrame:
-    """(kind, pattern, entity, n): how often an entity of a kind comes first after a pattern."""
+def _parts(texts: pa.Array):
+    """(texts, first row, the words, the fixed patterns' spans) of a batch, block by block."""
+    plain = [t or "" for t in texts.to_pylist()]
+    for first, end, data, offsets in blocks(texts):
+        words = _Words(data, offsets)
+        yield plain, first, words, [base_spans(t) for t in plain[first:end]]
+
+
+def _graph(docs: DataFrame) -> DataFrame:
+    """(pattern, kind, entity, seed, n): how often an instance of a kind stands in a pattern."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for raw in column(batch, "text"):
-                text = raw.as_py() or ""
-                spans = base_spans(text)
-                if not spans:
+            for texts, first_row, words, spans in _parts(column(batch, "text")):
+                seeds, candidates = words.instances(texts, first_row, spans)
+                both = seeds + candidates
+                if not both:
                     continue
-                start, _, pattern = pattern_ids(text)
-                start = _points(text, start)
-                for kind, a, b in spans:
-                    at = np.searchsorted(start, a)
-                    if at < len(start) and start[at] == a:
-                        rows.append((kind, int(pattern[at]), _identity(text[a:b])))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["kind", "pattern", "entity"])
-
-    return docs.select("text").mapInArrow(run, "kind int, pattern long, entity long").groupBy("kind", "pattern", "entity").agg(F.count(F.lit(1)).alias("n"))
-
-
-class _Places:
-    """Finds the words that follow one of some patterns."""
-
-    def __init__(self, patterns: np.ndarray):
-        self.patterns = np.sort(patterns)
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[self.patterns & ((1 << 20) - 1)] = True
-
-    def find(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        start, end, pattern = pattern_ids(text)
-        near = np.flatnonzero(self.sieve[pattern & ((1 << 20) - 1)])
-        if len(near):
-            at = np.minimum(np.searchsorted(self.patterns, pattern[near]), len(self.patterns) - 1)
-            near = near[self.patterns[at] == pattern[near]]
-        return _points(text, start[near]), _points(text, end[near]), pattern[near]
+                row, kind, first, last, a, b = (np.array(c, np.int64) for c in zip(*both, strict=True))
+                pattern, there = words.patterns(first, last)
+                entity = np.array([_identity(texts[first_row + r][x:y]) for r, x, y in zip(row.tolist(), a.tolist(), b.tolist(), strict=True)], np.int64)
+                seed = np.arange(len(both)) < len(seeds)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c)) for c in zip(*((pattern[k][ok], kind[ok].astype(np.int32), entity[ok], seed[ok]) for k, ok in enumerate(there)), strict=True)],
+                    names=["pattern", "kind", "entity", "seed"],
+                )
 
+    found = docs.select("text").mapInArrow(run, "pattern long, kind int, entity long, seed boolean")
+    return found.groupBy("pattern", "kind", "entity").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
 
-def _token(text: str, a: int, b: int) -> tuple[int, int]:
-    """A word without punctuation at its edges."""
-    while a < b and text[a] in EDGE:
-        a += 1
-    while b > a and text[b - 1] in EDGE:
-        b -= 1
-    return a, b
 
+def _totals(docs: DataFrame, patterns: DataFrame, folder: str) -> DataFrame:
+    """(pattern, total) of ``patterns``: at how many words of all texts each stands.
 
-def _edges(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, entity, candidate, n) of every word after the patterns; candidates look like identifiers.
-
-    Words pass by some bits of their pattern, a bounded table, and are then joined with the patterns themselves.
+    Words pass by some bits of their patterns, a bounded table, and are counted and then joined with the patterns themselves.
     """
     low = F.col("pattern").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
     bits = patterns.select(low.alias("low")).distinct().toPandas()["low"].to_numpy(np.int64)
@@ -148,64 +183,54 @@ def _edges(docs: DataFrame, patterns: DataFrame) -> DataFrame:
         sieve = np.zeros(1 << SIEVE_BITS, bool)
         sieve[send.value] = True
         for batch in batches:
-            rows = []
-            for raw in column(batch, "text"):
-                text = raw.as_py() or ""
-                start, end, pattern = pattern_ids(text)
-                near = np.flatnonzero(sieve[pattern & ((1 << SIEVE_BITS) - 1)])
-                if not len(near):
-                    continue
-                spans = {a: b for _, a, b in base_spans(text)}
-                for a, b, p in zip(_points(text, start[near]).tolist(), _points(text, end[near]).tolist(), pattern[near].tolist(), strict=True):
-                    seed = a in spans
-                    a, b = (a, spans[a]) if seed else _token(text, a, b)
-                    value = text[a:b]
-                    rows.append((p, _identity(value), not seed and any(ch.isdigit() for ch in value)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["pattern", "entity", "candidate"])
+            for _, _, data, offsets in blocks(column(batch, "text")):
+                words = _Words(data, offsets)
+                every = np.arange(len(words.start))
+                pattern, there = words.patterns(every, every)
+                found, n = np.unique(pattern[there & sieve[pattern & ((1 << SIEVE_BITS) - 1)]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["pattern", "n"])
 
-    found = docs.select("text").mapInArrow(run, "pattern long, entity long, candidate boolean").groupBy("pattern", "entity", "candidate").agg(F.count(F.lit(1)).alias("n"))
-    return lookup(found, patterns.select("pattern", "kind"), ["pattern"]).filter("kind is not null").drop("kind")
+    found = docs.select("text").mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
+    return found.join(patterns, "pattern", "left_semi")
 
 
-def learn(docs: DataFrame) -> dict[int, int]:
-    """The confident patterns of ``docs`` (text), each with the number of the kind that it finds."""
+def learn(docs: DataFrame) -> DataFrame:
+    """(pattern, kind, score): the confident patterns of ``docs`` (text), each with the number of the kind that it finds."""
     folder = shared_folder(docs.sparkSession)
-    seeds = materialize(_seed_edges(docs), folder, "seeds")
-    induced = seeds.groupBy("pattern", "kind").agg(F.count_distinct("entity").alias("support"), F.sum("n").alias("hits")).filter(F.col("support") >= SUPPORT)
-    best = F.max_by("kind", F.struct("hits", -F.col("kind")))
-    induced = materialize(induced.groupBy("pattern").agg(best.alias("kind")), folder, "induced")
-    if not induced.limit(1).count():
-        return {}
-    edges = materialize(_edges(docs, induced), folder, "edges")
-    known = seeds.select("entity").distinct().withColumn("seed", F.lit(1.0))
-    graph = materialize(edges.join(known, "entity", "left").select("pattern", "entity", "candidate", "n", F.coalesce("seed", F.lit(0.0)).alias("seed")), folder, "graph")
-    scored = graph.groupBy("pattern").agg((F.sum(F.col("n") * F.col("seed")) / F.sum("n")).alias("score"))
-    for r in range(ROUNDS):
-        scored = materialize(scored, folder, f"scores-{r}")
-        # an unseen entity is as sure as its patterns make it together; patterns that know seeds alone lend it half
-        unseen = graph.filter("candidate and seed = 0").join(scored, "pattern").groupBy("entity").agg((1 - F.exp(F.sum(F.log(1 - 0.999 * F.col("score"))))).alias("belief"))
-        scored = (
-            graph.join(unseen, "entity", "left")
-            .groupBy("pattern")
-            .agg((F.sum(F.col("n") * F.greatest("seed", F.when(F.col("candidate"), F.coalesce("belief", F.lit(0.0))).otherwise(0.0))) / F.sum("n")).alias("score"))
+    graph = materialize(_graph(docs), folder, "graph")
+    able = materialize(graph.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= SUPPORT).select("pattern", "kind"), folder, "able")
+    totals = materialize(_totals(docs, able.select("pattern").distinct(), folder), folder, "totals")
+    edges = materialize(lookup(graph, able.join(totals, "pattern"), ["pattern", "kind"]).filter("total is not null"), folder, "edges")
+    scored = None
+    for r in range(ROUNDS + 1):
+        if scored is None:
+            known = edges.withColumn("belief", F.lit(0.0))
+        else:
+            best = lookup(edges.filter("not seed"), scored, ["pattern", "kind"]).groupBy("entity", "kind").agg(F.max("score").alias("belief"))
+            known = lookup(edges, best, ["entity", "kind"])
+        known = known.withColumn("belief", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))))
+        scored = known.groupBy("pattern", "kind").agg(
+            F.count_if(F.col("belief") >= CONFIDENCE).alias("support"), F.sum(F.col("n") * F.col("belief")).alias("hits"), F.sum("n").alias("n"), F.first("total").alias("total")
         )
-    sure = scored.filter(F.col("score") >= CONFIDENCE).select("pattern").join(induced, "pattern").toPandas()
-    return dict(zip(sure["pattern"].tolist(), sure["kind"].tolist(), strict=True))
-
-
-def all_spans(text: str, places: _Places | None, kinds: dict[int, int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(fixed patterns' spans, further spans), each by start, then kind."""
-    base = base_spans(text)
-    more = []
-    if places is not None:
-        start, end, pattern = places.find(text)
-        for a, b, p in zip(start.tolist(), end.tolist(), pattern.tolist(), strict=True):
-            a, b = _token(text, a, b)
-            if a < b and any(ch.isdigit() for ch in text[a:b]) and not any(x < b and a < y for _, x, y in base):
-                more.append((kinds[p], a, b))
-    by_start = lambda s: (s[1], s[0])
-    return sorted(base, key=by_start), sorted(set(more), key=by_start)
+        score = F.when(F.col("support") >= SUPPORT, F.col("hits") / F.greatest("n", "total")).otherwise(0.0)
+        scored = materialize(scored.select("pattern", "kind", score.alias("score")), folder, f"scores-{r}")
+    best = F.max_by("kind", F.struct("score", -F.col("kind")))
+    return materialize(scored.filter(F.col("score") >= CONFIDENCE).groupBy("pattern").agg(best.alias("kind"), F.max("score").alias("score")), folder, "confident")
+
+
+def all_spans(texts: list[str], first_row: int, words: _Words, base: list[list[tuple[int, int, int]]], sure: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int, int, int, float]]:
+    """(row, kind, start, end, score) of the candidates in one of the patterns ``sure`` (sorted; kinds; scores)."""
+    if not len(sure[0]):
+        return []
+    _, candidates = words.instances(texts, first_row, base)
+    if not candidates:
+        return []
+    row, kind, first, last, a, b = (np.array(c, np.int64) for c in zip(*candidates, strict=True))
+    pattern, there = words.patterns(first, last)
+    at = np.minimum(np.searchsorted(sure[0], pattern), len(sure[0]) - 1)
+    hit = there & (sure[0][at] == pattern) & (sure[1][at] == kind)
+    score = np.where(hit, sure[2][at], 0.0).max(axis=0)
+    return [(int(row[i]), int(kind[i]), int(a[i]), int(b[i]), float(score[i])) for i in np.flatnonzero(score > 0)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -227,29 +252,60 @@ def find(docs: DataFrame) -> DataFrame:
     """``docs`` (with text) plus base_spans, more_spans (each array of kind, start, end) and masked.
 
     A null text has no spans and a null masked text.  Offsets are code points, ends exclusive.  Patterns are learned
-    from all rows; every text is searched whole.
+    from all rows, repeated ones included; every text is searched whole.  Of the kinds that contexts give an identifier,
+    the one with the best pattern counts, and of equals the first.
     """
-    send = docs.sparkSession.sparkContext.broadcast(learn(docs))
+    spark = docs.sparkSession
+    sure = learn(docs)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    rest = docs.drop("base_spans", "more_spans", "masked")
-
-    def run(batches):
-        kinds = send.value
-        places = _Places(np.array(list(kinds), np.int64)) if kinds else None
-        for batch in batches:
-            base, more, masked = [], [], []
-            for raw in column(batch, "_t"):
-                text = raw.as_py()
-                b, m = all_spans(text or "", places, kinds)
-                for out, spans in ((base, b), (more, m)):
-                    out.append([{"kind": KINDS[k], "start": x, "end": y} for k, x, y in spans])
-                masked.append(None if text is None else mask(text, b + m))
-            keep = [n for n in batch.schema.names if n != "_t"]
-            yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in keep), pa.array(base, span), pa.array(more, span), pa.array(masked, pa.string())], names=[*keep, "base_spans", "more_spans", "masked"])
-
-    spans = "array<struct<kind:string,start:bigint,end:bigint>>"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + f", base_spans {spans}, more_spans {spans}, masked string"
-    return rest.withColumn("_t", F.col("text")).mapInArrow(run, schema)
+    scored = pa.list_(pa.struct([("row_kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+    kept = T.StructType([f for f in docs.schema if f.name not in ("base_spans", "more_spans", "masked")])
+    slices = max(1, -(-sure.count() // SLICE))
+    names = [f.name for f in kept]
+    # plain names inside, as mapInArrow takes no quoted ones
+    rows = docs.select(*(F.col(_quoted(n)).alias(f"c{i}") for i, n in enumerate(names)), F.col("text").alias("_t"), F.expr("cast(array() as array<struct<row_kind:int,start:bigint,end:bigint,score:double>>)").alias("_more"))
+
+    def searching(send, last: bool):
+        def run(batches):
+            for batch in batches:
+                texts, more = column(batch, "_t"), column(batch, "_more").to_pylist()
+                base: list = []
+                for plain, first, words, spans in _parts(texts):
+                    base += spans
+                    for r, kind, a, b, score in all_spans(plain, first, words, spans, send.value):
+                        more[first + r].append({"row_kind": kind, "start": a, "end": b, "score": score})
+                keep = [batch.column(i) for i in range(batch.num_columns - 2)]
+                if not last:
+                    yield pa.RecordBatch.from_arrays([*keep, texts, pa.array(more, scored)], names=batch.schema.names)
+                    continue
+                found, masked = [], []
+                for raw, b, m in zip(texts, base, more, strict=True):
+                    best: dict[tuple[int, int], tuple[float, int]] = {}
+                    for x in m:
+                        place = (x["start"], x["end"])
+                        best[place] = max(best.get(place, (-1.0, 0)), (x["score"], -x["row_kind"]))
+                    m = [(-k, *place) for place, (_, k) in best.items()]
+                    by_start = lambda s: (s[1], s[0])
+                    found.append((sorted(b, key=by_start), sorted(m, key=by_start)))
+                    text = raw.as_py()
+                    masked.append(None if text is None else mask(text, b + m))
+                out = [pa.array([[{"kind": KINDS[k], "start": x, "end": y} for k, x, y in f[i]] for f in found], span) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keep, *out, pa.array(masked, pa.string())], names=[*batch.schema.names[:-2], "base_spans", "more_spans", "masked"])
+
+        return run
+
+    spans = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    for k in range(slices):
+        part = sure.filter(F.pmod(F.xxhash64("pattern"), F.lit(slices)) == k).orderBy("pattern").toPandas()
+        send = spark.sparkContext.broadcast((part["pattern"].to_numpy(np.int64), part["kind"].to_numpy(np.int64), part["score"].to_numpy(np.float64)))
+        last = k == slices - 1
+        schema = T.StructType([*rows.schema[: len(names)], *(T.StructField(n, t) for n, t in (("base_spans", spans), ("more_spans", spans), ("masked", T.StringType())))]) if last else rows.schema
+        rows = rows.mapInArrow(searching(send, last), schema)
+    return rows.toDF(*names, "base_spans", "more_spans", "masked")
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def digests(found: DataFrame) -> DataFrame:
