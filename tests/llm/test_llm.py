@@ -253,6 +253,31 @@ def test_toxicity_held_out(spark):
     assert toxicity.predict(docs.limit(3), none).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_of_many_rare_words(spark):
+    """Four hundred toxic words, each in a few documents only, of which one stands in a toxic document."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnoprstuvw", k=n))
+    bad, plain = [letters(8) for _ in range(400)], [letters(7) for _ in range(3000)]
+    texts, toxic = [], []
+    for i in range(6000):
+        text = rng.choices(plain, k=40)
+        if i % 4 == 0:
+            text[rng.randrange(40)] = bad[i // 4 % 400]
+        texts.append(" ".join(text))
+        toxic.append(int(i % 4 == 0))
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, k) for i, k in enumerate(toxic)] * 2 + [(None, 1), (5, None)], "doc_id long, toxic int")
+    held = crc_rest(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs.unionByName(docs), labels, ~held)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.predict(docs.filter(held), model).collect()}
+    caught = [got[i] for i in got if toxic[i]]
+    alarms = [got[i] for i in got if not toxic[i]]
+    assert sum(caught) / len(caught) > 0.8 and sum(alarms) / len(alarms) < 0.05
+    assert toxicity.predict(docs.limit(0), model).count() == 0
+    empty = toxicity.train(docs.limit(0), labels, ~held)
+    assert 0 <= toxicity.predict(docs.limit(1), empty).first()["score"] <= 1
+
+
 # -- mixing -----------------------------------------------------------------------------------------------
 
 
