@@ -1,6 +1,7 @@
 """Operators that SQL can't express, against plain rules, and the helpers against their definitions."""
 
 import random
+from dataclasses import replace
 from fractions import Fraction
 from math import comb
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varloom import params
-from varloom.operators import calls, clusters, intervals, merge, splits, truth
+from varloom.operators import calls, clusters, intervals, merge, splits, truth, vcf
 from varloom.operators.signatures import sorted_signatures
 from varloom.params import ONT
 from varloom.sources import formats
@@ -26,20 +27,116 @@ def signatures(seed, n=60):
 SCHEMA = "contig string, sv_type long, tech int, begin_pos long, end_pos long, length long, template string, quality double, hp long"
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_islands_keep_exact_clusters(spark, seed):
-    """Rounds over whole types give what rounds inside the islands give."""
-    sig = sorted_signatures(spark.createDataFrame(signatures(seed), SCHEMA))
-    got = {(r["sv_type"], r["sig_id"]): r["cluster"] for r in clusters.exact_clusters(sig, ONT).collect()}
-    want = {}
+def plain_clusters(rows, p):
+    """The rule for one type, pair by pair over everything: lists of row numbers."""
+    t = rows[0]["sv_type"]
+
+    def brothers(x, y):
+        if x["template"] == y["template"]:
+            return False
+        both = x["hp"] and y["hp"]
+        ratio = (p.hp_same[t] if x["hp"] == y["hp"] else p.hp_diff[t]) if both else 1.0
+        starts, ends = abs(x["begin_pos"] - y["begin_pos"]), abs(x["end_pos"] - y["end_pos"])
+        if starts <= p.force[t] * ratio and ends <= p.force[t] * ratio:
+            return True
+        least = min(x["length"], y["length"])
+        if starts > least * p.pos_ratio[t] or ends > least * p.pos_ratio[t]:
+            return False
+        return abs(x["length"] - y["length"]) <= int(max(p.length_min[t], int(least * p.length_ratio[t])) * ratio)
+
+    found = [{"in": [i], "first": r["begin_pos"], "last": r["end_pos"]} for i, r in enumerate(rows)]
+    again = True
+    while again:
+        again = False
+        found.sort(key=lambda c: c["first"])
+        k = 0
+        while k < len(found):
+            a = found[k]
+            for m in range(k + 1, len(found)):
+                b = found[m]
+                if a["last"] + min(p.cluster_reach, 0.5 * (a["last"] - a["first"])) < b["first"]:
+                    break
+                apart = b["first"] >= a["last"] + p.force[t] or a["first"] >= b["last"] + p.force[t]
+                if not apart and any(brothers(rows[x], rows[y]) for x in a["in"] for y in b["in"]):
+                    a["in"] += b["in"]
+                    a["first"], a["last"] = min(a["first"], b["first"]), max(a["last"], b["last"])
+                    del found[m]
+                    again = True
+                    break
+            k += 1
+    return [c["in"] for c in found]
+
+
+def plainly_clustered(sig, p):
     by_type = {}
     for r in sig.orderBy("sv_type", "sig_id").collect():
         by_type.setdefault(r["sv_type"], []).append(r.asDict())
+    out = {}
     for t, rows in by_type.items():
-        for found in clusters.rounds(rows, ONT):
+        for found in plain_clusters(rows, p):
             name = min(rows[i]["sig_id"] for i in found)
-            want |= {(t, rows[i]["sig_id"]): name for i in found}
-    assert got == want
+            out |= {(t, rows[i]["sig_id"]): name for i in found}
+    return out
+
+
+@pytest.mark.parametrize(("seed", "preset"), [(0, ONT), (1, ONT), (2, ONT), (3, params.CLR), (4, params.CCS), (5, ONT)])
+def test_exact_clusters(spark, seed, preset):
+    """Islands, bands and rounds over links give what the rule gives over everything."""
+    sig = sorted_signatures(spark.createDataFrame(signatures(seed), SCHEMA))
+    got = {(r["sv_type"], r["sig_id"]): r["cluster"] for r in clusters.exact_clusters(sig, preset).collect()}
+    assert got == plainly_clustered(sig, preset)
+
+
+def test_dense_loci_are_called_by_cluster(spark):
+    """Clusters, not loci: sites, supports and haplotype counts of dense signatures against plain sums over plain clusters."""
+    rows = [(*r, True, True, 1, 0) for r in signatures(11, 400)]
+    sig = spark.createDataFrame(rows, SCHEMA + ", inv_left boolean, inv_right boolean, cn long, contig_id long")
+    numbered = sorted_signatures(sig)
+    name = plainly_clustered(numbered, ONT)
+    members = {}
+    for r in numbered.collect():
+        members.setdefault((r["sv_type"], name[r["sv_type"], r["sig_id"]]), []).append(r)
+    p = replace(ONT, max_cluster=6)
+    got = {(r["sv_type"], r["cluster"]): r for r in calls.measured(clusters.with_clusters(sig, p), p).collect()}
+    assert set(got) == set(members) and len({r["locus"] for r in got.values()}) < len(got)
+    for key, rows in members.items():
+        rows.sort(key=lambda r: r["sig_id"])
+        if len(rows) > 6:
+            skip = len(rows) // 2 - 3
+            rows = rows[skip : skip + 6]
+        r = got[key]
+        assert [r["hp0"], r["hp1"], r["hp2"]] == [sum(x["hp"] == h for x in rows) for h in range(3)] and r["n"] == len(rows)
+        kept = [x for x in rows if x["hp"] or not r["drop_untagged"]]
+        lengths = sorted(x["length"] for x in kept)
+        assert (r["ss"], r["st"]) == (len(kept), len({x["template"] for x in kept}))
+        assert (r["pos"], r["sv_len"]) == (sum(x["begin_pos"] for x in kept) // len(kept), sum(lengths) // len(kept))
+        assert (r["shortest"], r["middle"], r["longest"]) == (lengths[0], lengths[len(lengths) // 2], lengths[-1])
+        assert r["weight"] == pytest.approx(len({x["template"] for x in kept}))
+
+
+def test_filter_rules(spark):
+    """The rules that stand before the tiers, each switched on for itself."""
+    rows = [(i, "c", 1, *x) for i, x in enumerate([(1, 1, 0, 5.0), (2, 2, 0, 5.0), (9, 9, 0, 5.0), (9, 9, 0, 400.0), (9, 40, 31, 400.0)])]
+    df = spark.createDataFrame(rows, "i long, contig string, sv_type long, ss long, st long, st2 long, sd_begin double")
+    df = df.selectExpr("*", "100L as ls", "1.0d as co", "1.5d as weight", "true as inv_left", "true as inv_right")
+    total = spark.createDataFrame([("c", 10.0, 10.0)], "contig string, contig_cov double, total_cov double")
+    keep = lambda p: [r["keep"] for r in calls.filtered(df, total, p).orderBy("i").collect()]
+    assert keep(ONT) == [False, True, True, True, True]
+    assert keep(replace(ONT, no_filter=True)) == [True] * 5
+    assert keep(replace(ONT, filter_2st=True)) == [False, True, True, True, True]
+    assert keep(replace(ONT, min_pos_sd=(-1, 100, -1, -1))) == [False, True, True, False, True]
+    assert keep(replace(ONT, weight_filter=True, base2=(0, 9, 0, 0), base1=(0, 9, 0, 0))) == [False, False, False, False, True]
+    spread = {r["i"]: r["pstd"] for r in calls.filtered(df, total, ONT).collect()}
+    assert spread == {0: -1.0, 1: 5.0, 2: 5.0, 3: 400.0, 4: -1.0}
+
+
+def test_spelled_calls(spark):
+    """A deletion at the very start, a spelled insertion, one without bases, and a call too long to spell."""
+    rows = [(1, 0, 0, 4, None), (2, 1, 10, 3, "TTT"), (3, 1, 10, 3, None), (4, 0, 10, 2_000_000, None), (5, 2, 10, 5, None)]
+    df = spark.createDataFrame([(k, "c", *r) for k, *r in rows], "k long, contig string, sv_type long, pos long, sv_len long, bases string")
+    chunks = spark.createDataFrame([("c", 0, "ACGT" * 250)], "contig string, chunk long, seq string")
+    got = {r["k"]: (r["vcf_pos"], r["vcf_end"], r["ref"], r["alt"]) for r in vcf.resolved(df, chunks, ["k"]).collect()}
+    assert got == {1: (1, 5, "ACGTA", "A"), 2: (10, 10, "C", "CTTT"), 3: (10, 10, "C", "<INS>"), 4: (10, 2_000_010, "C", "<DEL>"), 5: (10, 15, "C", "<DUP>")}
 
 
 def test_two_events_of_one_island_are_two_calls(spark):
@@ -166,3 +263,22 @@ def test_custom_parameters():
     assert (p.base1[1], p.multi1[1], p.score1[1], p.base2[1], p.multi2[1], p.base1[0]) == (1, ONT.multi1[1], 50, 2, 0.5, ONT.base1[0])
     with pytest.raises(ValueError, match="6 fields"):
         params.with_filter(ONT, 0, "1,2")
+    p = params.with_cluster(ONT, 0, "60,*,5,0.4,100,20,0.3")
+    assert (p.force[0], p.pos_ratio, p.length_min[0], p.length_ratio[0], p.near[0], p.force2[0], p.length_ratio2[0]) == (60, ONT.pos_ratio, 5, 0.4, 100, 20, 0.3)
+    for text in ("70,*,5,0.4", "70,*,5,0.4,300"):
+        q = params.with_cluster(p, 0, text)
+        assert (q.force[0], q.near[0], q.force2[0]) == (70, -1, 20) and isinstance(q.force[0], int)
+
+
+def test_presets():
+    """The values that the presets must have, one by one."""
+    fields = ("pos_ratio", "force", "length_ratio", "length_min", "near", "force2", "length_ratio2", "base1", "base2", "multi1", "multi2", "score1", "score2")
+    same = ((-1, -1, -1, -1), (10, 50, 500, 100), (0.5, 0.3, 0.1, 0.5))
+    want = {
+        "ONT": ((1.5, 0.5, 0.2, 0.1), (50, 150, 0, 100), (0.3, 0.1, 0.1, 0.1), (10, 20, 0, 0), *same, (1, 1, 0, 2), (0, 0, 1, 1), (0.28, 0.19, 0.23, 0), (0.16, 0.14, 0.12, 0.18), (70, 60, 90, 98), (95, 90, 96, 0)),
+        "CLR": ((1.5, 1.2, 0.2, 0.1), (50, 10, 0, 100), (0.3, 0.3, 0.1, 0.1), (60, 0, 0, 0), *same, (1, 2, 4, 2), (0, 0, 0, 1), (0.13, 0.12, 0.13, 0), (0.12, 0.5, 0.1, 0.18), (65, 50, 85, 98), (95, 95, 99, 0)),
+        "CCS": ((2.0, 2.5, 0.2, 0.1), (100, 200, 0, 100), (0.5, 0.5, 0.1, 0.1), (10, 50, 0, 0), *same, (0, 0, 4, 2), (0, 0, 0, 1), (0.31, 0.33, 0.13, 0), (0.1, 0.13, 0.1, 0.18), (55, 55, 85, 98), (95, 95, 99, 0)),
+    }
+    for name, values in want.items():
+        for field, value in zip(fields, values, strict=True):
+            assert getattr(getattr(params, name), field) == value, (name, field)

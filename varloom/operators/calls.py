@@ -14,47 +14,93 @@ from varloom.params import GENOTYPE_RATIO, TYPES, Params
 SCOPE, TAIL = 400, 2e-5
 
 
-def cutoffs(rows: DataFrame, p: Params) -> DataFrame:
-    """Per cluster: hp0 to hp2, n, shp (tagged share), drop_untagged and co (factor of the filter's limits)."""
+def with_cutoffs(rows: DataFrame, p: Params) -> DataFrame:
+    """``rows`` (of :func:`clusters.with_clusters`) within their clusters' largest size, with shp (tagged share), drop_untagged and
+    co (factor of the filter's limits)."""
     t = C.by_type
-    g = rows.groupBy(*C.CLUSTER).agg(F.count(F.lit(1)).alias("n"), *C.hp_counts())
     tagged = F.col("hp1") + F.col("hp2")
-    g = g.withColumn("shp", tagged / F.col("n"))
+    g = rows.filter("within").withColumn("shp", tagged / F.col("n"))
     above = F.col("shp") > t(p.hp_ratio)
     one_sided = F.greatest("hp1", "hp2") / F.when(tagged > 0, tagged) > t(p.homo_ratio)
     over, under = F.col("shp") - t(p.hp_ratio), t(p.hp_ratio) - F.col("shp")
     co = (
         F.when(above & one_sided, 1 - t(p.homo_minus) - t(p.homo_minus_ratio) * over)
         .when(above, 1 - t(p.other_minus) - t(p.other_minus_ratio) * over)
-        .otherwise(1 + (t(p.low_plus) + t(p.low_plus_ratio) * under))
+        .otherwise(1 + (t(p.low_plus) + t(p.low_plus_ratio)) * under)
     )
     return g.withColumn("drop_untagged", F.coalesce(above & one_sided, F.lit(False))).withColumn("co", co)
 
 
+#: What belongs to a cluster as a whole, and stands in each of its rows.
+SHARED = ("n", "hp0", "hp1", "hp2", "shp", "drop_untagged", "co")
+
+
+def cutoffs(rows: DataFrame, p: Params) -> DataFrame:
+    """Per cluster: hp0 to hp2, n, shp, drop_untagged and co."""
+    return with_cutoffs(rows, p).groupBy(*C.CLUSTER).agg(*(F.first(c).alias(c) for c in SHARED))
+
+
 def measured(rows: DataFrame, p: Params) -> DataFrame:
-    """Clusters with their cut-offs, and support, site and spread of the rows that the cut-offs keep."""
-    cut = cutoffs(rows, p)
-    kept = rows.join(cut.select(*C.CLUSTER, "drop_untagged"), C.CLUSTER).filter(~(F.col("drop_untagged") & (F.col("hp") == 0)))
+    """Clusters with their cut-offs, and support, site, spread and so on of the rows that the cut-offs keep.
+
+    One grouping: the haplotype counts came with the clusters.  Lists of lengths and bases are bounded by the largest size.
+    bases are those of the first insertion that is as long as the mean; without a column ins_bases there are none.
+    """
+    kept = with_cutoffs(rows, p).filter(~(F.col("drop_untagged") & (F.col("hp") == 0)))
+    kept = kept if "ins_bases" in rows.columns else kept.withColumn("ins_bases", F.lit(None).cast("string"))
     sides = [F.bool_or("inv_left").alias("inv_left"), F.bool_or("inv_right").alias("inv_right"), F.max("cn").alias("cn"), F.min("contig_id").cast("long").alias("contig_id")]
-    m = kept.groupBy(*C.CLUSTER).agg(*C.support(), *C.site(), *C.spread(), *sides)
-    m = m.withColumn("ls", C.length_score(F.col("sd_length"), F.col("sv_len"))).filter("sv_len > 0")
-    return m.join(cut, C.CLUSTER)
+    place = F.struct(F.when(F.col("drop_untagged"), F.col("hp")).otherwise(0).alias("hp"), "begin_pos", "length", (-F.col("quality")).alias("quality"), "template", "end_pos", F.col("ins_bases").alias("bases"))
+    spelled = F.collect_list(F.when((F.col("sv_type") == 1) & F.col("ins_bases").isNotNull(), place)).alias("_spelled")
+    best = F.aggregate("_quality", F.create_map().cast("map<string,double>"), _highest, lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda a, x: a + x))
+    core = F.count_if("core") if "core" in rows.columns else F.lit(0).cast("long")
+    m = kept.groupBy(*C.CLUSTER).agg(
+        *C.support(), *C.site(), *C.spread(), *sides, spelled, F.sort_array(F.collect_list("length")).alias("_lengths"), F.min("length").alias("shortest"), F.max("length").alias("longest"),
+        F.collect_list(F.struct("template", F.col("quality").cast("double").alias("quality"))).alias("_quality"), core.alias("_core"), *(F.first(c).alias(c) for c in SHARED),
+    )
+    fitting = F.filter(F.array_sort("_spelled"), lambda x: F.length(x["bases"]) >= F.col("sv_len"))
+    m = m.filter("sv_len > 0").withColumns({
+        "ls": C.length_score(F.col("sd_length"), F.col("sv_len")),
+        "middle": F.get("_lengths", F.floor(F.size("_lengths") / 2).cast("int")),
+        "bases": F.substring(F.get(fitting, F.lit(0))["bases"], F.lit(1), F.col("sv_len").cast("int")),
+        "weight": best,
+        # whole, as a quotient of whole numbers
+        "cr": F.floor(F.col("_core") / F.col("ss")).cast("double"),
+        "is_precise": C.precise(p),
+    })
+    return m.drop("_lengths", "_spelled", "_quality", "_core")
+
+
+def _highest(best: Column, x: Column) -> Column:
+    """The map of templates' highest qualities with one more row."""
+    old = F.coalesce(best[x["template"]], x["quality"])
+    others = F.map_filter(best, lambda k, v: k != x["template"])
+    return F.map_concat(others, F.create_map(x["template"], F.greatest(old, x["quality"])))
 
 
 def filtered(calls: DataFrame, total: DataFrame, p: Params) -> DataFrame:
-    """``calls`` (of :func:`measured`) with keep; ``total`` (contig, total_cov) has a row per contig."""
+    """``calls`` (of :func:`measured`) with keep and pstd; ``total`` (contig, contig_cov, total_cov) has a row per contig.
+
+    pstd is the spread of begins where it is looked at: of insertions, or of all types that ask for it, unless an earlier
+    rule decides; else -1.
+    """
     t = C.by_type
-    rows = calls.join(F.broadcast(total.select("contig", "total_cov")), "contig")
-    passes = lambda base, multi, score: (F.col("st") >= (t(base) + F.col("total_cov") * t(multi)) * F.col("co")) & (F.col("ls") >= t(score) * F.col("co"))
+    rows = calls.join(F.broadcast(total.select("contig", "contig_cov", "total_cov")), "contig")
+    score = F.col("weight") if p.weight_filter else F.col("st")
+    passes = lambda base, multi, least: (score >= (t(base) + F.col("total_cov") * t(multi)) * F.col("co")) & (F.col("ls") >= t(least) * F.col("co"))
+    wide = (t(p.min_pos_sd) != -1) & (F.col("sd_begin") > t(p.min_pos_sd))
+    many = (F.col("st2") > 30) | F.lit(p.filter_2st)
     keep = (
-        F.when(F.col("st") < 2, False)
-        .when(F.col("st2") > 30, True)
+        F.when(F.lit(p.no_filter), True)
+        .when(F.col("st") < 2, False)
+        .when(many, True)
+        .when(wide, False)
         .when((F.col("sv_type") >= 2) & (F.col("ss") - F.col("st") > F.col("st")), False)
         .when((F.col("sv_type") == 3) & ~(F.col("inv_left") & F.col("inv_right")), False)
         .when(passes(p.base1, p.multi1, p.score1), True)
         .otherwise(passes(p.base2, p.multi2, p.score2))
     )
-    return rows.withColumn("keep", keep)
+    looked = ~F.lit(p.no_filter) & (F.col("st") >= 2) & ~many & ((F.col("sv_type") == 1) | F.lit(p.calc_pos_sd) | (t(p.min_pos_sd) != -1))
+    return rows.withColumn("keep", keep).withColumn("pstd", F.when(looked, F.col("sd_begin")).otherwise(-1.0))
 
 
 def genotyped(calls: DataFrame, aln: DataFrame, contigs: DataFrame, cov: DataFrame, p: Params) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.operators.grouping import map_groups
+from varloom.operators.grouping import codes, map_groups, numbers
 from varloom.operators.intervals import BIN, islands
 from varloom.operators.signatures import sorted_signatures
 from varloom.params import Params
@@ -18,8 +17,8 @@ KEYS = ["contig", "sv_type"]
 LOCUS = ["contig", "sv_type", "locus"]
 #: A cluster's key: several clusters may begin in one thousand.
 CLUSTER = [*LOCUS, "cluster"]
-#: Names of whole numbers in the schemas of grouped rows.
-SPARK_KINDS = {"bigint": "long", "int": "long", "smallint": "long", "tinyint": "long"}
+#: Pairs of rows compared at once.
+PAIRS = 1 << 20
 #: Bases between the means of clusters of one second-layer cluster, and the share of rows that makes a core.
 NEAR, CORE = 200, 0.7
 
@@ -74,74 +73,103 @@ def brother_pairs(sig: DataFrame, p: Params) -> DataFrame:
     return pairs.select("a.contig", "a.sv_type", F.col("a.sig_id").alias("a"), F.col("b.sig_id").alias("b"))
 
 
-def rounds(rows: list[dict], p: Params) -> list[list[int]]:
-    """Row numbers of the clusters of one type's rows, which come in order.
+def brothers(begin: np.ndarray, end: np.ndarray, length: np.ndarray, hp: np.ndarray, template: np.ndarray, sv_type: np.ndarray, group: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (i, j), i before j, of all brothers among rows that come by group and begin.
 
-    In each round, by their first begin, every cluster takes in the next one that holds a brother, once; rounds go on until one
-    changes nothing.  The scan stops where clusters begin far behind the cluster's end.
+    Brothers begin within a row's reach, so each row is compared with the rows of this stretch alone.
+    """
+    of = lambda values: np.array(values, np.float64)[sv_type]
+    force, pos_ratio, length_ratio, length_min = of(p.force), of(p.pos_ratio), of(p.length_ratio), of(p.length_min)
+    same, other = of(p.hp_same), of(p.hp_diff)
+    reach = np.maximum(force * np.maximum(1, other), length * pos_ratio)
+    lowest = begin.min(initial=0)
+    wide = float(begin.max(initial=0) - lowest + reach.max(initial=0) + 2)
+    place = group * wide + (begin - lowest)
+    until = np.searchsorted(place, place + reach + 0.5, side="right")
+    many = until - np.arange(len(begin)) - 1
+    ends = np.cumsum(many)
+    found, lo = [], 0
+    while lo < len(begin):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+        size = many[lo:hi]
+        i = np.repeat(np.arange(lo, hi), size)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size)
+        gap = lambda x: np.abs(x[i] - x[j])  # noqa: E731, B023
+        tagged = (hp[i] != 0) & (hp[j] != 0)
+        ratio = np.where(tagged & (hp[i] == hp[j]), same[i], np.where(tagged, other[i], 1.0))
+        least = np.minimum(length[i], length[j])
+        fixed = (gap(begin) <= force[i] * ratio) & (gap(end) <= force[i] * ratio)
+        slack = np.floor(np.maximum(length_min[i], np.floor(least * length_ratio[i])) * ratio)
+        scaled = (gap(begin) <= least * pos_ratio[i]) & (gap(end) <= least * pos_ratio[i]) & (gap(length) <= slack)
+        link = (template[i] != template[j]) & (fixed | scaled)
+        found.append((i[link], j[link]))
+        lo = hi
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def gathered(i: np.ndarray, j: np.ndarray, group: np.ndarray, first: np.ndarray, last: np.ndarray, slack: np.ndarray, p: Params) -> np.ndarray:
+    """A number for each row that tells clusters apart, from linked rows and the rows' extents.
+
+    In each round, by their first begin, every cluster takes in the next one that holds a brother and isn't farther than
+    ``slack``, once; rounds go on until one changes nothing.  The scan stops where clusters begin far behind the cluster's
+    end.  What a cluster takes in begins no earlier, so the order stays; and it meets later clusters alone, so the links at
+    a round's start are all that matter in it.
     """
-    t = int(rows[0]["sv_type"])
-    get = lambda c: np.array([r[c] for r in rows])
-    begin, end, length, hp = get("begin_pos"), get("end_pos"), get("length"), get("hp")
-    _, template = np.unique(get("template"), return_inverse=True)
-    near = lambda x: np.abs(x[:, None] - x[None, :])
-    tagged = (hp[:, None] != 0) & (hp[None, :] != 0)
-    ratio = np.where(tagged & (hp[:, None] == hp[None, :]), p.hp_same[t], np.where(tagged, p.hp_diff[t], 1.0))
-    least = np.minimum(length[:, None], length[None, :])
-    slack = np.floor(np.maximum(p.length_min[t], np.floor(least * p.length_ratio[t])) * ratio)
-    fixed = (near(begin) <= p.force[t] * ratio) & (near(end) <= p.force[t] * ratio)
-    scaled = (near(begin) <= least * p.pos_ratio[t]) & (near(end) <= least * p.pos_ratio[t]) & (near(length) <= slack)
-    link = (template[:, None] != template[None, :]) & (fixed | scaled)
-    return gathered(link, begin.copy(), end.copy(), p.force[t] - 1, p)
-
-
-def gathered(link: np.ndarray, first: np.ndarray, last: np.ndarray, slack: float, p: Params) -> list[list[int]]:
-    """The rounds over things with extents and a table of brothers; tables and extents are used up."""
-    members = {i: [i] for i in range(len(first))}
-    order = list(members)
+    order = np.lexsort((first, group))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    into, (a, b) = np.arange(len(order)), (rank[i], rank[j])
+    first, last, slack = first[order].astype(np.float64), last[order].astype(np.float64), slack[order]
     while True:
-        order.sort(key=lambda i: first[i])
-        changed, k = False, 0
-        while k < len(order):
-            a = order[k]
-            for at in range(k + 1, len(order)):
-                b = order[at]
-                if last[a] + min(p.cluster_reach, 0.5 * (last[a] - first[a])) < first[b]:
-                    break
-                apart = first[b] > last[a] + slack or first[a] > last[b] + slack
-                if link[a, b] and not apart:
-                    members[a] += members.pop(b)
-                    first[a], last[a] = min(first[a], first[b]), max(last[a], last[b])
-                    link[a] |= link[b]
-                    link[:, a] |= link[:, b]
-                    del order[at]
-                    changed = True
-                    break
-            k += 1
-        if not changed:
-            return [members[i] for i in order]
-
-
-def gathered_clusters(rows: list[dict], p: Params) -> list[list[int]]:
+        x, y = into[a], into[b]
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        pair = np.unique((x * len(order) + y)[x != y])
+        x, y = pair // max(len(order), 1), pair % max(len(order), 1)
+        open_ = first[y] <= last[x] + np.minimum(p.cluster_reach, 0.5 * (last[x] - first[x]))
+        near = (first[y] <= last[x] + slack[x]) & (first[x] <= last[y] + slack[x])
+        taken, done = {}, set()
+        for k, m in zip(x[open_ & near].tolist(), y[open_ & near].tolist(), strict=True):
+            if k not in done and k not in taken and m not in taken:
+                taken[m] = k
+                done.add(k)
+        if not taken:
+            return into[rank]
+        gone, kept = np.array(list(taken), np.int64), np.array(list(taken.values()), np.int64)
+        last[kept] = np.maximum(last[kept], last[gone])
+        step = np.arange(len(order))
+        step[gone] = kept
+        into = step[into]
+
+
+def rounds(table: pa.Table, group: np.ndarray, p: Params) -> np.ndarray:
+    """The clusters' numbers of signatures that come by group (an island of one type) and sig_id."""
+    get = lambda c: numbers(table, c).astype(np.int64)
+    t, begin, end = get("sv_type"), get("begin_pos"), get("end_pos")
+    i, j = brothers(begin, end, get("length"), get("hp"), codes(table, "template"), t, group, p)
+    return gathered(i, j, group, begin, end, np.array(p.force, np.float64)[t] - 1, p)
+
+
+def gathered_clusters(table: pa.Table, group: np.ndarray, p: Params) -> np.ndarray:
     """The second layer: clusters of one type, summed up, whose means lie near each other and whose lengths agree.
 
     The more rows the smaller of two has, the better lengths must agree; clusters that share a template stay apart.
     """
-    t = int(rows[0]["sv_type"])
-    get = lambda c: np.array([r[c] for r in rows], np.float64)
-    size, length = get("size"), get("mean_length")
-    gap = lambda x: np.abs(x[:, None] - x[None, :])
-    near = (gap(get("mean_begin")) < NEAR) & (gap(get("mean_end")) < NEAR)
-    least = np.minimum(size[:, None], size[None, :])
-    share = gap(length) / 2 / ((length[:, None] + length[None, :]) / 2) < p.length_ratio2[t] / least
-    close = gap(length) < p.force2[t] / least
-    single = (size[:, None] == 1) & (size[None, :] == 1)
-    link = near & np.where(single, close, share | close)
-    seen = [set(r["templates"]) for r in rows]
-    for i, j in zip(*np.nonzero(link & ~single), strict=True):
-        if i != j and seen[i] & seen[j]:
-            link[i, j] = False
-    return gathered(link, get("first"), get("last"), p.force[t] + NEAR, p)
+    get = lambda c: numbers(table, c).astype(np.float64)
+    t, size, length, begin, end = numbers(table, "sv_type").astype(np.int64), get("size"), get("mean_length"), get("mean_begin"), get("mean_end")
+    seen = [set(x) for x in table["templates"].to_pylist()]
+    at, pairs = np.lexsort((begin, group)), []
+    place = (group * (begin.max(initial=0) + 2 * NEAR) + begin)[at]
+    until = np.searchsorted(place, place + NEAR, side="left")
+    for k in range(len(at)):
+        pairs += [(at[k], at[m]) for m in range(k + 1, until[k])]
+    i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+    least = np.minimum(size[i], size[j])
+    share = np.abs(length[i] - length[j]) / 2 / ((length[i] + length[j]) / 2) < np.array(p.length_ratio2)[t[i]] / least
+    close = np.abs(length[i] - length[j]) < np.array(p.force2)[t[i]] / least
+    single = (size[i] == 1) & (size[j] == 1)
+    link = (np.abs(end[i] - end[j]) < NEAR) & np.where(single, close, share | close)
+    link &= np.array([bool(s) or not seen[x] & seen[y] for x, y, s in zip(i.tolist(), j.tolist(), single.tolist(), strict=True)], bool)
+    return gathered(i[link], j[link], group, get("first"), get("last"), np.array(p.force, np.float64)[t] + NEAR, p)
 
 
 def two_layers(sig: DataFrame, p: Params) -> DataFrame:
@@ -157,12 +185,17 @@ def two_layers(sig: DataFrame, p: Params) -> DataFrame:
     order = [F.col("mean_begin"), F.col("part")]
     grouped = islands(parts, KEYS, "mean_begin", order, F.col("mean_begin") + NEAR, "island")
 
-    def run(rows: list[dict]) -> Iterator[tuple]:
-        for found in gathered_clusters(rows, p):
-            name, total = min(rows[i]["part"] for i in found), sum(rows[i]["size"] for i in found)
-            top = max(found, key=lambda i: (rows[i]["size"], -rows[i]["part"]))
-            for i in found:
-                yield rows[i]["contig"], rows[i]["sv_type"], rows[i]["part"], name, bool(i == top and rows[i]["size"] >= CORE * total)
+    def run(table: pa.Table, group: np.ndarray) -> pa.Table:
+        _, number = np.unique(gathered_clusters(table, group, p), return_inverse=True)
+        part, size = numbers(table, "part"), numbers(table, "size")
+        name = np.full(number.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(name, number, part)
+        # a cluster's largest part, the first of equals
+        order = np.lexsort((part, -size, number))
+        top = np.zeros(len(part), bool)
+        top[order[np.diff(number[order], prepend=-1) > 0]] = True
+        core = top & (size >= CORE * np.bincount(number, weights=size)[number])
+        return pa.table({"contig": table["contig"], "sv_type": table["sv_type"], "part": part, "cluster": name[number], "core": core})
 
     named = map_groups(grouped, [*KEYS, "island"], ["first", "part"], run, "contig string, sv_type long, part long, cluster long, core boolean")
     return first.join(named, [*KEYS, "part"]).select(*KEYS, "sig_id", "cluster", "core")
@@ -171,46 +204,52 @@ def two_layers(sig: DataFrame, p: Params) -> DataFrame:
 def exact_clusters(sig: DataFrame, p: Params) -> DataFrame:
     """(contig, sv_type, sig_id, cluster): cluster is the smallest number of its members."""
 
-    def run(rows: list[dict]) -> Iterator[tuple]:
-        for found in rounds(rows, p):
-            name = min(rows[i]["sig_id"] for i in found)
-            for i in found:
-                yield rows[i]["contig"], rows[i]["sv_type"], rows[i]["sig_id"], name
+    def run(table: pa.Table, group: np.ndarray) -> pa.Table:
+        _, number = np.unique(rounds(table, group, p), return_inverse=True)
+        name = np.full(number.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(name, number, numbers(table, "sig_id"))
+        return table.select([*KEYS, "sig_id"]).append_column("cluster", pa.array(name[number]))
 
-    held = with_islands(sig, p).select(*KEYS, "island", "sig_id", "begin_pos", "end_pos", "length", "template", "hp")
+    held = with_islands(sig, p).select("contig", F.col("sv_type").cast("long"), "island", "sig_id", "begin_pos", "end_pos", "length", "template", "hp")
     return map_groups(held, [*KEYS, "island"], ["sig_id"], run, "contig string, sv_type long, sig_id long, cluster long")
 
 
 def with_clusters(sig: DataFrame, p: Params) -> DataFrame:
-    """Adds cluster (the smallest number of its members) and locus, the thousand in which the cluster begins."""
+    """Adds sig_id, cluster (the smallest number of its members), locus (the thousand in which the cluster begins), within
+    (whether a row is of the middle rows of a cluster above the largest size, or the cluster isn't above it), and the counts n
+    and hp0 to hp2 of the cluster's rows within."""
     held = with_islands(sorted_signatures(sig), p)
-    names = sig.columns
-
-    def run(rows: list[dict]) -> Iterator[tuple]:
-        for found in rounds(rows, p):
-            first = min(rows[i]["begin_pos"] for i in found)
-            name = min(rows[i]["sig_id"] for i in found)
-            for i in found:
-                yield *(rows[i][c] for c in names), first - first % 1000, name
-
-    schema = ", ".join(f"{f.name} {SPARK_KINDS.get(f.dataType.simpleString(), f.dataType.simpleString())}" for f in sig.schema)
-    return map_groups(held, [*KEYS, "island"], ["sig_id"], run, f"{schema}, locus long, cluster long")
-
-
-def capped(rows: DataFrame, p: Params) -> DataFrame:
-    """The middle rows of clusters above the largest size, in the order of begins."""
-    w = Window.partitionBy(*CLUSTER)
-    order = w.orderBy("begin_pos", "length", F.desc("quality"), "template", "end_pos")
-    skip = F.floor((F.col("_n") - p.max_cluster) / 2)
-    ranked = rows.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(order))
-    return ranked.filter((F.col("_n") <= p.max_cluster) | ((F.col("_r") > skip) & (F.col("_r") <= skip + p.max_cluster))).drop("_n", "_r")
+    added = {"locus": "bigint", "cluster": "bigint", "within": "boolean", "n": "bigint", "hp0": "bigint", "hp1": "bigint", "hp2": "bigint"}
+
+    def run(table: pa.Table, group: np.ndarray) -> pa.Table:
+        _, number = np.unique(rounds(table, group, p), return_inverse=True)
+        name, first = (np.full(number.max() + 1, np.iinfo(np.int64).max) for _ in range(2))
+        np.minimum.at(name, number, numbers(table, "sig_id"))
+        np.minimum.at(first, number, numbers(table, "begin_pos").astype(np.int64))
+        # rows come in the order of their numbers
+        order = np.argsort(number, kind="stable")
+        size = np.bincount(number)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+        skip = (size // 2 - p.max_cluster // 2)[number]
+        within = (size[number] <= p.max_cluster) | ((rank >= skip) & (rank < skip + p.max_cluster))
+        hp = numbers(table, "hp").astype(np.int64)
+        counts = [np.bincount(number, weights=within & (hp == h)).astype(np.int64)[number] for h in range(3)]
+        values = [first[number] - first[number] % 1000, name[number], within, np.bincount(number, weights=within).astype(np.int64)[number], *counts]
+        for column, value in zip(added, values, strict=True):
+            table = table.append_column(column, pa.array(value))
+        return table
+
+    schema = held.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in added.items())).schema
+    return map_groups(held, [*KEYS, "island"], ["sig_id"], run, schema).drop("island")
 
 
 def support() -> list[Column]:
+    """Signatures and templates; a cluster's rows within are bounded, and so are the sets of their templates."""
     ngs = F.col("tech") == 1
     return [
-        F.count(F.lit(1)).alias("ss"), F.count_distinct("template").alias("st"), F.count_if(ngs).alias("ss2"),
-        F.count_distinct(F.when(ngs, F.col("template"))).alias("st2"),
+        F.count(F.lit(1)).alias("ss"), F.size(F.collect_set("template")).cast("long").alias("st"), F.count_if(ngs).alias("ss2"),
+        F.size(F.collect_set(F.when(ngs, F.col("template")))).cast("long").alias("st2"),
     ]
 
 
@@ -228,5 +267,7 @@ def length_score(sd: Column, sv_len: Column) -> Column:
     return F.floor(F.round(F.greatest(F.lit(0.0), 100 - sd / sv_len * 100), 6)).cast("long")
 
 
-def hp_counts() -> list[Column]:
-    return [F.count_if(F.col("hp") == h).alias(f"hp{h}") for h in range(3)]
+def precise(p: Params) -> Column:
+    """Whether a cluster of enough templates is hardly spread, by st and the sd columns."""
+    flat = [F.round(f"sd_{c}", 6) < p.precise_sd for c in ("length", "begin", "end")]
+    return (F.col("st") >= p.precise_templates) & flat[0] & flat[1] & flat[2]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.cluster import materialize, shared_folder
-from varloom.operators.grouping import map_groups
+from varloom.operators.grouping import map_rows
 from varloom.operators.intervals import numbered, running_count, running_max
 from varloom.params import Params
 
@@ -150,7 +150,11 @@ def omni_merge(reads: DataFrame, t: int, p: Params) -> DataFrame:
     Each read meets a sample of the reads in its range: every step-th one, omni_relevant + 1 at most.
     """
     step = F.greatest(F.lit(1).cast("long"), F.expr(f"(after - first) div {p.omni_relevant}"))
-    some = reads.filter(F.size("sigs") > 0)
+    gaps = F.transform(F.sequence(F.lit(1), F.size("sigs") - 1), lambda i: F.get("sigs", i)["begin"] - F.get("sigs", i - 1)["begin"] - F.get("sigs", i - 1)["length"])
+    linkable = F.when(F.size("sigs") > 1, F.exists(gaps, lambda g: g < p.merge_distance)).otherwise(F.lit(False))
+    # most reads have nothing to link, and stay as they are
+    some = reads.filter((F.size("sigs") > 0) & linkable)
+    plain = reads.filter((F.size("sigs") > 0) & ~linkable).select("read_id", F.explode("sigs").alias("s")).select("read_id", F.col("s.begin").alias("begin_pos"), F.col("s.length").alias("length"))
     met = some.filter("after > first").select("region", "read_id", F.col("idx").alias("own"), F.explode(F.sequence(F.col("first"), F.col("after") - 1, step)).alias("idx")).filter("own <> idx")
     others = reads.select("region", "idx", F.col("sigs").alias("other")).filter(F.size("other") > 0)
     pairs = met.join(others, ["region", "idx"]).select("read_id", "idx", "other")
@@ -163,4 +167,4 @@ def omni_merge(reads: DataFrame, t: int, p: Params) -> DataFrame:
         for begin, end in omni(parts[0], parts[1 : p.omni_relevant + 2], t, p):
             yield group[0]["read_id"], begin, end - begin
 
-    return map_groups(rows, ["read_id"], ["idx"], run, "read_id long, begin_pos long, length long")
+    return plain.unionByName(map_rows(rows, ["read_id"], ["idx"], run, "read_id long, begin_pos long, length long"))

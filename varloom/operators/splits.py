@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.operators.grouping import map_groups
+from varloom.operators.grouping import map_rows
 from varloom.params import Params
 
 #: Segments further apart than this belong to no common event.
@@ -123,7 +123,7 @@ def split_duplications(segs: DataFrame, p: Params) -> DataFrame:
         for d in fold_duplications(rows, p.min_sv_len):
             yield rows[0]["read_id"], d["here"][0], d["start"], d["end"], d["copies"]
 
-    return map_groups(segs, ["read_id"], ["idx"], run, "read_id long, contig string, begin_pos long, end_pos long, copies long")
+    return map_rows(segs, ["read_id"], ["idx"], run, "read_id long, contig string, begin_pos long, end_pos long, copies long")
 
 
 def _goes_on(former: dict, latter: dict) -> bool:
@@ -154,4 +154,4 @@ def split_inversions(segs: DataFrame) -> DataFrame:
         for s, left, right in scan_inversions(rows):
             yield s["read_id"], s["contig"], s["pos"], s["ref_end"], left, right
 
-    return map_groups(segs, ["read_id"], ["idx"], run, "read_id long, contig string, begin_pos long, end_pos long, inv_left boolean, inv_right boolean")
+    return map_rows(segs, ["read_id"], ["idx"], run, "read_id long, contig string, begin_pos long, end_pos long, inv_left boolean, inv_right boolean")

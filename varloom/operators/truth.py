@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.operators.calls import type_name
-from varloom.operators.grouping import map_groups
+from varloom.operators.grouping import map_rows
 from varloom.operators.intervals import islands
 
 #: A call matches a truth within so many bases and with lengths at least so alike.
@@ -71,4 +71,4 @@ def without_overlaps(rows: DataFrame, start: str, end: str, key: str) -> DataFra
                 last = row[end]
                 yield row["contig"], row[start], row[end], row[key]
 
-    return map_groups(grouped, ["contig", "island"], [start, end, key], run, f"contig string, {start} long, {end} long, {key} long")
+    return map_rows(grouped, ["contig", "island"], [start, end, key], run, f"contig string, {start} long, {end} long, {key} long")

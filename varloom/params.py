@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-# Fixed values.
+# Fixed values, as are the defaults and the presets below.
 TYPES = ("DEL", "INS", "DUP", "INV")
 GENOTYPE_RATIO = {0: 0.8, 1: 0.75, 2: 0.8, 3: 0.8}
 
@@ -55,6 +55,12 @@ class Params:
     other_minus_ratio: tuple = (-0.05, 0.3, 0.0, 0.4)
     low_plus: tuple = (0.0, 0.0, 0.0, 0.0)
     low_plus_ratio: tuple = (0.25, 0.25, 0.9, 0.0)
+    # rules of the filter: keep everything, keep what has two templates, greatest spread of begins (-1: any), weigh templates by quality
+    no_filter: bool = False
+    filter_2st: bool = False
+    min_pos_sd: tuple = (-1, -1, -1, -1)
+    calc_pos_sd: bool = False
+    weight_filter: bool = False
 
 
 ONT = Params()
@@ -64,11 +70,12 @@ CLR = replace(
 )
 CCS = replace(
     ONT, pos_ratio=(2.0, 2.5, 0.2, 0.1), force=(100, 200, 0, 100), length_ratio=(0.5, 0.5, 0.1, 0.1), length_min=(10, 50, 0, 0),
-    base1=(0, 0, 4, 2), base2=(0, 0, 0, 1), multi1=(0.31, 0.33, 0.13, 0.0), multi2=(0.1, 0.3, 0.1, 0.18), score1=(55, 55, 85, 98), score2=(95, 95, 99, 0),
+    base1=(0, 0, 4, 2), base2=(0, 0, 0, 1), multi1=(0.31, 0.33, 0.13, 0.0), multi2=(0.1, 0.13, 0.1, 0.18), score1=(55, 55, 85, 98), score2=(95, 95, 99, 0),
 )
 
 # What the fields of a custom parameter string stand for.
 CLUSTER_FIELDS = ("force", "pos_ratio", "length_min", "length_ratio", "near", "force2", "length_ratio2")
+WHOLE = ("force", "length_min", "near", "force2")
 FILTER_FIELDS = ("base1", "multi1", "score1", "base2", "multi2", "score2")
 
 
@@ -79,14 +86,18 @@ def with_custom(p: Params, sv_type: int, text: str, fields: tuple[str, ...], len
         raise ValueError(f"expected {' or '.join(map(str, lengths))} fields, got {len(parts)}: {text!r}")
     new = {}
     for name, part in zip(fields, parts, strict=False):
-        if part != "*":
+        if not part.startswith("*"):
             values = list(getattr(p, name))
-            values[sv_type] = float(part)
+            values[sv_type] = int(float(part)) if name in WHOLE else float(part)
             new[name] = tuple(values)
     return replace(p, **new)
 
 
 def with_cluster(p: Params, sv_type: int, text: str) -> Params:
+    """Four fields are the first layer's, and so are four of five: both turn the second layer off."""
+    if text.count(",") in (3, 4):
+        near = tuple(-1 if t == sv_type else v for t, v in enumerate(p.near))
+        return replace(with_custom(p, sv_type, text, CLUSTER_FIELDS[:4], (4, 5)), near=near)
     return with_custom(p, sv_type, text, CLUSTER_FIELDS, (4, 5, 7))
 
 

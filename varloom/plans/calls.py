@@ -12,6 +12,7 @@ from varloom.operators import coverage as V
 from varloom.operators import vcf as W
 from varloom.params import GENOTYPE_RATIO, ONT
 from varloom.plans.registry import query
+from varloom.sources.projections import reference
 
 KEY = [*C.LOCUS, "pos"]
 
@@ -30,15 +31,22 @@ HPC = "SELECT contig, sv_type, locus, count(*) AS n, count(*) FILTER (WHERE hp =
 CUT = f"""SELECT *, over_ AND one_sided AS drop_untagged,
  CASE WHEN over_ AND one_sided THEN 1 - {_of(ONT.homo_minus)} - {_of(ONT.homo_minus_ratio)} * (shp - {_of(ONT.hp_ratio)})
   WHEN over_ THEN 1 - {_of(ONT.other_minus)} - {_of(ONT.other_minus_ratio)} * (shp - {_of(ONT.hp_ratio)})
-  ELSE 1 + ({_of(ONT.low_plus)} + {_of(ONT.low_plus_ratio)} * ({_of(ONT.hp_ratio)} - shp)) END AS co
+  ELSE 1 + ({_of(ONT.low_plus)} + {_of(ONT.low_plus_ratio)}) * ({_of(ONT.hp_ratio)} - shp) END AS co
 FROM (SELECT *, (hp1 + hp2) / n AS shp, (hp1 + hp2) / n > {_of(ONT.hp_ratio)} AS over_, coalesce(greatest(hp1, hp2) / nullif(hp1 + hp2, 0) > {_of(ONT.homo_ratio)}, false) AS one_sided FROM hpc)"""
-MET = """SELECT m.*, u.n, hp0, hp1, hp2, shp, co, drop_untagged, CAST(floor(round(greatest(0.0, 100 - sd_length / sv_len * 100), 6)) AS BIGINT) AS ls FROM (
- SELECT c.contig, c.sv_type, c.locus, count(*) AS ss, count(DISTINCT template) AS st, count(*) FILTER (WHERE tech = 1) AS ss2, count(DISTINCT template) FILTER (WHERE tech = 1) AS st2,
+KR = """SELECT c.*, k.drop_untagged FROM cl c JOIN cut k ON k.contig = c.contig AND k.sv_type = c.sv_type AND k.locus = c.locus WHERE NOT (k.drop_untagged AND hp = 0)"""
+SPELLED = """SELECT contig, sv_type, locus, arg_min(substr(ins_bases, 1, sv_len), r) AS bases FROM (
+ SELECT *, row_number() OVER (PARTITION BY contig, sv_type, locus ORDER BY CASE WHEN drop_untagged THEN hp ELSE 0 END, begin_pos, length, quality DESC, template, end_pos) AS r,
+ CAST(sum(length) OVER w // count(*) OVER w AS BIGINT) AS sv_len FROM kr WHERE sv_type = 1 WINDOW w AS (PARTITION BY contig, sv_type, locus)) WHERE strlen(ins_bases) >= sv_len GROUP BY ALL"""
+MET = f"""SELECT m.*, u.n, hp0, hp1, hp2, shp, co, drop_untagged, CAST(floor(round(greatest(0.0, 100 - sd_length / sv_len * 100), 6)) AS BIGINT) AS ls, b.bases,
+ st >= {ONT.precise_templates} AND round(sd_length, 6) < {ONT.precise_sd} AND round(sd_begin, 6) < {ONT.precise_sd} AND round(sd_end, 6) < {ONT.precise_sd} AS is_precise FROM (
+ SELECT contig, sv_type, locus, count(*) AS ss, count(DISTINCT template) AS st, count(*) FILTER (WHERE tech = 1) AS ss2, count(DISTINCT template) FILTER (WHERE tech = 1) AS st2,
   CAST(sum(begin_pos) // count(*) AS BIGINT) AS pos, CAST(sum(length) // count(*) AS BIGINT) AS sv_len, stddev_pop(begin_pos) AS sd_begin, stddev_pop(end_pos) AS sd_end, stddev_pop(length) AS sd_length,
-  bool_or(inv_left) AS inv_left, bool_or(inv_right) AS inv_right, max(cn) AS cn, CAST(min(contig_id) AS BIGINT) AS contig_id
- FROM cl c JOIN cut k ON k.contig = c.contig AND k.sv_type = c.sv_type AND k.locus = c.locus WHERE NOT (drop_untagged AND hp = 0) GROUP BY ALL) m
-JOIN cut u ON u.contig = m.contig AND u.sv_type = m.sv_type AND u.locus = m.locus"""
-KEPT = f"""SELECT c.*, CASE WHEN st < 2 THEN false WHEN st2 > 30 THEN true WHEN sv_type >= 2 AND ss - st > st THEN false WHEN sv_type = 3 AND NOT (inv_left AND inv_right) THEN false
+  bool_or(inv_left) AS inv_left, bool_or(inv_right) AS inv_right, max(cn) AS cn, CAST(min(contig_id) AS BIGINT) AS contig_id,
+  min(length) AS shortest, list_sort(list(length))[count(*) // 2 + 1] AS middle, max(length) AS longest
+ FROM kr GROUP BY ALL) m
+JOIN cut u ON u.contig = m.contig AND u.sv_type = m.sv_type AND u.locus = m.locus LEFT JOIN spelled b ON b.contig = m.contig AND b.sv_type = m.sv_type AND b.locus = m.locus"""
+KEPT = f"""SELECT c.*, t.contig_cov, CASE WHEN sv_type = 1 AND st >= 2 AND st2 <= 30 THEN sd_begin ELSE -1 END AS pstd,
+ CASE WHEN st < 2 THEN false WHEN st2 > 30 THEN true WHEN sv_type >= 2 AND ss - st > st THEN false WHEN sv_type = 3 AND NOT (inv_left AND inv_right) THEN false
  WHEN st >= ({_of(ONT.base1)} + total_cov * {_of(ONT.multi1)}) * co AND ls >= {_of(ONT.score1)} * co THEN true
  ELSE st >= ({_of(ONT.base2)} + total_cov * {_of(ONT.multi2)}) * co AND ls >= {_of(ONT.score2)} * co END AS keep
 FROM met c JOIN total t ON t.contig = c.contig"""
@@ -53,18 +61,20 @@ REGT = """SELECT * EXCLUDE (gt, p, tail, small, big), CASE WHEN shp > 0.8 AND ta
  SELECT *, CASE WHEN p = 0 THEN CASE WHEN least(hp1, hp2) = 0 THEN 1 ELSE 0 END ELSE
   coalesce(list_sum(list_transform(range(least(hp1, hp2), hp1 + hp2), lambda i: exp(lgamma(hp1 + hp2 + 1) - lgamma(i + 1) - lgamma(hp1 + hp2 - i + 1) + i * ln(p) + (hp1 + hp2 - i) * ln(1 - p)))), 1) END AS tail
  FROM (SELECT *, CASE WHEN big > 100 THEN small / (small + big) ELSE 0.015::DOUBLE END AS p FROM geno CROSS JOIN bal))"""
-BASE = dict(cl=CL, hpc=HPC, cut=CUT, met=MET)
+BASE = dict(cl=CL, hpc=HPC, cut=CUT, kr=KR, spelled=SPELLED, met=MET)
 FILTER = dict(covw=COV, total=TOTAL, **BASE, kept=KEPT)
 CALLS = dict(**FILTER, cvs=CV, geno=GENO)
 FINAL = dict(**CALLS, bal=BAL, regt=REGT)
 NAMES = """SELECT *, ['DEL', 'INS', 'DUP', 'INV'][sv_type + 1] AS kind, greatest(pos - 1, 0) AS p0 FROM regt WHERE keep"""
-LINES = """SELECT *, p0 + 1 AS vcf_pos, CASE WHEN sv_type = 1 THEN p0 + 1 ELSE pos + sv_len END AS vcf_end,
- substr(repeat('ACGT', 300), CAST(p0 % 4 AS INTEGER) + 1, CAST(CASE WHEN sv_type = 0 THEN pos + sv_len - p0 ELSE 1 END AS INTEGER)) AS ref,
- CASE WHEN sv_type = 0 THEN substr('ACGT', CAST(p0 % 4 AS INTEGER) + 1, 1) ELSE '<' || kind || '>' END AS alt,
+LINES = """SELECT *, p0 + 1 AS vcf_pos, CASE WHEN sv_type = 1 THEN p0 + 1 ELSE p0 + sv_len + 1 END AS vcf_end,
+ substr(repeat('ACGT', 300), CAST(p0 % 4 AS INTEGER) + 1, CAST(CASE WHEN sv_type = 0 THEN sv_len + 1 ELSE 1 END AS INTEGER)) AS ref,
+ CASE WHEN sv_type = 0 THEN substr('ACGT', CAST(p0 % 4 AS INTEGER) + 1, 1) WHEN sv_type = 1 AND bases IS NOT NULL THEN substr('ACGT', CAST(p0 % 4 AS INTEGER) + 1, 1) || bases ELSE '<' || kind || '>' END AS alt,
  'sv.' || kind || '.' || (row_number() OVER (PARTITION BY sv_type ORDER BY contig_id, pos, sv_len, locus) - 1) AS id FROM named"""
-INFOS = """SELECT *, CASE WHEN st >= 5 AND round(sd_length, 6) < 3 AND round(sd_begin, 6) < 3 AND round(sd_end, 6) < 3 THEN 'PRECISE' ELSE 'IMPRECISE' END || ';SVTYPE=' || kind || ';END=' || vcf_end
+INFOS = """SELECT *, CASE WHEN sv_type = 3 THEN 'LR=' || CASE WHEN inv_left THEN 'L' ELSE '' END || CASE WHEN inv_right THEN 'R' ELSE '' END || ';' ELSE '' END
+ || CASE WHEN is_precise THEN 'PRECISE' ELSE 'IMPRECISE' END || ';SVTYPE=' || kind || ';END=' || vcf_end
  || ';SVLEN=' || (CASE WHEN sv_type = 0 THEN -sv_len ELSE sv_len END) || CASE WHEN sv_type = 2 THEN ';CN=' || cn ELSE '' END || ';SS=' || ss || ';ST=' || st || ';LS=' || ls || ';CV=' || cv
- || ';HPC=' || hp0 || ',' || hp1 || ',' || hp2 AS info FROM lined"""
+ || ';SS2=' || ss2 || ';ST2=' || st2 || printf(';CC=%.6f', round(CAST(contig_cov AS DOUBLE), 6)) || ';CR=0.000000;M3L=' || shortest || ',' || middle || ',' || longest
+ || printf(';PSTD=%.6f', round(CAST(pstd AS DOUBLE), 6)) || ';HPC=' || hp0 || ',' || hp1 || ',' || hp2 AS info FROM lined"""
 OUTPUT = dict(**FINAL, named=NAMES, lined=LINES, infos=INFOS)
 
 
@@ -88,7 +98,7 @@ def _calls(sig: DataFrame, aln: DataFrame, contigs: DataFrame) -> DataFrame:
 def _output(sig: DataFrame, aln: DataFrame, contigs: DataFrame) -> DataFrame:
     called = materialize(_calls(sig, aln, contigs), shared_folder(sig.sparkSession), "called")
     final = K.regenotyped(called).filter("keep")
-    named = W.with_ids(W.resolved(final, W.reference_chunks(contigs), [*C.CLUSTER]))
+    named = W.with_ids(W.resolved(final, reference(contigs, W.CHUNK), [*C.CLUSTER]))
     return named.withColumn("info", W.info())
 
 
@@ -177,14 +187,31 @@ def vcf_lines(sig: DataFrame, aln: DataFrame, contigs: DataFrame) -> DataFrame:
     return _output(sig, aln, contigs).select(W.line().alias("line"))
 
 
-@query("contigs", sql="SELECT contig_id + 1 AS n, '##contig=<ID=' || contig || ',length=' || size || '>' AS line FROM contigs")
+#: What the header's lines name.
+NAMED = ("sample", "acgt.fa", "20260101", "varloom", "call --preset ont")
+TOP = " UNION ALL ".join(
+    [f"SELECT {k - 3} AS n, '{s}' AS line" for k, s in enumerate(("##fileformat=VCFv4.2", "##fileDate=20260101", "##reference=acgt.fa"))]
+    + ["SELECT contig_id, '##contig=<ID=' || contig || ',length=' || size || '>' FROM contigs"]
+    + [f"""SELECT 1000000000 + {k}, '##INFO=<ID={i},Number={n},Type={t},Description="{d}">'""" for k, (i, n, t, d) in enumerate(W.INFO)]
+    + [f"""SELECT 1000000018 + {k}, '##ALT=<ID={i},Description="{d}">'""" for k, (i, d) in enumerate(W.ALT)]
+    + ["""SELECT 1000000020, '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">'""", """SELECT 1000000021, '##SVCaller="varloom"'""", """SELECT 1000000022, '##CommandLine="call --preset ont"'"""]
+    + ["SELECT 1000000023, concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', 'sample')"]
+)
+
+
+@query("contigs", sql="SELECT CAST(n AS BIGINT) AS n, line FROM head", head=TOP)
 def vcf_header(contigs: DataFrame) -> DataFrame:
-    return W.header(contigs, "sample").filter(F.col("line").startswith("##contig"))
+    return W.header(contigs, *NAMED)
+
+
+@query("sig", "aln", "contigs", sql="SELECT line FROM head UNION ALL SELECT concat_ws(chr(9), contig, CAST(vcf_pos AS VARCHAR), id, ref, alt, '.', 'PASS', info, 'GT', gt) FROM infos", **OUTPUT, head=TOP)
+def vcf_document(sig: DataFrame, aln: DataFrame, contigs: DataFrame) -> DataFrame:
+    return W.document(W.header(contigs, *NAMED), _output(sig, aln, contigs))
 
 
 @query("truth", "contigs", sql="SELECT truth_id, substr(repeat('ACGT', 300), CAST(pos % 4 AS INTEGER) + 1, CAST(sv_len AS INTEGER)) AS bases FROM truth")
 def ref_fetch(truth: DataFrame, contigs: DataFrame) -> DataFrame:
-    found = W.fetch(truth.select("truth_id", "contig", "pos", "sv_len"), W.reference_chunks(contigs.withColumn("size", F.col("size") + 10_000)), F.col("pos"), F.col("pos") + F.col("sv_len"), ["truth_id"], "bases")
+    found = W.fetch(truth.select("truth_id", "contig", "pos", "sv_len"), reference(contigs.withColumn("size", F.col("size") + 10_000), W.CHUNK), F.col("pos"), F.col("pos") + F.col("sv_len"), ["truth_id"], "bases")
     return found.select("truth_id", "bases")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.operators import clusters as C
 from varloom.operators import intervals as I
+from varloom.operators.calls import measured
 from varloom.operators.signatures import sorted_signatures
 from varloom.params import ONT
 from varloom.plans.registry import query
@@ -91,8 +92,8 @@ stats("cluster_ls", "cast(floor(round(greatest(0.0d, 100 - stddev_pop(length) /
       "CAST(floor(round(greatest(0.0, 100 - stddev_pop(length) / (sum(length) // count(*)) * 100), 6)) AS BIGINT) AS ls")
 stats("cluster_m3l", "min(length) shortest; element_at(array_sort(collect_list(length)), cast(count(*) div 2 + 1 as int)) middle; max(length) longest",
       "min(length) AS shortest, list_sort(list(length))[count(*) // 2 + 1] AS middle, max(length) AS longest")
-stats("cluster_precise", "count(distinct template) >= 5 and round(stddev_pop(length), 6) < 3 and round(stddev_pop(begin_pos), 6) < 3 and round(stddev_pop(end_pos), 6) < 3 is_precise",
-      "count(DISTINCT template) >= 5 AND round(stddev_pop(length), 6) < 3 AND round(stddev_pop(begin_pos), 6) < 3 AND round(stddev_pop(end_pos), 6) < 3 AS is_precise")
+SURE = f"round(stddev_pop(length), 6) < {ONT.precise_sd} AND round(stddev_pop(begin_pos), 6) < {ONT.precise_sd} AND round(stddev_pop(end_pos), 6) < {ONT.precise_sd}"
+stats("cluster_precise", f"count(distinct template) >= {ONT.precise_templates} and {SURE} is_precise", f"count(DISTINCT template) >= {ONT.precise_templates} AND {SURE} AS is_precise")
 stats("hp_counts", "count_if(hp = 0) hp0; count_if(hp = 1) hp1; count_if(hp = 2) hp2",
       "count(*) FILTER (WHERE hp = 0) AS hp0, count(*) FILTER (WHERE hp = 1) AS hp1, count(*) FILTER (WHERE hp = 2) AS hp2")
 stats("dup_cn", "max(cn) cn", "max(cn) AS cn")
@@ -107,26 +108,21 @@ def weight_sum(sig: DataFrame) -> DataFrame:
     return best.groupBy(*C.CLUSTER).agg(F.round(F.sum("q"), 6).alias("weight")).drop("cluster")
 
 
-@query("sig", sql="""SELECT contig, sv_type, locus, count(*) AS n, CAST(sum(begin_pos) AS BIGINT) AS begins FROM (
- SELECT *, row_number() OVER (PARTITION BY contig, sv_type, locus ORDER BY begin_pos, length, quality DESC, template, end_pos) AS r, count(*) OVER (PARTITION BY contig, sv_type, locus) AS m FROM cl)
-WHERE m <= 20 OR (r > (m - 20) // 2 AND r <= (m - 20) // 2 + 20) GROUP BY ALL""", cl=CL)
+@query("sig", sql=f"""SELECT contig, sv_type, locus, count(*) AS n, CAST(sum(begin_pos) AS BIGINT) AS begins FROM (
+ SELECT *, row_number() OVER (PARTITION BY contig, sv_type, locus ORDER BY begin_pos, length, quality DESC, template, end_pos) - 1 AS r, count(*) OVER (PARTITION BY contig, sv_type, locus) AS m FROM cl)
+WHERE m <= {ONT.max_cluster} OR (r >= m // 2 - {ONT.max_cluster} // 2 AND r < m // 2 - {ONT.max_cluster} // 2 + {ONT.max_cluster}) GROUP BY ALL""", cl=CL)
 def cluster_cap(sig: DataFrame) -> DataFrame:
-    from dataclasses import replace
-
-    kept = C.capped(C.with_clusters(sig, ONT), replace(ONT, max_cluster=20))
+    kept = C.with_clusters(sig, ONT).filter("within")
     return kept.groupBy(*C.CLUSTER).agg(F.count(F.lit(1)).alias("n"), F.sum("begin_pos").alias("begins")).drop("cluster")
 
 
-@query("sig", sql="""SELECT contig, sv_type, locus, arg_min(substr(repeat('ACGT', 40), CAST(begin_pos % 4 AS INTEGER) + 1, CAST(sv_len AS INTEGER)), r) AS bases FROM (
+@query("sig", sql="""SELECT contig, sv_type, locus, arg_min(substr(ins_bases, 1, sv_len), r) AS bases FROM (
  SELECT *, row_number() OVER (PARTITION BY contig, sv_type, locus ORDER BY begin_pos, length, quality DESC, template, end_pos) AS r,
- CAST(sum(length) OVER (PARTITION BY contig, sv_type, locus) // count(*) OVER (PARTITION BY contig, sv_type, locus) AS BIGINT) AS sv_len FROM cl WHERE sv_type = 1) WHERE length >= sv_len GROUP BY ALL""", cl=CL)
+ CAST(sum(length) OVER (PARTITION BY contig, sv_type, locus) // count(*) OVER (PARTITION BY contig, sv_type, locus) AS BIGINT) AS sv_len FROM cl WHERE sv_type = 1) WHERE strlen(ins_bases) >= sv_len GROUP BY ALL""", cl=CL)
 def ins_consensus(sig: DataFrame) -> DataFrame:
-    # bases of an insertion: ACGT repeated, from the remainder of its place on
-    rows = C.with_clusters(sig.filter("sv_type = 1"), ONT).withColumn("bases", F.substring(F.repeat(F.lit("ACGT"), F.lit(40)), (F.col("begin_pos") % 4 + 1).cast("int"), F.col("length").cast("int")))
-    w = Window.partitionBy(*C.CLUSTER)
-    rows = rows.withColumn("sv_len", F.expr("sum(length) over (partition by contig, sv_type, locus, cluster) div count(*) over (partition by contig, sv_type, locus, cluster)"))
-    rows = rows.withColumn("r", F.row_number().over(w.orderBy("begin_pos", "length", F.desc("quality"), "template", "end_pos"))).filter("length >= sv_len")
-    return rows.groupBy(*C.CLUSTER).agg(F.min_by(F.substring("bases", F.lit(1), F.col("sv_len").cast("int")), "r").alias("bases")).drop("cluster")
+    # no haplotype is told apart here, so no row is dropped
+    found = measured(C.with_clusters(sig.filter("sv_type = 1").withColumn("hp", F.lit(0).cast("long")), ONT), ONT)
+    return found.select(*C.LOCUS, "bases")
 
 
 @query("sig", sql="""SELECT contig, sv_type, locus, round(m1, 6) AS mean1, round(m2, 6) AS mean2, coalesce(abs(m1 - m2) > 3 * greatest(v1, v2), false) AS split FROM (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Each in the SQL that Spark and the oracle share; braces name the tables.
 SQL = {
@@ -16,7 +17,8 @@ SELECT l_returnflag AS contig, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1
  CAST(l_orderkey AS VARCHAR(20)) AS template, 1 - l_discount AS quality,
  CAST(CASE WHEN l_orderkey % 10 = 0 THEN 0 WHEN (l_partkey - l_partkey % 10) % 20 = 0 THEN 1 ELSE 1 + l_orderkey % 2 END AS BIGINT) AS hp,
  l_tax >= 0.02 AS inv_left, l_tax <= 0.06 AS inv_right,
- CAST(CASE WHEN l_linenumber % 4 = 2 THEN 2 + l_suppkey % 3 ELSE -1 END AS BIGINT) AS cn
+ CAST(CASE WHEN l_linenumber % 4 = 2 THEN 2 + l_suppkey % 3 ELSE -1 END AS BIGINT) AS cn,
+ CASE WHEN l_linenumber % 4 = 1 THEN substr(repeat('ACGT', 40), CAST(l_suppkey % 40 % 4 + 1 AS INT), CAST(l_quantity AS INT) + 30) END AS ins_bases
 FROM {lineitem}""",
     "aln": """
 SELECT l_returnflag AS contig, (l_partkey - l_partkey % 10) * 100 + l_suppkey % 40 AS pos,
@@ -69,3 +71,9 @@ def with_views(names: tuple[str, ...], body: str, **more: str) -> str:
     """``body`` in SQL, after the projections ``names`` and further named subqueries, which may use them and each other."""
     parts = {n: SQL[n].format(**{t: t for t in TABLES}) for n in names} | more
     return "WITH " + ", ".join(f"{n} AS ({q})" for n, q in parts.items()) + "\n" + body
+
+
+def reference(contigs: DataFrame, size: int) -> DataFrame:
+    """(contig, chunk, seq): a reference of ACGT repeated over the contigs' sizes, in chunks of ``size`` bases."""
+    chunks = contigs.select("contig", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("size") / size).cast("long"))).alias("chunk"))
+    return chunks.withColumn("seq", F.repeat(F.lit("ACGT"), F.lit(size // 4)))
