@@ -117,8 +117,10 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
         low = labels.join(near, F.col("node") == F.col("a"), "left").select(
             "node", F.least("component", F.coalesce("m", "component")).alias("to"), F.col("component").alias("was")
         )
+        # a label may be that of most nodes
+        low = materialize(low, folder, f"{name}-low-{step}")
         up = labels.select(F.col("node").alias("to"), F.col("component").alias("top"))
-        new = low.join(up, "to", "left").select(
+        new = lookup(low, up, ["to"]).select(
             "node", F.least("to", F.coalesce("top", "to")).alias("component"), "was"
         )
         new = materialize(new, folder, f"{name}-{step}")

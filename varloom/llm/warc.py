@@ -23,6 +23,8 @@ from varloom.llm.common import column, lookup
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a range that one task scans, and bytes read at once.
 RANGE_BYTES = 16 << 20
+#: Tasks that read ranges, at most; beyond, a task reads several ranges.
+MOST_TASKS = 10_000
 READ_BYTES = 1 << 20
 #: Records with shorter payloads are never revisits.
 LEAST_PAYLOAD = 100
@@ -212,7 +214,9 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
                         yield _batch(rows)
 
     schema = "path string, offset long, record_type string, uri string, page_id long, refers_to long, stated_digest string, payload binary"
-    return ranges.repartition("path", "begin").mapInArrow(run, schema)
+    # a task for each range: the rows are tiny, and would else come to one task
+    tasks = min(max(1, ranges.count()), MOST_TASKS)
+    return ranges.repartition(tasks).mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
