@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Flag bits, and the operations that advance the reference, the query and the reference of signatures.
-PAIRED, UNMAPPED, REVERSE, READ1, SECONDARY, SUPPLEMENTARY = 0x1, 0x4, 0x10, 0x40, 0x100, 0x800
+PAIRED, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE, READ1 = 0x1, 0x4, 0x8, 0x10, 0x20, 0x40
+SECONDARY, FAILED, DUPLICATE, SUPPLEMENTARY = 0x100, 0x200, 0x400, 0x800
 REFERENCE_OPS = ("M", "D", "N", "=", "X")
 QUERY_OPS = ("M", "I", "S", "=", "X")
 SIGNATURE_OPS = ("M", "D", "=", "X")
@@ -54,3 +55,10 @@ def overlap_length(b1: Column, e1: Column, b2: Column, e2: Column) -> Column:
 def precision_level(tech: Column, sig_type: Column) -> Column:
     """0 for read pairs, 1 for long reads, 2 for short reads' CIGARs and clips."""
     return F.when(tech == 0, 1).when(sig_type == 1, 0).otherwise(2)
+
+
+def plain_shape(ops: Column, reverse: Column) -> Column:
+    """Whether a CIGAR is matches with at most one skip and with clips after them only, seen in the direction of the read."""
+    letters = F.array_join(F.transform(ops, lambda o: F.when(o["op"].isin("=", "X"), "M").otherwise(o["op"])), "")
+    seen = F.when(reverse, F.reverse(letters)).otherwise(letters)
+    return seen.rlike("^[MNS]*M[MNS]*$") & ~seen.rlike("N.*N") & ~seen.rlike("S.*M")

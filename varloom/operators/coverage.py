@@ -15,12 +15,16 @@ def primary_segments(aln: DataFrame) -> DataFrame:
 
 
 def windows(aln: DataFrame, p: Params) -> DataFrame:
-    """(contig, w, cov): shares of the first and last window that well-mapped primary records cover, and 1 for those between.
+    """(contig, w, cov) of well-mapped primary records."""
+    return windowed(aln.filter(R.is_primary(F.col("flag")) & (F.col("mapq") >= p.min_mapq)), p)
 
-    A record inside one window counts from its begin to the window's end.
+
+def windowed(rows: DataFrame, p: Params) -> DataFrame:
+    """(contig, w, cov): shares of the first and last window that ``rows`` (contig, pos, ref_end) cover, and 1 for those between.
+
+    A row inside one window counts from its begin to the window's end.
     """
     size = p.window
-    rows = aln.filter(R.is_primary(F.col("flag")) & (F.col("mapq") >= p.min_mapq))
     first, last = F.expr(f"pos div {size}"), F.expr(f"ref_end div {size}")
     spread = rows.select("contig", "pos", "ref_end", first.alias("first"), last.alias("last"), F.explode(F.sequence(first, last)).alias("w"))
     share = F.when(F.col("w") == F.col("first"), ((F.col("first") + 1) * size - F.col("pos")) / size).when(F.col("w") == F.col("last"), (F.col("ref_end") + 1 - F.col("last") * size) / size).otherwise(1.0)

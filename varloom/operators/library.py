@@ -9,7 +9,6 @@ from varloom.functions import reads as R
 
 #: Bins of the quantile function, steps of the mean, and the quantile above which sizes are dropped.
 BINS, STEPS, TOP = 1000, 10_000, 0.9995
-READ = 100
 
 
 def histogram(pairs: DataFrame) -> DataFrame:
@@ -37,27 +36,33 @@ def moments(pairs: DataFrame) -> DataFrame:
     return steps.join(quantile_bins(pairs), "bin").agg(F.avg("size").alias("mean"), F.stddev_pop("size").alias("sd"))
 
 
-def mates(pairs: DataFrame) -> DataFrame:
-    """Adds mate_pos and mate_reverse: mates lie on the other strand, but for every 13th pair."""
-    same = F.col("pair_id") % 13 == 0
-    return pairs.withColumn("mate_reverse", F.when(same, F.col("reverse")).otherwise(1 - F.col("reverse"))).withColumn(
-        "mate_pos", F.when(F.col("reverse") == 0, F.col("pos") + F.col("isize") - READ).otherwise(F.col("pos") - F.col("isize") + READ)
-    )
+def oriented(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (pos, reverse, mate_pos, mate_reverse) with orient."""
+    return pairs.withColumn("orient", R.orientation(F.col("pos"), F.col("reverse") == 0, F.col("mate_pos"), F.col("mate_reverse") == 0))
 
 
-def oriented(pairs: DataFrame) -> DataFrame:
-    m = mates(pairs)
-    return m.withColumn("orient", R.orientation(F.col("pos"), F.col("reverse") == 0, F.col("mate_pos"), F.col("mate_reverse") == 0))
+def core_reads(records: DataFrame) -> DataFrame:
+    """Records (with ops) that may tell a library's sizes: sound, mapped pairs that aren't split and have a plain shape."""
+    f, split = F.col("flag"), F.col("tags")["SA"].isNotNull()
+    sound = ~R.has(f, R.FAILED | R.DUPLICATE) & (split | ~R.has(f, R.SECONDARY | R.SUPPLEMENTARY))
+    mapped = R.has(f, R.PAIRED) & ~R.has(f, R.UNMAPPED | R.MATE_UNMAPPED)
+    return records.filter(sound & mapped & (F.col("mapq") > 0) & ~split & R.plain_shape(F.col("ops"), R.has(f, R.REVERSE)))
+
 
+def library_reads(records: DataFrame) -> DataFrame:
+    """The downstream reads of ``records`` (of core reads' columns) whose mates are kept, with isize as the fragment's size.
 
-def discordant(pairs: DataFrame) -> DataFrame:
-    """Deletions where a pair spans far more than the library's inserts, duplications where far less."""
-    stats = F.broadcast(moments(pairs))
-    wide = F.col("isize") > F.col("mean") + 5 * F.col("sd")
-    narrow = F.col("isize") < F.col("mean") - 3 * F.col("sd")
-    found = pairs.crossJoin(stats).filter(wide | narrow)
-    begin = F.floor(F.col("pos") + F.col("mean") / 2).cast("long")
-    return found.select("pair_id", "contig", F.when(wide, 0).otherwise(2).cast("long").alias("sv_type"), begin.alias("begin_pos"), F.floor(F.abs(F.col("isize") - F.col("mean"))).cast("long").alias("length"))
+    Of the upstream reads that start at one place the first speaks, unless it skips reference; of a pair that starts at one
+    place the read that comes second is the downstream one.  Skipped reference is taken off the size.
+    """
+    rows = core_reads(records).filter("isize <> 0").withColumn("_ahead", F.col("pos") - F.col("mate_pos"))
+    first = Window.partitionBy("source_id", "contig", "qname").orderBy("pos", "flag")
+    rows = rows.withColumn("_up", (F.col("_ahead") < 0) | ((F.col("_ahead") == 0) & (F.row_number().over(first) == 1)))
+    at = Window.partitionBy("source_id", "contig", "pos").orderBy("qname", "flag")
+    up = rows.filter("_up").withColumn("_r", F.row_number().over(at)).filter("_r = 1").filter(~F.exists("ops", lambda o: o["op"] == "N"))
+    kept = up.select("source_id", "contig", "qname")
+    down = rows.filter(~F.col("_up")).join(kept, ["source_id", "contig", "qname"], "left_semi")
+    return down.withColumn("isize", R.simple_size(F.greatest(F.abs("isize") - R.cigar_sum(F.col("ops"), ("N",)), F.lit(0)))).drop("_ahead", "_up")
 
 
 def upstream_kept(pairs: DataFrame) -> DataFrame:
@@ -74,8 +79,10 @@ def depth_filtered(pairs: DataFrame) -> DataFrame:
     return kept.withColumn("read_no", F.lit(1).cast("long")).unionByName(down.withColumn("read_no", F.lit(2).cast("long")))
 
 
-def counters(pairs: DataFrame) -> DataFrame:
-    sure = F.col("mapq") >= 20
-    return pairs.groupBy("contig").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("mapq") == 0).alias("unsure"), F.count_if(~sure).alias("low"), F.count_if(sure).alias("high")
-    )
+def counters(records: DataFrame) -> DataFrame:
+    """Per contig: paired and unpaired records, those of no certainty, of low and of high."""
+    sure, paired = F.col("mapq") >= 20, R.has(F.col("flag"), R.PAIRED)
+    return records.groupBy("contig").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(paired).alias("paired"), F.count_if(~paired).alias("unpaired"),
+        F.count_if(F.col("mapq") == 0).alias("unsure"), F.count_if(~sure).alias("low"), F.count_if(sure).alias("high"),
+    )

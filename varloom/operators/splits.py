@@ -37,12 +37,12 @@ def supplementary_tags(segs: DataFrame) -> DataFrame:
     return segs.groupBy("read_id").agg(F.concat(F.array_join(F.transform(parts, lambda p: p["e"]), ";"), F.lit(";")).alias("sa"))
 
 
-def parse_supplementary(reads: DataFrame) -> DataFrame:
-    """(read_id, idx, contig, pos, strand, cigar, mapq, nm) of the tag's entries; empty entries are none."""
+def parse_supplementary(reads: DataFrame, *more: str) -> DataFrame:
+    """(read_id, ``more``, idx, contig, pos, strand, cigar, mapq, nm) of the tag's entries; empty entries are none."""
     entries = F.filter(F.split("sa", ";"), lambda e: e != "")
     f = F.split("e", ",")
-    return reads.select("read_id", F.posexplode(entries).alias("idx", "e")).select(
-        "read_id", F.col("idx").cast("long").alias("idx"), f[0].alias("contig"), f[1].cast("long").alias("pos"),
+    return reads.select("read_id", *more, F.posexplode(entries).alias("idx", "e")).select(
+        "read_id", *more, F.col("idx").cast("long").alias("idx"), f[0].alias("contig"), f[1].cast("long").alias("pos"),
         F.when(f[2] == "+", 1).otherwise(0).cast("long").alias("strand"), f[3].alias("cigar"), f[4].cast("long").alias("mapq"), f[5].cast("long").alias("nm"),
     )
 
@@ -50,19 +50,20 @@ def parse_supplementary(reads: DataFrame) -> DataFrame:
 def next_on_strand(segs: DataFrame) -> DataFrame:
     """Each segment with the read's next one on its contig and strand within FAR, as columns of ``former`` and ``latter``.
 
-    former is the one that lies first on the reference in the direction of the strand.
+    former is the one that lies first on the reference in the direction of the strand.  A read's segments of one strand are
+    an array, in which each looks ahead.
     """
-    cols = ["idx", "pos", "ref_end", "fwd_pos", "fwd_end"]
-    a = segs.select("read_id", "contig", "strand", *(F.col(c).alias(f"a_{c}") for c in cols))
-    b = segs.select("read_id", "contig", "strand", *(F.col(c).alias(f"b_{c}") for c in cols))
-    pairs = a.join(b, ["read_id", "contig", "strand"]).filter((F.col("b_idx") > F.col("a_idx")) & (F.abs(F.col("a_pos") - F.col("b_pos")) <= FAR))
-    first = Window.partitionBy("read_id", "a_idx").orderBy("b_idx")
-    pairs = pairs.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
-    ahead = F.col("strand") == 1
-    pick = lambda c, one, two: F.when(ahead, F.col(f"{one}_{c}")).otherwise(F.col(f"{two}_{c}"))
+    cols = ["idx", "pos", "ref_end", "fwd_pos", "fwd_end", "quality"]
+    held = segs if "quality" in segs.columns else segs.withColumn("quality", quality())
+    reads = held.groupBy("read_id", "contig", "strand").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("s"))
+    each = reads.filter(F.size("s") > 1).select("read_id", "contig", "strand", "s", F.posexplode("s").alias("k", "a"))
+    ahead = F.filter(F.slice("s", F.col("k") + 2, F.size("s")), lambda x: F.abs(x["pos"] - F.col("a.pos")) <= FAR)
+    pairs = each.withColumn("b", F.get(ahead, F.lit(0))).filter("b is not null")
+    forward = F.col("strand") == 1
+    pick = lambda c, one, two: F.when(forward, F.col(f"{one}.{c}")).otherwise(F.col(f"{two}.{c}"))
     return pairs.select(
-        "read_id", "contig", "a_idx", (F.col("b_fwd_pos") - F.col("a_fwd_end")).alias("inner_gap"),
-        pick("ref_end", "a", "b").alias("former_end"), pick("pos", "b", "a").alias("latter_pos"),
+        "read_id", "contig", F.col("a.idx").alias("a_idx"), (F.col("b.fwd_pos") - F.col("a.fwd_end")).alias("inner_gap"),
+        pick("ref_end", "a", "b").alias("former_end"), pick("pos", "b", "a").alias("latter_pos"), ((F.col("a.quality") + F.col("b.quality")) / 2).alias("quality"),
     )
 
 
@@ -71,7 +72,7 @@ def split_deletions(segs: DataFrame, p: Params) -> DataFrame:
     gap = F.col("latter_pos") - F.col("former_end")
     extra = gap - F.col("inner_gap")
     found = next_on_strand(segs).filter((gap > 0) & (extra >= p.min_sv_len) & (gap <= 2 * extra))
-    return found.select("read_id", "contig", "a_idx", F.col("former_end").alias("begin_pos"), F.col("latter_pos").alias("end_pos"))
+    return found.select("read_id", "contig", "a_idx", F.col("former_end").alias("begin_pos"), F.col("latter_pos").alias("end_pos"), "quality")
 
 
 def split_insertions(segs: DataFrame, sizes: DataFrame, p: Params) -> DataFrame:
@@ -81,7 +82,7 @@ def split_insertions(segs: DataFrame, sizes: DataFrame, p: Params) -> DataFrame:
     begin = F.floor((F.col("former_end") + F.col("latter_pos")) / 2).cast("long")
     # a row per contig
     found = found.withColumn("begin_pos", begin).withColumn("extra", extra).join(F.broadcast(sizes), "contig")
-    return found.select("read_id", "contig", "a_idx", "begin_pos", F.least(F.col("size") - 1, F.col("begin_pos") + F.col("extra")).alias("end_pos"))
+    return found.select("read_id", "contig", "a_idx", "begin_pos", F.least(F.col("size") - 1, F.col("begin_pos") + F.col("extra")).alias("end_pos"), "quality")
 
 
 def _alike(s1: float, e1: float, s2: float, e2: float) -> bool:
@@ -101,57 +102,62 @@ def fold_duplications(rows: list[dict], least: int) -> Iterator[dict]:
         start, end = latter["pos"], former["ref_end"]
         if end - start < least:
             continue
-        here = (a["contig"], a["strand"])
+        here, quality = (a["contig"], a["strand"]), 0.5 * (former["quality"] + latter["quality"])
         if run and run["here"] == here and _alike(run["start"], run["end"], start, end):
             n = run["copies"]
-            run |= {"start": int((run["start"] * n + start) / (n + 1)), "end": int((run["end"] * n + end) / (n + 1)), "copies": n + 1}
+            mean = lambda old, new: old * (n / (n + 1)) + new * (1 / (n + 1))  # noqa: B023, E731
+            run |= {"start": int(mean(run["start"], start)), "end": int(mean(run["end"], end)), "quality": mean(run["quality"], quality), "copies": n + 1}
             continue
         if run and run["end"] - run["start"] > least:
             yield run
-        run = {"here": here, "start": start, "end": end, "copies": 2}
+        run = {"here": here, "start": start, "end": end, "quality": quality, "copies": 2}
     if run and run["end"] - run["start"] >= least:
         yield run
 
 
 def split_duplications(segs: DataFrame, p: Params) -> DataFrame:
-    """(read_id, contig, begin_pos, end_pos, copies): the read passes a stretch of the reference again.
+    """(read_id, contig, begin_pos, end_pos, copies, quality): the read passes a stretch of the reference again.
 
     The fold depends on its own running means, so each read's few segments are handled in order.
     """
 
     def run(rows: list[dict]) -> Iterator[tuple]:
         for d in fold_duplications(rows, p.min_sv_len):
-            yield rows[0]["read_id"], d["here"][0], d["start"], d["end"], d["copies"]
+            yield rows[0]["read_id"], d["here"][0], d["start"], d["end"], d["copies"], d["quality"]
 
-    return map_rows(segs, ["read_id"], ["idx"], run, "read_id long, contig string, begin_pos long, end_pos long, copies long")
+    held = segs if "quality" in segs.columns else segs.withColumn("quality", quality())
+    return map_rows(held, ["read_id"], ["idx"], run, "read_id long, contig string, begin_pos long, end_pos long, copies long, quality double")
 
 
 def _goes_on(former: dict, latter: dict) -> bool:
     return abs(former["pos"] - latter["pos"]) <= FAR and latter["pos"] + 1000 >= former["ref_end"] and latter["pos"] > former["pos"]
 
 
-def scan_inversions(rows: list[dict]) -> Iterator[tuple[dict, bool, bool]]:
-    """(segment, left end seen, right end seen) of one read's strand flips."""
+def scan_inversions(rows: list[dict]) -> Iterator[tuple[dict, bool, bool, float]]:
+    """(segment, left end seen, right end seen, quality) of one read's strand flips."""
     i = 0
     while i < len(rows) - 1:
         a, b = rows[i], rows[i + 1]
         former, latter = (a, b) if a["strand"] == 1 else (b, a)
         if a["strand"] != b["strand"] and a["contig"] == b["contig"] and _goes_on(former, latter):
             back = (c for c in rows[i + 2 :] if c["contig"] == a["contig"] and c["strand"] != b["strand"])
-            if any(_goes_on(b, c) if a["strand"] == 1 else _goes_on(c, b) for c in back):
-                yield b, True, True
+            third = next((c for c in back if (_goes_on(b, c) if a["strand"] == 1 else _goes_on(c, b))), None)
+            if third:
+                yield b, True, True, (a["quality"] + b["quality"] + third["quality"]) / 3
                 i += 1
             else:
-                yield former, False, True
-                yield latter, True, False
+                both = 0.5 * (former["quality"] + latter["quality"])
+                yield former, False, True, both
+                yield latter, True, False, both
         i += 1
 
 
 def split_inversions(segs: DataFrame) -> DataFrame:
-    """(read_id, contig, begin_pos, end_pos, inv_left, inv_right): a stretch is read on the other strand."""
+    """(read_id, contig, begin_pos, end_pos, inv_left, inv_right, quality): a stretch is read on the other strand."""
 
     def run(rows: list[dict]) -> Iterator[tuple]:
-        for s, left, right in scan_inversions(rows):
-            yield s["read_id"], s["contig"], s["pos"], s["ref_end"], left, right
+        for s, left, right, sure in scan_inversions(rows):
+            yield s["read_id"], s["contig"], s["pos"], s["ref_end"], left, right, sure
 
-    return map_rows(segs, ["read_id"], ["idx"], run, "read_id long, contig string, begin_pos long, end_pos long, inv_left boolean, inv_right boolean")
+    held = segs if "quality" in segs.columns else segs.withColumn("quality", quality())
+    return map_rows(held, ["read_id"], ["idx"], run, "read_id long, contig string, begin_pos long, end_pos long, inv_left boolean, inv_right boolean, quality double")

@@ -27,13 +27,6 @@ def scan_region(aln: DataFrame) -> DataFrame:
     return aln.filter("contig = 'N' and pos < 120000 and ref_end > 40000")
 
 
-@query("aln", sql="SELECT CAST((flag & 16) // 16 AS BIGINT) AS source_id, contig, count(*) AS n, CAST(sum(ref_end - pos) AS BIGINT) AS bases FROM aln GROUP BY 1, 2")
-def multi_source_union(aln: DataFrame) -> DataFrame:
-    forward = aln.filter(~R.has(F.col("flag"), R.REVERSE)).withColumn("source_id", F.lit(0).cast("long"))
-    back = aln.filter(R.has(F.col("flag"), R.REVERSE)).withColumn("source_id", F.lit(1).cast("long"))
-    return forward.unionByName(back).groupBy("source_id", "contig").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ref_end") - F.col("pos")).alias("bases"))
-
-
 PROBE = """SELECT contig, max(ref_end - pos) AS longest FROM (
   SELECT *, row_number() OVER (PARTITION BY contig ORDER BY pos, template, ref_end, mapq, flag) AS r FROM aln) WHERE r <= 10 GROUP BY contig"""
 
@@ -43,15 +36,6 @@ def tech_probe(aln: DataFrame) -> DataFrame:
     return S.probe_technology(aln)
 
 
-@query("aln", sql="""
-SELECT contig, CAST(CASE WHEN platform = 'ILLUMINA' THEN 1 WHEN platform IN ('PACBIO', 'ONT') THEN 0 WHEN longest > 1000 THEN 0 ELSE 1 END AS BIGINT) AS tech
-FROM (SELECT *, CASE contig WHEN 'A' THEN 'ILLUMINA' WHEN 'N' THEN 'ONT' END AS platform FROM probe)""", probe=PROBE)
-def tech_detect(aln: DataFrame) -> DataFrame:
-    platform = F.when(F.col("contig") == "A", "ILLUMINA").when(F.col("contig") == "N", "ONT")
-    known = F.when(platform == "ILLUMINA", 1).when(platform.isin("PACBIO", "ONT"), 0)
-    return S.probe_technology(aln).select("contig", F.coalesce(known.cast("long"), "tech").alias("tech"))
-
-
 @query("aln", sql="""
 SELECT flag, (flag & 4) <> 0 AS unmapped, (flag & 1) <> 0 AS paired, (flag & 2304) = 0 AS is_primary, (flag & 256) <> 0 AS secondary,
  (flag & 2048) <> 0 AS supplementary, (flag & 16) <> 0 AS reverse, count(*) AS n FROM aln GROUP BY flag""")
@@ -112,14 +96,6 @@ def sig_ins_cigar(ops: DataFrame) -> DataFrame:
     return S.cigar_signatures(ops, "I", ONT).select("read_id", "op_idx", "begin_pos", "end_pos", "length")
 
 
-@query("cigar_op", sql="""SELECT o.read_id, op_idx, substr(repeat('ACGT', 40), CAST(query_off % 4 AS INTEGER) + 1, CAST(op_len AS INTEGER)) AS bases
-FROM offsets o JOIN admitted a ON a.read_id = o.read_id WHERE op = 'I' AND op_len >= 30""", offsets=OFFSETS, admitted=ADMITTED)
-def ins_bases(ops: DataFrame) -> DataFrame:
-    # reads repeat ACGT: the bases from an offset on are those from its remainder on
-    bases = F.substring(F.repeat(F.lit("ACGT"), F.lit(40)), (F.col("query_off") % 4 + 1).cast("int"), F.col("length").cast("int"))
-    return S.cigar_signatures(ops, "I", ONT).select("read_id", "op_idx", bases.alias("bases"))
-
-
 @query("sig", sql="SELECT contig, sv_type, begin_pos, end_pos, length, template, CAST(tech AS BIGINT) AS tech FROM sig")
 def sig_checkpoint(sig: DataFrame) -> DataFrame:
     kept = materialize(sig, shared_folder(sig.sparkSession), "signatures")

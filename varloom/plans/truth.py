@@ -76,7 +76,9 @@ def bed_scan(truth: DataFrame) -> DataFrame:
     return formats.read_bed(truth.sparkSession, f"{folder}/truth.bed", "truth_id long")
 
 
-@query("truth")
+@query("truth", sql="""SELECT contig, pos, end_pos, truth_id FROM greedy WHERE stays""", placed="SELECT *, pos + sv_len AS end_pos, row_number() OVER (PARTITION BY contig ORDER BY pos, pos + sv_len, truth_id) AS r FROM truth",
+greedy="""SELECT contig, pos, end_pos, truth_id, r, end_pos AS last, true AS stays FROM placed WHERE r = 1
+UNION ALL SELECT p.contig, p.pos, p.end_pos, p.truth_id, p.r, CASE WHEN p.pos > g.last THEN p.end_pos ELSE g.last END, p.pos > g.last FROM greedy g JOIN placed p ON p.contig = g.contig AND p.r = g.r + 1""")
 def sim_deoverlap(truth: DataFrame) -> DataFrame:
     return T.without_overlaps(truth.withColumn("end_pos", F.col("pos") + F.col("sv_len")), "pos", "end_pos", "truth_id")
 
@@ -103,6 +105,11 @@ def simple_merge(ops: DataFrame) -> DataFrame:
     return M.simple_merge(_sigs(ops, "D"), ONT)
 
 
+@query("cigar_op", sql="SELECT read_id, begin_pos, CAST(length AS BIGINT) AS length, CAST(parts AS BIGINT) AS parts FROM fold", offsets=OFFSETS, admitted=ADMITTED, sigs=SIGS, fold=FOLD.replace("- w.begin_pos - w.length >=", "- w.begin_pos >="))
+def regional_merge(ops: DataFrame) -> DataFrame:
+    return M.simple_merge(_sigs(ops, "D"), ONT, regional=True)
+
+
 def _ranged(ops: DataFrame) -> DataFrame:
     """Reads with the extents of their deletions and insertions; a region is an eighth of the reads."""
     both = S.cigar_signatures(ops, "D", ONT).withColumn("gone", F.lit(True)).unionByName(S.cigar_signatures(ops, "I", ONT).withColumn("gone", F.lit(False)))

@@ -50,7 +50,9 @@ FROM {orders}""",
     "pair": """
 SELECT o_orderkey AS pair_id, o_orderstatus AS contig, CAST(floor(o_totalprice) AS BIGINT) AS pos,
  300 + o_custkey % 200 + CASE WHEN o_orderkey % 97 = 0 THEN 3000 ELSE 0 END AS isize,
- CAST(o_orderkey % 2 AS BIGINT) AS reverse, CAST(o_custkey % 60 AS BIGINT) AS mapq
+ CAST(o_orderkey % 2 AS BIGINT) AS reverse, CAST(o_custkey % 60 AS BIGINT) AS mapq,
+ CAST(CASE WHEN o_orderkey % 13 = 0 THEN o_orderkey % 2 ELSE 1 - o_orderkey % 2 END AS BIGINT) AS mate_reverse,
+ CAST(floor(o_totalprice) AS BIGINT) + (300 + o_custkey % 200 + CASE WHEN o_orderkey % 97 = 0 THEN 3000 ELSE 0 END - 100) * (1 - 2 * (o_orderkey % 2)) AS mate_pos
 FROM {orders}""",
     "truth": """
 SELECT CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS contig, CAST(p_size % 4 AS BIGINT) AS sv_type, p_partkey * 100 AS pos,
@@ -70,7 +72,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(names: tuple[str, ...], body: str, **more: str) -> str:
     """``body`` in SQL, after the projections ``names`` and further named subqueries, which may use them and each other."""
     parts = {n: SQL[n].format(**{t: t for t in TABLES}) for n in names} | more
-    return "WITH " + ", ".join(f"{n} AS ({q})" for n, q in parts.items()) + "\n" + body
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({q})" for n, q in parts.items()) + "\n" + body
 
 
 def reference(contigs: DataFrame, size: int) -> DataFrame:
