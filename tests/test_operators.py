@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from varloom import params
-from varloom.operators import calls, clusters, intervals, merge, splits, truth, vcf
+from varloom.functions import reads
+from varloom.operators import calls, clusters, intervals, merge, records, splits, truth, vcf
 from varloom.operators.signatures import sorted_signatures
 from varloom.params import ONT
 from varloom.sources import formats
@@ -174,14 +175,14 @@ def test_tail_agrees_with_fractions(spark):
 
 
 def segment(idx, contig, strand, pos, end):
-    return {"idx": idx, "contig": contig, "strand": strand, "pos": pos, "ref_end": end}
+    return {"idx": idx, "contig": contig, "strand": strand, "pos": pos, "ref_end": end, "quality": 1 - idx / 10}
 
 
 def test_inversions_full_and_half():
     full = [segment(0, "c", 1, 0, 1000), segment(1, "c", 0, 1200, 2000), segment(2, "c", 1, 2100, 3000)]
-    assert [(s["pos"], a, b) for s, a, b in splits.scan_inversions(full)] == [(1200, True, True)]
+    assert [(s["pos"], a, b, round(q, 6)) for s, a, b, q in splits.scan_inversions(full)] == [(1200, True, True, 0.9)]
     half = list(splits.scan_inversions(full[:2]))
-    assert [(s["pos"], a, b) for s, a, b in half] == [(0, False, True), (1200, True, False)]
+    assert [(s["pos"], a, b, round(q, 6)) for s, a, b, q in half] == [(0, False, True, 0.95), (1200, True, False, 0.95)]
 
 
 def test_alike_overlaps_are_copies():
@@ -234,7 +235,7 @@ def test_formats_round_trip(spark, tmp_path):
     group = [r["fields"] for r in formats.sam_header(spark, str(tmp_path / "a.sam")).collect() if r["kind"] == "RG"][0]
     assert group["PL"] == "ONT" and group["SM"] == "me"
     (tmp_path / "a.fa").write_text(">chr1 first\nACGT\nacg\n>chr2\nTTT\n")
-    assert sorted(map(tuple, formats.read_fasta(spark, str(tmp_path / "a.fa")).collect())) == [("chr1", "ACGTACG"), ("chr2", "TTT")]
+    assert sorted(map(tuple, formats.fasta_chunks(spark, str(tmp_path / "a.fa"), 100).collect())) == [("chr1", 0, "ACGTACG"), ("chr2", 0, "TTT")]
     (tmp_path / "a.fa.fai").write_text("chr1\t7\t12\t4\t5\n")
     assert formats.read_fai(spark, str(tmp_path / "a.fa.fai")).first()["size"] == 7
     (tmp_path / "a.vcf").write_text("##x\n#CHROM\nchr1\t11\tid\tA\t<DEL>\t.\tPASS\tPRECISE;SVLEN=-40\tGT\t0/1\n")
@@ -282,3 +283,53 @@ def test_presets():
     for name, values in want.items():
         for field, value in zip(fields, values, strict=True):
             assert getattr(getattr(params, name), field) == value, (name, field)
+
+
+def test_record_shapes(spark):
+    """Matches, one skip at most, clips behind the matches only, as the read runs; for a reverse read from the right."""
+    plain = {"100M": (True, True), "90M10S": (True, False), "10S90M": (False, True), "40M50N60M": (True, True), "10M5N10M5N10M": (False, False), "50M2I50M": (False, False), "50=1X49=": (True, True), "5H95M": (False, False), "100S": (False, False)}
+    df = spark.createDataFrame([(c, r) for c in plain for r in (False, True)], "cigar string, reverse boolean")
+    got = {(r["cigar"], r["reverse"]): r["ok"] for r in df.withColumn("ok", reads.plain_shape(reads.cigar_ops(F.col("cigar")), F.col("reverse"))).collect()}
+    assert got == {(c, r): ok[r] for c, ok in plain.items() for r in (False, True)}
+
+
+def test_records_of_a_file(spark, tmp_path):
+    """A SAM file with one record for each branch, and its header's platform."""
+    line = lambda *f: "\t".join(map(str, f))
+    seq = "ACGT" * 300
+    (tmp_path / "a.sam").write_text("\n".join([
+        "@HD\tVN:1.6", "@SQ\tSN:c\tLN:100000", "@RG\tID:1\tPL:ONT\tSM:me",
+        line("indel", 0, "c", 101, 60, "500M40D500M50I50M", "*", 0, 0, seq[:1100], "*", "AS:i:550", "HP:i:2"),
+        line("low", 0, "c", 101, 10, "500M40D500M", "*", 0, 0, seq[:1000], "*"),
+        line("split", 0, "c", 1001, 60, "600M400S", "*", 0, 0, seq[:1000], "*", "SA:Z:c,2500,+,600S400M,60,40;", "NM:i:0", "HP:i:1"),
+    ]) + "\n")
+    rows = records.scan([formats.read_sam(spark, str(tmp_path / "a.sam"))])
+    platforms = spark.createDataFrame([(0, formats.platform(formats.sam_header(spark, str(tmp_path / "a.sam"))))], "source_id long, platform string")
+    tech = records.technologies(records.prepared(rows), platforms)
+    sizes = spark.createDataFrame([("c", 100_000)], "contig string, size long")
+    moments = spark.createDataFrame([(300.0, 10.0)], "mean double, sd double")
+    got = {(r["template"], r["sv_type"]): r for r in records.signatures(rows, tech, sizes, ONT, moments).collect()}
+    assert set(got) == {("indel", 0), ("indel", 1), ("split", 0)}
+    gone, more, split = got["indel", 0], got["indel", 1], got["split", 0]
+    assert (gone["begin_pos"], gone["end_pos"], gone["hp"], gone["quality"]) == (600, 640, 2, 550 / 1100)
+    assert (more["begin_pos"], more["length"], more["ins_bases"]) == (1140, 50, seq[1000:1050])
+    assert (split["begin_pos"], split["end_pos"], split["hp"], round(split["quality"], 6)) == (1600, 2500, 1, 0.95)
+    read = records.prepared(rows).withColumn("tech", F.lit(0))
+    cover = sorted(tuple(r) for r in records.covering(read, sizes, ONT).collect())
+    assert cover == [("c", 100, 1190), ("c", 1000, 1600), ("c", 2500, 2900)]
+
+
+@pytest.mark.parametrize("block", ["1m", "64"])
+def test_fasta_chunks(spark, tmp_path, block):
+    """Chunks of a reference whose lines are read in any blocks."""
+    rng = random.Random(5)
+    contigs = {f"chr{i}": "".join(rng.choices("ACGTacgtN", k=n)) for i, n in enumerate((0, 7, 95, 250))}
+    text = "".join(f">{c} some words\n" + "".join(s[i : i + 30] + "\n" for i in range(0, len(s), 30)) for c, s in contigs.items())
+    (tmp_path / "a.fa").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        got = {(r["contig"], r["chunk"]): r["seq"] for r in formats.fasta_chunks(spark, str(tmp_path / "a.fa"), 40).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {(c, i // 40): s[i : i + 40].upper() for c, s in contigs.items() for i in range(0, len(s), 40)}
