@@ -10,7 +10,8 @@ Seating follows the Chinese-restaurant process and is resampled in Gibbs sweeps:
 context's customers given the rest.  Predictive probabilities are averaged over the sweeps.
 
 Counts of pairs and words, vocabulary and all seating of words are distributed tables that grow with the corpus.  The character
-model is kept to its CELLS most frequent pairs of context and symbol, and so is small enough to broadcast.
+model holds every pair of context and symbol; with ORDER bytes of context there are fewer than 17 million of them whatever
+the corpus, which bounds what is broadcast.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from varloom.cluster import materialize, shared_folder
 from varloom.llm.common import column, lookup
 from varloom.llm.textsets import blocks, mix64, word_bounds, word_hashes
 
-#: Bytes of context, pairs of context and symbol kept, sweeps averaged, sweeps inside the character model.
-ORDER, CELLS, SAMPLES, CHAR_SWEEPS = 4, 200_000, 3, 3
+#: Bytes of context, sweeps averaged, sweeps inside the character model.
+ORDER, SAMPLES, CHAR_SWEEPS = 2, 3, 3
 STRENGTH = 1.0
 #: Share of the base measure that is uniform over the known words and one unknown word; the rest spells words.
 CLOSED = 0.9
@@ -54,14 +55,14 @@ def uniform(ids: np.ndarray, *salt: int) -> np.ndarray:
 def seat(ids: np.ndarray, customers: np.ndarray, pull: np.ndarray, discount: float, sweep: int) -> np.ndarray:
     """Tables after ``customers`` of a dish have come: each starts a table with odds pull : seated - discount * tables.
 
-    ``pull`` is (strength + discount * the restaurant's tables) * the parent's probability.  Beyond 32 customers
-    they come in batches of a sixteenth of those seated.
+    ``pull`` is (strength + discount * the restaurant's tables) * the parent's probability.  Customers come in batches of a
+    sixteenth of those seated, or one by one while that is less.
     """
     tables = np.minimum(customers, 1).astype(np.float64)
     at = np.flatnonzero(customers > 1)
     seated, step = 1, 0
     while len(at):
-        batch = 1 if seated < 32 else seated // 16
+        batch = max(1, seated // 16)
         n = np.minimum(batch, customers[at] - seated)
         chance = pull[at] / (pull[at] + np.maximum(seated - discount * tables[at], 1e-9))
         tables[at] += np.floor(n * chance + uniform(ids[at], sweep, step))
@@ -361,7 +362,7 @@ def _sweep(vocabulary: DataFrame, totals: Totals, samples: list[Sample], folder:
     if samples:
         samples[-1].tables = float(tables)
     if len(samples) < SAMPLES:
-        best = got.filter("cell >= 0").orderBy(F.desc("n"), "cell").limit(CELLS).toPandas()
+        best = got.filter("cell >= 0").orderBy("cell").toPandas()
         characters = Characters(best["cell"].to_numpy(np.int64), np.round(best["n"].to_numpy(np.float64)), len(samples))
         samples.append(Sample(characters, float(tables)))
 
