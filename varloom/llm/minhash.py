@@ -8,8 +8,9 @@ orders all shingles; the sketch keeps the ``SKETCH`` smallest.
    below one in a million for a pair at the threshold).  With the rarest retained values first, it is enough to look up
    each sketch's first ``SKETCH - SHARED + 1`` values in the inverted lists.
 3. The members of an inverted list form a group under the list's most typical member; lists with the same
-   centre form one group.  Groups above ``BLOCK`` members are dealt out as pairs of blocks, so no task holds
-   an unbounded group and none is capped.
+   centre form one group.  In groups above ``BLOCK`` members all are first compared with the centre alone, block by block:
+   those that are linked with it are settled, as two of them need no link of their own.  The others are compared with
+   all members, dealt out as pairs of blocks, so no task holds an unbounded group and none is capped.
 4. Inside a group the bottom-k sketch of the union estimates the similarity; documents with no partner
    above the threshold less a slack leave.
 5. Full sets of the rest are compared exactly; each block emits a spanning forest of its links only.
@@ -95,6 +96,19 @@ def overlaps(values: np.ndarray, offsets: np.ndarray):
         yield i, np.bincount(post[np.repeat(start[mine] - before, width) + np.arange(width.sum())], minlength=m)
 
 
+def _maybe(i: int, j: int, common: int, n: np.ndarray, values: np.ndarray, offsets: np.ndarray, low: float) -> bool:
+    """Whether the similarity of i and j may reach the threshold, by their sketches and what these have in common."""
+    if n[i] <= SKETCH and n[j] <= SKETCH:
+        return common / (n[i] + n[j] - common) >= low - 1e-9
+    # the union's bottom-k: up to the smaller of the two last values of cut sketches
+    cut = min(int(values[offsets[x + 1] - 1]) for x in (i, j) if n[x] > SKETCH)
+    a, b = (values[offsets[x] : offsets[x + 1]] for x in (i, j))
+    a, b = a[a <= cut], b[b <= cut]
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - both
+    return both >= union * low - 6.5 * np.sqrt(union * low * (1 - low)) - 1
+
+
 def _promising(percent: int):
     """Members of a group with a partner whose estimated similarity may reach the threshold."""
     low = percent / 100
@@ -108,10 +122,7 @@ def _promising(percent: int):
         block = int64(column(batch, "own"))
         cross = int64(column(batch, "i"))[0] != int64(column(batch, "j"))[0]
         values, offsets = lists(column(batch, "sketch"))
-        k = np.diff(offsets)
-        unsigned = values.view(np.uint64)
-        last = unsigned[offsets[1:] - 1]
-        whole = n <= SKETCH
+        k, unsigned = np.diff(offsets), values.view(np.uint64)
         good = np.zeros(m, dtype=bool)
         for i, common in overlaps(values, offsets):
             near = common >= np.minimum(SHARED, np.minimum(k, k[i]) * (low - 0.08))
@@ -120,17 +131,8 @@ def _promising(percent: int):
             if cross:
                 near &= block != block[i]
             for j in np.flatnonzero(near & ~(good & good[i])):
-                if whole[i] and whole[j]:
-                    share = common[j] / (n[i] + n[j] - common[j])
-                    good[[i, j]] |= share >= low - 1e-9
-                    continue
-                # the union's bottom-k: up to the smaller of the two last values of cut sketches
-                cut = min([int(last[x]) for x in (i, j) if not whole[x]])
-                a = unsigned[offsets[i] : offsets[i + 1]]
-                b = unsigned[offsets[j] : offsets[j + 1]]
-                a, b = a[a <= cut], b[b <= cut]
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good[[i, j]] |= both >= (len(a) + len(b) - both) * low - 6.5 * np.sqrt((len(a) + len(b) - both) * low * (1 - low)) - 1
+                if _maybe(i, j, common[j], n, unsigned, offsets, low):
+                    good[[i, j]] = True
         if not good.any():
             return None
         return pa.RecordBatch.from_arrays([pa.array(int64(column(batch, "center"))[good]), pa.array(ids[good])], names=["center", "rep"])
@@ -138,6 +140,45 @@ def _promising(percent: int):
     return run
 
 
+def _with_center(values: np.ndarray, offsets: np.ndarray, center: int) -> np.ndarray:
+    """How many values each list has in common with the center's."""
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    return np.bincount(owner[np.isin(values, values[offsets[center] : offsets[center + 1]])], minlength=len(offsets) - 1)
+
+
+def _like_center(percent: int):
+    """Members of a block whose estimated similarity to the center may reach the threshold, and the center."""
+    low = percent / 100
+
+    def run(table: pa.Table) -> pa.RecordBatch | None:
+        batch = table.combine_chunks().to_batches()[0]
+        ids, n, center = int64(column(batch, "rep")), int64(column(batch, "n")), int64(column(batch, "center"))
+        c = int(np.flatnonzero(ids == center)[0])
+        values, offsets = lists(column(batch, "sketch"))
+        k, common = np.diff(offsets), _with_center(values, offsets, c)
+        near = (common >= np.minimum(SHARED, np.minimum(k, k[c]) * (low - 0.08))) & (np.minimum(n, n[c]) >= low * np.maximum(n, n[c])) & (common > 0)
+        good = np.array([j for j in np.flatnonzero(near) if j == c or _maybe(c, j, common[j], n, values.view(np.uint64), offsets, low)], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(center[good]), pa.array(ids[good])], names=["center", "rep"]) if len(good) > 1 else None
+
+    return run
+
+
+def _linked_with_center(percent: int):
+    """The exact links of a block's members with the center."""
+
+    def run(table: pa.Table) -> pa.RecordBatch | None:
+        batch = table.combine_chunks().to_batches()[0]
+        ids, center = int64(column(batch, "rep")), int64(column(batch, "center"))
+        c = int(np.flatnonzero(ids == center)[0])
+        values, offsets = lists(column(batch, "shingles"))
+        n, common = np.diff(offsets), _with_center(values, offsets, c)
+        linked = 100 * common >= percent * (n + n[c] - common)
+        linked[c] = False
+        return pa.RecordBatch.from_arrays([pa.array(center[linked]), pa.array(ids[linked])], names=["center", "rep"]) if linked.any() else None
+
+    return run
+
+
 def _links(percent: int):
     """A spanning forest of the exact links inside one group."""
 
@@ -171,15 +212,26 @@ def _links(percent: int):
 
 
 def _dealt(groups: DataFrame) -> DataFrame:
-    """(center, rep) as rows of pairs of blocks: a group of at most BLOCK members is one pair."""
-    sizes = groups.groupBy("center").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    return (
-        groups.join(sizes.select("center", F.ceil(F.col("_m") / BLOCK).cast("int").alias("blocks")), "center")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("center", "rep", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    )
+    """(center, rep, settled) as rows of pairs of blocks, of which one at least holds rows that aren't settled.
+
+    A group of at most BLOCK members is one pair.
+    """
+    sizes = groups.groupBy("center").agg(F.count_if(~F.col("settled")).alias("u"), F.count_if("settled").alias("s")).filter("u > 0 and u + s > 1")
+    blocks = sizes.select("center", F.ceil(F.col("u") / BLOCK).cast("int").alias("open"), F.ceil(F.col("s") / BLOCK).cast("int").alias("shut"))
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(n, F.lit(1))).cast("int")
+    own = F.when(F.col("settled"), F.col("open") + place(F.col("shut"))).otherwise(place(F.col("open")))
+    others = F.when(F.col("settled"), F.sequence(F.lit(0), F.col("open") - 1)).otherwise(F.sequence(F.lit(0), F.col("open") + F.col("shut") - 1))
+    dealt = lookup(groups, blocks, ["center"]).filter("open is not null").withColumn("own", own).withColumn("other", F.explode(others))
+    return dealt.select("center", "rep", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _around_centers(groups: DataFrame) -> DataFrame:
+    """(center, rep, i): the members of groups above BLOCK by blocks, with the center in each."""
+    sizes = groups.groupBy("center").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK)
+    blocks = sizes.select("center", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    place = F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    every = F.when(F.col("rep") == F.col("center"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(place)
+    return lookup(groups, blocks, ["center"]).filter("blocks is not null").select("center", "rep", F.explode(every).alias("i"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -227,13 +279,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     groups = materialize(posts.join(centers, "v").select("center", "rep").distinct(), folder, "groups")
 
     one = classes.select("rep", "n", "sketch")
-    near = by_group(_dealt(groups).join(one, "rep"), ["center", "i", "j"], _promising(percent), "center long, rep long")
-    near = materialize(near.distinct(), folder, "near")
-
-    wanted = near.select(F.col("rep").alias("doc_id")).distinct()
-    again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = full_sets(again, words).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
-    links = by_group(_dealt(near).join(sets, "rep"), ["center", "i", "j"], _links(percent), "a long, b long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        wanted = rows.select(F.col("rep").alias("doc_id")).distinct()
+        return full_sets(texts.join(wanted, "doc_id", "left_semi"), words).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
+
+    around = materialize(_around_centers(groups), folder, "around")
+    like = by_group(around.join(one, "rep"), ["center", "i"], _like_center(percent), "center long, rep long")
+    like = materialize(like.distinct(), folder, "like")
+    around = around.join(like, ["center", "rep"], "left_semi")
+    settled = by_group(around.join(sets_of(like), "rep"), ["center", "i"], _linked_with_center(percent), "center long, rep long")
+    settled = materialize(settled.distinct(), folder, "settled")
+
+    def marked(rows: DataFrame, name: str) -> DataFrame:
+        known = settled.withColumn("settled", F.lit(True))
+        joined = rows.join(known, ["center", "rep"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+        return materialize(joined.select("center", "rep", "settled"), folder, name)
+
+    near = by_group(_dealt(marked(groups, "marked")).join(one, "rep"), ["center", "i", "j"], _promising(percent), "center long, rep long")
+    near = marked(near.distinct(), "near")
+    links = by_group(_dealt(near).join(sets_of(near), "rep"), ["center", "i", "j"], _links(percent), "a long, b long")
+    links = links.unionByName(settled.select(F.col("center").alias("a"), F.col("rep").alias("b")))
     found = components(links, folder, "components")
 
     named = (
