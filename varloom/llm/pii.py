@@ -82,7 +82,7 @@ class _Words:
         plain = _PLAIN[data]
         opens = plain.copy()
         opens[1:] &= ~plain[:-1]
-        count = lambda mask: np.concatenate(([0], np.cumsum(mask)))
+        count = lambda mask: np.concatenate((np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)))
         runs, digits = count(opens), count(_DIGIT[data])
         first = plain[self.start] & ~opens[self.start] if len(self.start) else np.zeros(0, bool)
         self.odd = (runs[self.end] - runs[self.start] + first > 1) | (digits[self.end] > digits[self.start])
