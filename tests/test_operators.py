@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from varloom import params
 from varloom.functions import reads
-from varloom.operators import calls, clusters, intervals, merge, records, splits, truth, vcf
+from varloom.operators import calls, clusters, intervals, library, merge, records, splits, truth, vcf
 from varloom.operators.signatures import sorted_signatures
 from varloom.params import ONT
 from varloom.sources import formats
@@ -45,7 +45,11 @@ def plain_clusters(rows, p):
             return False
         return abs(x["length"] - y["length"]) <= int(max(p.length_min[t], int(least * p.length_ratio[t])) * ratio)
 
-    found = [{"in": [i], "first": r["begin_pos"], "last": r["end_pos"]} for i, r in enumerate(rows)]
+    return plain_rounds(rows, brothers, p.force[t] + p.near[t], p)
+
+
+def plain_rounds(things, brothers, slack, p):
+    found = [{"in": [i], "first": r["begin_pos"], "last": r["end_pos"]} for i, r in enumerate(things)]
     again = True
     while again:
         again = False
@@ -57,8 +61,8 @@ def plain_clusters(rows, p):
                 b = found[m]
                 if a["last"] + min(p.cluster_reach, 0.5 * (a["last"] - a["first"])) < b["first"]:
                     break
-                apart = b["first"] >= a["last"] + p.force[t] or a["first"] >= b["last"] + p.force[t]
-                if not apart and any(brothers(rows[x], rows[y]) for x in a["in"] for y in b["in"]):
+                apart = b["first"] > a["last"] + slack or a["first"] > b["last"] + slack
+                if not apart and any(brothers(things[x], things[y]) for x in a["in"] for y in b["in"]):
                     a["in"] += b["in"]
                     a["first"], a["last"] = min(a["first"], b["first"]), max(a["last"], b["last"])
                     del found[m]
@@ -68,6 +72,36 @@ def plain_clusters(rows, p):
     return [c["in"] for c in found]
 
 
+def plain_layers(rows, p):
+    """(row's number: (cluster, core)) of one type's rows after both layers."""
+    t = rows[0]["sv_type"]
+    mean = lambda part, c: sum(rows[i][c] for i in part) / len(part)
+    parts = [{"rows": part, "begin_pos": min(rows[i]["begin_pos"] for i in part), "end_pos": max(rows[i]["end_pos"] for i in part), "name": min(rows[i]["sig_id"] for i in part)} for part in plain_clusters(rows, p)]
+    parts.sort(key=lambda x: (x["begin_pos"], x["name"]))
+
+    def brothers(x, y):
+        a, b = x["rows"], y["rows"]
+        n, length = min(len(a), len(b)), (mean(a, "length") + mean(b, "length")) / 2
+        if abs(mean(a, "begin_pos") - mean(b, "begin_pos")) >= 200 or abs(mean(a, "end_pos") - mean(b, "end_pos")) >= 200:
+            return False
+        close = abs(mean(a, "length") - mean(b, "length")) < p.force2[t] / n
+        if len(a) == len(b) == 1:
+            return close
+        if not close and abs(mean(a, "length") - length) / length >= p.length_ratio2[t] / n:
+            return False
+        return not {rows[i]["template"] for i in a} & {rows[i]["template"] for i in b}
+
+    out = {}
+    for found in plain_rounds(parts, brothers, p.force[t] + p.near[t], p):
+        members = [parts[k] for k in found]
+        top = max(members, key=lambda x: (len(x["rows"]), -x["name"]))
+        name, total = min(x["name"] for x in members), sum(len(x["rows"]) for x in members)
+        for x in members:
+            core = x is top and len(x["rows"]) >= 0.7 * total
+            out |= {rows[i]["sig_id"]: (name, core) for i in x["rows"]}
+    return out
+
+
 def plainly_clustered(sig, p):
     by_type = {}
     for r in sig.orderBy("sv_type", "sig_id").collect():
@@ -245,18 +279,16 @@ def test_formats_round_trip(spark, tmp_path):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_second_layer_gathers_whole_clusters(spark, seed):
+def test_two_layers(spark, seed):
+    """Both layers against the rules over everything, with the second one's range."""
+    p = replace(ONT, near=(100, 50, 300, 100))
     sig = sorted_signatures(spark.createDataFrame(signatures(seed, 80), SCHEMA))
-    parts = {(r["sv_type"], r["sig_id"]): r["cluster"] for r in clusters.exact_clusters(sig, ONT).collect()}
-    got = {(r["sv_type"], r["sig_id"]): (r["cluster"], r["core"]) for r in clusters.two_layers(sig, ONT).collect()}
-    assert set(got) == set(parts)
-    into, rows = {}, {}
-    for key, part in parts.items():
-        assert into.setdefault((key[0], part), got[key][0]) == got[key][0] and got[key][0] <= part
-        rows.setdefault((key[0], got[key][0]), []).append((part, got[key][1]))
-    for found in rows.values():
-        core = [part for part, c in found if c]
-        assert len(set(core)) <= 1 and (not core or len(core) >= 0.7 * len(found))
+    got = {(r["sv_type"], r["sig_id"]): (r["cluster"], r["core"]) for r in clusters.two_layers(sig, p).collect()}
+    want = {}
+    for t in range(4):
+        rows = [r.asDict() for r in sig.filter(F.col("sv_type") == t).orderBy("sig_id").collect()]
+        want |= {(t, i): x for i, x in plain_layers(rows, p).items()}
+    assert got == want
 
 
 def test_custom_parameters():
@@ -319,6 +351,15 @@ def test_records_of_a_file(spark, tmp_path):
     assert cover == [("c", 100, 1190), ("c", 1000, 1600), ("c", 2500, 2900)]
 
 
+def test_sample_grows_until_it_settles(spark):
+    """Sizes that hardly differ settle in a part, many different ones in none."""
+    one = spark.range(20_000).select(F.col("id").alias("pair_id"), F.lit(300).alias("isize"))
+    some = library.sampled(one, "pair_id")
+    assert 0 < some.count() < 20_000 and library.moments(some).first()["mean"] == 300
+    many = spark.range(500).select(F.col("id").alias("pair_id"), (F.col("id") * 37).alias("isize"))
+    assert library.sampled(many, "pair_id").count() == 500 and library.sampled(many.limit(0), "pair_id").count() == 0
+
+
 @pytest.mark.parametrize("block", ["1m", "64"])
 def test_fasta_chunks(spark, tmp_path, block):
     """Chunks of a reference whose lines are read in any blocks."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varloom.operators import clusters as C
 from varloom.operators import coverage as V
-from varloom.operators.intervals import BIN
+from varloom.operators.intervals import containing
 from varloom.params import GENOTYPE_RATIO, TYPES, Params
 
 #: Bases around an insertion that a record must span, and the tail probability of one haplotype below which a call is homozygous.
@@ -122,18 +122,15 @@ def genotyped(calls: DataFrame, aln: DataFrame, contigs: DataFrame, cov: DataFra
 def flag_duplicated_insertions(calls: DataFrame) -> DataFrame:
     """Insertions with inside: whether they lie in a duplication that is no shorter and are too widely spread to be their own.
 
-    Only contigs with more than a duplication to 20 insertions are looked at.  Duplications go into every bin that
-    they touch, insertions into theirs.
+    Only contigs with more than a duplication to 20 insertions are looked at.
     """
     kept = calls.groupBy("contig").agg(F.count_if(F.col("keep") & (F.col("sv_type") == 2)).alias("dups"), F.count_if(F.col("keep") & (F.col("sv_type") == 1)).alias("inss"))
     ratio = kept.select("contig", (F.col("dups") / F.when(F.col("inss") > 0, F.col("inss"))).alias("ratio")).filter("ratio > 0.05")
     ins = calls.filter("sv_type = 1 and keep").join(F.broadcast(ratio), "contig", "left")
     wide = ins.filter(F.col("ratio").isNotNull() & (F.floor("sd_begin") >= 2 / F.col("ratio")))
-    bins = F.sequence(F.floor(F.col("pos") / BIN), F.floor((F.col("pos") + F.col("sv_len")) / BIN))
-    dups = calls.filter("sv_type = 2").select("contig", F.col("pos").alias("d_pos"), F.col("sv_len").alias("d_len"), F.explode(bins).alias("_bin"))
-    asked = wide.withColumn("_bin", F.floor(F.col("pos") / BIN))
-    inside = (F.col("pos") >= F.col("d_pos")) & (F.col("pos") <= F.col("d_pos") + F.col("d_len")) & (F.col("sv_len") <= F.col("d_len"))
-    found = asked.join(dups, ["contig", "_bin"]).filter(inside).select(*C.CLUSTER).distinct().withColumn("inside", F.lit(True))
+    dups = calls.filter("sv_type = 2").select("contig", F.col("pos").alias("begin_pos"), (F.col("pos") + F.col("sv_len")).alias("end_pos"))
+    met = containing(wide.select(*C.CLUSTER, "pos", "sv_len"), dups, "pos", "pos")
+    found = met.filter(F.col("sv_len") <= F.col("_e") - F.col("_b")).select(*C.CLUSTER).distinct().withColumn("inside", F.lit(True))
     return ins.drop("ratio").join(found, C.CLUSTER, "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 

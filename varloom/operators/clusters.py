@@ -141,12 +141,17 @@ def gathered(i: np.ndarray, j: np.ndarray, group: np.ndarray, first: np.ndarray,
         into = step[into]
 
 
+def _slack(t: np.ndarray, p: Params) -> np.ndarray:
+    """How far apart the extents of clusters may be that are taken together."""
+    return np.array(p.force, np.float64)[t] + np.array(p.near, np.float64)[t]
+
+
 def rounds(table: pa.Table, group: np.ndarray, p: Params) -> np.ndarray:
     """The clusters' numbers of signatures that come by group (an island of one type) and sig_id."""
     get = lambda c: numbers(table, c).astype(np.int64)
     t, begin, end = get("sv_type"), get("begin_pos"), get("end_pos")
     i, j = brothers(begin, end, get("length"), get("hp"), codes(table, "template"), t, group, p)
-    return gathered(i, j, group, begin, end, np.array(p.force, np.float64)[t] - 1, p)
+    return gathered(i, j, group, begin, end, _slack(t, p), p)
 
 
 def gathered_clusters(table: pa.Table, group: np.ndarray, p: Params) -> np.ndarray:
@@ -169,7 +174,7 @@ def gathered_clusters(table: pa.Table, group: np.ndarray, p: Params) -> np.ndarr
     single = (size[i] == 1) & (size[j] == 1)
     link = (np.abs(end[i] - end[j]) < NEAR) & np.where(single, close, share | close)
     link &= np.array([bool(s) or not seen[x] & seen[y] for x, y, s in zip(i.tolist(), j.tolist(), single.tolist(), strict=True)], bool)
-    return gathered(i[link], j[link], group, get("first"), get("last"), np.array(p.force, np.float64)[t] + NEAR, p)
+    return gathered(i[link], j[link], group, get("first"), get("last"), _slack(t, p), p)
 
 
 def two_layers(sig: DataFrame, p: Params) -> DataFrame:

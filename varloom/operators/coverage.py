@@ -9,6 +9,9 @@ from varloom.functions import reads as R
 from varloom.operators.intervals import containing
 from varloom.params import Params
 
+#: Windows of a block.
+WINDOWS = 100
+
 
 def primary_segments(aln: DataFrame) -> DataFrame:
     return aln.filter(R.is_primary(F.col("flag"))).select("contig", F.col("pos").alias("begin_pos"), F.col("ref_end").alias("end_pos"))
@@ -34,12 +37,26 @@ def windowed(rows: DataFrame, p: Params) -> DataFrame:
 def average(cov: DataFrame, spans: DataFrame, start: Column, end: Column, p: Params) -> DataFrame:
     """``spans`` with average: the mean over the windows from ``start`` to ``end``; windows without records count as 0.
 
-    ``spans`` has unique rows of contig and other columns.  Each span looks its windows up by equality.
+    ``spans`` has unique rows of contig and other columns.  Whole blocks of windows are looked up as one; only the windows before
+    the first and behind the last whole block by themselves.
     """
     first, last = F.floor(start / p.window).cast("long"), F.floor(end / p.window).cast("long")
     keys = spans.columns
-    asked = spans.withColumn("_n", last - first + 1).withColumn("w", F.explode(F.sequence(first, last)))
-    return asked.join(cov, ["contig", "w"], "left").groupBy(*keys, "_n").agg((F.round(F.sum(F.coalesce("cov", F.lit(0.0))), 6) / F.col("_n")).alias("average")).drop("_n")
+    # whole blocks from _p to _q - 1
+    asked = spans.withColumns({"_f": first, "_l": last}).withColumns({"_p": F.ceil(F.col("_f") / WINDOWS).cast("long"), "_q": F.floor((F.col("_l") + 1) / WINDOWS).cast("long")})
+    whole = F.col("_p") < F.col("_q")
+    ends = F.when(whole, F.concat(_upto(F.col("_f"), F.col("_p") * WINDOWS), _upto(F.col("_q") * WINDOWS, F.col("_l") + 1))).otherwise(_upto(F.col("_f"), F.col("_l") + 1))
+    place = F.concat(F.transform(ends, lambda w: F.struct(F.lit(False).alias("block"), w.alias("w"))), F.transform(F.when(whole, _upto(F.col("_p"), F.col("_q"))).otherwise(F.array().cast("array<bigint>")), lambda w: F.struct(F.lit(True).alias("block"), w.alias("w"))))
+    blocks = cov.groupBy("contig", F.floor(F.col("w") / WINDOWS).cast("long").alias("w")).agg(F.sum("cov").alias("cov"))
+    both = cov.select("contig", F.lit(False).alias("block"), "w", "cov").unionByName(blocks.withColumn("block", F.lit(True)))
+    rows = asked.withColumn("_at", F.explode(place)).withColumns({"block": F.col("_at.block"), "w": F.col("_at.w"), "_n": F.col("_l") - F.col("_f") + 1})
+    found = rows.join(both, ["contig", "block", "w"], "left").groupBy(*keys, "_n")
+    return found.agg((F.round(F.sum(F.coalesce("cov", F.lit(0.0))), 6) / F.col("_n")).alias("average")).drop("_n")
+
+
+def _upto(start: Column, end: Column) -> Column:
+    """Whole numbers from ``start`` to ``end``, exclusive."""
+    return F.when(start < end, F.sequence(start, end - 1)).otherwise(F.array().cast("array<bigint>"))
 
 
 def cumulative(cov: DataFrame, contigs: DataFrame, p: Params) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bases of a stretch, and of a bin of range joins.
 STRETCH, BIN = 1_000_000, 1_000
+#: Levels of bins, and how much wider each one's are; the last level's take a whole genome.
+LEVELS, WIDER = 7, 16
 
 
 def _stretched(df: DataFrame, position: str) -> DataFrame:
@@ -42,15 +44,27 @@ def islands(df: DataFrame, keys: list[str], position: str, order: list[Column],
     return running_max(seen, keys, position, order, opens, name).drop("_seen")
 
 
+def _level(length: Column) -> Column:
+    """The level whose bins are as wide as ``length``, or wider: BIN bases, and WIDER times that at each further level."""
+    return F.least(F.greatest(F.ceil(F.log(float(WIDER), F.greatest(length, F.lit(1)) / BIN)), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
+
+
+def _width(level: Column) -> Column:
+    return (F.lit(BIN) * F.pow(F.lit(float(WIDER)), level)).cast("long")
+
+
 def containing(points: DataFrame, segments: DataFrame, start: str, end: str) -> DataFrame:
     """Pairs of ``points`` (contig, ``start``, ``end``) and ``segments`` (contig, begin_pos, end_pos) that contain them.
 
-    Segments go into every bin that they touch; a point looks into the bin of its start, so each pair is met once.
+    A segment goes into the one or two bins that it touches at the level of its length; a point looks into the bin of its
+    start at each level, so each pair is met once, and no segment makes many rows.
     """
-    binned = segments.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("begin_pos") / BIN), F.floor(F.col("end_pos") / BIN))))
-    asked = points.withColumn("_bin", F.floor(F.col(start) / BIN))
-    held = binned.select("contig", "_bin", F.col("begin_pos").alias("_b"), F.col("end_pos").alias("_e"))
-    return asked.join(held, ["contig", "_bin"]).filter((F.col("_b") <= F.col(start)) & (F.col("_e") >= F.col(end))).drop("_bin")
+    level = _level(F.col("end_pos") - F.col("begin_pos"))
+    sized = segments.select("contig", F.col("begin_pos").alias("_b"), F.col("end_pos").alias("_e"), level.alias("_level"))
+    width = _width(F.col("_level"))
+    held = sized.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_b") / width), F.floor(F.greatest("_e", "_b") / width))))
+    asked = points.withColumn("_level", F.explode(F.array(*map(F.lit, range(LEVELS))))).withColumn("_bin", F.floor(F.col(start) / _width(F.col("_level"))))
+    return asked.join(held, ["contig", "_level", "_bin"]).filter((F.col("_b") <= F.col(start)) & (F.col("_e") >= F.col(end))).drop("_bin", "_level")
 
 
 def running_count(df: DataFrame, keys: list[str], position: str, order: list[Column], counted: Column, name: str) -> DataFrame:

@@ -9,6 +9,10 @@ from varloom.functions import reads as R
 
 #: Bins of the quantile function, steps of the mean, and the quantile above which sizes are dropped.
 BINS, STEPS, TOP = 1000, 10_000, 0.9995
+#: Samples that are tried before all pairs are taken; the first has one pair in 2 to the power of this.
+SAMPLES = 10
+#: Pairs of a sample that is looked at.
+LEAST_PAIRS = 1_000
 
 
 def histogram(pairs: DataFrame) -> DataFrame:
@@ -36,6 +40,27 @@ def moments(pairs: DataFrame) -> DataFrame:
     return steps.join(quantile_bins(pairs), "bin").agg(F.avg("size").alias("mean"), F.stddev_pop("size").alias("sd"))
 
 
+def sampled(pairs: DataFrame, key: str) -> DataFrame:
+    """A sample of ``pairs`` by hashes of ``key``, large enough for its sizes to settle; all of them if none is.
+
+    The sample doubles until two in a row agree: ten quantiles within a base, and the shares up to them within a thousandth.
+    """
+    last: list[tuple[int, float]] = []
+    for part in range(SAMPLES):
+        rows = pairs.filter(F.pmod(F.xxhash64(key), F.lit(1 << SAMPLES)) < (1 << part))
+        shares = histogram(rows).withColumn("share", F.col("below") / F.max("below").over(Window.partitionBy()))
+        quantile = [F.min(F.when(F.col("share") >= k / 10, F.struct("size", "share"))).alias(f"q{k}") for k in range(1, 11)]
+        upto = [F.max(F.when(F.col("size") <= size, F.col("share"))).alias(f"s{i}") for i, (size, _) in enumerate(last)]
+        # one row of numbers
+        found = shares.agg(F.max("below").alias("n"), *quantile, *upto).first()
+        now = [tuple(found[f"q{k}"]) for k in range(1, 11)] if (found["n"] or 0) >= LEAST_PAIRS else []
+        settled = [abs(a[0] - b[0]) < 1 and abs((found[f"s{i}"] or 0.0) - b[1]) < 0.001 for i, (a, b) in enumerate(zip(now, last, strict=False))]
+        if len(settled) == 10 and all(settled):
+            return rows
+        last = now
+    return pairs
+
+
 def oriented(pairs: DataFrame) -> DataFrame:
     """``pairs`` (pos, reverse, mate_pos, mate_reverse) with orient."""
     return pairs.withColumn("orient", R.orientation(F.col("pos"), F.col("reverse") == 0, F.col("mate_pos"), F.col("mate_reverse") == 0))

@@ -95,7 +95,8 @@ def from_cigars(records: DataFrame, p: Params) -> DataFrame:
 
     each = rows.withColumn("_size", size).withColumn("s", F.explode(F.aggregate("ops", start, step, lambda a: a["found"])))
     gone = F.col("s.op") == "D"
-    bases = F.when(~gone, F.substring("seq", (F.col("s.at") + 1).cast("int"), F.col("s.len").cast("int")))
+    # letters that stand for several bases count as unknown ones
+    bases = F.translate(F.when(~gone, F.substring("seq", (F.col("s.at") + 1).cast("int"), F.col("s.len").cast("int"))), "=MRSVWYHKDB", "NNNNNNNNNNN")
     score = F.coalesce(F.col("tags")["AS"].cast("double"), F.lit(0.0)) / F.when(F.col("_size") > 0, F.col("_size"))
     each = each.withColumns({"begin_pos": F.col("s.begin"), "end_pos": F.col("s.begin") + F.col("s.len")})
     return _signature(each, F.when(gone, 0).otherwise(1), 0, quality=score, ins_bases=bases)

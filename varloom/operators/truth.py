@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,3 +73,10 @@ def without_overlaps(rows: DataFrame, start: str, end: str, key: str) -> DataFra
                 yield row["contig"], row[start], row[end], row[key]
 
     return map_rows(grouped, ["contig", "island"], [start, end, key], run, f"contig string, {start} long, {end} long, {key} long")
+
+
+def single_variants(calls: list[DataFrame]) -> DataFrame:
+    """(contig, pos, ref, alt, gt) of all ``calls``, by place: those with one other allele, which the sample has once or twice."""
+    whole = reduce(DataFrame.unionByName, [c.select("contig", "pos", "ref", "alt", "gt") for c in calls])
+    carried = F.size(F.filter(F.split("gt", "[/|]"), lambda a: ~a.isin("0", ".")))
+    return whole.filter(~F.col("alt").contains(",") & (F.col("alt") != ".") & carried.between(1, 2)).orderBy("contig", "pos", "ref", "alt")

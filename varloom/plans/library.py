@@ -119,3 +119,9 @@ def pair_records(pairs: DataFrame) -> DataFrame:
 def sig_discordant(pairs: DataFrame) -> DataFrame:
     rows = records.prepared(pair_records(pairs).withColumn("source_id", F.lit(0).cast("long"))).withColumn("tech", F.lit(1))
     return records.from_pairs(rows, L.moments(pairs)).select("contig", "sv_type", "begin_pos", "end_pos", "length", "template", "quality")
+
+
+@query("pair")
+def isize_sampled(pairs: DataFrame) -> DataFrame:
+    """The moments of the smallest sample whose sizes have settled."""
+    return L.moments(L.sampled(pairs, "pair_id")).select(F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))

@@ -29,6 +29,12 @@ def type_exclude(truth: DataFrame) -> DataFrame:
     return truth.filter(~F.col("sv_type").isin(2, 3)).select("truth_id", "contig", "sv_type", "pos")
 
 
+@query("truth", sql="""SELECT contig, pos, 'A' AS ref, 'C' AS alt, CASE WHEN truth_id % 3 = 0 THEN '0|0' ELSE gt END AS gt FROM truth WHERE truth_id % 5 <> 0 AND truth_id % 3 <> 0 ORDER BY contig, pos""")
+def snp_view(truth: DataFrame) -> DataFrame:
+    rows = truth.select("contig", "pos", F.lit("A").alias("ref"), F.when(F.col("truth_id") % 5 == 0, "C,T").otherwise("C").alias("alt"), F.when(F.col("truth_id") % 3 == 0, "0|0").otherwise(F.col("gt")).alias("gt"))
+    return T.single_variants([rows.filter(F.col("contig") == c) for c in ("A", "N", "R")])
+
+
 @query("truth", sql="SELECT truth_id, CASE gt WHEN '1|1' THEN '1/1' WHEN '0|0' THEN '0/0' ELSE '0/1' END AS gt FROM truth")
 def unphase(truth: DataFrame) -> DataFrame:
     return truth.select("truth_id", T.unphased(F.col("gt")).alias("gt"))
