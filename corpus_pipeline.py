@@ -35,11 +35,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id, once.
 
-    Groups are those of five-word shingles and a similarity of at least 0.8.  Rows without a doc_id go.
+    Groups are those of five-word shingles and a similarity of at least 0.8.  A row without a doc_id goes by its text, behind
+    all that have one.  Of rows that share a doc_id one for each different text stays, if the doc_id does.
     """
     _prepare(spark)
-    kept = near_duplicates(docs, words=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    text = F.xxhash64("text")
+    behind = text.bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), behind), "_text": text})
+    near = near_duplicates(keyed.select(F.col("_id").alias("doc_id"), "text"), words=5, percent=80)
+    kept = near.filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return keyed.join(kept, "_id", "left_semi").dropDuplicates(["_id", "_text"]).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
