@@ -28,14 +28,16 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share.
+    """A new folder under ``spark.checkpoint.dir``, which all executors share.  What is written there stays.
 
-    Only where the cluster names none (as in tests) a local folder is set.
+    Only on one machine (as in tests) a local folder is set where the session names none; on a cluster that is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = sc.getCheckpointDir()
+    if not base and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="varloom-")
         sc.setCheckpointDir(base)
