@@ -22,10 +22,9 @@ from varloom.llm.common import column, lookup
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a range that one task scans, and bytes read at once.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES, READ_BYTES = 16 << 20, 1 << 20
 #: Tasks that read ranges, at most; beyond, a task reads several ranges.
 MOST_TASKS = 10_000
-READ_BYTES = 1 << 20
 #: Records with shorter payloads are never revisits.
 LEAST_PAYLOAD = 100
 
