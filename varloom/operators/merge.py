@@ -24,23 +24,25 @@ def read_signatures(sigs: DataFrame) -> DataFrame:
 
 
 def simple_merge(reads: DataFrame, p: Params, regional: bool = False) -> DataFrame:
-    """(read_id, begin_pos, length, parts): neighbours whose gap is small for the length so far become one.
+    """(read_id, begin_pos, length, first, parts): neighbours whose gap is small for the length so far become one.
 
-    A fold over the read's array: the state is the list of finished segments and the open one.  ``regional`` measures the gap
-    from the open one's begin.
+    first is the number of the first of its parts, which are neighbours.  A fold over the read's array: the state is the list
+    of finished segments and the open one.  ``regional`` measures the gap from the open one's begin.
     """
-    kind = "array<struct<begin:bigint,length:bigint,parts:int>>"
-    single = lambda s: F.struct(s["begin"].alias("begin"), s["length"].alias("length"), F.lit(1).alias("parts"))
+    kind = "array<struct<begin:bigint,length:bigint,first:int,parts:int>>"
 
     def step(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
+        last = F.get(done, F.size(done) - 1)
         gap = s["begin"] - last["begin"] - (F.lit(0) if regional else last["length"])
         apart = gap >= F.greatest(last["length"] * p.merge_portion, F.lit(float(p.merge_distance)))
-        grown = F.struct(last["begin"].alias("begin"), (last["length"] + s["length"]).alias("length"), (last["parts"] + 1).alias("parts"))
-        return F.when((F.size(done) == 0) | apart, F.concat(done, F.array(single(s)))).otherwise(F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown)))
+        begun = F.coalesce(last["first"] + last["parts"], F.lit(0))
+        single = F.struct(s["begin"].alias("begin"), s["length"].alias("length"), begun.alias("first"), F.lit(1).alias("parts"))
+        grown = F.struct(last["begin"].alias("begin"), (last["length"] + s["length"]).alias("length"), last["first"].alias("first"), (last["parts"] + 1).alias("parts"))
+        return F.when((F.size(done) == 0) | apart, F.concat(done, F.array(single))).otherwise(F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown)))
 
     found = reads.select("read_id", F.explode(F.aggregate("sigs", F.array().cast(kind), step)).alias("m"))
-    return found.select("read_id", F.col("m.begin").alias("begin_pos"), F.col("m.length").alias("length"), F.col("m.parts").cast("long").alias("parts")).filter(F.col("length") >= p.min_sv_len)
+    rows = found.select("read_id", F.col("m.begin").alias("begin_pos"), F.col("m.length").alias("length"), F.col("m.first").cast("long").alias("first"), F.col("m.parts").cast("long").alias("parts"))
+    return rows.filter(F.col("length") >= p.min_sv_len)
 
 
 def relevant_ranges(reads: DataFrame) -> DataFrame:
@@ -145,7 +147,7 @@ def _likenesses(one: list[Segment], other: list[Segment], reach: int) -> np.ndar
 
 
 def omni_merge(reads: DataFrame, t: int, p: Params) -> DataFrame:
-    """(read_id, begin_pos, length) after merging, of ``reads`` (of :func:`relevant_ranges`, with sigs).
+    """(read_id, begin_pos, length, first, parts) after merging, of ``reads`` (of :func:`relevant_ranges`, with sigs).
 
     Each read meets a sample of the reads in its range: every step-th one, omni_relevant + 1 at most.
     """
@@ -154,7 +156,8 @@ def omni_merge(reads: DataFrame, t: int, p: Params) -> DataFrame:
     linkable = F.when(F.size("sigs") > 1, F.exists(gaps, lambda g: g < p.merge_distance)).otherwise(F.lit(False))
     # most reads have nothing to link, and stay as they are
     some = reads.filter((F.size("sigs") > 0) & linkable)
-    plain = reads.filter((F.size("sigs") > 0) & ~linkable).select("read_id", F.explode("sigs").alias("s")).select("read_id", F.col("s.begin").alias("begin_pos"), F.col("s.length").alias("length"))
+    plain = reads.filter((F.size("sigs") > 0) & ~linkable).select("read_id", F.posexplode("sigs").alias("k", "s"))
+    plain = plain.select("read_id", F.col("s.begin").alias("begin_pos"), F.col("s.length").alias("length"), F.col("k").cast("long").alias("first"), F.lit(1).cast("long").alias("parts"))
     met = some.filter("after > first").select("region", "read_id", F.col("idx").alias("own"), F.explode(F.sequence(F.col("first"), F.col("after") - 1, step)).alias("idx")).filter("own <> idx")
     others = reads.select("region", "idx", F.col("sigs").alias("other")).filter(F.size("other") > 0)
     pairs = met.join(others, ["region", "idx"]).select("read_id", "idx", "other")
@@ -164,7 +167,14 @@ def omni_merge(reads: DataFrame, t: int, p: Params) -> DataFrame:
 
     def run(group: list[dict]) -> Iterator[tuple]:
         parts = [list(zip(row["begins"], row["ends"], strict=True)) for row in group]
+        first = 0
         for begin, end in omni(parts[0], parts[1 : p.omni_relevant + 2], t, p):
-            yield group[0]["read_id"], begin, end - begin
-
-    return plain.unionByName(map_rows(rows, ["read_id"], ["idx"], run, "read_id long, begin_pos long, length long"))
+            # a segment's parts are neighbours, and their lengths make its own
+            upto, length = first, 0
+            while length < end - begin:
+                length += parts[0][upto][1] - parts[0][upto][0]
+                upto += 1
+            yield group[0]["read_id"], begin, end - begin, first, upto - first
+            first = upto
+
+    return plain.unionByName(map_rows(rows, ["read_id"], ["idx"], run, "read_id long, begin_pos long, length long, first long, parts long"))

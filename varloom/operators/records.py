@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from varloom.cluster import materialize, shared_folder
 from varloom.functions import reads as R
 from varloom.operators import library as L
+from varloom.operators import merge as M
 from varloom.operators import splits as S
 from varloom.params import Params
 
@@ -77,8 +78,11 @@ def _signature(rows: DataFrame, sv_type: Column, sig_type: int, **values: Column
     return rows.select(*(made.get(c, F.col(c)).alias(c) for c in FIELDS))
 
 
-def from_cigars(records: DataFrame, p: Params) -> DataFrame:
-    """Deletions and insertions of well-mapped, long enough records, by one pass over each record's operations."""
+def cigar_reads(records: DataFrame, p: Params) -> DataFrame:
+    """Well-mapped, long enough records with their deletions (gone) and insertions (more), by one pass over the operations.
+
+    Both are arrays of (begin, length, bases).
+    """
     query, size = R.cigar_sum(F.col("ops"), R.QUERY_OPS), R.cigar_sum(F.col("ops"), tuple(o for o in R.QUERY_OPS if o != "S"))
     rows = records.filter((F.col("mapq") >= p.min_mapq) & (query >= p.min_template))
     found = "array<struct<op:string,begin:bigint,at:bigint,len:bigint>>"
@@ -93,13 +97,46 @@ def from_cigars(records: DataFrame, p: Params) -> DataFrame:
             F.when(wanted, F.concat(state["found"], F.array(here))).otherwise(state["found"]).alias("found"),
         )
 
-    each = rows.withColumn("_size", size).withColumn("s", F.explode(F.aggregate("ops", start, step, lambda a: a["found"])))
-    gone = F.col("s.op") == "D"
+    score = F.coalesce(F.col("tags")["AS"].cast("double"), F.lit(0.0)) / F.when(size > 0, size)
+    rows = rows.withColumns({"_found": F.aggregate("ops", start, step, lambda a: a["found"]), "quality": score})
     # letters that stand for several bases count as unknown ones
-    bases = F.translate(F.when(~gone, F.substring("seq", (F.col("s.at") + 1).cast("int"), F.col("s.len").cast("int"))), "=MRSVWYHKDB", "NNNNNNNNNNN")
-    score = F.coalesce(F.col("tags")["AS"].cast("double"), F.lit(0.0)) / F.when(F.col("_size") > 0, F.col("_size"))
-    each = each.withColumns({"begin_pos": F.col("s.begin"), "end_pos": F.col("s.begin") + F.col("s.len")})
-    return _signature(each, F.when(gone, 0).otherwise(1), 0, quality=score, ins_bases=bases)
+    bases = lambda s: F.translate(F.substring("seq", (s["at"] + 1).cast("int"), s["len"].cast("int")), "=MRSVWYHKDB", "NNNNNNNNNNN")
+    none = F.lit(None).cast("string")
+    kind = lambda op, spell: F.transform(F.filter("_found", lambda s: s["op"] == op), lambda s: F.struct(s["begin"].alias("begin"), s["len"].alias("length"), spell(s).alias("bases")))
+    rows = rows.withColumns({"gone": kind("D", lambda s: none), "more": kind("I", bases)})
+    return rows.filter((F.size("gone") > 0) | (F.size("more") > 0)).select("read_id", "contig", "qname", "hp", "tech", "quality", "gone", "more")
+
+
+def from_cigars(records: DataFrame, p: Params) -> DataFrame:
+    """Deletions and insertions as the operations have them, without merging."""
+    rows = cigar_reads(records, p)
+    parts = []
+    for kind, name in enumerate(("gone", "more")):
+        each = rows.withColumn("s", F.explode(name)).withColumns({"begin_pos": F.col("s.begin"), "end_pos": F.col("s.begin") + F.col("s.length")})
+        parts.append(_signature(each, F.lit(kind), 0, ins_bases=F.col("s.bases")))
+    return parts[0].unionByName(parts[1])
+
+
+def merged(records: DataFrame, p: Params, how: str = "omni") -> DataFrame:
+    """Deletions and insertions whose pieces inside a read are put together: ``how`` is omni, simple or regional.
+
+    What is put together has the quality of the read and all its pieces' bases; only omni keeps the haplotype.
+    """
+    # read several times from here on
+    rows = materialize(cigar_reads(records, p), shared_folder(records.sparkSession), "reads")
+    ends = F.transform("gone", lambda s: s["begin"] + s["length"])
+    low = F.array_min(F.transform(F.concat("gone", "more"), lambda s: s["begin"]))
+    extents = rows.select("read_id", F.col("contig").alias("region"), F.coalesce(F.get("gone", F.lit(0))["begin"], F.lit(-1)).alias("del_begin"), F.coalesce(F.array_max(ends), F.lit(-1)).alias("del_end"), low.alias("begin"))
+    ranged = M.relevant_ranges(extents) if how == "omni" else None
+    parts = []
+    for kind, name in enumerate(("gone", "more")):
+        sigs = rows.select("read_id", F.transform(name, lambda s: F.struct(s["begin"].alias("begin"), s["length"].alias("length"))).alias("sigs"))
+        found = M.omni_merge(ranged.join(sigs, "read_id"), kind, p) if how == "omni" else M.simple_merge(sigs, p, regional=how == "regional")
+        each = found.join(rows, "read_id").withColumn("end_pos", F.col("begin_pos") + F.col("length"))
+        bases = F.array_join(F.transform(F.slice(name, (F.col("first") + 1).cast("int"), F.col("parts").cast("int")), lambda s: s["bases"]), "")
+        more = {} if how == "omni" else {"hp": F.lit(0).cast("long")}
+        parts.append(_signature(each, F.lit(kind), 0, ins_bases=F.when(F.lit(kind == 1), bases), **more))
+    return parts[0].unionByName(parts[1])
 
 
 def from_pairs(records: DataFrame, moments: DataFrame) -> DataFrame:
@@ -160,11 +197,13 @@ def from_splits(records: DataFrame, sizes: DataFrame, p: Params) -> DataFrame:
     return reduce(DataFrame.unionByName, [_signature(found.join(names, "read_id"), kind, 2, **more) for found, kind, more in parts])
 
 
-def signatures(records: DataFrame, tech: DataFrame, sizes: DataFrame, p: Params, moments: DataFrame | None = None) -> DataFrame:
+def signatures(records: DataFrame, tech: DataFrame, sizes: DataFrame, p: Params, moments: DataFrame | None = None, merge: str | None = "omni") -> DataFrame:
     """All that the records show, as rows of FIELDS.  ``tech`` has a row per source, ``sizes`` one per contig.
 
-    ``moments`` are those of the short reads' library; by default they are measured on the records themselves.
+    ``moments`` are those of the short reads' library; by default they are measured on the records themselves.  ``merge`` tells how
+    pieces inside a read are put together (:func:`merged`), or None.
     """
     rows = prepared(records).join(F.broadcast(tech), "source_id")
     moments = L.moments(L.library_reads(rows.filter("tech = 1"))) if moments is None else moments
-    return from_cigars(rows, p).unionByName(from_pairs(rows, moments)).unionByName(from_splits(rows, sizes, p))
+    inside = merged(rows, p, merge) if merge else from_cigars(rows, p)
+    return inside.unionByName(from_pairs(rows, moments)).unionByName(from_splits(rows, sizes, p))

@@ -187,7 +187,7 @@ def all_signatures(ops: DataFrame, segs: DataFrame, pairs: DataFrame) -> DataFra
     sizes = segs.groupBy("contig").agg((F.max("ref_end") + 1000).alias("size"))
     rows = records.scan([cigar_records(ops), split_records(segs), pair_records(pairs)])
     tech = records.technologies(records.prepared(rows), _platforms(rows))
-    return records.signatures(rows, tech, sizes, ONT, L.moments(pairs)).withColumn("quality", F.round("quality", 6))
+    return records.signatures(rows, tech, sizes, ONT, L.moments(pairs), merge=None).withColumn("quality", F.round("quality", 6))
 
 
 @query("split_seg", sql="""SELECT contig, w, round(sum(CASE WHEN w = pos // 100 THEN ((pos // 100 + 1) * 100 - pos) / CAST(100 AS DOUBLE) WHEN w = e // 100 THEN (e + 1 - (e // 100) * 100) / CAST(100 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END), 6) AS cov
@@ -198,3 +198,19 @@ def split_coverage(segs: DataFrame) -> DataFrame:
     sizes = segs.groupBy("contig").agg((F.max("ref_end") - 500).alias("size"))
     rows = records.prepared(records.scan([split_records(segs)])).withColumn("tech", F.lit(0))
     return V.windowed(records.covering(rows, sizes, ONT), ONT).select("contig", "w", F.round("cov", 6).alias("cov"))
+
+
+#: A walk over each read's signatures of one kind.
+LISTED = """SELECT o.read_id, op, pos + ref_off AS b, op_len AS n, (t.n - o.read_id % 100) / t.n AS q, CASE op WHEN 'I' THEN substr(repeat('ACGT', 40), CAST(query_off % 4 AS INTEGER) + 1, CAST(op_len AS INTEGER)) END AS bases,
+ row_number() OVER (PARTITION BY o.read_id, op ORDER BY op_idx) AS r FROM offsets o JOIN (
+ SELECT read_id, sum(CASE WHEN op IN ('M', 'I') THEN op_len ELSE 0 END) AS n FROM cigar_op GROUP BY read_id HAVING max(mapq) >= 20) t ON t.read_id = o.read_id WHERE op IN ('D', 'I') AND op_len >= 30 AND t.n >= 500"""
+JOINED = """SELECT read_id, op, r, b AS begin_pos, n AS length, bases, q, r AS run FROM listed WHERE r = 1
+UNION ALL SELECT l.read_id, l.op, l.r, CASE WHEN apart THEN l.b ELSE l.begin_pos END, CASE WHEN apart THEN l.n ELSE l.length + l.n END, CASE WHEN apart THEN l.bases ELSE l.all_ || l.bases END, l.q, CASE WHEN apart THEN l.r ELSE l.run END
+FROM (SELECT l.*, w.begin_pos, w.length, w.bases AS all_, w.run, l.b - w.begin_pos - w.length >= greatest(w.length * 0.2, 500) AS apart FROM joined w JOIN listed l ON l.read_id = w.read_id AND l.op = w.op AND l.r = w.r + 1) l"""
+
+
+@query("cigar_op", sql="""SELECT CAST(CASE op WHEN 'D' THEN 0 ELSE 1 END AS BIGINT) AS sv_type, begin_pos, CAST(length AS BIGINT) AS length, 'c' || read_id AS template, round(q, 6) AS quality, bases AS ins_bases
+FROM (SELECT *, row_number() OVER (PARTITION BY read_id, op, run ORDER BY r DESC) AS last FROM joined) WHERE last = 1""", offsets=OFFSETS, listed=LISTED, joined=JOINED)
+def merged_signatures(ops: DataFrame) -> DataFrame:
+    rows = records.prepared(records.scan([cigar_records(ops)])).withColumn("tech", F.lit(0))
+    return records.merged(rows, ONT, "simple").select("sv_type", "begin_pos", "length", "template", F.round("quality", 6).alias("quality"), "ins_bases")

@@ -108,12 +108,12 @@ FOLD = """SELECT read_id, begin_pos, max(length) AS length, max(parts) AS parts
 
 @query("cigar_op", sql="SELECT read_id, begin_pos, CAST(length AS BIGINT) AS length, CAST(parts AS BIGINT) AS parts FROM fold", offsets=OFFSETS, admitted=ADMITTED, sigs=SIGS, fold=FOLD)
 def simple_merge(ops: DataFrame) -> DataFrame:
-    return M.simple_merge(_sigs(ops, "D"), ONT)
+    return M.simple_merge(_sigs(ops, "D"), ONT).drop("first")
 
 
 @query("cigar_op", sql="SELECT read_id, begin_pos, CAST(length AS BIGINT) AS length, CAST(parts AS BIGINT) AS parts FROM fold", offsets=OFFSETS, admitted=ADMITTED, sigs=SIGS, fold=FOLD.replace("- w.begin_pos - w.length >=", "- w.begin_pos >="))
 def regional_merge(ops: DataFrame) -> DataFrame:
-    return M.simple_merge(_sigs(ops, "D"), ONT, regional=True)
+    return M.simple_merge(_sigs(ops, "D"), ONT, regional=True).drop("first")
 
 
 def _ranged(ops: DataFrame) -> DataFrame:
