@@ -221,7 +221,7 @@ def _dealt(groups: DataFrame) -> DataFrame:
     place = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(n, F.lit(1))).cast("int")
     own = F.when(F.col("settled"), F.col("open") + place(F.col("shut"))).otherwise(place(F.col("open")))
     others = F.when(F.col("settled"), F.sequence(F.lit(0), F.col("open") - 1)).otherwise(F.sequence(F.lit(0), F.col("open") + F.col("shut") - 1))
-    dealt = lookup(groups, blocks, ["center"]).filter("open is not null").withColumn("own", own).withColumn("other", F.explode(others))
+    dealt = groups.join(blocks, "center").withColumn("own", own).withColumn("other", F.explode(others))
     return dealt.select("center", "rep", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
@@ -231,7 +231,7 @@ def _around_centers(groups: DataFrame) -> DataFrame:
     blocks = sizes.select("center", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     place = F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     every = F.when(F.col("rep") == F.col("center"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(place)
-    return lookup(groups, blocks, ["center"]).filter("blocks is not null").select("center", "rep", F.explode(every).alias("i"))
+    return groups.join(blocks, "center").select("center", "rep", F.explode(every).alias("i"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varloom.cluster import materialize, shared_folder
-from varloom.llm.common import column, lookup
+from varloom.llm.common import column
 from varloom.llm.textsets import blocks, mix64, word_bounds, word_hashes
 
 #: Distinct entities that a pattern needs, its least score, and rounds.
@@ -200,14 +200,15 @@ def learn(docs: DataFrame) -> DataFrame:
     graph = materialize(_graph(docs), folder, "graph")
     able = materialize(graph.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= SUPPORT).select("pattern", "kind"), folder, "able")
     totals = materialize(_totals(docs, able.select("pattern").distinct(), folder), folder, "totals")
-    edges = materialize(lookup(graph, able.join(totals, "pattern"), ["pattern", "kind"]).filter("total is not null"), folder, "edges")
+    # a pattern or an entity may have most rows; such joins are split by the engine, as the other side has one row for each
+    edges = materialize(graph.join(able.join(totals, "pattern"), ["pattern", "kind"]), folder, "edges")
     scored = None
     for r in range(ROUNDS + 1):
         if scored is None:
             known = edges.withColumn("belief", F.lit(0.0))
         else:
-            best = lookup(edges.filter("not seed"), scored, ["pattern", "kind"]).groupBy("entity", "kind").agg(F.max("score").alias("belief"))
-            known = lookup(edges, best, ["entity", "kind"])
+            best = edges.filter("not seed").join(scored, ["pattern", "kind"]).groupBy("entity", "kind").agg(F.max("score").alias("belief"))
+            known = edges.join(best, ["entity", "kind"], "left")
         known = known.withColumn("belief", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))))
         scored = known.groupBy("pattern", "kind").agg(
             F.count_if(F.col("belief") >= CONFIDENCE).alias("support"), F.sum(F.col("n") * F.col("belief")).alias("hits"), F.sum("n").alias("n"), F.first("total").alias("total")
