@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.cluster import materialize, shared_folder
-from varloom.llm.common import by_group, column, components, int64, list_array, lists, lookup
+from varloom.llm.common import by_group, column, components, int64, list_array, lists, lookup, trim
 from varloom.llm.textsets import mix64, shingle_sets
 
 #: Values that a sketch retains, and values that two similar sketches share at least.
@@ -55,6 +55,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     [ids.slice(first, end - first), pa.array(n, pa.int64()), *map(pa.array, fps), list_array(h[pick].view(np.int64), out, pa.int64())],
                     names=["doc_id", "n", "fp_a", "fp_b", "sketch"],
                 )
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, n long, fp_a long, fp_b long, sketch array<long>"
@@ -71,6 +72,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, end - first), list_array(h.view(np.int64), o, pa.int64())], names=["doc_id", "shingles"]
                 )
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
 

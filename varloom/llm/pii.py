@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varloom.cluster import materialize, shared_folder
-from varloom.llm.common import column
+from varloom.llm.common import column, trim
 from varloom.llm.textsets import blocks, mix64, word_bounds, word_hashes
 
 #: Distinct entities that a pattern needs, its least score, and rounds.
@@ -165,6 +165,7 @@ def _graph(docs: DataFrame) -> DataFrame:
                     [pa.array(np.concatenate(c)) for c in zip(*((pattern[k][ok], kind[ok].astype(np.int32), entity[ok], seed[ok]) for k, ok in enumerate(there)), strict=True)],
                     names=["pattern", "kind", "entity", "seed"],
                 )
+        trim()
 
     found = docs.select("text").mapInArrow(run, "pattern long, kind int, entity long, seed boolean")
     return found.groupBy("pattern", "kind", "entity").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
@@ -189,6 +190,7 @@ def _totals(docs: DataFrame, patterns: DataFrame, folder: str) -> DataFrame:
                 pattern, there = words.patterns(every, every)
                 found, n = np.unique(pattern[there & sieve[pattern & ((1 << SIEVE_BITS) - 1)]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["pattern", "n"])
+        trim()
 
     found = docs.select("text").mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
     return found.join(patterns, "pattern", "left_semi")
@@ -292,6 +294,7 @@ def find(docs: DataFrame) -> DataFrame:
                     masked.append(None if text is None else mask(text, b + m))
                 out = [pa.array([[{"kind": KINDS[k], "start": x, "end": y} for k, x, y in f[i]] for f in found], span) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*keep, *out, pa.array(masked, pa.string())], names=[*batch.schema.names[:-2], "base_spans", "more_spans", "masked"])
+            trim()
 
         return run
 
