@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.cluster import ship_package
-from varloom.llm import forest, langid, media, mixing, pieces, pii, pitman_yor, toxicity, warc
+from varloom.llm import chat, forest, langid, media, mixing, oracles, pieces, pii, pitman_yor, repair, spelling, toxicity, warc
 from varloom.llm.common import crc_rest
 from varloom.llm.minhash import near_duplicates
 
@@ -66,6 +66,21 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.read_back(chat.format_chats(rows))
+
+
 def _ready(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -115,4 +130,10 @@ FROM p LEFT JOIN f ON f.d = p.d
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1, "op3_warc": OP3}
+    return {
+        "op1_minhash_near_dedup": OP1,
+        "op3_warc": OP3,
+        "op11_conversation_repair": oracles.OP11,
+        "op12_spelling_variants": oracles.OP12,
+        "op13_chat_format": oracles.OP13,
+    }
