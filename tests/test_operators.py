@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from varloom import params
 from varloom.functions import reads
-from varloom.operators import calls, clusters, intervals, library, merge, records, splits, truth, vcf
+from varloom.operators import adjacent, calls, clusters, coverage, intervals, layers, library, merge, records, splits, truth, vcf
 from varloom.operators.signatures import sorted_signatures
 from varloom.params import ONT
 from varloom.sources import formats
@@ -72,6 +72,61 @@ def plain_rounds(things, brothers, slack, p):
     return [c["in"] for c in found]
 
 
+def plain_adjacent(rows, p):
+    """One type's rows, in order, after pieces of reads are merged: pair by pair over everything."""
+    if rows[0]["sv_type"] != 1:
+        return rows
+    count = {}
+    for part in plain_clusters(rows, p):
+        count |= {i: len(part) for i in part}
+    reads = {}
+    for i, r in enumerate(rows):
+        if count[i] == 1:
+            reads.setdefault(r["template"], []).append(r)
+    both = [r | {"made": False, "count": count[i]} for i, r in enumerate(rows)]
+    for name, pieces in reads.items():
+        start, more = pieces[0]["begin_pos"], []
+        for x in pieces[1:]:
+            if start <= x["begin_pos"] < start + 500:
+                more.append(len(x.get("ins_bases", "")))
+                continue
+            if more:
+                both.append({"sv_type": 1, "begin_pos": start, "end_pos": start + sum(more), "length": sum(more), "template": name, "hp": 0, "made": True, "count": 0})
+            start, more = x["begin_pos"], []
+    both.sort(key=lambda r: (r["begin_pos"], r["made"], r.get("sig_id", -1), r["end_pos"], r["template"]))
+    left, new = [r for r in both if not r["made"]], []
+    for part in sorted(plain_clusters(both, p), key=lambda part: (min(both[i]["begin_pos"] for i in part), min(part))):
+        first, last, end = min(both[i]["begin_pos"] for i in part), min(both[i]["end_pos"] for i in part), max(both[i]["end_pos"] for i in part)
+        if not 50 <= last - first <= 2000:
+            continue
+        around = {}
+        for r in left:
+            if first - 500 <= r["begin_pos"] <= end + 500 and r["count"] <= 5:
+                around.setdefault(r["template"], []).append(r)
+        fits = []
+        for pieces in around.values():
+            best = None
+            for i in range(len(pieces)):
+                total, at = pieces[i]["length"], pieces[i]["begin_pos"]
+                for j in range(i + 1, len(pieces)):
+                    if pieces[j]["begin_pos"] == at:
+                        continue
+                    if pieces[j]["begin_pos"] < at + 200:
+                        break
+                    total += pieces[j]["length"]
+                    behind = 2 * at + total - first - last
+                    if total <= max(last - first + 10, 2 * (last - first)) and 0 <= behind < 200 and (best is None or behind < best[0]):
+                        best = (behind, pieces[i : j + 1], total)
+            if best:
+                fits.append(best)
+        if len(fits) >= (2 if all(both[i]["made"] for i in part) else 1):
+            for _, run, total in fits:
+                left = [r for r in left if not any(r is x for x in run)]
+                new.append(run[0] | {"length": total, "end_pos": run[0]["begin_pos"] + total, "ins_bases": "".join(x.get("ins_bases", "") for x in run)})
+    out = sorted([*left, *new], key=lambda r: (r["begin_pos"], r["length"], -r["quality"], r["template"], r["end_pos"]))
+    return [r | {"sig_id": k} for k, r in enumerate(out)]
+
+
 def plain_layers(rows, p):
     """(row's number: (cluster, core)) of one type's rows after both layers."""
     t = rows[0]["sv_type"]
@@ -283,14 +338,52 @@ def test_two_layers(spark, seed):
     """Both layers against the rules over everything, with the second one's range."""
     p = replace(ONT, near=(100, 50, 300, 100))
     sig = sorted_signatures(spark.createDataFrame(signatures(seed, 80), SCHEMA))
-    got = {(r["sv_type"], r["sig_id"]): (r["cluster"], r["core"]) for r in clusters.two_layers(sig, p).collect()}
+    got = {(r["sv_type"], r["sig_id"]): (r["cluster"], r["core"]) for r in layers.two_layers(sig, p).collect()}
     want = {}
     for t in range(4):
-        rows = [r.asDict() for r in sig.filter(F.col("sv_type") == t).orderBy("sig_id").collect()]
+        rows = plain_adjacent([r.asDict() for r in sig.filter(F.col("sv_type") == t).orderBy("sig_id").collect()], p)
         want |= {(t, i): x for i, x in plain_layers(rows, p).items()}
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_adjacent_pieces(spark, seed):
+    """Broken insertions of reads around whole ones: merged as the rule does it over everything, then clustered in two layers."""
+    rng = random.Random(seed)
+    rows = []
+    for locus in (2_000, 4_000, 9_000, 40_000, 1_000_300):
+        for k in range(5):
+            at, size = locus + rng.randrange(-60, 60), rng.choice([240, 260, 300])
+            rows.append((at, size, f"w{locus % 7}{k}", rng.randrange(3)))
+        for k in range(rng.randrange(1, 5)):
+            at = locus + rng.randrange(-50, 120)
+            for piece in range(rng.randrange(2, 4)):
+                rows.append((at, rng.choice([60, 80, 120, 140]), f"b{locus % 7}{k}", 0))
+                at += rng.choice([0, 40, 210, 260, 480, 700])
+        rows.append((locus + 3000, 35, rng.choice(["b20", "b21", "b40"]), 0))
+    rows += [(rng.randrange(12_000), rng.choice([31, 90, 300]), f"b{rng.randrange(7)}{rng.randrange(4)}", 1) for _ in range(60)]
+    rows = [("c", 1, 0, at, at + n, n, t, 1 - rng.randrange(5) / 10, hp, "".join(rng.choice("ACGT") for _ in range(n))) for at, n, t, hp in rows]
+    rows += [(*r, "") for r in signatures(seed, 30) if r[1] != 1]
+    p = replace(ONT, near=(100, 50, 300, 100))
+    sig = sorted_signatures(spark.createDataFrame(rows, SCHEMA + ", ins_bases string"))
+    got = {(r["sv_type"], r["sig_id"]): (r["begin_pos"], r["length"], r["template"], r["ins_bases"], r["cluster"], r["core"]) for r in layers.two_layers(sig, p).collect()}
+    want, merged = {}, 0
+    for t in range(4):
+        before = [r.asDict() for r in sig.filter(F.col("sv_type") == t).orderBy("sig_id").collect()]
+        after = plain_adjacent(before, p)
+        merged += len(before) - len(after)
+        named = plain_layers(after, p)
+        want |= {(t, r["sig_id"]): (r["begin_pos"], r["length"], r["template"], r["ins_bases"], *named[r["sig_id"]]) for r in after}
+    assert got == want and merged > 0
+
+
+def test_best_fit_takes_the_least_lag():
+    assert adjacent.best_fit([100, 150, 400], [100, 100, 100], 90, 300) == (1, 3, 200)  # the first piece's next one is too near
+    assert adjacent.best_fit([100, 300, 600], [100, 100, 100], 90, 290) == (0, 2, 200)
+    assert adjacent.best_fit([100, 100, 300], [50, 60, 100], 90, 250) == (0, 3, 150)  # what begins with the first doesn't count
+    assert adjacent.best_fit([80, 300], [100, 100], 90, 290) is None  # begins before the event and ends before it
+
+
 def test_custom_parameters():
     p = params.with_filter(ONT, 1, "1,*,50,2,0.5,*")
     assert (p.base1[1], p.multi1[1], p.score1[1], p.base2[1], p.multi2[1], p.base1[0]) == (1, ONT.multi1[1], 50, 2, 0.5, ONT.base1[0])
@@ -351,6 +444,63 @@ def test_records_of_a_file(spark, tmp_path):
     assert cover == [("c", 100, 1190), ("c", 1000, 1600), ("c", 2500, 2900)]
 
 
+@pytest.mark.parametrize("how", [None, "simple", "regional", "omni"])
+def test_repeated_records_count_each(spark, how):
+    """n copies of a record give n times its signatures, by every branch and every merge."""
+    seq = "ACGT" * 600
+    one = [
+        ("indel", 0, "c", 100, 60, "400M60D400M50I300M", "*", -1, 0, {"AS": "900", "HP": "1"}),
+        ("split", 0, "c", 1000, 60, "600M400S", "*", -1, 0, {"SA": "c,2501,+,600S400M,60,40;", "NM": "0"}),
+        ("dup", 0, "c", 9000, 60, "600M400S", "*", -1, 0, {"SA": "c,9201,+,600S400M,60,0;", "NM": "0"}),
+    ]
+    rows = [(*r[:6], r[6], r[7], r[8], seq, r[9]) for r in one]
+    schema = "qname string, flag long, contig string, pos long, mapq long, cigar string, mate_contig string, mate_pos long, isize long, seq string, tags map<string,string>"
+    sizes = spark.createDataFrame([("c", 100_000)], "contig string, size long")
+    tech = spark.createDataFrame([(0, 0)], "source_id long, tech long")
+    moments = spark.createDataFrame([(300.0, 10.0)], "mean double, sd double")
+
+    def found(copies):
+        df = records.scan([spark.createDataFrame(rows * copies, schema)])
+        out = {}
+        for r in records.signatures(df, tech, sizes, ONT, moments, how).collect():
+            out[tuple(r)] = out.get(tuple(r), 0) + 1
+        return out
+
+    single = found(1)
+    assert len(single) >= 4 and set(single.values()) == {1}
+    assert found(3) == {k: 3 for k in single}
+
+
+def test_each_source_has_its_own_library(spark):
+    """Pairs of 300 and of 600 bases in one call set: what is wide for the one is usual for the other."""
+    rows = []
+    for source, size in ((0, 300), (1, 600)):
+        for k in range(400):
+            gap = size + k % 7 - 3 + (900 if k == 50 else 0)
+            rows += [(f"p{source}{k}", 99, "c", 1000 * k, 60, "100M", "=", 1000 * k + gap - 100, gap, None, {}, source), (f"p{source}{k}", 147, "c", 1000 * k + gap - 100, 60, "100M", "=", 1000 * k, -gap, None, {}, source)]
+    df = spark.createDataFrame(rows, "qname string, flag long, contig string, pos long, mapq long, cigar string, mate_contig string, mate_pos long, isize long, seq string, tags map<string,string>, source_id long")
+    tech = spark.createDataFrame([(0, 1), (1, 1)], "source_id long, tech long")
+    sizes = spark.createDataFrame([("c", 1_000_000)], "contig string, size long")
+    one = library.moments(library.library_reads(records.prepared(df)), ["source_id"]).collect()
+    assert {r["source_id"]: round(r["mean"] / 10) for r in one} == {0: 30, 1: 60}
+    got = {(r["template"], r["sv_type"], r["length"]) for r in records.signatures(df, tech, sizes, ONT).collect()}
+    assert {t for t, _, _ in got} == {"p050", "p150"} and all(abs(n - 900) < 10 and kind == 0 for _, kind, n in got)
+
+
+def test_coverage_by_differences(spark):
+    """Border shares and running steps against a count window by window, over stretches, in one window, and next to each other."""
+    rng = random.Random(8)
+    rows = [("c", a, a + rng.choice([0, 30, 99, 100, 101, 250, 40_000])) for a in (rng.randrange(5_000) for _ in range(80))]
+    rows += [("c", 999_950, 1_000_010), ("c", 900_000, 2_100_050), ("c", 2_000_000, 2_000_000), ("d", 7, 8)]
+    want = {}
+    for contig, lo, hi in rows:
+        for w in range(lo // 100, hi // 100 + 1):
+            share = (lo // 100 + 1) * 100 - lo if w == lo // 100 else hi + 1 - w * 100 if w == hi // 100 else 100
+            want[contig, w] = want.get((contig, w), 0) + share
+    got = {(r["contig"], r["w"]): round(100 * r["cov"]) for r in coverage.windowed(spark.createDataFrame(rows, "contig string, pos long, ref_end long"), ONT).collect()}
+    assert got == want
+
+
 def test_sample_grows_until_it_settles(spark):
     """Sizes that hardly differ settle in a part, many different ones in none."""
     one = spark.range(20_000).select(F.col("id").alias("pair_id"), F.lit(300).alias("isize"))

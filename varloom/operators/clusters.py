@@ -19,8 +19,6 @@ LOCUS = ["contig", "sv_type", "locus"]
 CLUSTER = [*LOCUS, "cluster"]
 #: Pairs of rows compared at once.
 PAIRS = 1 << 20
-#: Bases between the means of clusters of one second-layer cluster, and the share of rows that makes a core.
-NEAR, CORE = 200, 0.7
 
 
 def by_type(values: tuple) -> Column:
@@ -28,15 +26,16 @@ def by_type(values: tuple) -> Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), F.col("sv_type").cast("int") + 1)
 
 
-def with_islands(sig: DataFrame, p: Params) -> DataFrame:
-    """Adds island: the first position of the row's island, which no pair of alike signatures leaves.
-
-    A signature reaches as far as any partner's begin may be: the fixed distance, or its length's share.
-    """
+def reach(p: Params) -> Column:
+    """As far as any partner's begin may be: the fixed distance, or the length's share."""
     fixed = tuple(f * max(1.0, h) for f, h in zip(p.force, p.hp_diff, strict=True))
-    reach = F.col("begin_pos") + F.greatest(by_type(fixed), F.col("length") * by_type(p.pos_ratio))
+    return F.col("begin_pos") + F.greatest(by_type(fixed), F.col("length") * by_type(p.pos_ratio))
+
+
+def with_islands(sig: DataFrame, p: Params) -> DataFrame:
+    """Adds island: the first position of the row's island, which no pair of alike signatures leaves."""
     order = [F.col("begin_pos"), F.col("length"), F.desc("quality"), F.col("template"), F.col("end_pos")]
-    return islands(sig, KEYS, "begin_pos", order, reach, "island")
+    return islands(sig, KEYS, "begin_pos", order, reach(p), "island")
 
 
 def with_locus(sig: DataFrame, p: Params) -> DataFrame:
@@ -141,7 +140,7 @@ def gathered(i: np.ndarray, j: np.ndarray, group: np.ndarray, first: np.ndarray,
         into = step[into]
 
 
-def _slack(t: np.ndarray, p: Params) -> np.ndarray:
+def slack_of(t: np.ndarray, p: Params) -> np.ndarray:
     """How far apart the extents of clusters may be that are taken together."""
     return np.array(p.force, np.float64)[t] + np.array(p.near, np.float64)[t]
 
@@ -151,59 +150,7 @@ def rounds(table: pa.Table, group: np.ndarray, p: Params) -> np.ndarray:
     get = lambda c: numbers(table, c).astype(np.int64)
     t, begin, end = get("sv_type"), get("begin_pos"), get("end_pos")
     i, j = brothers(begin, end, get("length"), get("hp"), codes(table, "template"), t, group, p)
-    return gathered(i, j, group, begin, end, _slack(t, p), p)
-
-
-def gathered_clusters(table: pa.Table, group: np.ndarray, p: Params) -> np.ndarray:
-    """The second layer: clusters of one type, summed up, whose means lie near each other and whose lengths agree.
-
-    The more rows the smaller of two has, the better lengths must agree; clusters that share a template stay apart.
-    """
-    get = lambda c: numbers(table, c).astype(np.float64)
-    t, size, length, begin, end = numbers(table, "sv_type").astype(np.int64), get("size"), get("mean_length"), get("mean_begin"), get("mean_end")
-    seen = [set(x) for x in table["templates"].to_pylist()]
-    at, pairs = np.lexsort((begin, group)), []
-    place = (group * (begin.max(initial=0) + 2 * NEAR) + begin)[at]
-    until = np.searchsorted(place, place + NEAR, side="left")
-    for k in range(len(at)):
-        pairs += [(at[k], at[m]) for m in range(k + 1, until[k])]
-    i, j = np.array(pairs, np.int64).reshape(-1, 2).T
-    least = np.minimum(size[i], size[j])
-    share = np.abs(length[i] - length[j]) / 2 / ((length[i] + length[j]) / 2) < np.array(p.length_ratio2)[t[i]] / least
-    close = np.abs(length[i] - length[j]) < np.array(p.force2)[t[i]] / least
-    single = (size[i] == 1) & (size[j] == 1)
-    link = (np.abs(end[i] - end[j]) < NEAR) & np.where(single, close, share | close)
-    link &= np.array([bool(s) or not seen[x] & seen[y] for x, y, s in zip(i.tolist(), j.tolist(), single.tolist(), strict=True)], bool)
-    return gathered(i[link], j[link], group, get("first"), get("last"), _slack(t, p), p)
-
-
-def two_layers(sig: DataFrame, p: Params) -> DataFrame:
-    """(contig, sv_type, sig_id, cluster, core): exact clusters gathered once more.
-
-    core tells whether a row is of the largest part of its cluster, where this part has at least CORE of all rows.
-    """
-    first = exact_clusters(sig, p).withColumnRenamed("cluster", "part")
-    parts = first.join(sig.select(*KEYS, "sig_id", "begin_pos", "end_pos", "length", "template"), [*KEYS, "sig_id"]).groupBy(*KEYS, "part").agg(
-        F.count(F.lit(1)).alias("size"), F.min("begin_pos").alias("first"), F.max("end_pos").alias("last"), F.avg("begin_pos").alias("mean_begin"),
-        F.avg("end_pos").alias("mean_end"), F.avg("length").alias("mean_length"), F.collect_set("template").alias("templates"),
-    )
-    order = [F.col("mean_begin"), F.col("part")]
-    grouped = islands(parts, KEYS, "mean_begin", order, F.col("mean_begin") + NEAR, "island")
-
-    def run(table: pa.Table, group: np.ndarray) -> pa.Table:
-        _, number = np.unique(gathered_clusters(table, group, p), return_inverse=True)
-        part, size = numbers(table, "part"), numbers(table, "size")
-        name = np.full(number.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(name, number, part)
-        # a cluster's largest part, the first of equals
-        order = np.lexsort((part, -size, number))
-        top = np.zeros(len(part), bool)
-        top[order[np.diff(number[order], prepend=-1) > 0]] = True
-        core = top & (size >= CORE * np.bincount(number, weights=size)[number])
-        return pa.table({"contig": table["contig"], "sv_type": table["sv_type"], "part": part, "cluster": name[number], "core": core})
-
-    named = map_groups(grouped, [*KEYS, "island"], ["first", "part"], run, "contig string, sv_type long, part long, cluster long, core boolean")
-    return first.join(named, [*KEYS, "part"]).select(*KEYS, "sig_id", "cluster", "core")
+    return gathered(i, j, group, begin, end, slack_of(t, p), p)
 
 
 def exact_clusters(sig: DataFrame, p: Params) -> DataFrame:

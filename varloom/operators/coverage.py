@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.functions import reads as R
-from varloom.operators.intervals import containing
+from varloom.operators.intervals import STRETCH, containing
 from varloom.params import Params
 
 #: Windows of a block.
@@ -29,9 +29,23 @@ def windowed(rows: DataFrame, p: Params) -> DataFrame:
     """
     size = p.window
     first, last = F.expr(f"pos div {size}"), F.expr(f"ref_end div {size}")
-    spread = rows.select("contig", "pos", "ref_end", first.alias("first"), last.alias("last"), F.explode(F.sequence(first, last)).alias("w"))
-    share = F.when(F.col("w") == F.col("first"), ((F.col("first") + 1) * size - F.col("pos")) / size).when(F.col("w") == F.col("last"), (F.col("ref_end") + 1 - F.col("last") * size) / size).otherwise(1.0)
-    return spread.groupBy("contig", "w").agg(F.sum(share).alias("cov"))
+    # a row's borders, and where the windows that it covers whole begin and end: three rows, however long it is
+    event = lambda w, part, step: F.struct(w.alias("w"), part.cast("long").alias("part"), F.lit(step).cast("long").alias("step"))
+    head = (first + 1) * size - F.col("pos")
+    inner = [event(first + 1, F.lit(0), 1), event(last, F.col("ref_end") + 1 - last * size, -1)]
+    events = F.when(first == last, F.array(event(first, head, 0))).otherwise(F.array(event(first, head, 0), *inner))
+    each = rows.filter(first <= last).select("contig", F.explode(events).alias("e"))
+    changed = each.groupBy("contig", F.col("e.w").alias("w")).agg(F.sum("e.part").alias("part"), F.sum("e.step").alias("step"))
+    changed = changed.withColumn("_s", F.floor(F.col("w") * size / STRETCH).cast("long"))
+    # running sums inside stretches; a row for each stretch has what came before, and where the next one's windows begin
+    by_stretch, inside = Window.partitionBy("contig").orderBy("_s"), Window.partitionBy("contig", "_s").orderBy("w")
+    carried = changed.groupBy("contig", "_s").agg(F.sum("step").alias("_sum"), F.min("w").alias("_first"))
+    carried = carried.select("contig", "_s", F.coalesce(F.sum("_sum").over(by_stretch.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lead("_first").over(by_stretch).alias("_next"))
+    rows = changed.withColumns({"_open": F.sum("step").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_then": F.lead("w").over(inside)}).join(carried, ["contig", "_s"])
+    rows = rows.select("contig", "w", "part", (F.col("_before") + F.col("_open")).alias("open"), F.coalesce("_then", "_next").alias("then"))
+    until = F.when((F.col("open") > 0) & F.col("then").isNotNull(), F.col("then") - 1).otherwise(F.col("w"))
+    spread = rows.select("contig", F.col("w").alias("_w"), "part", "open", F.explode(F.sequence("w", until)).alias("w"))
+    return spread.select("contig", "w", (F.when(F.col("w") == F.col("_w"), F.col("part") / size).otherwise(0.0) + F.col("open")).alias("cov"))
 
 
 def average(cov: DataFrame, spans: DataFrame, start: Column, end: Column, p: Params) -> DataFrame:

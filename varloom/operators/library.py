@@ -15,29 +15,33 @@ SAMPLES = 10
 LEAST_PAIRS = 1_000
 
 
-def histogram(pairs: DataFrame) -> DataFrame:
-    """(size, n, below): counts by size and the count of sizes up to it; its rows are sizes, not pairs."""
-    counts = pairs.groupBy(F.col("isize").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("below", F.sum("n").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def quantile_bins(pairs: DataFrame) -> DataFrame:
-    """(bin, size) for bins 0 to BINS - 1: a size fills the bins up to its rounded share of all."""
-    h = histogram(pairs)
-    all_ = h.agg(F.sum("n").alias("total"))
+def histogram(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(*keys, size, n, below): counts by size and the count of sizes up to it, for each library that ``keys`` tell apart."""
+    keys = keys or []
+    counts = pairs.groupBy(*keys, F.col("isize").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    # rows are sizes, not pairs
+    return counts.withColumn("below", F.sum("n").over(Window.partitionBy(*keys).orderBy("size").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def quantile_bins(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(*keys, bin, size) for bins 0 to BINS - 1: a size fills the bins up to its rounded share of all."""
+    keys = keys or []
+    whole = Window.partitionBy(*keys)
+    h = histogram(pairs, keys).withColumn("total", F.max("below").over(whole))
     upto = F.rint(F.col("below") / F.col("total") * BINS).cast("long")
-    filled = h.crossJoin(F.broadcast(all_)).withColumn("upto", upto).withColumn("start", F.coalesce(F.lag("upto").over(Window.orderBy("size")), F.lit(0)))
-    return filled.filter("upto > start").select(F.explode(F.sequence("start", F.col("upto") - 1)).alias("bin"), "size")
+    filled = h.withColumn("upto", upto).withColumn("start", F.coalesce(F.lag("upto").over(whole.orderBy("size")), F.lit(0)))
+    return filled.filter("upto > start").select(*keys, F.explode(F.sequence("start", F.col("upto") - 1)).alias("bin"), "size")
 
 
 def bin_of(share: Column) -> Column:
     return F.greatest(F.ceil(share * BINS) - 1, F.lit(0)).cast("long")
 
 
-def moments(pairs: DataFrame) -> DataFrame:
-    """(mean, sd) over the quantiles at 0, 1/STEPS, ..., 1: one row."""
+def moments(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(*keys, mean, sd) over the quantiles at 0, 1/STEPS, ..., 1: one row for each library that ``keys`` tell apart."""
     steps = pairs.sparkSession.range(STEPS + 1).select(F.greatest(F.ceil(F.col("id") * BINS / STEPS) - 1, F.lit(0)).cast("long").alias("bin"))
-    return steps.join(quantile_bins(pairs), "bin").agg(F.avg("size").alias("mean"), F.stddev_pop("size").alias("sd"))
+    # both sides have a row per step, or per bin and library
+    return steps.join(quantile_bins(pairs, keys), "bin").groupBy(*(keys or [])).agg(F.avg("size").alias("mean"), F.stddev_pop("size").alias("sd"))
 
 
 def sampled(pairs: DataFrame, key: str) -> DataFrame:

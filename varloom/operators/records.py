@@ -30,7 +30,8 @@ def scan(sources: list[DataFrame]) -> DataFrame:
 
 
 def prepared(records: DataFrame) -> DataFrame:
-    """Adds ops, ref_len, hp (0 without a tag) and read_id, a hash that tells records apart."""
+    """Adds ops, ref_len, hp (0 without a tag) and read_id, a hash that equal records share
+    (:func:`told_apart` gives each its own)."""
     return records.withColumns({
         "ops": R.cigar_ops(F.col("cigar")),
         "hp": F.coalesce(F.col("tags")["HP"].cast("long"), F.lit(0).cast("long")),
@@ -38,6 +39,16 @@ def prepared(records: DataFrame) -> DataFrame:
     }).withColumn("ref_len", R.cigar_sum(F.col("ops"), R.REFERENCE_OPS))
 
 
+def told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` with a read_id of its own for every record: a record that is in a file twice counts twice.
+
+    Equal records share their hash, so they are numbered, and the number goes into the id of all but the first.
+    """
+    alike = Window.partitionBy("read_id").orderBy(*(c for c in rows.columns if c != "read_id"))
+    nth = rows.withColumn("_nth", F.row_number().over(alike))
+    return nth.withColumn("read_id", F.when(F.col("_nth") == 1, F.col("read_id")).otherwise(F.xxhash64("read_id", "_nth"))).drop("_nth")
+
+
 def technologies(records: DataFrame, platforms: DataFrame) -> DataFrame:
     """(source_id, tech): by the platform (source_id, platform) of the source's first read group, else by its first records.
 
@@ -123,7 +134,7 @@ def merged(records: DataFrame, p: Params, how: str = "omni") -> DataFrame:
     What is put together has the quality of the read and all its pieces' bases; only omni keeps the haplotype.
     """
     # read several times from here on
-    rows = materialize(cigar_reads(records, p), shared_folder(records.sparkSession), "reads")
+    rows = materialize(told_apart(cigar_reads(records, p)), shared_folder(records.sparkSession), "reads")
     ends = F.transform("gone", lambda s: s["begin"] + s["length"])
     low = F.array_min(F.transform(F.concat("gone", "more"), lambda s: s["begin"]))
     extents = rows.select("read_id", F.col("contig").alias("region"), F.coalesce(F.get("gone", F.lit(0))["begin"], F.lit(-1)).alias("del_begin"), F.coalesce(F.array_max(ends), F.lit(-1)).alias("del_end"), low.alias("begin"))
@@ -143,11 +154,12 @@ def from_pairs(records: DataFrame, moments: DataFrame) -> DataFrame:
     """Deletions where a pair of short reads spans far more than the library's inserts, duplications where far less.
 
     Pairs point to each other or away from each other, on one contig; the record with the inner distance speaks for both.
-    ``moments`` (mean, sd) has one row.
+    ``moments`` (mean, sd) has one row for all sources, or with a source_id one for each.
     """
     flag = F.col("flag")
     both = R.has(flag, R.PAIRED) & ~R.has(flag, R.UNMAPPED) & ~R.has(flag, R.MATE_UNMAPPED) & (F.col("mate_contig").isin("=") | (F.col("mate_contig") == F.col("contig")))
-    rows = records.filter((F.col("tech") == 1) & both & (F.col("isize") >= 0) & (R.has(flag, R.REVERSE) != R.has(flag, R.MATE_REVERSE))).crossJoin(F.broadcast(moments.select("mean", "sd")))
+    rows = records.filter((F.col("tech") == 1) & both & (F.col("isize") >= 0) & (R.has(flag, R.REVERSE) != R.has(flag, R.MATE_REVERSE)))
+    rows = rows.join(F.broadcast(moments.select("source_id", "mean", "sd")), "source_id") if "source_id" in moments.columns else rows.crossJoin(F.broadcast(moments.select("mean", "sd")))
     ahead = ~R.has(flag, R.REVERSE)
     pick = lambda one, two: F.when(ahead, one).otherwise(two)
     rows = rows.withColumn("_from", pick(F.col("pos"), F.col("mate_pos"))).withColumn("_gap", pick(F.col("isize"), F.col("pos") + F.col("ref_len") - F.col("mate_pos")))
@@ -160,11 +172,17 @@ def from_pairs(records: DataFrame, moments: DataFrame) -> DataFrame:
     return _signature(rows, F.when(wide, 0).otherwise(2), 1, length=F.col("_len"), quality=F.col("mapq").cast("double"), hp=F.lit(0).cast("long"))
 
 
-def segments(records: DataFrame) -> DataFrame:
-    """The segments of split primary records, in the order in which the read passes them, with what :mod:`splits` needs."""
+def split_records(records: DataFrame) -> DataFrame:
+    """Primary records with supplementary segments, told apart, with what :func:`segments` needs and whose signatures they are."""
     split = records.filter(R.is_primary(F.col("flag")) & F.col("tags")["SA"].isNotNull())
-    own = split.select("read_id", F.lit(-1).cast("long").alias("at"), "contig", "pos", (~R.has(F.col("flag"), R.REVERSE)).cast("long").alias("strand"), "cigar", F.coalesce(F.col("tags")["NM"].cast("long"), F.lit(0)).alias("nm"))
-    other = S.parse_supplementary(split.select("read_id", F.col("tags")["SA"].alias("sa"))).select("read_id", F.col("idx").alias("at"), "contig", "pos", "strand", "cigar", "nm")
+    more = [c for c in ("hp", "tech") if c in records.columns]
+    return told_apart(split.select("read_id", "qname", "flag", "contig", "pos", "cigar", F.col("tags")["SA"].alias("sa"), F.coalesce(F.col("tags")["NM"].cast("long"), F.lit(0)).alias("nm"), *more))
+
+
+def segments(split: DataFrame) -> DataFrame:
+    """The segments of ``split`` (of :func:`split_records`), in the order in which the read passes them, with what :mod:`splits` needs."""
+    own = split.select("read_id", F.lit(-1).cast("long").alias("at"), "contig", "pos", (~R.has(F.col("flag"), R.REVERSE)).cast("long").alias("strand"), "cigar", "nm")
+    other = S.parse_supplementary(split.select("read_id", "sa")).select("read_id", F.col("idx").alias("at"), "contig", "pos", "strand", "cigar", "nm")
     rows = own.unionByName(other).withColumn("ops", R.cigar_ops(F.col("cigar")))
     first = F.get("ops", F.lit(0))
     inner = F.when(first["op"].isin("H", "S"), first["len"]).otherwise(0)
@@ -184,10 +202,10 @@ def segments(records: DataFrame) -> DataFrame:
 def from_splits(records: DataFrame, sizes: DataFrame, p: Params) -> DataFrame:
     """Signatures of all types from the segments of split records."""
     folder = shared_folder(records.sparkSession)
-    # both are read by every kind of signature
-    segs = materialize(segments(records), folder, "segments")
-    split = records.filter(R.is_primary(F.col("flag")) & F.col("tags")["SA"].isNotNull())
-    names = materialize(split.select("read_id", "qname", "hp", "tech").distinct(), folder, "names")
+    split = materialize(split_records(records), folder, "split")
+    # read by every kind of signature
+    segs = materialize(segments(split), folder, "segments")
+    names = split.select("read_id", "qname", "hp", "tech")
     parts = [
         (S.split_deletions(segs, p), F.lit(0), {}),
         (S.split_insertions(segs, sizes, p), F.lit(1), {}),
@@ -200,10 +218,10 @@ def from_splits(records: DataFrame, sizes: DataFrame, p: Params) -> DataFrame:
 def signatures(records: DataFrame, tech: DataFrame, sizes: DataFrame, p: Params, moments: DataFrame | None = None, merge: str | None = "omni") -> DataFrame:
     """All that the records show, as rows of FIELDS.  ``tech`` has a row per source, ``sizes`` one per contig.
 
-    ``moments`` are those of the short reads' library; by default they are measured on the records themselves.  ``merge`` tells how
+    ``moments`` are those of the short reads' libraries; by default each source's are measured on its own records.  ``merge`` tells how
     pieces inside a read are put together (:func:`merged`), or None.
     """
     rows = prepared(records).join(F.broadcast(tech), "source_id")
-    moments = L.moments(L.library_reads(rows.filter("tech = 1"))) if moments is None else moments
+    moments = L.moments(L.library_reads(rows.filter("tech = 1")), ["source_id"]) if moments is None else moments
     inside = merged(rows, p, merge) if merge else from_cigars(rows, p)
     return inside.unionByName(from_pairs(rows, moments)).unionByName(from_splits(rows, sizes, p))

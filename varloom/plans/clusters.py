@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from varloom.operators import clusters as C
 from varloom.operators import intervals as I
 from varloom.operators.calls import measured
+from varloom.operators.layers import two_layers
 from varloom.operators.signatures import sorted_signatures
 from varloom.params import ONT
 from varloom.plans.registry import query
@@ -38,7 +39,8 @@ def cluster_exact(sig: DataFrame) -> DataFrame:
 
 @query("sig")
 def cluster_two_layer(sig: DataFrame) -> DataFrame:
-    return C.two_layers(sorted_signatures(sig), ONT)
+    found = two_layers(sorted_signatures(sig), ONT)
+    return found.select("contig", "sv_type", "sig_id", "cluster", "core")
 
 
 def _per_type(values: tuple) -> str:

@@ -28,6 +28,21 @@ def isize_stats(pairs: DataFrame) -> DataFrame:
     return L.moments(pairs).select(F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
+#: Two libraries: every other pair is 300 bases longer.
+LIBS = "SELECT pair_id % 2 AS source_id, isize + 300 * (pair_id % 2) AS isize FROM pair"
+LIB_CDF = """SELECT source_id, size, CAST(round_even(below / total * 1000, 0) AS BIGINT) AS upto FROM (
+ SELECT source_id, isize AS size, sum(count(*)) OVER (PARTITION BY source_id ORDER BY isize) AS below, sum(count(*)) OVER (PARTITION BY source_id) AS total FROM libs GROUP BY ALL)"""
+LIB_BINS = "SELECT source_id, b AS bin, min(size) AS size FROM lib_cdf JOIN (SELECT unnest(generate_series(0, 999)) AS b) ON upto > b GROUP BY ALL"
+
+
+@query("pair", sql="""SELECT source_id, round(avg(size), 6) AS mean, round(stddev_pop(size), 6) AS sd
+FROM (SELECT greatest(CAST(ceil(i * 1000 / 10000) AS BIGINT) - 1, 0) AS bin FROM (SELECT unnest(generate_series(0, 10000)) AS i)) s JOIN lib_bins USING (bin) GROUP BY source_id""", libs=LIBS, lib_cdf=LIB_CDF, lib_bins=LIB_BINS)
+def isize_by_source(pairs: DataFrame) -> DataFrame:
+    """Each source's library measured by its own pairs, in one job."""
+    rows = pairs.select((F.col("pair_id") % 2).alias("source_id"), (F.col("isize") + 300 * (F.col("pair_id") % 2)).alias("isize"))
+    return L.moments(rows, ["source_id"]).select("source_id", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
 @query("pair", sql="SELECT isize AS size, count(*) AS n FROM pair WHERE isize <= (SELECT size FROM bins WHERE bin = 999) GROUP BY isize", cdf=CDF, bins=BINS)
 def isize_trim(pairs: DataFrame) -> DataFrame:
     top = L.quantile_bins(pairs).filter(F.col("bin") == L.bin_of(F.lit(L.TOP))).select(F.col("size").alias("top"))
