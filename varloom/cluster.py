@@ -47,9 +47,31 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{whole.rstrip('/')}/varloom-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
+#: Lets Spark give up a query's shuffle files when the query is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, folder: str, name: str, clean: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage is cut there, and a
-    lost executor costs no recomputation of what came before."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    lost executor costs no recomputation of what came before.
+
+    With ``clean`` what was shuffled for the table goes when the table stands, so a job of many tables holds one table's shuffles
+    at a time.
+    """
+    path, conf = f"{folder}/{name}", df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    if clean:
+        conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if clean:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more."""
+    for name in names:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

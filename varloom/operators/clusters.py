@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varloom.cluster import materialize, shared_folder
+from varloom.operators.graph import components
 from varloom.operators.grouping import codes, map_groups, numbers
 from varloom.operators.intervals import BIN, islands
 from varloom.operators.signatures import sorted_signatures
@@ -19,6 +21,8 @@ LOCUS = ["contig", "sv_type", "locus"]
 CLUSTER = [*LOCUS, "cluster"]
 #: Pairs of rows compared at once.
 PAIRS = 1 << 20
+#: Rows of an island that one task takes whole; a larger island is dealt out by its components.
+DENSE = 200_000
 
 
 def by_type(values: tuple) -> Column:
@@ -38,6 +42,28 @@ def with_islands(sig: DataFrame, p: Params) -> DataFrame:
     return islands(sig, KEYS, "begin_pos", order, reach(p), "island")
 
 
+def in_groups(sig: DataFrame, p: Params) -> DataFrame:
+    """``sig`` (with sig_id) with island and part: the groups that the rounds can be run in one by one.
+
+    A part is a whole island, whose part is 0.  In an island of more than DENSE rows it is a component of the graph of brothers: a
+    cluster takes in what holds a brother, so no cluster leaves its component, and what rounds do in one doesn't
+    depend on another.  Whether there may be such islands is told by the rows of a contig and type.
+    """
+    held = with_islands(sig, p)
+    most = sig.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= DENSE:
+        return held.withColumn("part", F.lit(0).cast("long"))
+    folder = shared_folder(sig.sparkSession)
+    held = materialize(held, folder, "islands")
+    crowded = held.groupBy(*KEYS, "island").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > DENSE).select(*KEYS, "island", F.lit(True).alias("dense"))
+    # fewer than one in DENSE rows
+    marked = held.join(F.broadcast(crowded), [*KEYS, "island"], "left")
+    found = components(brother_pairs(marked.filter("dense"), p), KEYS, folder).withColumnRenamed("node", "sig_id")
+    # a row without brothers is a part of its own
+    own = F.when(F.col("dense"), -1 - F.col("sig_id")).otherwise(0)
+    return marked.join(found, [*KEYS, "sig_id"], "left").withColumn("part", F.coalesce("component", own).cast("long")).select(*held.columns, "part")
+
+
 def with_locus(sig: DataFrame, p: Params) -> DataFrame:
     return with_islands(sig, p).withColumn("locus", F.col("island") - F.col("island") % 1000).drop("island")
 
@@ -162,15 +188,15 @@ def exact_clusters(sig: DataFrame, p: Params) -> DataFrame:
         np.minimum.at(name, number, numbers(table, "sig_id"))
         return table.select([*KEYS, "sig_id"]).append_column("cluster", pa.array(name[number]))
 
-    held = with_islands(sig, p).select("contig", F.col("sv_type").cast("long"), "island", "sig_id", "begin_pos", "end_pos", "length", "template", "hp")
-    return map_groups(held, [*KEYS, "island"], ["sig_id"], run, "contig string, sv_type long, sig_id long, cluster long")
+    held = in_groups(sig, p).select("contig", F.col("sv_type").cast("long"), "island", "part", "sig_id", "begin_pos", "end_pos", "length", "template", "hp")
+    return map_groups(held, [*KEYS, "island", "part"], ["sig_id"], run, "contig string, sv_type long, sig_id long, cluster long")
 
 
 def with_clusters(sig: DataFrame, p: Params) -> DataFrame:
     """Adds sig_id, cluster (the smallest number of its members), locus (the thousand in which the cluster begins), within
     (whether a row is of the middle rows of a cluster above the largest size, or the cluster isn't above it), and the counts n
     and hp0 to hp2 of the cluster's rows within."""
-    held = with_islands(sorted_signatures(sig), p)
+    held = in_groups(sorted_signatures(sig), p)
     added = {"locus": "bigint", "cluster": "bigint", "within": "boolean", "n": "bigint", "hp0": "bigint", "hp1": "bigint", "hp2": "bigint"}
 
     def run(table: pa.Table, group: np.ndarray) -> pa.Table:
@@ -193,7 +219,7 @@ def with_clusters(sig: DataFrame, p: Params) -> DataFrame:
         return table
 
     schema = held.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in added.items())).schema
-    return map_groups(held, [*KEYS, "island"], ["sig_id"], run, schema).drop("island")
+    return map_groups(held, [*KEYS, "island", "part"], ["sig_id"], run, schema).drop("island", "part")
 
 
 def support() -> list[Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.operators.calls import type_name
@@ -69,9 +69,9 @@ def with_ids(calls: DataFrame) -> DataFrame:
     order = [F.col("pos"), F.col("sv_len"), F.col("locus"), F.col("cluster")]
     rows = numbered(calls, ["sv_type", "contig_id"], "pos", order, "_i")
     sizes = calls.groupBy("sv_type", "contig_id").agg(F.count(F.lit(1)).alias("_n"))
-    other = sizes.select("sv_type", F.col("contig_id").alias("_c"), F.col("_n").alias("_m"))
     # one row per type and contig
-    before = sizes.join(other, "sv_type").groupBy("sv_type", "contig_id").agg(F.sum(F.when(F.col("_c") < F.col("contig_id"), F.col("_m")).otherwise(0)).alias("_before"))
+    earlier = Window.partitionBy("sv_type").orderBy("contig_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("sv_type", "contig_id", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     number = (F.col("_i") + F.col("_before")).cast("string")
     return rows.join(F.broadcast(before), ["sv_type", "contig_id"]).withColumn("id", F.concat(F.lit("sv."), type_name(), F.lit("."), number)).drop("_i", "_before")
 
