@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.cluster import materialize, shared_folder
+from varloom.cluster import forget, materialize, shared_folder
 from varloom.llm.common import column, lookup
 from varloom.llm.textsets import blocks, mix64, word_bounds, word_hashes
 
@@ -198,6 +198,10 @@ class Totals:
 # -- jobs -------------------------------------------------------------------------------------------------
 
 
+def _table(df: DataFrame, folder: str, name: str) -> DataFrame:
+    return materialize(df, folder, name, clean=True)
+
+
 def _pack(lids: np.ndarray, counts: np.ndarray) -> bytes:
     step = np.diff(lids, prepend=0)
     wide, many = bool(len(step) and step.max() > 0xFFFF), bool(len(counts) and counts.max() > 0xFF)
@@ -357,7 +361,7 @@ def _sweep(vocabulary: DataFrame, totals: Totals, samples: list[Sample], folder:
 
     got = vocabulary.filter("people > 0").mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
     name = f"cells-{len(samples)}"
-    got = materialize(got, folder, name)
+    got = _table(got, folder, name)
     tables = got.filter("cell < 0").agg(F.sum("n")).first()[0] or 0.0
     if samples:
         samples[-1].tables = float(tables)
@@ -407,11 +411,11 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """
     folder = shared_folder(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    made = materialize(rows.mapInArrow(_bags, _BAG_SCHEMA), folder, "bags")
+    made = _table(rows.mapInArrow(_bags, _BAG_SCHEMA), folder, "bags")
     words = made.filter("word is not null").select("chunk", "word", "wid", "lid", "n_train")
     pairs = made.filter("pairs is not null").select("chunk", "pairs").mapInArrow(_pairs, "chunk long, gid int, ctx long, wid long, n_train long")
     counted = pairs.groupBy("ctx", "wid").agg(F.sum("n_train").alias("c"), F.count(F.lit(1)).alias("chunks"))
-    counted = materialize(counted.filter("c > 0"), folder, "pairs")
+    counted = _table(counted.filter("c > 0"), folder, "pairs")
     once, twice = counted.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     discount = float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95))
 
@@ -420,10 +424,13 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     before = counted.groupBy(F.col("ctx").alias("wid")).agg(F.count(F.lit(1)).alias("opened"), F.count_if(F.col("c") == 1).alias("single_opened"), F.sum("c").alias("room"))
     lexicon = words.groupBy("word").agg(F.min("wid").alias("wid"), F.sum("n_train").alias("c")).join(after, "wid", "left").join(before, "wid", "left").na.fill(0)
     lexicon = lexicon.withColumns({"opened": F.col("opened").cast("double"), "ps": F.array().cast("array<double>"), "backs": F.array().cast("array<double>")})
-    lexicon = materialize(lexicon, folder, "lexicon")
+    lexicon = _table(lexicon, folder, "lexicon")
     tokens, types = lexicon.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     tokens, types = int(tokens or 0), int(types)
-    again = materialize(counted.filter("c > 1").select("ctx", "wid", "c", F.lit(0.0).alias("t")), folder, "again")
+    again = _table(counted.filter("c > 1").select("ctx", "wid", "c", F.lit(0.0).alias("t")), folder, "again")
+    # pairs of one chunk that are seen once or never need no row
+    single = _table(counted.filter("c = 1 and chunks > 1").select("ctx", "wid", F.lit(1 - discount).alias("own")), folder, "single")
+    forget(docs.sparkSession, folder, "pairs")
 
     def totals_of(table: DataFrame) -> Totals:
         people, one, two = table.agg(F.sum("people"), F.count_if(F.col("people") == 1), F.count_if(F.col("people") == 2)).first()
@@ -434,19 +441,21 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     for sweep in range(SAMPLES):
         totals = totals_of(lexicon)
         _sweep(lexicon, totals, samples, folder)
-        rated = materialize(_rated(lexicon, totals, samples[sweep], sweep), folder, f"rated-{sweep}")
-        seated = materialize(_seated(again, rated, discount, sweep), folder, f"seated-{sweep}")
+        rated = _table(_rated(lexicon, totals, samples[sweep], sweep), folder, f"rated-{sweep}")
+        seated = _table(_seated(again, rated, discount, sweep), folder, f"seated-{sweep}")
         again = seated.drop("last")
         to_word = seated.groupBy("wid").agg(F.sum("last").cast("long").alias("more"))
         to_room = seated.groupBy(F.col("ctx").alias("wid")).agg(F.sum("last").alias("more_opened"))
         lexicon = rated.join(to_word, "wid", "left").join(to_room, "wid", "left").na.fill(0, ["more", "more_opened"])
         lexicon = lexicon.withColumns({"people": F.col("single") + F.col("more"), "opened": F.col("single_opened") + F.col("more_opened")})
         lexicon = lexicon.withColumns({"ps": F.array_append("ps", F.col("p")), "backs": F.array_append("backs", (STRENGTH + discount * F.col("opened")) / (STRENGTH + F.col("room")))})
-        lexicon = materialize(lexicon.drop("more", "more_opened", "p"), folder, f"lexicon-{sweep}")
+        lexicon = _table(lexicon.drop("more", "more_opened", "p"), folder, f"lexicon-{sweep}")
+        # what the next sweep doesn't read
+        old = ("lexicon", "again") if sweep == 0 else (f"lexicon-{sweep - 1}", f"seated-{sweep - 1}")
+        forget(docs.sparkSession, folder, f"rated-{sweep}", f"cells-{sweep}", *old)
 
-    # what a pair has of its own; pairs of one chunk that are seen once or never need no row
-    own = counted.filter("c = 1 and chunks > 1").select("ctx", "wid", F.lit(1 - discount).alias("own"))
-    own = own.unionByName(again.select("ctx", "wid", (F.col("c") - discount * F.col("t") / SAMPLES).alias("own")))
+    # what a pair has of its own
+    own = single.unionByName(again.select("ctx", "wid", (F.col("c") - discount * F.col("t") / SAMPLES).alias("own")))
     none = F.lit(None)
     of_words = words.select("chunk", "word", "lid").join(lexicon, "word").select("chunk", F.col("lid").alias("at"), none.cast("double").alias("own"), "c", "room", "ps", "backs")
     of_pairs = pairs.select("chunk", "gid", "ctx", "wid").join(own, ["ctx", "wid"]).select(
