@@ -31,7 +31,7 @@ def isize_stats(pairs: DataFrame) -> DataFrame:
 #: Two libraries: every other pair is 300 bases longer.
 LIBS = "SELECT pair_id % 2 AS source_id, isize + 300 * (pair_id % 2) AS isize FROM pair"
 LIB_CDF = """SELECT source_id, size, CAST(round_even(below / total * 1000, 0) AS BIGINT) AS upto FROM (
- SELECT source_id, isize AS size, sum(count(*)) OVER (PARTITION BY source_id ORDER BY isize) AS below, sum(count(*)) OVER (PARTITION BY source_id) AS total FROM libs GROUP BY ALL)"""
+ SELECT source_id, isize AS size, sum(count(*)) OVER (PARTITION BY source_id ORDER BY isize) AS below, sum(count(*)) OVER (PARTITION BY source_id) AS total FROM libs GROUP BY source_id, isize)"""
 LIB_BINS = "SELECT source_id, b AS bin, min(size) AS size FROM lib_cdf JOIN (SELECT unnest(generate_series(0, 999)) AS b) ON upto > b GROUP BY ALL"
 
 
