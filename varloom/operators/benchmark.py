@@ -39,7 +39,7 @@ def _pairs(pos: np.ndarray, length: np.ndarray, group: np.ndarray, truth: np.nda
 def assigned(truth: DataFrame, calls: DataFrame, reach: int = REACH, alike: float = ALIKE) -> DataFrame:
     """(contig, sv_type, truth_id, call_id, apart): every truth and every call once, matched ones in one row.
 
-    ``truth`` has truth_id and ``calls`` call_id (unique), both contig, sv_type, pos and sv_len.  Of all pairs that are near and alike
+    ``truth`` has truth_id and ``calls`` call_id (unique in a contig and type), both contig, sv_type, pos and sv_len.  Of all pairs that are near and alike
     the nearest is matched first (then the one of nearest lengths, then the smaller ids), and neither of its sides again.
     Pairs never leave an island of places, so each island is worked on by itself.
     """

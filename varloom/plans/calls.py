@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from varloom.operators import vcf as W
 from varloom.params import GENOTYPE_RATIO, ONT
 from varloom.plans.registry import query
 from varloom.sources.projections import reference
+from varloom.sources.vcf_file import read_region, write_vcf
 
 KEY = [*C.LOCUS, "pos"]
 
@@ -209,6 +212,17 @@ def vcf_document(sig: DataFrame, aln: DataFrame, contigs: DataFrame) -> DataFram
     return W.document(W.header(contigs, *NAMED), _output(sig, aln, contigs))
 
 
+@query("sig", "aln", "contigs", sql="SELECT concat_ws(chr(9), contig, CAST(vcf_pos AS VARCHAR), id, ref, alt, '.', 'PASS', info, 'GT', gt) AS value FROM infos", **OUTPUT)
+def vcf_file(sig: DataFrame, aln: DataFrame, contigs: DataFrame) -> DataFrame:
+    """All calls written as one compressed file, and read back contig by contig through its index."""
+    spark = sig.sparkSession
+    calls = _output(sig, aln, contigs).select("contig_id", "contig", "vcf_pos", "vcf_end", "id", W.line().alias("line"))
+    path = f"{shared_folder(spark)}/calls.vcf.gz"
+    write_vcf(W.header(contigs, *NAMED), calls, path).count()
+    names = [r["contig"] for r in contigs.select("contig").collect()]  # a row per contig
+    return reduce(DataFrame.unionByName, [read_region(spark, path, c, 0, 1 << 29) for c in names])
+
+
 @query("truth", "contigs", sql="SELECT truth_id, substr(repeat('ACGT', 300), CAST(pos % 4 AS INTEGER) + 1, CAST(sv_len AS INTEGER)) AS bases FROM truth")
 def ref_fetch(truth: DataFrame, contigs: DataFrame) -> DataFrame:
     found = W.fetch(truth.select("truth_id", "contig", "pos", "sv_len"), reference(contigs.withColumn("size", F.col("size") + 10_000), W.CHUNK), F.col("pos"), F.col("pos") + F.col("sv_len"), ["truth_id"], "bases")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.cluster import materialize, shared_folder
+from varloom.operators import benchmark as B
 from varloom.operators import clusters as C
 from varloom.operators import merge as M
 from varloom.operators import signatures as S
@@ -24,6 +25,35 @@ def truth_match(truth: DataFrame, sig: DataFrame) -> DataFrame:
     return T.best_matches(truth, C.with_clusters(sig, ONT).groupBy(*C.CLUSTER).agg(*C.site()))
 
 
+#: Confident regions: the first 15,000 bases of every 20,000 in which a signature begins.
+CONFIDENT = "SELECT DISTINCT contig, begin_pos - begin_pos % 20000 AS r FROM sig"
+SURE_TRUTH = "SELECT t.* FROM truth t JOIN confident c ON c.contig = t.contig AND c.r = pos - pos % 20000 WHERE pos + CASE WHEN sv_type = 1 THEN 0 ELSE sv_len END <= r + 15000"
+SURE_CALLS = "SELECT s.* FROM sites s JOIN confident c ON c.contig = s.contig AND c.r = c_pos - c_pos % 20000 WHERE c_pos + CASE WHEN sv_type = 1 THEN 0 ELSE c_len END <= r + 15000"
+PAIRED = """SELECT t.contig, t.sv_type, truth_id, locus, row_number() OVER (PARTITION BY t.contig, t.sv_type ORDER BY abs(pos - c_pos), abs(sv_len - c_len), truth_id, locus) AS k
+FROM sure_truth t JOIN sure_calls s ON s.contig = t.contig AND s.sv_type = t.sv_type AND abs(pos - c_pos) <= 500 AND least(sv_len, c_len) >= 0.7 * greatest(sv_len, c_len)"""
+TAKEN = """SELECT contig, sv_type, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ts, CAST([] AS BIGINT[]) AS cs FROM (SELECT DISTINCT contig, sv_type FROM paired)
+UNION ALL SELECT contig, sv_type, k, CASE WHEN free THEN list_append(ts, truth_id) ELSE ts END, CASE WHEN free THEN list_append(cs, locus) ELSE cs END
+FROM (SELECT x.contig, x.sv_type, p.k, ts, cs, p.truth_id, p.locus, NOT list_contains(ts, p.truth_id) AND NOT list_contains(cs, p.locus) AS free FROM taken x JOIN paired p ON p.contig = x.contig AND p.sv_type = x.sv_type AND p.k = x.k + 1)"""
+
+
+@query("truth", "sig", sql="""SELECT sv_type, tp, calls - tp AS fp, truths - tp AS fn, round(tp / calls, 6) AS precision, round(tp / truths, 6) AS recall, round(2 * tp / (calls + truths), 6) AS f1 FROM (
+ SELECT t.sv_type, truths, calls, CAST(coalesce(tp, 0) AS BIGINT) AS tp FROM (SELECT sv_type, count(*) AS truths FROM sure_truth GROUP BY sv_type) t JOIN (SELECT sv_type, count(*) AS calls FROM sure_calls GROUP BY sv_type) c ON c.sv_type = t.sv_type
+ LEFT JOIN (SELECT sv_type, sum(n) AS tp FROM (SELECT contig, sv_type, max(len(ts)) AS n FROM taken GROUP BY contig, sv_type) GROUP BY sv_type) m ON m.sv_type = t.sv_type)""",
+ sites=SITES, confident=CONFIDENT, sure_truth=SURE_TRUTH, sure_calls=SURE_CALLS, paired=PAIRED, taken=TAKEN)
+def truth_bench(truth: DataFrame, sig: DataFrame) -> DataFrame:
+    """Calls against the truth: one-to-one inside confident regions, with precision, recall and F1."""
+    folder = shared_folder(sig.sparkSession)
+    begin = F.col("begin_pos") - F.col("begin_pos") % 20_000
+    regions = sig.select("contig", begin.alias("begin_pos"), (begin + 15_000).alias("end_pos")).distinct()
+    sites = C.with_clusters(sig, ONT).groupBy(*C.CLUSTER).agg(*C.site())
+    sites = materialize(sites.withColumn("call_id", F.xxhash64(*C.CLUSTER)), folder, "sites")
+    # of equal candidates the cluster that comes first wins
+    kept = B.inside(sites, regions, "call_id").withColumn("call_id", F.col("cluster"))
+    found = B.assigned(B.inside(truth, regions, "truth_id"), kept)
+    share = [F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")]
+    return B.scores(found).select("sv_type", "tp", "fp", "fn", *share)
+
+
 @query("truth", sql="SELECT truth_id, contig, sv_type, pos FROM truth WHERE sv_type NOT IN (2, 3)")
 def type_exclude(truth: DataFrame) -> DataFrame:
     return truth.filter(~F.col("sv_type").isin(2, 3)).select("truth_id", "contig", "sv_type", "pos")

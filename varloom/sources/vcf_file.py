@@ -108,6 +108,7 @@ def write_vcf(head: DataFrame, calls: DataFrame, path: str) -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r for b in batches for r in b.to_pylist() if r["file"]), key=lambda r: (r["part"], r["lo"]))
         fs, at = FileSystem.from_uri(path)
+        fs.create_dir(at.rpartition("/")[0], recursive=True)
         with fs.open_output_stream(f"{at}.tmp") as out:
             blocks = _Blocks(out)
             blocks.write(top.encode())
