@@ -1,6 +1,8 @@
 """Operators that SQL can't express, against plain rules, and the helpers against their definitions."""
 
+import itertools
 import random
+import re
 from dataclasses import replace
 from fractions import Fraction
 from math import comb
@@ -186,7 +188,7 @@ def test_dense_loci_are_called_by_cluster(spark):
     members = {}
     for r in numbered.collect():
         members.setdefault((r["sv_type"], name[r["sv_type"], r["sig_id"]]), []).append(r)
-    p = replace(ONT, max_cluster=6)
+    p = replace(ONT, max_cluster=6, weight_filter=True)
     got = {(r["sv_type"], r["cluster"]): r for r in calls.measured(clusters.with_clusters(sig, p), p).collect()}
     assert set(got) == set(members) and len({r["locus"] for r in got.values()}) < len(got)
     for key, rows in members.items():
@@ -501,6 +503,94 @@ def test_coverage_by_differences(spark):
     assert got == want
 
 
+def plain_omni(segs, others, t, p):
+    """(begin, length, first, parts) of the best linking, by every linking of the read and every cut of every other read."""
+    n = len(segs)
+    gaps = sorted((segs[i + 1][0] - segs[i][1], i) for i in range(n - 1))
+    edges = [i for gap, i in gaps if gap < p.merge_distance][: p.omni_edges]
+
+    def runs(s, links):
+        out = []
+        for i, (b, e) in enumerate(s):
+            if i - 1 in links:
+                out[-1] = (out[-1][0], out[-1][1] + e - b)
+            else:
+                out.append((b, b + e - b))
+        return out
+
+    def near(own, other):
+        r, total = p.omni_b[t], 0
+        for b1, e1 in own:
+            for b2, e2 in other:
+                apart = abs((e1 - b1) - (e2 - b2))
+                if b2 <= b1 + r and abs(b1 - b2) + abs(e1 - e2) <= r and apart <= r:
+                    total += r - apart
+        return total
+
+    best = None
+    for choice in itertools.product((False, True), repeat=len(edges)):
+        links = {e for e, c in zip(edges, choice) if c}
+        cost = 0
+        for i in sorted(links):
+            cost = max(0, cost + segs[i + 1][0] - segs[i][1])
+        alike = 0
+        for other in others:
+            ways = itertools.product((False, True), repeat=len(other) - 1)
+            alike += max(near(runs(segs, links), runs(other, {i for i, c in enumerate(w) if c})) for w in ways)
+        score = int(p.omni_a[t] * len(links) - cost + alike * p.omni_ratio)
+        if best is None or score > best[0]:
+            best = (score, links)
+    out, first = [], 0
+    for b, e in runs(segs, best[1]):
+        last = first
+        while last in best[1]:
+            last += 1
+        out.append((b, e - b, first, last - first + 1))
+        first = last + 1
+    return out
+
+
+def test_omni_merge_of_a_whole_table(spark):
+    """Signatures of many reads with broken events, by their ranges and samples, with haplotypes, qualities and bases."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(70):
+        pos, cigar, size = rng.randrange(0, 4_000), f"{rng.randrange(200, 700)}M", 0
+        for _ in range(rng.randrange(1, 5)):
+            cigar += f"{rng.choice([35, 40, 60, 90])}{rng.choice('DDI')}{rng.choice([20, 80, 300, 900])}M"
+        size = sum(int(n) for n, o in re.findall(r"(\d+)([MI])", cigar))
+        rows.append((f"r{k}", 0, "c" if k % 9 else "d", pos, 60, cigar, "*", -1, 0, "".join(rng.choice("ACGT") for _ in range(size)), {"HP": str(k % 3), "AS": str(size - k)}))
+    schema = "qname string, flag long, contig string, pos long, mapq long, cigar string, mate_contig string, mate_pos long, isize long, seq string, tags map<string,string>"
+    df = records.prepared(records.scan([spark.createDataFrame(rows, schema)])).withColumn("tech", F.lit(0))
+    reads = {r["qname"]: r for r in records.cigar_reads(df, ONT).collect()}
+    want, linked = [], 0
+    for contig in "cd":
+        some = [r for r in reads.values() if r["contig"] == contig]
+        of = lambda r, name: [(s["begin"], s["begin"] + s["length"]) for s in r[name]]
+        some = sorted(some, key=lambda r: (min((b for b, _ in of(r, "gone")[:1]), default=-1), r["read_id"]))
+        starts = [of(r, "gone")[0][0] if r["gone"] else -1 for r in some]
+        ends, top = [], -1
+        for r in some:
+            top = max([top, *(e for _, e in of(r, "gone"))])
+            ends.append(top)
+        for i, r in enumerate(some):
+            begin = min(b for b, _ in of(r, "gone") + of(r, "more"))
+            first, after = sum(e <= begin for e in ends), sum(s <= begin for s in starts)
+            for t, name in enumerate(("gone", "more")):
+                segs = of(r, name)
+                if not segs:
+                    continue
+                step = max(1, (after - first) // ONT.omni_relevant)
+                others = [of(some[j], name) for j in range(first, after, step) if j != i and some[j][name]][: ONT.omni_relevant + 1]
+                found = plain_omni(segs, others, t, ONT)
+                linked += len(segs) - len(found)
+                for b, n, f, parts in found:
+                    bases = "".join(s["bases"] for s in r[name][f : f + parts]) if t else None
+                    want.append((contig, t, b, b + n, n, r["qname"], round(r["quality"], 9), r["hp"], bases))
+    got = [(r["contig"], r["sv_type"], r["begin_pos"], r["end_pos"], r["length"], r["template"], round(r["quality"], 9), r["hp"], r["ins_bases"]) for r in records.merged(df, ONT, "omni").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and linked > 20
+
+
 def test_sample_grows_until_it_settles(spark):
     """Sizes that hardly differ settle in a part, many different ones in none."""
     one = spark.range(20_000).select(F.col("id").alias("pair_id"), F.lit(300).alias("isize"))

@@ -43,7 +43,7 @@ def cutoffs(rows: DataFrame, p: Params) -> DataFrame:
 def measured(rows: DataFrame, p: Params) -> DataFrame:
     """Clusters with their cut-offs, and support, site, spread and so on of the rows that the cut-offs keep.
 
-    One grouping: the haplotype counts came with the clusters.  Lists of lengths and bases are bounded by the largest size.
+    One grouping: the haplotype counts came with the clusters.  Only a filter by weight needs two more.  Lists of lengths and bases are bounded by the largest size.
     bases are those of the first insertion that is as long as the mean; without a column ins_bases there are none.
     """
     kept = with_cutoffs(rows, p).filter(~(F.col("drop_untagged") & (F.col("hp") == 0)))
@@ -51,30 +51,28 @@ def measured(rows: DataFrame, p: Params) -> DataFrame:
     sides = [F.bool_or("inv_left").alias("inv_left"), F.bool_or("inv_right").alias("inv_right"), F.max("cn").alias("cn"), F.min("contig_id").cast("long").alias("contig_id")]
     place = F.struct(F.when(F.col("drop_untagged"), F.col("hp")).otherwise(0).alias("hp"), "begin_pos", "length", (-F.col("quality")).alias("quality"), "template", "end_pos", F.col("ins_bases").alias("bases"))
     spelled = F.collect_list(F.when((F.col("sv_type") == 1) & F.col("ins_bases").isNotNull(), place)).alias("_spelled")
-    best = F.aggregate("_quality", F.create_map().cast("map<string,double>"), _highest, lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda a, x: a + x))
     core = F.count_if("core") if "core" in rows.columns else F.lit(0).cast("long")
     m = kept.groupBy(*C.CLUSTER).agg(
         *C.support(), *C.site(), *C.spread(), *sides, spelled, F.sort_array(F.collect_list("length")).alias("_lengths"), F.min("length").alias("shortest"), F.max("length").alias("longest"),
-        F.collect_list(F.struct("template", F.col("quality").cast("double").alias("quality"))).alias("_quality"), core.alias("_core"), *(F.first(c).alias(c) for c in SHARED),
+        core.alias("_core"), *(F.first(c).alias(c) for c in SHARED),
     )
     fitting = F.filter(F.array_sort("_spelled"), lambda x: F.length(x["bases"]) >= F.col("sv_len"))
     m = m.filter("sv_len > 0").withColumns({
         "ls": C.length_score(F.col("sd_length"), F.col("sv_len")),
         "middle": F.get("_lengths", F.floor(F.size("_lengths") / 2).cast("int")),
         "bases": F.substring(F.get(fitting, F.lit(0))["bases"], F.lit(1), F.col("sv_len").cast("int")),
-        "weight": best,
         # whole, as a quotient of whole numbers
         "cr": F.floor(F.col("_core") / F.col("ss")).cast("double"),
         "is_precise": C.precise(p),
     })
-    return m.drop("_lengths", "_spelled", "_quality", "_core")
+    m = m.drop("_lengths", "_spelled", "_core")
+    return m.join(weights(kept), C.CLUSTER) if p.weight_filter else m
 
 
-def _highest(best: Column, x: Column) -> Column:
-    """The map of templates' highest qualities with one more row."""
-    old = F.coalesce(best[x["template"]], x["quality"])
-    others = F.map_filter(best, lambda k, v: k != x["template"])
-    return F.map_concat(others, F.create_map(x["template"], F.greatest(old, x["quality"])))
+def weights(rows: DataFrame) -> DataFrame:
+    """Per cluster: weight, the sum of its templates' highest qualities."""
+    best = rows.groupBy(*C.CLUSTER, "template").agg(F.max(F.col("quality").cast("double")).alias("q"))
+    return best.groupBy(*C.CLUSTER).agg(F.sum("q").alias("weight"))
 
 
 def filtered(calls: DataFrame, total: DataFrame, p: Params) -> DataFrame:

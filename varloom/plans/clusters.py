@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.operators import clusters as C
 from varloom.operators import intervals as I
-from varloom.operators.calls import measured
-from varloom.operators.layers import two_layers
+from varloom.operators.calls import measured, weights
+from varloom.operators.layers import two_layers, with_layers
 from varloom.operators.signatures import sorted_signatures
 from varloom.params import ONT
 from varloom.plans.registry import query
@@ -106,18 +108,31 @@ stats("weighted_site", "round(sum(begin_pos * cast(quality as double)) / sum(cas
 
 @query("sig", sql="SELECT contig, sv_type, locus, round(sum(q), 6) AS weight FROM (SELECT contig, sv_type, locus, template, max(CAST(quality AS DOUBLE)) AS q FROM cl GROUP BY ALL) GROUP BY ALL", cl=CL)
 def weight_sum(sig: DataFrame) -> DataFrame:
-    best = C.with_clusters(sig, ONT).groupBy(*C.CLUSTER, "template").agg(F.max(F.col("quality").cast("double")).alias("q"))
-    return best.groupBy(*C.CLUSTER).agg(F.round(F.sum("q"), 6).alias("weight")).drop("cluster")
+    return weights(C.with_clusters(sig, ONT)).withColumn("weight", F.round("weight", 6)).drop("cluster")
+
+
+#: Clusters of some 25 rows are cut to their middle ten.
+CAPPED = replace(ONT, max_cluster=10)
 
 
 @query("sig", sql=f"""SELECT contig, sv_type, locus, count(*) AS n, CAST(sum(begin_pos) AS BIGINT) AS begins FROM (
  SELECT *, row_number() OVER (PARTITION BY contig, sv_type, locus ORDER BY begin_pos, length, quality DESC, template, end_pos) - 1 AS r, count(*) OVER (PARTITION BY contig, sv_type, locus) AS m FROM cl)
-WHERE m <= {ONT.max_cluster} OR (r >= m // 2 - {ONT.max_cluster} // 2 AND r < m // 2 - {ONT.max_cluster} // 2 + {ONT.max_cluster}) GROUP BY ALL""", cl=CL)
+WHERE m <= {CAPPED.max_cluster} OR (r >= m // 2 - {CAPPED.max_cluster} // 2 AND r < m // 2 - {CAPPED.max_cluster} // 2 + {CAPPED.max_cluster}) GROUP BY ALL""", cl=CL)
 def cluster_cap(sig: DataFrame) -> DataFrame:
-    kept = C.with_clusters(sig, ONT).filter("within")
+    kept = C.with_clusters(sig, CAPPED).filter("within")
     return kept.groupBy(*C.CLUSTER).agg(F.count(F.lit(1)).alias("n"), F.sum("begin_pos").alias("begins")).drop("cluster")
 
 
+#: The second layer on, with a range of its own.
+LAYERED = replace(ONT, near=(0, 0, 0, 0))
+
+
+@query("sig", sql="SELECT contig, sv_type, locus, CAST(1 AS DOUBLE) AS cr FROM cl GROUP BY contig, sv_type, locus", cl=CL)
+def core_ratio(sig: DataFrame) -> DataFrame:
+    """Calls of both layers: each cluster here is one part of the first layer, so all its rows are its core."""
+    return measured(with_layers(sig, LAYERED), LAYERED).select(*C.LOCUS, "cr")
+
+
 @query("sig", sql="""SELECT contig, sv_type, locus, arg_min(substr(ins_bases, 1, sv_len), r) AS bases FROM (
  SELECT *, row_number() OVER (PARTITION BY contig, sv_type, locus ORDER BY begin_pos, length, quality DESC, template, end_pos) AS r,
  CAST(sum(length) OVER (PARTITION BY contig, sv_type, locus) // count(*) OVER (PARTITION BY contig, sv_type, locus) AS BIGINT) AS sv_len FROM cl WHERE sv_type = 1) WHERE strlen(ins_bases) >= sv_len GROUP BY ALL""", cl=CL)
