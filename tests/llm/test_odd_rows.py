@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from varloom.llm import langid, media, minhash, mixing, pieces, pitman_yor, warc
+from varloom.llm import langid, media, minhash, mixing, pieces, pii, pitman_yor, toxicity, warc
 from varloom.llm.common import crc_rest
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -71,3 +71,34 @@ def test_stages_keep_clean_rows(spark, odd):
     masked = P.mask_personal_data(spark, docs, "")
     assert ids(masked) == ids(docs)
     assert ids(P.encode_pieces(spark, docs, "")) == ids(docs)
+
+
+def test_callers_columns_of_any_name(spark):
+    """Names that the operators use inside, with blanks, dots and backticks, come back as they were, values too."""
+    names = ["_t", "a`b", "x y", "p.q", "c0", "text", "doc_id", "lang"]
+    rows = [(1, 2, 3, 4, 5, f"some words here {k}", k, "en" if k % 2 else "fr") for k in range(6)]
+    df = spark.createDataFrame(rows, names)
+    held = crc_rest(F.col("doc_id"), 3) == 1
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, toxic int")
+    outputs = {
+        "language": langid.predict(df, langid.train(df, ~held)),
+        "toxicity": toxicity.predict(df, toxicity.train(df, labels, ~held)),
+        "encoded": pieces.encode(df),
+        "decoded": pieces.decode(pieces.encode(df)),
+        "personal": pii.find(df),
+    }
+    for name, out in outputs.items():
+        assert out.columns[: len(names)] == names, name
+        assert sorted(tuple(r)[: len(names)] for r in out.collect()) == sorted(rows), name
+    assert [r["decoded"] for r in outputs["decoded"].orderBy("doc_id").collect()] == [r[5] for r in rows]
+    stored = media.store_texts(df).withColumnRenamed("doc_id", "i`d").withColumnRenamed("media", "m.d")
+    assert media.probe(stored, "i`d", "m.d").columns[0] == "i`d" and media.probe(stored, "i`d", "m.d").count() == 6
+
+
+def test_foreign_media_and_unlike_sets(spark):
+    df = spark.createDataFrame([(1, 4, None), (2, 4, bytearray(b"not a container")), (3, 4, bytearray(media.write_container(b"abcd" * 16)))], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in media.read_back(df).collect()}
+    assert got[1]["payload_bytes"] is None and got[1]["media_bytes"] == 0 and got[2]["feature"] is None and got[2]["media_bytes"] == 15
+    assert got[3]["payload_bytes"] == 64 and got[3]["feature"].startswith("codec=")
+    with pytest.raises(ValueError, match="percent"):
+        minhash.near_duplicates(df.select("doc_id", F.lit("a b c").alias("text")), percent=50)

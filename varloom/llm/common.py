@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from varloom.cluster import materialize
 
@@ -27,6 +28,22 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression names it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def beside(docs: DataFrame, wanted: str, *added: str) -> tuple[DataFrame, list[T.StructField], list[str]]:
+    """For mapInArrow that keeps a caller's columns, whatever their names: (rows, fields, names).
+
+    ``rows`` has all columns of ``docs`` but those ``added`` under numbered names, and the ``wanted`` one once more as _t; fields and
+    names are those of the kept columns, numbered and own.
+    """
+    kept = [f for f in docs.schema if f.name not in added]
+    rows = docs.select(*(F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(kept)), F.col(quoted(wanted)).alias("_t"))
+    return rows, [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)], [f.name for f in kept]
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

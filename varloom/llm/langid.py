@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from varloom.llm.common import column
+from varloom.llm.common import beside, column
 
 #: Hashed n-gram features, and the orders of n-grams.
 BUCKETS = 1 << 15
@@ -205,6 +206,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 names=[*keep, "lang_pred", "score", "ambiguous"],
             )
 
-    rest = docs.drop("lang_pred", "score", "ambiguous")
-    schema = rest.schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    return rest.withColumn("_t", F.col("text")).mapInArrow(run, schema)
+    added = ("lang_pred", "score", "ambiguous")
+    rows, fields, names = beside(docs, "text", *added)
+    schema = T.StructType(fields).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    return rows.mapInArrow(run, schema).toDF(*names, *added)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm.common import column
+from varloom.llm.common import column, quoted
 
 #: Bytes of an access unit, units of a chunk, units from one keyframe to the next, samples a second.
 UNIT, PER_CHUNK, KEY_EVERY, RATE = 64, 64, 16, 8000
@@ -169,19 +169,21 @@ def probe(media: DataFrame, id_column: str, media_column: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows: list[tuple] = []
-            for i, data in enumerate(column(batch, media_column)):
+            for i, data in enumerate(column(batch, "media")):
                 for k, t in enumerate(read_tracks(data.as_py() or b"")):
                     ranges = [{"begin": int(t["begin"][x]), "end": int(t["end"][x])} for x in t["keys"]]
                     rows.append((i, k, t["codec"], t["timescale"], t["duration"], ranges))
             if rows:
                 i, k, codec, scale, duration, ranges = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [column(batch, id_column).take(pa.array(i)), pa.array(k, pa.int32()), pa.array(codec), pa.array(scale, pa.int64()), pa.array(duration, pa.int64()), pa.array(ranges, kind)],
-                    names=[id_column, "track", "codec", "timescale", "duration", "keyframes"],
+                    [column(batch, "id").take(pa.array(i)), pa.array(k, pa.int32()), pa.array(codec), pa.array(scale, pa.int64()), pa.array(duration, pa.int64()), pa.array(ranges, kind)],
+                    names=["id", "track", "codec", "timescale", "duration", "keyframes"],
                 )
 
-    schema = f"`{id_column}` {key.simpleString()}, track int, codec string, timescale long, duration long, keyframes array<struct<begin:long,end:long>>"
-    return media.select(id_column, media_column).mapInArrow(run, schema)
+    found = ["track", "codec", "timescale", "duration", "keyframes"]
+    schema = f"id {key.simpleString()}, track int, codec string, timescale long, duration long, keyframes array<struct<begin:long,end:long>>"
+    rows = media.select(F.col(quoted(id_column)).alias("id"), F.col(quoted(media_column)).alias("media"))
+    return rows.mapInArrow(run, schema).toDF(id_column, *found)
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -209,15 +211,20 @@ def store_texts(docs: DataFrame) -> DataFrame:
 def read_back(stored: DataFrame) -> DataFrame:
     """Digest columns of stored media: the payload as read through the sample tables, the file itself, a feature.
 
-    The feature names the codec, the duration, and the count and outer bounds of the keyframes' byte ranges.
+    The feature names the codec, the duration, and the count and outer bounds of the keyframes' byte ranges.  Media that are null
+    or hold no track have nulls but for their own size and digest.
     """
 
     def run(batches):
         for batch in batches:
             rows = []
             for raw in column(batch, "media"):
-                data = raw.as_py()
-                track = read_tracks(data)[0]
+                data = raw.as_py() or b""
+                tracks = read_tracks(data)
+                if not tracks:
+                    rows.append((None, None, None, len(data), hashlib.sha256(data).hexdigest(), None))
+                    continue
+                track = tracks[0]
                 payload = samples(data, track)
                 keys = track["keys"]
                 begin, end = track["begin"][keys], track["end"][keys]
@@ -226,7 +233,7 @@ def read_back(stored: DataFrame) -> DataFrame:
             if rows:
                 size, digest, crc, whole, media_digest, feature = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [column(batch, "doc_id"), column(batch, "n_bytes"), pa.array(size, pa.int64()), pa.array(digest), pa.array(crc, pa.int64()), pa.array(whole, pa.int64()), pa.array(media_digest), pa.array(feature)],
+                    [column(batch, "doc_id"), column(batch, "n_bytes"), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(crc, pa.int64()), pa.array(whole, pa.int64()), pa.array(media_digest), pa.array(feature, pa.string())],
                     names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
                 )
 

@@ -34,6 +34,9 @@ SHARED = 24
 #: Members of a block.
 BLOCK = 512
 
+#: The least likeness that may be asked for.
+LEAST_PERCENT = 60
+
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, fp_a, fp_b, sketch): set size, 128-bit fingerprint of the whole set, bottom-k sketch."""
@@ -244,8 +247,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     A null or wordless text has the empty set and is linked with nothing.  Repeated rows give a row each; rows
     that share a doc_id are one document.  A row whose doc_id is null takes part through the copies of its text
-    that have ids; without such it has no component, and it is never kept.
+    that have ids; without such it has no component, and it is never kept.  ``percent`` is at least LEAST_PERCENT: for less alike
+    sets the sketches' filter would lose links.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be {LEAST_PERCENT} to 100")
     folder = shared_folder(docs.sparkSession)
     all_docs = materialize(sketches(docs, words), folder, "sketches")
     classes = materialize(

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varloom.cluster import materialize, shared_folder
-from varloom.llm.common import column, trim
+from varloom.llm.common import column, quoted, trim
 from varloom.llm.textsets import blocks, mix64, word_bounds, word_hashes
 
 #: Distinct entities that a pattern needs, its least score, and rounds.
@@ -266,7 +266,7 @@ def find(docs: DataFrame) -> DataFrame:
     slices = max(1, -(-sure.count() // SLICE))
     names = [f.name for f in kept]
     # plain names inside, as mapInArrow takes no quoted ones
-    rows = docs.select(*(F.col(_quoted(n)).alias(f"c{i}") for i, n in enumerate(names)), F.col("text").alias("_t"), F.expr("cast(array() as array<struct<row_kind:int,start:bigint,end:bigint,score:double>>)").alias("_more"))
+    rows = docs.select(*(F.col(quoted(n)).alias(f"c{i}") for i, n in enumerate(names)), F.col("text").alias("_t"), F.expr("cast(array() as array<struct<row_kind:int,start:bigint,end:bigint,score:double>>)").alias("_more"))
 
     def searching(send, last: bool):
         def run(batches):
@@ -308,10 +308,6 @@ def find(docs: DataFrame) -> DataFrame:
     return rows.toDF(*names, "base_spans", "more_spans", "masked")
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def digests(found: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of :func:`find`'s rows."""
     names = F.array(*map(F.lit, KINDS))

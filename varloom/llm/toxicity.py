@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from varloom.cluster import materialize, shared_folder
-from varloom.llm.common import column, list_array
+from varloom.llm.common import beside, column, list_array
 
 ORDERS = (4, 5, 6)
 #: Bounds of the labelled sample; bits of an n-gram's bucket.
@@ -271,5 +272,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 [column(batch, n) for n in keep] + [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=[*keep, "score", "predicted"]
             )
 
-    rest = docs.drop("score", "predicted")
-    return rest.withColumn("_t", F.col("text")).mapInArrow(run, rest.schema.add("score", "double").add("predicted", "integer"))
+    rows, fields, names = beside(docs, "text", "score", "predicted")
+    return rows.mapInArrow(run, T.StructType(fields).add("score", "double").add("predicted", "integer")).toDF(*names, "score", "predicted")
