@@ -16,9 +16,15 @@ LEAST_PAIRS = 1_000
 
 
 def histogram(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(*keys, size, n, below): counts by size and the count of sizes up to it, for each library that ``keys`` tell apart."""
+    """(*keys, size, n, below): counts by size and the count of sizes up to it, for each library that ``keys`` tell apart.
+
+    ``pairs`` has isize, or size and n where sizes are counted already.
+    """
     keys = keys or []
-    counts = pairs.groupBy(*keys, F.col("isize").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    if {"size", "n"} <= set(pairs.columns):
+        counts = pairs.groupBy(*keys, "size").agg(F.sum("n").alias("n"))
+    else:
+        counts = pairs.groupBy(*keys, F.col("isize").alias("size")).agg(F.count(F.lit(1)).alias("n"))
     # rows are sizes, not pairs
     return counts.withColumn("below", F.sum("n").over(Window.partitionBy(*keys).orderBy("size").rowsBetween(Window.unboundedPreceding, 0)))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions import reads as R
 from varloom.operators import library as L
-from varloom.operators import records
+from varloom.operators import records, sampling
 from varloom.plans.registry import query
 
 CDF = """SELECT size, CAST(round_even(below / total * 1000, 0) AS BIGINT) AS upto FROM (
@@ -140,3 +140,13 @@ def sig_discordant(pairs: DataFrame) -> DataFrame:
 def isize_sampled(pairs: DataFrame) -> DataFrame:
     """The moments of the smallest sample whose sizes have settled."""
     return L.moments(L.sampled(pairs, "pair_id")).select(F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+@query("pair")
+def isize_converged(pairs: DataFrame) -> DataFrame:
+    """The moments of the pairs that face each other, taken in the order of contigs and places until their sizes settle."""
+    found = sampling.facing(pairs)
+    # one row per contig
+    contigs = [(r["contig"], r["size"]) for r in pairs.groupBy("contig").agg((F.max("pos") + 1).alias("size")).orderBy("contig").collect()]
+    taken = sampling.sample(sampling.of_table(found), contigs, [F.col("pair_id")])
+    return L.moments(taken.frame(pairs.sparkSession)).select(F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.lit(taken.pairs).alias("pairs"), F.lit(taken.settled).alias("settled"))
