@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import SCHEMA, plainly_clustered, signatures
 
-from varloom.operators import benchmark, clusters, graph, store
+from varloom.operators import benchmark, clusters, graph, store, truth
 from varloom.operators.signatures import sorted_signatures
 from varloom.params import ONT
 from varloom.sources import vcf_file
@@ -117,3 +117,12 @@ def test_a_store_is_tied_to_its_parameters(spark, tmp_path):
     for p, more in ((replace(ONT, min_mapq=30), {"sources": "x.bam"}), (ONT, {}), (ONT, {"sources": "y.bam"})):
         with pytest.raises(ValueError, match="other parameters"):
             store.load(spark, path, p, **more)
+
+
+def test_haplotypes_unite(spark):
+    """Rows of one or of both haplotypes, repeated ones too, and an empty haplotype."""
+    rows = lambda ids: spark.createDataFrame([("c", 10 * i, i) for i in ids], "contig string, pos long, truth_id long")
+    got = {r["truth_id"]: r["gt"] for r in truth.united([rows([1, 2, 2]), rows([2, 3, 3])]).collect()}
+    assert got == {1: "1|0", 2: "1|1", 3: "0|1"}
+    assert [r["gt"] for r in truth.united([rows([]), rows([5])]).collect()] == ["0|1"]
+    assert truth.united([rows([]), rows([])]).count() == 0

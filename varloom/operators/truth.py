@@ -75,6 +75,16 @@ def without_overlaps(rows: DataFrame, start: str, end: str, key: str) -> DataFra
     return map_rows(grouped, ["contig", "island"], [start, end, key], run, f"contig string, {start} long, {end} long, {key} long")
 
 
+def united(haplotypes: list[DataFrame]) -> DataFrame:
+    """The distinct rows of two ``haplotypes`` (of equal columns), each with gt: which of the two have it.
+
+    A row that one haplotype holds repeatedly counts once.
+    """
+    sides = [h.withColumn("_side", F.lit(k)) for k, h in enumerate(haplotypes)]
+    has = lambda k: F.max((F.col("_side") == k).cast("int")).cast("string")
+    return reduce(DataFrame.unionByName, sides).groupBy(*haplotypes[0].columns).agg(F.concat(has(0), F.lit("|"), has(1)).alias("gt"))
+
+
 def single_variants(calls: list[DataFrame]) -> DataFrame:
     """(contig, pos, ref, alt, gt) of all ``calls``, by place: those with one other allele, which the sample has once or twice."""
     whole = reduce(DataFrame.unionByName, [c.select("contig", "pos", "ref", "alt", "gt") for c in calls])

@@ -112,13 +112,24 @@ def bed_scan(truth: DataFrame) -> DataFrame:
     return formats.read_bed(truth.sparkSession, f"{folder}/truth.bed", "truth_id long")
 
 
-@query("truth", sql="""SELECT contig, pos, end_pos, truth_id FROM greedy WHERE stays""", placed="SELECT *, pos + sv_len AS end_pos, row_number() OVER (PARTITION BY contig ORDER BY pos, pos + sv_len, truth_id) AS r FROM truth",
-greedy="""SELECT contig, pos, end_pos, truth_id, r, end_pos AS last, true AS stays FROM placed WHERE r = 1
-UNION ALL SELECT p.contig, p.pos, p.end_pos, p.truth_id, p.r, CASE WHEN p.pos > g.last THEN p.end_pos ELSE g.last END, p.pos > g.last FROM greedy g JOIN placed p ON p.contig = g.contig AND p.r = g.r + 1""")
+PLACED = "SELECT *, pos + sv_len AS end_pos, row_number() OVER (PARTITION BY contig ORDER BY pos, pos + sv_len, truth_id) AS r FROM truth"
+GREEDY = """SELECT contig, pos, end_pos, truth_id, r, end_pos AS last, true AS stays FROM placed WHERE r = 1
+UNION ALL SELECT p.contig, p.pos, p.end_pos, p.truth_id, p.r, CASE WHEN p.pos > g.last THEN p.end_pos ELSE g.last END, p.pos > g.last FROM greedy g JOIN placed p ON p.contig = g.contig AND p.r = g.r + 1"""
+
+
+@query("truth", sql="SELECT contig, pos, end_pos, truth_id FROM greedy WHERE stays", placed=PLACED, greedy=GREEDY)
 def sim_deoverlap(truth: DataFrame) -> DataFrame:
     return T.without_overlaps(truth.withColumn("end_pos", F.col("pos") + F.col("sv_len")), "pos", "end_pos", "truth_id")
 
 
+@query("truth", sql="""SELECT contig, pos, end_pos, truth_id, (truth_id % 3 <> 1)::INT || '|' || (truth_id % 3 <> 2)::INT AS gt FROM greedy WHERE stays""", placed=PLACED, greedy=GREEDY)
+def hap_union(truth: DataFrame) -> DataFrame:
+    """Two simulated haplotypes as one set without overlaps, with the genotypes that follow."""
+    rows = truth.select("contig", "pos", (F.col("pos") + F.col("sv_len")).alias("end_pos"), "truth_id")
+    both = T.united([rows.filter("truth_id % 3 <> 1"), rows.filter("truth_id % 3 <> 2")])
+    return T.without_overlaps(both, "pos", "end_pos", "truth_id").join(both.select("truth_id", "gt"), "truth_id").select("contig", "pos", "end_pos", "truth_id", "gt")
+
+
 def _sigs(ops: DataFrame, op: str) -> DataFrame:
     return M.read_signatures(S.cigar_signatures(ops, op, ONT))
 
