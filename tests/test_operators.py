@@ -15,6 +15,7 @@ from varloom.functions import reads
 from varloom.operators import adjacent, calls, clusters, coverage, intervals, layers, library, merge, records, splits, truth, vcf
 from varloom.operators.signatures import sorted_signatures
 from varloom.params import ONT
+from varloom.plans import registry
 from varloom.sources import formats
 
 
@@ -206,6 +207,22 @@ def test_dense_loci_are_called_by_cluster(spark):
         assert r["weight"] == pytest.approx(len({x["template"] for x in kept}))
 
 
+def test_cluster_cap_keeps_all_rows_up_to_the_cap(spark, tmp_path):
+    """The query cluster_cap keeps whole clusters of up to 1,000 rows, and the middle 1,000 rows of larger ones."""
+    sizes = {1: 25, 2: 1_003}
+    # all of a part's rows are alike but for their orders, and begin at one of ten places
+    rows = [(1_000 * k + i, 10 * k, i % 10, 2, "A", "O", 20.0, 0.05, 0.04) for k, n in sizes.items() for i in range(n)]
+    line = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_returnflag string, l_linestatus string, l_quantity double, l_discount double, l_tax double")
+    line.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["locus"]: (r["n"], r["begins"]) for r in registry.queries()["cluster_cap"](spark, str(tmp_path)).collect()}
+    want = {}
+    for k, n in sizes.items():
+        begins = sorted(1_000 * k + i % 10 for i in range(n))
+        skip = max(0, n // 2 - 500)
+        want[1_000 * k] = (min(n, 1_000), sum(begins[skip : skip + 1_000]) if n > 1_000 else sum(begins))
+    assert got == want
+
+
 def test_filter_rules(spark):
     """The rules that stand before the tiers, each switched on for itself."""
     rows = [(i, "c", 1, *x) for i, x in enumerate([(1, 1, 0, 5.0), (2, 2, 0, 5.0), (9, 9, 0, 5.0), (9, 9, 0, 400.0), (9, 40, 31, 400.0)])]
