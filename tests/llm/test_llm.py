@@ -519,6 +519,32 @@ def test_encode_and_decode(spark):
     assert pieces.encode(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_all_best_segmentations_are_given_and_decoded(spark, vocabulary):
+    """The ids of the n best ones themselves, not their digests alone; each decodes to the text."""
+    lattice = pieces.Lattice(vocabulary)
+    texts = [*TEXTS, "", None]
+    for t, r in zip(texts, pieces.nbest_ids(pieces.encode(frame(spark, texts), n=5)).orderBy("doc_id").collect(), strict=True):
+        ways = [np.array(x, "<i4") for x in r["nbest_ids"]]
+        assert len(ways) == len(brute_segmentations(vocabulary, lattice.byte_score, t, 5)) if t else len(ways) == 1
+        assert ways[0].tolist() == r["ids"] and r["round_trip"] and all(lattice.decode(x) == (t or "").encode() for x in ways)
+        assert [hashlib.sha256(x.tobytes()).hexdigest() for x in ways] == r["nbest_sha256"]
+
+
+def test_pieces_of_any_vocabulary_are_in_the_lattice():
+    """Pieces over a space inside, and pieces of characters that aren't pieces themselves, against all paths."""
+    made = {"▁": -3.0, "a": -4.0, "b": -4.5, "▁a": -5.0, "a▁b": -2.0, "b▁▁a": -2.5, "cd": -1.5, "a▁": -6.0, "cé": -2.0, "▁a▁b": -2.25}
+    v = pieces.Vocabulary(["<unk>", *made, *(f"<0x{b:02X}>" for b in range(256))], [0.0, *made.values(), *[0.0] * 256], [len(made) + 1 + b for b in range(256)], [False, *[True] * len(made), *[False] * 256])
+    lattice = pieces.Lattice(v)
+    texts = ["a b a", "ab  a b", "cd c", "cé acd", "z", "d cd a b", "é▁cé a  b a b"]
+    block = pieces.Block(lattice, texts)
+    flat, start = block.ids()
+    for i, (t, found) in enumerate(zip(texts, block.nbest(6), strict=True)):
+        assert np.allclose([s for s, _ in found], brute_segmentations(v, lattice.byte_score, t, 6), rtol=1e-6)
+        mine = memoryview(flat[start[i] : start[i + 1]].astype("<i4").tobytes())
+        ids = [np.frombuffer(b"".join(block.path(i, mine, c)), "<i4") for _, c in found]
+        assert all(lattice.decode(x) == t.encode() for x in ids) and len({x.tobytes() for x in ids}) == len(ids)
+
+
 # -- neighbours -------------------------------------------------------------------------------------------
 
 

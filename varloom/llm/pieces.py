@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding with the N best segmentations over the piece lattice.
 
 A text's lattice has an edge for every piece that matches at a place, with the piece's score; characters without a piece
-fall back to bytes.  No piece reaches over a space that follows another character, over a line end or over a character
-without a piece, so the lattice is a chain of short segments.  Forward Viterbi scores are computed for all distinct
+fall back to bytes.  A text is cut before a space that follows a character which no piece has before a space, and around
+characters that no piece holds: no piece reaches over these places, so the lattice is a chain of segments, and short ones
+unless the vocabulary has pieces of several words.  Forward Viterbi scores are computed for all distinct
 segments of a block at once, and those of segments that a worker has met before are kept.  A segment's second-best score tells how cheaply it can deviate; the N best paths of
 a text deviate only in its N - 1 cheapest segments.  Over the chain of these, the forward scores are an exact heuristic,
 and A* backwards from the end gives the N best paths in order.
@@ -19,7 +20,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varloom.llm.common import beside, column, list_array, trim
@@ -90,8 +92,12 @@ class Lattice:
             table[slot[::-1]] = left[::-1]
             self.tables.append(table)
             left = left[table[slot] != left]
-        self.known = np.zeros(_SPELLED + 1, bool)
+        #: characters that are pieces, those that any piece holds, and those that a piece has before a space
+        self.known, self.held, self.before_space = (np.zeros(_SPELLED + 1, bool) for _ in range(3))
         self.known[[int(c[0]) for c in codes if len(c) == 1]] = True
+        self.held[flat] = True
+        space = np.flatnonzero(flat == SPACE)
+        self.before_space[flat[space[~np.isin(space, start)] - 1]] = True
         self.byte_ids = np.array(v.byte_ids)
         self.byte_score = float(min(self.scores[i] for i in ids if self.scores[i] > -1e8)) - BYTE_PENALTY
         # decoding: each piece's bytes
@@ -169,11 +175,10 @@ class Block:
         cut = np.zeros(n + 1, bool)
         cut[text_start] = True
         if n:
-            odd = ~lattice.known[codes]
+            odd = ~lattice.held[codes]
             cut[:-1] |= odd
             cut[1:] |= odd
-            space = codes == SPACE
-            cut[1:-1] |= space[1:] & ~space[:-1]
+            cut[1:-1] |= (codes[1:] == SPACE) & ~lattice.before_space[codes[:-1]]
         bounds = np.flatnonzero(cut)
         seg_start, seg_end = (bounds[:-1], bounds[1:]) if n else (bounds[:0], bounds[:0])
         up, down = _power_tables(n + 1)
@@ -227,18 +232,32 @@ class Block:
         out = []
         for lo, at, total in zip(self.seg_of[:-1], few, totals, strict=True):
             chain = [solved.edges(k, edges[first[k] : first[k + 1]]) for k in np.searchsorted(wanted, self.distinct[lo + at]).tolist()]
-            out.append(_backward(chain, at.tolist(), total, n) if chain else [(total, {})])
+            out.append(self._best_first(int(lo), _backward(chain, at.tolist(), total, n)) if chain else [(total, {})])
         return out
 
+    def _best_first(self, lo: int, found: list[tuple[float, dict[int, list[int]]]]) -> list[tuple[float, dict[int, list[int]]]]:
+        """``found`` with the segmentation of :meth:`ids` as the first of those that score the same."""
+        own = lambda k: self.store.flat[self.store.flat_of[k] : self.store.flat_of[k + 1]].tolist()
+        same = (all(ids == own(self.kind[lo + p]) for p, ids in changes.items()) for _, changes in found)
+        k = next((k for k, is_own in enumerate(same) if is_own), len(found) - 1)
+        ways = [{}, *(c for j, (_, c) in enumerate(found) if j != k)]
+        return [(s, c) for (s, _), c in zip(found, ways, strict=True)]
+
+    def stretches(self, text: int, changes: dict[int, list[int]]) -> list[tuple[int, int, list[int]]]:
+        """(begin, end, ids instead) of the best segmentation's ids, for one that differs from it in some segments."""
+        if not changes:
+            return []
+        length = self.length[self.seg_of[text] : self.seg_of[text + 1]]
+        ends = np.cumsum(length)
+        return [(int(ends[p] - length[p]), int(ends[p]), changes[p]) for p in sorted(changes)]
+
     def path(self, text: int, ids: memoryview, changes: dict[int, list[int]]) -> list:
         """Stretches of the ids of a segmentation that differs from the best one (``ids``, four bytes each) in some segments."""
         parts, at = [], 0
-        ends = np.cumsum(self.length[self.seg_of[text] : self.seg_of[text + 1]]) if changes else ()
-        for place in sorted(changes):
-            end = 4 * int(ends[place])
-            parts += [ids[at : end - 4 * int(self.length[self.seg_of[text] + place])], np.array(changes[place], "<i4").tobytes()]
+        for begin, end, instead in self.stretches(text, changes):
+            parts += [ids[4 * at : 4 * begin], np.array(instead, "<i4").tobytes()]
             at = end
-        return [*parts, ids[at:]]
+        return [*parts, ids[4 * at :]]
 
 
 class Solution:
@@ -267,19 +286,18 @@ class Solution:
             froms.append(at[near])
             sizes.append(np.full(len(near), width, np.int32))
             pieces.append(lat.ids[place[near]])
-        # a character without a piece is a segment of its own: one edge, spelled in bytes
+        # a character that is no piece has an edge spelled in bytes, whose piece is -1 less the character
         del sums, room, at
         odd = np.flatnonzero(~lat.known[codes]).astype(np.int32)
-        chars = np.where(codes[odd] == _SPELLED, SPACE, codes[odd])
-        self.spelled = {int(owner[o]): chr(c).encode() for o, c in zip(odd, chars, strict=True)}
+        chars = np.where(codes[odd] == _SPELLED, SPACE, codes[odd]).astype(np.int32)
         froms.append(odd)
         sizes.append(np.ones(len(odd), np.int32))
-        pieces.append(np.full(len(odd), -1, np.int32))
+        pieces.append(-1 - chars)
         begin, width, piece = np.concatenate(froms), np.concatenate(sizes), np.concatenate(pieces)
         del froms, sizes, pieces
-        score = lat.scores[piece]
-        for e in np.flatnonzero(piece < 0):
-            score[e] = lat.byte_score * len(self.spelled[int(owner[begin[e]])])
+        score = lat.scores[np.maximum(piece, 0)]
+        odd = np.flatnonzero(piece < 0)
+        score[odd] = lat.byte_score * (1 + np.searchsorted([0x80, 0x800, 0x10000], -1 - piece[odd], side="right"))
         seg = owner[begin]
         # nodes: a segment of k characters has k + 1
         self.node = (start[:-1] + np.arange(m)).astype(np.int32)
@@ -313,25 +331,27 @@ class Solution:
         del other, beta
         self.loss = self.best - second
         self.alpha, self.tail, self.head, self.score, self.piece, self.size, self.seg = alpha, tail, head, score, piece, size, seg
+        self.byte_ids = lat.byte_ids
         # ids of best paths
         path = np.flatnonzero(chosen)
         path = path[np.argsort(begin[path])]
         ids, of = piece[path], seg[path]
         spelled = np.flatnonzero(ids < 0)
         count = np.ones(len(ids), np.int64)
-        count[spelled] = [len(self.spelled[int(of[s])]) for s in spelled]
+        raw = [chr(-1 - p).encode() for p in ids[spelled].tolist()]
+        count[spelled] = [len(r) for r in raw]
         flat = np.repeat(ids, count)
         if len(spelled):
-            flat[flat < 0] = lat.byte_ids[np.frombuffer(b"".join(self.spelled[int(of[s])] for s in spelled), np.uint8)]
+            flat[flat < 0] = lat.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
         self.flat = flat
         self.flat_of = np.concatenate(([0], np.cumsum(np.bincount(of, weights=count, minlength=m).astype(np.int64))))
 
-    def edges(self, kind: int, edges: np.ndarray) -> tuple[list[float], dict[int, list[tuple[int, float, int]]], int]:
-        """(forward scores, incoming edges by node, last node) of a segment, nodes from 0."""
+    def edges(self, kind: int, edges: np.ndarray) -> tuple[list[float], dict[int, list[tuple[int, float, list[int]]]], int]:
+        """(forward scores, incoming edges by node with their ids, last node) of a segment, nodes from 0."""
         node, size = self.node[kind], int(self.size[kind])
-        into: dict[int, list[tuple[int, float, int]]] = {}
+        into: dict[int, list[tuple[int, float, list[int]]]] = {}
         for a, b, w, p in zip((self.tail[edges] - node).tolist(), (self.head[edges] - node).tolist(), self.score[edges].tolist(), self.piece[edges].tolist(), strict=True):
-            into.setdefault(b, []).append((a, w, p))
+            into.setdefault(b, []).append((a, w, [p] if p >= 0 else [int(self.byte_ids[x]) for x in chr(-1 - p).encode()]))
         return self.alpha[node : node + size + 1].tolist(), into, size
 
 
@@ -366,8 +386,8 @@ def _backward(chain: list, places: list[int], total: float, n: int) -> list[tupl
             if k == 0:
                 ids: dict[int, list[int]] = {p: [] for p in places}
                 while path is not None:
-                    place, piece, path = path
-                    ids[place].append(piece)
+                    place, pieces, path = path
+                    ids[place] += pieces
                 found.append((fixed - f, ids))
                 continue
             k -= 1
@@ -379,18 +399,11 @@ def _backward(chain: list, places: list[int], total: float, n: int) -> list[tupl
     return found
 
 
-def _digest(parts: list) -> str:
-    h = hashlib.sha256()
-    for part in parts:
-        h.update(part)
-    return h.hexdigest()
-
-
 _lattices: dict[int, Lattice] = {}
 
 
 def _lattice(vocabulary: Vocabulary) -> Lattice:
-    key = hash((len(vocabulary.pieces), tuple(vocabulary.scores[:1000]), tuple(vocabulary.pieces[-100:])))
+    key = hash(tuple(tuple(x) for x in (vocabulary.pieces, vocabulary.scores, vocabulary.byte_ids, vocabulary.usable)))
     if key not in _lattices:
         _lattices.clear()
         _lattices[key] = Lattice(vocabulary)
@@ -398,14 +411,16 @@ def _lattice(vocabulary: Vocabulary) -> Lattice:
 
 
 def encode(docs: DataFrame, model_path: str = MODEL_PATH, n: int = BEST) -> DataFrame:
-    """``docs`` (with text) plus ids, n_pieces, best_score, nbest_scores, nbest_sha256, decoded_sha256, round_trip.
+    """``docs`` (with text) plus ids, n_pieces, best_score, nbest_changes, nbest_scores, nbest_sha256, decoded_sha256, round_trip.
 
-    ids is the best segmentation of the whole text; nbest_scores and nbest_sha256 (of little-endian 32-bit ids) describe the
-    ``n`` best ones, or all if there are fewer, best first.  decoded_sha256 is that of the ids decoded again, and
-    round_trip whether this gives the text.  A null text is empty: no ids, one segmentation of score 0.
+    ids is the best segmentation of the whole text; nbest_changes, nbest_scores and nbest_sha256 (of little-endian 32-bit ids)
+    tell of the ``n`` best ones, or all if there are fewer, best first.  nbest_changes has the stretches of ids, from begin to
+    end, that others take the place of; :func:`nbest_ids` spells them out.  decoded_sha256 is that of the ids decoded again, and
+    round_trip whether each of the segmentations, decoded, gives the text.  A null text is empty: no ids, one segmentation of
+    score 0.
     """
     send = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
-    added = ["ids", "n_pieces", "best_score", "nbest_scores", "nbest_sha256", "decoded_sha256", "round_trip"]
+    added = ["ids", "n_pieces", "best_score", "nbest_changes", "nbest_scores", "nbest_sha256", "decoded_sha256", "round_trip"]
     rows, fields, names = beside(docs, "text", *added)
 
     def run(batches):
@@ -428,20 +443,33 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, n: int = BEST) -> Data
                 ends = np.concatenate(([0], ends))[start].tolist()
                 flat = flat.astype("<i4")
                 scores, digests, decoded, good = [], [], [], []
+                changed, others, texts_of, ways_of, ids_of = [], [], [0], [0], [0]
                 for i, t in enumerate(part):
                     mine = memoryview(flat[start[i] : start[i + 1]].tobytes())
                     scores.append([s for s, _ in best[i]])
-                    digests.append([_digest(block.path(i, mine, c)) for _, c in best[i]])
-                    back = raw[ends[i] : ends[i + 1]].tobytes()[1:]
+                    found = [b"".join(block.path(i, mine, c)) for _, c in best[i]]
+                    for _, c in best[i]:
+                        for begin, end, instead in block.stretches(i, c):
+                            changed.append((begin, end))
+                            ids_of.append(ids_of[-1] + len(instead))
+                            others += instead
+                        ways_of.append(len(changed))
+                    texts_of.append(len(ways_of) - 1)
+                    digests.append([hashlib.sha256(x).hexdigest() for x in found])
+                    back, whole = raw[ends[i] : ends[i + 1]].tobytes()[1:], t.encode()
                     decoded.append(hashlib.sha256(back).hexdigest())
-                    good.append(back == t.encode())
+                    good.append(back == whole and all(lattice.decode(np.frombuffer(x, "<i4")) == whole for x in found[1:]))
                 count = np.diff(start)
+                begins, ends = np.array(changed, np.int32).reshape(-1, 2).T
+                stretches = pa.StructArray.from_arrays([pa.array(begins), pa.array(ends), list_array(others, ids_of, pa.int32())], names=["begin", "end", "ids"])
+                ways = pa.ListArray.from_arrays(pa.array(ways_of, pa.int32()), stretches)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(column(batch, c).slice(lo, hi - lo) for c in keep),
                         list_array(flat, start, pa.int32()),
                         pa.array(count, pa.int64()),
                         pa.array([s[0] for s in scores], pa.float64()),
+                        pa.ListArray.from_arrays(pa.array(texts_of, pa.int32()), ways),
                         pa.array(scores, pa.list_(pa.float64())),
                         pa.array(digests, pa.list_(pa.string())),
                         pa.array(decoded),
@@ -453,11 +481,24 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, n: int = BEST) -> Data
         trim()
 
     array = lambda kind: T.ArrayType(kind)
-    kinds = [array(T.IntegerType()), T.LongType(), T.DoubleType(), array(T.DoubleType()), array(T.StringType()), T.StringType(), T.BooleanType()]
+    change = T.StructType().add("begin", "integer").add("end", "integer").add("ids", array(T.IntegerType()))
+    kinds = [array(T.IntegerType()), T.LongType(), T.DoubleType(), array(array(change)), array(T.DoubleType()), array(T.StringType()), T.StringType(), T.BooleanType()]
     schema = T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(added, kinds, strict=True))])
     return rows.mapInArrow(run, schema).toDF(*names, *added)
 
 
+def nbest_ids(encoded: DataFrame) -> DataFrame:
+    """``encoded`` with nbest_ids: the ids of each of the best segmentations."""
+
+    def spelled(way: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ids"))
+        kept = lambda at, end: F.slice("ids", at + 1, end - at)
+        step = lambda done, c: F.struct(c["end"].alias("at"), F.concat(done["ids"], kept(done["at"], c["begin"]), c["ids"]).alias("ids"))
+        return F.aggregate(way, none, step, lambda done: F.concat(done["ids"], kept(done["at"], F.size("ids"))))
+
+    return encoded.withColumn("nbest_ids", F.transform("nbest_changes", spelled))
+
+
 def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
     """``encoded`` with the text of its ids as column decoded; null ids give null."""
     send = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
