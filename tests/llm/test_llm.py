@@ -382,6 +382,31 @@ def test_language_model_on_held_out_documents(spark):
     assert row["s"] > row["b"] and row["better"] > 0.7
 
 
+def test_lm_pairs_that_chunks_share(spark):
+    """Texts' pairs are counted over all chunks, whatever chunk their documents lie in, and no table holds a row for each of them."""
+    rng = random.Random(9)
+    texts = [" ".join(words(rng, rng.randrange(0, 60), 40)) for _ in range(90)] + ["", None]
+    df, held = frame(spark, texts), F.col("doc_id") % 4 == 1
+    one, many = ({r["doc_id"]: r for r in pitman_yor.score(df.repartition(n), held).collect()} for n in (1, 7))
+    assert all(abs(one[i]["score"] - many[i]["score"]) < 1e-6 for i in one) and len(one) == len(many) == len(texts)
+    import pyarrow as pa
+
+    chunks, tokens = [], [[w.encode() for w in lower(t).split()] for t in texts]
+    for k in range(3):
+        rows = [i for i in range(len(texts)) if i % 3 == k]
+        (_, row) = pitman_yor._chunk_rows(k, pa.array(rows), np.array([i % 4 == 1 for i in rows]), pa.array([texts[i] for i in rows], pa.string()).fill_null(""))
+        chunks += [pitman_yor.Chunk(row.to_pylist()[0])]
+    want = {}
+    for i, ws in enumerate(tokens):
+        for pair in zip([b"", *ws], [*ws, b""], strict=True):
+            want[pair] = want.get(pair, 0) + (i % 4 != 1)
+    found = {}
+    for chunk in chunks:
+        for key, n in zip(chunk.key.tolist(), chunk.seen.tolist(), strict=True):
+            found[key] = found.get(key, 0) + n
+    assert sorted(found.values()) == sorted(want.values())
+
+
 def test_lm_word_order(spark):
     """A text's score depends on its words' order: the trained order beats the reverse one."""
     rng = random.Random(8)

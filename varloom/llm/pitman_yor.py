@@ -9,6 +9,9 @@ tables, not tokens.  A text's first word and its end token have the end token an
 Seating follows the Chinese-restaurant process and is resampled in Gibbs sweeps: each sweep reseats every word's and every
 context's customers given the rest.  Predictive probabilities are averaged over the sweeps.
 
+Pairs are counted by 64-bit hashes: each chunk of documents deals out its pairs' sorted hashes as packed arrays, and hears what
+other chunks hold too.  Only pairs that occur more than once become rows.
+
 Counts of pairs and words, vocabulary and all seating of words are distributed tables that grow with the corpus.  The character
 model holds every pair of context and symbol; with ORDER bytes of context there are fewer than 17 million of them whatever
 the corpus, which bounds what is broadcast.
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.cluster import forget, materialize, shared_folder
-from varloom.llm.common import column, lookup
+from varloom.llm.common import by_group, column, lookup, trim
 from varloom.llm.textsets import blocks, mix64, word_bounds, word_hashes
 
 #: Bytes of context, sweeps averaged, sweeps inside the character model.
@@ -202,47 +205,138 @@ def _table(df: DataFrame, folder: str, name: str) -> DataFrame:
     return materialize(df, folder, name, clean=True)
 
 
-def _pack(lids: np.ndarray, counts: np.ndarray) -> bytes:
-    step = np.diff(lids, prepend=0)
-    wide, many = bool(len(step) and step.max() > 0xFFFF), bool(len(counts) and counts.max() > 0xFF)
-    return bytes([wide | many << 1]) + step.astype("<u4" if wide else "<u2").tobytes() + counts.astype("<u4" if many else "u1").tobytes()
+def _pack(numbers: np.ndarray, sizes: tuple[int, ...]) -> bytes:
+    """Numbers in the least of ``sizes`` bytes (4 or 8 in the last place) that holds them all; the first byte tells which."""
+    most = int(numbers.max(initial=0))
+    size = next((n for n in sizes if most < 1 << (8 * n)), 8)
+    return bytes([size]) + numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    wide, many = data[0] & 1, data[0] >> 1
-    a, b = (4 if wide else 2), (4 if many else 1)
-    n = (len(data) - 1) // (a + b)
-    steps = np.frombuffer(data, "<u4" if wide else "<u2", n, 1)
-    return np.cumsum(steps, dtype=np.int64), np.frombuffer(data, "<u4" if many else "u1", n, 1 + a * n).astype(np.int64)
+def _unpack(data: bytes) -> np.ndarray:
+    size = data[0]
+    out = np.zeros(((len(data) - 1) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, size)
+    return out.view("<u8").ravel()
 
 
-def _pack_pairs(ids: np.ndarray, before: np.ndarray, after: np.ndarray, seen: np.ndarray) -> bytes:
-    head = np.array([len(ids), len(before)], "<i8").tobytes()
-    return head + ids.astype("<i8").tobytes() + before.astype("<u4").tobytes() + after.astype("<u4").tobytes() + seen.astype("<u4").tobytes()
+class Chunk:
+    """Some documents' pairs of neighbouring words, in the order of the pairs' hashes.
 
+    ids are the hashes of the chunk's words, the end token's the last; first and second are the pairs' words by their numbers,
+    seen the pairs' occurrences in training texts, owner and at each token's document and pair.
+    """
 
-def _unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(the words' hashes, numbers of first words, of second words, occurrences in training texts)."""
-    words, n = np.frombuffer(data, "<i8", 2).tolist()
-    at = 16 + 8 * words
-    return np.frombuffer(data, "<i8", words, 16), *(np.frombuffer(data, "<u4", n, at + 4 * n * k).astype(np.int64) for k in range(3))
+    def __init__(self, row: dict):
+        self.ids = np.frombuffer(row["hashes"], "<i8")
+        self.held = np.frombuffer(row["held"], np.bool_)
+        end = len(self.ids) - 1
+        tape, size = _unpack(row["tape"]).astype(np.int64), _unpack(row["sizes"]).astype(np.int64)
+        self.owner = np.repeat(np.arange(len(size)), size)
+        before = np.concatenate((np.full(1, end, np.int64), tape))[: len(tape)]
+        pair, at = np.unique(before * (end + 1) + tape, return_inverse=True)
+        first, second = pair // (end + 1), pair % (end + 1)
+        u = self.ids.view(np.uint64)
+        key = mix64(u[first] + mix64(u[second] + np.uint64(1)))
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.key, self.first, self.second, self.at = key[order], first[order], second[order], rank[at]
+        self.seen = np.bincount(self.at, weights=~self.held[self.owner], minlength=len(order)).astype(np.int64)
+
+    def counted(self, shared: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(occurrences in all training texts, whether the pair is this chunk's to count), by what other chunks hold too."""
+        total, mine = self.seen.copy(), np.ones(len(self.seen), bool)
+        for data in shared:
+            at, c, own = np.frombuffer(data, "<u4").reshape(3, -1)
+            total[at], mine[at] = c, own.astype(bool)
+        return total, mine
+
+
+def _numbered(batches):
+    """A row for each of a chunk's words: its number and hash."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids = np.frombuffer(row["hashes"], "<i8")
+            for lo in range(0, len(ids), WORD_ROWS):
+                part = ids[lo : lo + WORD_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row["chunk"])), pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), pa.array(part)], names=["chunk", "at", "wid"])
 
 
-def _pairs(batches):
-    for batch in batches:
-        for chunk, data in zip(column(batch, "chunk").to_pylist(), column(batch, "pairs"), strict=True):
-            ids, before, after, seen = _unpack_pairs(data.as_py())
-            for lo in range(0, len(seen), 10 * WORD_ROWS):
-                cut = slice(lo, lo + 10 * WORD_ROWS)
-                size = len(seen[cut])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(size, chunk)), pa.array(np.arange(lo, lo + size, dtype=np.int32)), *map(pa.array, (ids[before[cut]], ids[after[cut]], seen[cut]))],
-                    names=["chunk", "gid", "ctx", "wid", "n_train"],
-                )
-
-
-_BAG_SCHEMA = "chunk long, word binary, wid long, lid int, n_train long, doc_id long, held_out boolean, bag binary, pairs binary"
-_BAG_ARROW = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("wid", pa.int64()), ("lid", pa.int32()), ("n_train", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("bag", pa.binary()), ("pairs", pa.binary())])
+def _scatter(bits: int):
+    """For mapInArrow: a chunk's pairs dealt out by the first bits of their hashes, as steps and occurrences."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk(row)
+                cuts = np.searchsorted(chunk.key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                used = np.flatnonzero(np.diff(cuts))
+                steps = [_pack(np.diff(chunk.key[a:b], prepend=np.uint64(k << (64 - bits))), (5, 6, 8)) for k, a, b in zip(used.tolist(), cuts[used], cuts[used + 1], strict=True)]
+                seen = [_pack(chunk.seen[a:b], (1, 4, 8)) for a, b in zip(cuts[used], cuts[used + 1], strict=True)]
+                cols = [used, np.full(len(used), row["chunk"]), cuts[used].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(steps, pa.binary()), pa.array(seen, pa.binary())], names=["part", "chunk", "start", "steps", "seen"])
+        trim()
+
+    return run
+
+
+def _gathered(bits: int):
+    """For groups of a part: what several chunks hold, as (places in the chunk, occurrences in all, whether it counts them)."""
+
+    def run(table: pa.Table) -> pa.RecordBatch | None:
+        begin = np.uint64(table["part"][0].as_py() << (64 - bits))
+        keys = [np.cumsum(_unpack(x.as_py()), dtype=np.uint64) + begin for x in table["steps"]]
+        size = np.array([len(k) for k in keys])
+        key = np.concatenate(keys)
+        of = np.repeat(np.arange(len(keys)), size)
+        place = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(table["start"].to_numpy(), size)
+        seen = np.concatenate([_unpack(x.as_py()) for x in table["seen"]]).astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        head = np.flatnonzero(np.concatenate((np.ones(1, bool), key[1:] != key[:-1])))
+        total, many = np.add.reduceat(seen[order], head), np.diff(np.append(head, len(key)))
+        own = np.zeros(len(key), bool)
+        own[head] = True
+        held = np.repeat(many > 1, many)
+        of, place, total, own = of[order][held], place[order][held], np.repeat(total, many)[held], own[held]
+        if not len(of):
+            return None
+        by = np.argsort(of, kind="stable")
+        used, at = np.unique(of[by], return_index=True)
+        data = [np.stack((place[i], total[i], own[i])).astype("<u4").tobytes() for i in np.split(by, at[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(table["chunk"].to_numpy()[used]), pa.array(data, pa.binary())], names=["chunk", "shared"])
+
+    return run
+
+
+_FACTS = "wid long, people long, single long, opened long, single_opened long, room long, chunk long, gid int, key long, ctx long, c long"
+
+
+def _facts(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A chunk's words with what it counts of them, and its pairs that occur more than once."""
+    schema = pa.schema([(n, pa.int32() if k == "int" else pa.int64()) for n, k in (x.split() for x in _FACTS.split(", "))])
+    made = lambda size, **cols: pa.Table.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(size, f.type) for f in schema], schema=schema)
+    out = [made(0)]
+    for row in left.to_pylist():
+        chunk = Chunk(row)
+        total, mine = chunk.counted([x.as_py() for x in right["shared"]])
+        n = len(chunk.ids)
+        count = lambda words, which, weights=None: np.bincount(words[which], weights=None if weights is None else weights[which], minlength=n).astype(np.int64)  # noqa: B023, E731
+        all_, once = mine & (total > 0), mine & (total == 1)
+        out.append(made(n, wid=chunk.ids, people=count(chunk.second, all_), single=count(chunk.second, once), opened=count(chunk.first, all_), single_opened=count(chunk.first, once), room=count(chunk.first, all_, total)))
+        at = np.flatnonzero(total > 1)
+        pair = {"wid": chunk.ids[chunk.second[at]], "ctx": chunk.ids[chunk.first[at]], "c": total[at]}
+        # the words and occurrences stand in the row of the chunk that counts the pair
+        pair = {k: pa.array(v, mask=~mine[at]) for k, v in pair.items()}
+        out.append(made(len(at), chunk=np.full(len(at), row["chunk"]), gid=at, key=chunk.key[at].view(np.int64), **pair))
+    return pa.concat_tables(out)
+
+
+_BAG_SCHEMA = "chunk long, word binary, wid long, lid int, n_train long, doc_ids array<long>, held binary, hashes binary, sizes binary, tape binary"
+_BAG_ARROW = pa.schema(
+    [("chunk", pa.int64()), ("word", pa.binary()), ("wid", pa.int64()), ("lid", pa.int32()), ("n_train", pa.int64()), ("doc_ids", pa.list_(pa.int64()))]
+    + [(name, pa.binary()) for name in ("held", "hashes", "sizes", "tape")]
+)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -255,10 +349,7 @@ def _words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 def _chunk_rows(chunk: int, ids: pa.Array, held: np.ndarray, texts: pa.Array) -> list[pa.RecordBatch]:
-    """A chunk's distinct words, its distinct pairs of neighbours, and its documents as bags of the pairs' numbers.
-
-    The last word's number is the end token's.
-    """
+    """A chunk's distinct words, and a row of its documents as their words' numbers; the last number is the end token's."""
     hashes, words, inverse, rows = [], [], [], []
     known = 0
     for first, _, data, offsets in blocks(texts):
@@ -275,20 +366,12 @@ def _chunk_rows(chunk: int, ids: pa.Array, held: np.ndarray, texts: pa.Array) ->
     word = pa.concat_arrays([pa.concat_arrays(words).take(pa.array(at)), pa.array([b""], pa.binary())])
     train = np.bincount(lid, weights=~held[row], minlength=end_lid + 1).astype(np.int64)
     train[end_lid] = (~held).sum()
-    # every text with its end token, and each token's predecessor; a text begins after an end token
-    ends = np.cumsum(np.bincount(row, minlength=n) + 1)
-    owner = np.repeat(np.arange(n), np.diff(ends, prepend=0))
-    tape = np.full(len(owner), end_lid, np.int64)
-    inner = np.ones(len(owner), bool)
-    inner[ends - 1] = False
+    # every text with its end token
+    size = np.bincount(row, minlength=n) + 1
+    tape = np.full(size.sum(), end_lid, np.int64)
+    inner = np.ones(len(tape), bool)
+    inner[np.cumsum(size) - 1] = False
     tape[inner] = lid
-    before = np.concatenate((np.full(1, end_lid, np.int64), tape))[: len(tape)]
-    pair, gid = np.unique(before * (end_lid + 1) + tape, return_inverse=True)
-    seen = np.bincount(gid, weights=~held[owner], minlength=len(pair)).astype(np.int64)
-    key, count = np.unique(owner * len(pair) + gid, return_counts=True)
-    cut = np.searchsorted(key, np.arange(n + 1) * len(pair))
-    gids = key % max(len(pair), 1)
-    bags = [_pack(gids[a:b], count[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     ids_ = np.append(u, np.uint64(0)).view(np.int64)
 
     def made(size: int, **cols) -> pa.RecordBatch:
@@ -296,8 +379,10 @@ def _chunk_rows(chunk: int, ids: pa.Array, held: np.ndarray, texts: pa.Array) ->
 
     return [
         made(len(word), chunk=pa.array(np.full(len(word), chunk)), word=word, wid=pa.array(ids_), lid=pa.array(np.arange(len(word), dtype=np.int32)), n_train=pa.array(train)),
-        made(n, chunk=pa.array(np.full(n, chunk)), doc_id=ids, held_out=pa.array(held), bag=pa.array(bags, pa.binary())),
-        made(1, chunk=pa.array([chunk]), pairs=pa.array([_pack_pairs(ids_, pair // (end_lid + 1), pair % (end_lid + 1), seen)], pa.binary())),
+        made(
+            1, chunk=pa.array([chunk]), doc_ids=pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids.cast(pa.int64())), held=pa.array([held.tobytes()]),
+            hashes=pa.array([ids_.astype("<i8").tobytes()]), sizes=pa.array([_pack(size, (2, 4, 8))]), tape=pa.array([_pack(tape, (2, 3, 4, 8))]),
+        ),
     ]
 
 
@@ -386,7 +471,7 @@ def _rated(lexicon: DataFrame, totals: Totals, sample: Sample, sweep: int) -> Da
 
 
 def _seated(pairs: DataFrame, lexicon: DataFrame, discount: float, sweep: int) -> DataFrame:
-    """``pairs`` (ctx, wid, c, t) with the last sweep's tables in their contexts added to t."""
+    """``pairs`` (ctx, wid, c, key, t) with the last sweep's tables in their contexts added to t."""
     known = lookup(pairs, lexicon.select("wid", "p"), ["wid"])
     known = lookup(known, lexicon.select(F.col("wid").alias("ctx"), "opened"), ["ctx"])
 
@@ -396,9 +481,9 @@ def _seated(pairs: DataFrame, lexicon: DataFrame, discount: float, sweep: int) -
             pull = (STRENGTH + discount * np.asarray(column(batch, "opened"))) * np.asarray(column(batch, "p"))
             ids = mix64(ctx.view(np.uint64) + mix64(wid.view(np.uint64) + np.uint64(1)))
             t = seat(ids, c, pull, discount, 100 + sweep)
-            yield pa.RecordBatch.from_arrays([column(batch, "ctx"), column(batch, "wid"), column(batch, "c"), pa.array(np.asarray(column(batch, "t")) + t), pa.array(t)], names=["ctx", "wid", "c", "t", "last"])
+            yield pa.RecordBatch.from_arrays([column(batch, "ctx"), column(batch, "wid"), column(batch, "c"), column(batch, "key"), pa.array(np.asarray(column(batch, "t")) + t), pa.array(t)], names=["ctx", "wid", "c", "key", "t", "last"])
 
-    return known.mapInArrow(run, "ctx long, wid long, c long, t double, last double")
+    return known.mapInArrow(run, "ctx long, wid long, c long, key long, t double, last double")
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -412,25 +497,27 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     folder = shared_folder(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     made = _table(rows.mapInArrow(_bags, _BAG_SCHEMA), folder, "bags")
-    words = made.filter("word is not null").select("chunk", "word", "wid", "lid", "n_train")
-    pairs = made.filter("pairs is not null").select("chunk", "pairs").mapInArrow(_pairs, "chunk long, gid int, ctx long, wid long, n_train long")
-    counted = pairs.groupBy("ctx", "wid").agg(F.sum("n_train").alias("c"), F.count(F.lit(1)).alias("chunks"))
-    counted = _table(counted.filter("c > 0"), folder, "pairs")
-    once, twice = counted.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    words = _table(made.filter("word is not null").groupBy("word").agg(F.min("wid").alias("wid"), F.sum("n_train").alias("c")), folder, "words")
+    texts = _table(made.filter("tape is not null").select("chunk", "doc_ids", "held", "hashes", "sizes", "tape"), folder, "texts")
+    forget(docs.sparkSession, folder, "bags")
+    # parts of some 100,000 pairs, until there are 4,096
+    bits = int(np.clip(np.ceil(np.log2(8 * max(texts.count(), 1))), 4, 12))
+    dealt = texts.mapInArrow(_scatter(bits), "part long, chunk long, start long, steps binary, seen binary")
+    shared = _table(by_group(dealt, ["part"], _gathered(bits), "chunk long, shared binary"), folder, "shared")
+    facts = _table(texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_facts, _FACTS), folder, "facts")
+    often = facts.filter("chunk is not null").select("chunk", "gid", "key", "ctx", "wid", "c")
+    sums = facts.filter("chunk is null").groupBy("wid").agg(*(F.sum(n).alias(n) for n in ("people", "single", "opened", "single_opened", "room")))
+    once, twice = facts.agg(F.coalesce(F.sum("single"), F.lit(0)), F.count_if(F.col("c") == 2)).first()
     discount = float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95))
 
     # a pair seen once has one table in every sweep; only the others are reseated
-    after = counted.groupBy("wid").agg(F.count(F.lit(1)).alias("people"), F.count_if(F.col("c") == 1).alias("single"))
-    before = counted.groupBy(F.col("ctx").alias("wid")).agg(F.count(F.lit(1)).alias("opened"), F.count_if(F.col("c") == 1).alias("single_opened"), F.sum("c").alias("room"))
-    lexicon = words.groupBy("word").agg(F.min("wid").alias("wid"), F.sum("n_train").alias("c")).join(after, "wid", "left").join(before, "wid", "left").na.fill(0)
+    lexicon = words.join(sums, "wid", "left").na.fill(0)
     lexicon = lexicon.withColumns({"opened": F.col("opened").cast("double"), "ps": F.array().cast("array<double>"), "backs": F.array().cast("array<double>")})
     lexicon = _table(lexicon, folder, "lexicon")
     tokens, types = lexicon.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     tokens, types = int(tokens or 0), int(types)
-    again = _table(counted.filter("c > 1").select("ctx", "wid", "c", F.lit(0.0).alias("t")), folder, "again")
-    # pairs of one chunk that are seen once or never need no row
-    single = _table(counted.filter("c = 1 and chunks > 1").select("ctx", "wid", F.lit(1 - discount).alias("own")), folder, "single")
-    forget(docs.sparkSession, folder, "pairs")
+    again = often.filter("c is not null").select("ctx", "wid", "c", "key", F.lit(0.0).alias("t"))
+    forget(docs.sparkSession, folder, "words")
 
     def totals_of(table: DataFrame) -> Totals:
         people, one, two = table.agg(F.sum("people"), F.count_if(F.col("people") == 1), F.count_if(F.col("people") == 2)).first()
@@ -451,49 +538,44 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         lexicon = lexicon.withColumns({"ps": F.array_append("ps", F.col("p")), "backs": F.array_append("backs", (STRENGTH + discount * F.col("opened")) / (STRENGTH + F.col("room")))})
         lexicon = _table(lexicon.drop("more", "more_opened", "p"), folder, f"lexicon-{sweep}")
         # what the next sweep doesn't read
-        old = ("lexicon", "again") if sweep == 0 else (f"lexicon-{sweep - 1}", f"seated-{sweep - 1}")
+        old = ("lexicon",) if sweep == 0 else (f"lexicon-{sweep - 1}", f"seated-{sweep - 1}")
         forget(docs.sparkSession, folder, f"rated-{sweep}", f"cells-{sweep}", *old)
 
     # what a pair has of its own
-    own = single.unionByName(again.select("ctx", "wid", (F.col("c") - discount * F.col("t") / SAMPLES).alias("own")))
-    none = F.lit(None)
-    of_words = words.select("chunk", "word", "lid").join(lexicon, "word").select("chunk", F.col("lid").alias("at"), none.cast("double").alias("own"), "c", "room", "ps", "backs")
-    of_pairs = pairs.select("chunk", "gid", "ctx", "wid").join(own, ["ctx", "wid"]).select(
-        "chunk", F.col("gid").alias("at"), "own", *(none.cast(t).alias(n) for n, t in (("c", "long"), ("room", "long"), ("ps", "array<double>"), ("backs", "array<double>")))
-    )
-    local = of_words.unionByName(of_pairs)
+    own = again.select("key", (F.col("c") - discount * F.col("t") / SAMPLES).alias("own"))
+    kinds = {"at": "int", "own": "double", "c": "long", "room": "long", "ps": "array<double>", "backs": "array<double>", "shared": "binary"}
+    alike = lambda df: df.select("chunk", *(F.col(n) if n in df.columns else F.lit(None).cast(k).alias(n) for n, k in kinds.items()))
+    of_words = texts.select("chunk", "hashes").mapInArrow(_numbered, "chunk long, at int, wid long").join(lexicon.select("wid", "c", "room", "ps", "backs"), "wid")
+    of_pairs = often.select("chunk", F.col("gid").alias("at"), "key").join(own, "key")
+    local = alike(of_words).unionByName(alike(of_pairs)).unionByName(alike(shared))
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        for data in right["pairs"].drop_null():
-            ids, first, second, seen = _unpack_pairs(data.as_py())
-        is_word = left["own"].is_null()
-        held = left.filter(is_word)
-        lid, size = held["at"].to_numpy(), len(ids)
+        (row,) = right.to_pylist()
+        chunk = Chunk(row)
+        held = left.filter(left["c"].is_valid())
+        lid, size = held["at"].to_numpy(), len(chunk.ids)
         c, room, ps, backs = np.zeros(size, np.int64), np.zeros(size), np.zeros((size, SAMPLES)), np.zeros((size, SAMPLES))
         c[lid], room[lid] = held["c"].to_numpy(), held["room"].to_numpy()
         for into, name in ((ps, "ps"), (backs, "backs")):
             into[lid] = pa.compute.list_flatten(held[name]).to_numpy().reshape(-1, SAMPLES)
         base = np.log10((c + 0.5) / (tokens + 0.5 * (types + 1)))
-        mine = np.where(seen > 0, 1 - discount, 0.0)
-        held = left.filter(pa.compute.invert(is_word))
+        total, _ = chunk.counted([x.as_py() for x in left["shared"].drop_null()])
+        mine = np.where(total > 0, 1 - discount, 0.0)
+        held = left.filter(left["own"].is_valid())
         mine[held["at"].to_numpy()] = held["own"].to_numpy()
+        first, second = chunk.first, chunk.second
         p = mine / (STRENGTH + room[first])
         for k in range(SAMPLES):
             p += backs[first, k] * ps[second, k] / SAMPLES
         p = np.log10(np.maximum(p, 1e-300))
-        base, known = base[second], c[second] > 0
-        right = right.filter(right["bag"].is_valid())
-        out = []
-        for bag in right["bag"]:
-            at, n = _unpack(bag.as_py())
-            out.append((n.sum(), n[known[at]].sum(), (n * base[at]).sum(), (n * p[at]).sum()))
-        counts, knowns, base_score, found = zip(*out, strict=True) if out else ((), (), (), ())
+        word = second[chunk.at]
+        summed = lambda values: np.bincount(chunk.owner, weights=values, minlength=len(chunk.held))
+        counts, knowns = np.bincount(chunk.owner, minlength=len(chunk.held)), summed(c[word] > 0).astype(np.int64)
         return pa.Table.from_arrays(
-            [right["doc_id"], right["held_out"], pa.array(counts, pa.int64()), pa.array(knowns, pa.int64()), pa.array([tokens] * len(out), pa.int64()), pa.array(base_score, pa.float64()), pa.array(found, pa.float64())],
+            [pa.array(row["doc_ids"], pa.int64()), pa.array(chunk.held), *map(pa.array, (counts, knowns, np.full(len(counts), tokens), summed(base[word]), summed(p[chunk.at])))],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    bags = made.filter("bag is not null or pairs is not null").select(F.col("chunk").alias("of_chunk"), "doc_id", "held_out", "bag", "pairs")
-    return local.groupBy("chunk").cogroup(bags.groupBy("of_chunk")).applyInArrow(
+    return local.groupBy("chunk").cogroup(texts.withColumnRenamed("chunk", "of_chunk").groupBy("of_chunk")).applyInArrow(
         look_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
