@@ -4,11 +4,13 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from varloom.cluster import materialize
 from varloom.llm import forest, langid, media, minhash, mixing, pieces, pii, pitman_yor, textsets, toxicity, warc
 from varloom.llm.common import components, crc_rest, lookup
 
@@ -407,6 +409,68 @@ def test_lm_pairs_that_chunks_share(spark):
     assert sorted(found.values()) == sorted(want.values())
 
 
+def test_lm_tables_stay_small(spark, monkeypatch):
+    """The tables that stand at one time never take four times the bytes of the documents' file."""
+    held, path = [], Path(SF) / "documents.parquet"
+
+    def watched(df, folder, name, **more):
+        made = materialize(df, folder, name, **more)
+        held.append(sum(f.stat().st_size for f in Path(folder.removeprefix("file:")).rglob("*.parquet")))
+        return made
+
+    monkeypatch.setattr(pitman_yor, "materialize", watched)
+    assert pitman_yor.score(spark.read.parquet(str(path)), crc_rest(F.col("doc_id"), 5) == 1).columns[0] == "doc_id"
+    assert 0 < max(held) < 4 * path.stat().st_size
+
+
+def plain_lm(texts, held):
+    """Each text's score, with all words and pairs of words in one array each."""
+    import pyarrow as pa
+
+    tokens = [[w.encode() for w in lower(t).split()] + [b""] for t in texts]
+    vocabulary = sorted({w for ws in tokens for w in ws})
+    number, pairs, c = {w: i for i, w in enumerate(vocabulary)}, {}, np.zeros(len(vocabulary), np.int64)
+    for ws, out in zip(tokens, held, strict=True):
+        for a, b in zip([b"", *ws], ws, strict=False):
+            pairs[number[a], number[b]] = pairs.get((number[a], number[b]), 0) + (not out)
+            c[number[b]] += not out
+    (first, second), n = np.array(list(pairs)).T, np.array(list(pairs.values()))
+    known = pa.array(vocabulary, pa.binary())
+    ids, (key, of) = pitman_yor.word_ids(known), pitman_yor.cells_of(known)
+    added = lambda at, t: np.bincount(at, weights=t, minlength=len(c)).astype(np.int64)
+
+    def sample_of(tables, sweep):
+        cell, at = np.unique(key, return_inverse=True)
+        customers = np.bincount(at, weights=tables[of])
+        return pitman_yor.Sample(pitman_yor.Characters(cell[customers > 0], customers[customers > 0], sweep), tables.sum())
+
+    d, p = pitman_yor.discount_of(n), 0.0
+    people, opened = added(second, np.minimum(n, 1)), added(first, np.minimum(n, 1))
+    sample = sample_of(np.minimum(people, 1), 0)
+    for k in range(pitman_yor.SAMPLES):
+        totals = pitman_yor.Totals(people.sum(), int((c > 0).sum()), pitman_yor.discount_of(people))
+        tables, base = totals.seated(known, ids, people, sample, k)
+        sample.tables = tables.sum()
+        word = totals.predictive(people, tables, base, sample)
+        t = pitman_yor.seat(pitman_yor.Chunk.ids_of(ids, first, second), n, (1 + d * opened[first]) * word[second], d, 100 + k)
+        people, opened = added(second, t), added(first, t)
+        p += (n - d * t + (1 + d * opened[first]) * word[second]) / (1 + c[first]) / pitman_yor.SAMPLES
+        sample = sample_of(tables, k + 1)
+    p = dict(zip(pairs, np.log10(p), strict=True))
+    return [sum(p[number[a], number[b]] for a, b in zip([b"", *ws], ws, strict=False)) for ws in tokens]
+
+
+def test_lm_against_plain_arrays(spark, monkeypatch):
+    """Parts and chunks give the scores that one array of all words and one of all pairs give."""
+    monkeypatch.setattr(pitman_yor, "PART_WORDS", 5)
+    monkeypatch.setattr(pitman_yor, "PART_TOKENS", 50)
+    rng = random.Random(10)
+    texts = [" ".join(f"{'abcdefgh'[int(rng.random() ** 3 * 8)]}{int(rng.random() ** 3 * 40)}" for _ in range(rng.randrange(90))) for _ in range(120)] + ["", None, "é Ü", "new unseen"]
+    want = plain_lm(texts, [i % 5 == 1 for i in range(len(texts))])
+    got = pitman_yor.score(frame(spark, texts).repartition(6), F.col("doc_id") % 5 == 1).collect()
+    assert len(got) == len(texts) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-6 for r in got)
+
+
 def test_lm_word_order(spark):
     """A text's score depends on its words' order: the trained order beats the reverse one."""
     rng = random.Random(8)

@@ -10,7 +10,9 @@ Seating follows the Chinese-restaurant process and is resampled in Gibbs sweeps:
 context's customers given the rest.  Predictive probabilities are averaged over the sweeps.
 
 Pairs are counted by 64-bit hashes: each chunk of documents deals out its pairs' sorted hashes as packed arrays, and hears what
-other chunks hold too.  Only pairs that occur more than once become rows.
+other chunks hold too.  Words are dealt out by their hashes into the lexicon's parts.  In a sweep each part answers every chunk with
+what it knows of the chunk's words; a chunk seats the pairs that it counts, and sends its words' new tables back.  A pair's seating
+depends on its hash, its count and its words alone, so a chunk that holds a pair which another one counts seats it just so.
 
 Counts of pairs and words, vocabulary and all seating of words are distributed tables that grow with the corpus.  The character
 model holds every pair of context and symbol; with ORDER bytes of context there are fewer than 17 million of them whatever
@@ -20,6 +22,7 @@ the corpus, which bounds what is broadcast.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.cluster import forget, materialize, shared_folder
-from varloom.llm.common import by_group, column, lookup, trim
+from varloom.llm.common import by_group, column, trim
 from varloom.llm.textsets import blocks, mix64, word_bounds, word_hashes
 
 #: Bytes of context, sweeps averaged, sweeps inside the character model.
@@ -39,6 +42,10 @@ STRENGTH = 1.0
 CLOSED = 0.9
 #: Documents and bytes of text whose words are looked up together.
 CHUNK_DOCS, CHUNK_BYTES = 4096, 16 << 20
+#: Words handled at once, dishes seated at once.
+WORD_ROWS, SEATED = 20_000, 16_384
+#: Words and tokens of chunks in a part, until there are 2^PART_BITS parts.
+PART_WORDS, PART_TOKENS, PART_BITS = 100_000, 200_000, 12
 
 END = 256
 SYMBOLS = 257
@@ -49,10 +56,14 @@ SYMBOLS = 257
 
 def uniform(ids: np.ndarray, *salt: int) -> np.ndarray:
     """Numbers in [0, 1) that depend on the ids and the salt alone."""
-    h = ids.view(np.uint64) if ids.dtype == np.int64 else ids.astype(np.uint64)
+    return (salted(ids, *salt) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+
+
+def salted(ids: np.ndarray, *salt: int) -> np.ndarray:
+    h = ids.view(np.uint64) if ids.dtype == np.int64 else ids.astype(np.uint64, copy=False)
     for s in salt:
         h = mix64(h + np.uint64((s * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF))
-    return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    return h
 
 
 def seat(ids: np.ndarray, customers: np.ndarray, pull: np.ndarray, discount: float, sweep: int) -> np.ndarray:
@@ -62,15 +73,21 @@ def seat(ids: np.ndarray, customers: np.ndarray, pull: np.ndarray, discount: flo
     sixteenth of those seated, or one by one while that is less.
     """
     tables = np.minimum(customers, 1).astype(np.float64)
-    at = np.flatnonzero(customers > 1)
-    seated, step = 1, 0
-    while len(at):
-        batch = max(1, seated // 16)
-        n = np.minimum(batch, customers[at] - seated)
-        chance = pull[at] / (pull[at] + np.maximum(seated - discount * tables[at], 1e-9))
-        tables[at] += np.floor(n * chance + uniform(ids[at], sweep, step))
-        seated, step = seated + batch, step + 1
-        at = at[customers[at] > seated]
+    several = np.flatnonzero(customers > 1)
+    several = several[np.argsort(-customers[several])]
+    for lo in range(0, len(several), SEATED):
+        # the dishes with most customers first, so those that still have some to seat are the first ones
+        at = several[lo : lo + SEATED]
+        c, drawn, open_, t = -customers[at], salted(ids[at], sweep), pull[at], np.ones(len(at))
+        seated, step, left = 1, 0, len(at)
+        while left:
+            batch = max(1, seated // 16)
+            n = np.minimum(batch, -c[:left] - seated)
+            chance = open_[:left] / (open_[:left] + np.maximum(seated - discount * t[:left], 1e-9))
+            t[:left] += np.floor(n * chance + uniform(drawn[:left], step))
+            seated, step = seated + batch, step + 1
+            left = int(np.searchsorted(c[:left], -seated))
+        tables[at] = t
     return np.minimum(tables, customers)
 
 
@@ -80,6 +97,20 @@ def discount_of(customers: np.ndarray) -> float:
     return float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95))
 
 
+def _heads(ordered: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate((np.ones(min(len(ordered), 1), bool), ordered[1:] != ordered[:-1])))
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ascending distinct keys, a place of each, each key's number among them)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    head = _heads(ordered)
+    at = np.empty(len(keys), np.int32)
+    at[order] = np.repeat(np.arange(len(head), dtype=np.int32), np.diff(np.append(head, len(keys))))
+    return ordered[head], order[head], at
+
+
 # -- the character model ----------------------------------------------------------------------------------
 
 
@@ -169,7 +200,7 @@ class Characters:
     def log_words(self, words: pa.Array) -> np.ndarray:
         """Natural logarithm of each word's probability."""
         key, of = cells_of(words)
-        distinct, at = np.unique(key, return_inverse=True)
+        distinct, _, at = _distinct(key)
         return np.bincount(of, weights=np.log(self._probability(distinct, ORDER))[at], minlength=len(words))
 
 
@@ -202,64 +233,117 @@ class Totals:
 
 
 def _table(df: DataFrame, folder: str, name: str) -> DataFrame:
-    return materialize(df, folder, name, clean=True)
+    return materialize(df, folder, name, clean=True, codec="zstd")
 
 
-def _pack(numbers: np.ndarray, sizes: tuple[int, ...]) -> bytes:
-    """Numbers in the least of ``sizes`` bytes (4 or 8 in the last place) that holds them all; the first byte tells which."""
+def _pack(numbers: np.ndarray, sizes: tuple[int, ...] = (1, 2, 3, 4, 8)) -> bytes:
+    """Numbers in the least of ``sizes`` bytes that holds them all: the size, then all first bytes, all second ones and so on."""
     most = int(numbers.max(initial=0))
     size = next((n for n in sizes if most < 1 << (8 * n)), 8)
-    return bytes([size]) + numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+    return bytes([size]) + numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
     size = data[0]
     out = np.zeros(((len(data) - 1) // size, 8), np.uint8)
-    out[:, :size] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, size)
+    out[:, :size] = np.frombuffer(data, np.uint8, offset=1).reshape(size, -1).T
     return out.view("<u8").ravel()
 
 
+def _counts(data: bytes) -> np.ndarray:
+    return _unpack(data).astype(np.int64)
+
+
+def _steps(numbers: np.ndarray, sizes: tuple[int, ...] = (1, 2, 3, 4, 8), begin: int = 0) -> bytes:
+    """Ascending numbers as their differences."""
+    return _pack(np.diff(numbers, prepend=numbers.dtype.type(begin)), sizes)
+
+
+def _climb(data: bytes, begin: int = 0) -> np.ndarray:
+    return np.cumsum(_unpack(data), dtype=np.uint64) + np.uint64(begin)
+
+
+def _bits(total: int, share: int) -> int:
+    """Binary logarithm of the number of parts, for parts of some ``share``."""
+    return int(np.clip(np.ceil(np.log2(max(total, 1) / share)), 4, PART_BITS))
+
+
+def _cuts(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(part, begin, end) of the parts that sorted ``keys`` fall into by their first bits."""
+    cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    used = np.flatnonzero(np.diff(cuts))
+    return list(zip(used.tolist(), cuts[used].tolist(), cuts[used + 1].tolist(), strict=True))
+
+
+@cache
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    kinds |= {f"array<{k}>": pa.list_(v) for k, v in kinds.items()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
+
+
+def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=_arrow(schema))
+
+
+def _joined(blobs: list[bytes], dtype: str | None = None) -> np.ndarray:
+    """Packed numbers (or plain ones of a type) of several rows, one after another."""
+    parts = [np.frombuffer(b, dtype) if dtype else _counts(b) for b in blobs]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype or np.int64)
+
+
+def _unlettered(letters: bytes, lengths: bytes) -> pa.Array:
+    """Words from their letters and lengths."""
+    size = _counts(lengths)
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters)])
+
+
+def _letters(words: pa.Array) -> tuple[bytes, bytes]:
+    """(letters, packed lengths) of words."""
+    words = words.cast(pa.binary())
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = words.buffers()[2]
+    data = memoryview(raw)[offsets[0] : offsets[-1]].tobytes() if raw is not None else b""
+    return data, _pack(np.diff(offsets))
+
+
 class Chunk:
     """Some documents' pairs of neighbouring words, in the order of the pairs' hashes.
 
-    ids are the hashes of the chunk's words, the end token's the last; first and second are the pairs' words by their numbers,
-    seen the pairs' occurrences in training texts, owner and at each token's document and pair.
+    ids are the hashes of the chunk's words, ascending, the end token's (0) the first; first and second are the pairs' words by their
+    numbers, seen the pairs' occurrences in training texts, owner and at each token's document and pair.
     """
 
     def __init__(self, row: dict):
-        self.ids = np.frombuffer(row["hashes"], "<i8")
+        self.ids = _climb(row["hashes"])
         self.held = np.frombuffer(row["held"], np.bool_)
-        end = len(self.ids) - 1
-        tape, size = _unpack(row["tape"]).astype(np.int64), _unpack(row["sizes"]).astype(np.int64)
+        tape, size = _counts(row["tape"]), _counts(row["sizes"])
         self.owner = np.repeat(np.arange(len(size)), size)
-        before = np.concatenate((np.full(1, end, np.int64), tape))[: len(tape)]
-        pair, at = np.unique(before * (end + 1) + tape, return_inverse=True)
-        first, second = pair // (end + 1), pair % (end + 1)
-        u = self.ids.view(np.uint64)
-        key = mix64(u[first] + mix64(u[second] + np.uint64(1)))
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.key, self.first, self.second, self.at = key[order], first[order], second[order], rank[at]
-        self.seen = np.bincount(self.at, weights=~self.held[self.owner], minlength=len(order)).astype(np.int64)
-
-    def counted(self, shared: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        before = np.zeros_like(tape)
+        before[1:] = tape[:-1]
+        key = self.ids_of(self.ids, before, tape)
+        self.key, place, self.at = _distinct(key)
+        self.first, self.second = before[place], tape[place]
+        self.seen = np.bincount(self.at, weights=~self.held[self.owner], minlength=len(self.key)).astype(np.int64)
+
+    @staticmethod
+    def ids_of(ids: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Hashes of pairs of words."""
+        return mix64(ids[first] + mix64(ids + np.uint64(1))[second])
+
+    def counted(self, shared: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         """(occurrences in all training texts, whether the pair is this chunk's to count), by what other chunks hold too."""
         total, mine = self.seen.copy(), np.ones(len(self.seen), bool)
-        for data in shared:
-            at, c, own = np.frombuffer(data, "<u4").reshape(3, -1)
-            total[at], mine[at] = c, own.astype(bool)
+        for row in shared:
+            at = _climb(row["places"]).astype(np.int64)
+            total[at] = _counts(row["totals"])
+            mine[at] = np.unpackbits(np.frombuffer(row["own"], np.uint8), count=len(at)).astype(bool)
         return total, mine
 
 
-def _numbered(batches):
-    """A row for each of a chunk's words: its number and hash."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids = np.frombuffer(row["hashes"], "<i8")
-            for lo in range(0, len(ids), WORD_ROWS):
-                part = ids[lo : lo + WORD_ROWS]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row["chunk"])), pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), pa.array(part)], names=["chunk", "at", "wid"])
+_DEALT = "part long, chunk long, start long, steps binary, seen binary"
+_SHARED = "chunk long, places binary, totals binary, own binary"
 
 
 def _scatter(bits: int):
@@ -269,12 +353,14 @@ def _scatter(bits: int):
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk(row)
-                cuts = np.searchsorted(chunk.key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                used = np.flatnonzero(np.diff(cuts))
-                steps = [_pack(np.diff(chunk.key[a:b], prepend=np.uint64(k << (64 - bits))), (5, 6, 8)) for k, a, b in zip(used.tolist(), cuts[used], cuts[used + 1], strict=True)]
-                seen = [_pack(chunk.seen[a:b], (1, 4, 8)) for a, b in zip(cuts[used], cuts[used + 1], strict=True)]
-                cols = [used, np.full(len(used), row["chunk"]), cuts[used].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(steps, pa.binary()), pa.array(seen, pa.binary())], names=["part", "chunk", "start", "steps", "seen"])
+                yield _batch(
+                    [
+                        {"part": k, "chunk": row["chunk"], "start": a, "steps": _steps(chunk.key[a:b], (5, 6, 7, 8), k << (64 - bits)), "seen": _pack(chunk.seen[a:b])}
+                        for k, a, b in _cuts(chunk.key, bits)
+                    ],
+                    _DEALT,
+                )
+                del chunk
         trim()
 
     return run
@@ -284,58 +370,32 @@ def _gathered(bits: int):
     """For groups of a part: what several chunks hold, as (places in the chunk, occurrences in all, whether it counts them)."""
 
     def run(table: pa.Table) -> pa.RecordBatch | None:
-        begin = np.uint64(table["part"][0].as_py() << (64 - bits))
-        keys = [np.cumsum(_unpack(x.as_py()), dtype=np.uint64) + begin for x in table["steps"]]
+        begin = table["part"][0].as_py() << (64 - bits)
+        keys = [_climb(x.as_py(), begin) for x in table["steps"]]
         size = np.array([len(k) for k in keys])
         key = np.concatenate(keys)
-        of = np.repeat(np.arange(len(keys)), size)
-        place = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(table["start"].to_numpy(), size)
-        seen = np.concatenate([_unpack(x.as_py()) for x in table["seen"]]).astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        head = np.flatnonzero(np.concatenate((np.ones(1, bool), key[1:] != key[:-1])))
-        total, many = np.add.reduceat(seen[order], head), np.diff(np.append(head, len(key)))
-        own = np.zeros(len(key), bool)
-        own[head] = True
-        held = np.repeat(many > 1, many)
-        of, place, total, own = of[order][held], place[order][held], np.repeat(total, many)[held], own[held]
-        if not len(of):
-            return None
-        by = np.argsort(of, kind="stable")
-        used, at = np.unique(of[by], return_index=True)
-        data = [np.stack((place[i], total[i], own[i])).astype("<u4").tobytes() for i in np.split(by, at[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(table["chunk"].to_numpy()[used]), pa.array(data, pa.binary())], names=["chunk", "shared"])
+        seen = _joined(table["seen"].to_pylist())
+        order = np.argsort(key)
+        head = _heads(key[order])
+        many = np.diff(np.append(head, len(key)))
+        total, held, own = np.empty(len(key), np.int64), np.empty(len(key), bool), np.zeros(len(key), bool)
+        total[order], held[order] = np.repeat(np.add.reduceat(seen[order], head), many), np.repeat(many > 1, many)
+        own[order[head]] = True
+        made, lo = [], 0
+        for chunk, start, n in zip(table["chunk"].to_pylist(), table["start"].to_pylist(), size.tolist(), strict=True):
+            at = np.flatnonzero(held[lo : lo + n])
+            if len(at):
+                made.append({"chunk": chunk, "places": _steps(at + start), "totals": _pack(total[lo + at]), "own": np.packbits(own[lo + at]).tobytes()})
+            lo += n
+        return _batch(made, _SHARED) if made else None
 
     return run
 
 
-_FACTS = "wid long, people long, single long, opened long, single_opened long, room long, chunk long, gid int, key long, ctx long, c long"
-
-
-def _facts(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A chunk's words with what it counts of them, and its pairs that occur more than once."""
-    schema = pa.schema([(n, pa.int32() if k == "int" else pa.int64()) for n, k in (x.split() for x in _FACTS.split(", "))])
-    made = lambda size, **cols: pa.Table.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(size, f.type) for f in schema], schema=schema)
-    out = [made(0)]
-    for row in left.to_pylist():
-        chunk = Chunk(row)
-        total, mine = chunk.counted([x.as_py() for x in right["shared"]])
-        n = len(chunk.ids)
-        count = lambda words, which, weights=None: np.bincount(words[which], weights=None if weights is None else weights[which], minlength=n).astype(np.int64)  # noqa: B023, E731
-        all_, once = mine & (total > 0), mine & (total == 1)
-        out.append(made(n, wid=chunk.ids, people=count(chunk.second, all_), single=count(chunk.second, once), opened=count(chunk.first, all_), single_opened=count(chunk.first, once), room=count(chunk.first, all_, total)))
-        at = np.flatnonzero(total > 1)
-        pair = {"wid": chunk.ids[chunk.second[at]], "ctx": chunk.ids[chunk.first[at]], "c": total[at]}
-        # the words and occurrences stand in the row of the chunk that counts the pair
-        pair = {k: pa.array(v, mask=~mine[at]) for k, v in pair.items()}
-        out.append(made(len(at), chunk=np.full(len(at), row["chunk"]), gid=at, key=chunk.key[at].view(np.int64), **pair))
-    return pa.concat_tables(out)
-
-
-_BAG_SCHEMA = "chunk long, word binary, wid long, lid int, n_train long, doc_ids array<long>, held binary, hashes binary, sizes binary, tape binary"
-_BAG_ARROW = pa.schema(
-    [("chunk", pa.int64()), ("word", pa.binary()), ("wid", pa.int64()), ("lid", pa.int32()), ("n_train", pa.int64()), ("doc_ids", pa.list_(pa.int64()))]
-    + [(name, pa.binary()) for name in ("held", "hashes", "sizes", "tape")]
+#: Two kinds of rows: a chunk's words, and its documents.
+_BAGS = (
+    "chunk long, hashes binary, n_train binary, lengths binary, letters binary, "
+    "doc_ids array<long>, held binary, sizes binary, tape binary, n_words long, n_tokens long"
 )
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -349,39 +409,35 @@ def _words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 def _chunk_rows(chunk: int, ids: pa.Array, held: np.ndarray, texts: pa.Array) -> list[pa.RecordBatch]:
-    """A chunk's distinct words, and a row of its documents as their words' numbers; the last number is the end token's."""
+    """A row of a chunk's distinct words, and a row of its documents as their words' numbers; number 0 is the end token's."""
     hashes, words, inverse, rows = [], [], [], []
     known = 0
     for first, _, data, offsets in blocks(texts):
         start, end, row = word_bounds(data, offsets)
-        u, at, inv = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
+        u, at, inv = _distinct(word_hashes(data, start, end))
         hashes.append(u)
         words.append(_words(data, start[at], end[at]))
         inverse.append(inv + known)
         rows.append(row + first)
         known += len(u)
-    u, at, inv = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    lid, row = inv[np.concatenate(inverse)], np.concatenate(rows)
-    n, end_lid = len(texts), len(u)
-    word = pa.concat_arrays([pa.concat_arrays(words).take(pa.array(at)), pa.array([b""], pa.binary())])
-    train = np.bincount(lid, weights=~held[row], minlength=end_lid + 1).astype(np.int64)
-    train[end_lid] = (~held).sum()
+    u, at, inv = _distinct(np.concatenate(hashes))
+    lid, row = inv[np.concatenate(inverse)] + 1, np.concatenate(rows)
+    n = len(texts)
+    word = pa.concat_arrays([pa.array([b""], pa.binary()), pa.concat_arrays(words).take(pa.array(at))])
+    train = np.bincount(lid, weights=~held[row], minlength=len(u) + 1).astype(np.int64)
+    train[0] = (~held).sum()
     # every text with its end token
     size = np.bincount(row, minlength=n) + 1
-    tape = np.full(size.sum(), end_lid, np.int64)
+    tape = np.zeros(size.sum(), np.int64)
     inner = np.ones(len(tape), bool)
     inner[np.cumsum(size) - 1] = False
     tape[inner] = lid
-    ids_ = np.append(u, np.uint64(0)).view(np.int64)
-
-    def made(size: int, **cols) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(size, f.type)) for f in _BAG_ARROW], schema=_BAG_ARROW)
-
+    ids_ = _steps(np.append(np.uint64(0), u), (5, 6, 7, 8))
+    letters, lengths = _letters(word)
     return [
-        made(len(word), chunk=pa.array(np.full(len(word), chunk)), word=word, wid=pa.array(ids_), lid=pa.array(np.arange(len(word), dtype=np.int32)), n_train=pa.array(train)),
-        made(
-            1, chunk=pa.array([chunk]), doc_ids=pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids.cast(pa.int64())), held=pa.array([held.tobytes()]),
-            hashes=pa.array([ids_.astype("<i8").tobytes()]), sizes=pa.array([_pack(size, (2, 4, 8))]), tape=pa.array([_pack(tape, (2, 3, 4, 8))]),
+        _batch([{"chunk": chunk, "hashes": ids_, "n_train": _pack(train), "lengths": lengths, "letters": letters}], _BAGS),
+        _batch(
+            [{"chunk": chunk, "doc_ids": ids.to_pylist(), "held": held.tobytes(), "hashes": ids_, "sizes": _pack(size), "tape": _pack(tape), "n_words": len(word), "n_tokens": len(tape)}], _BAGS
         ),
     ]
 
@@ -398,6 +454,7 @@ def _bags(batches):
             hi = min(lo + CHUNK_DOCS, max(lo + 1, int(np.searchsorted(size, before + CHUNK_BYTES, side="right"))), len(texts))
             yield from _chunk_rows(seq, ids.slice(lo, hi - lo), held[lo:hi], texts.slice(lo, hi - lo))
             seq, lo = seq + 1, hi
+    trim()
 
 
 def word_ids(words: pa.Array) -> np.ndarray:
@@ -409,44 +466,141 @@ def word_ids(words: pa.Array) -> np.ndarray:
     return word_hashes(data, offsets[:-1] - offsets[0], offsets[1:] - offsets[0]) if len(data) else np.zeros(n, np.uint64)
 
 
-#: Words handled at once.
-WORD_ROWS = 20_000
+_DEALT_WORDS = "part long, chunk long, steps binary, n binary, lengths binary, letters binary"
+#: A part's words, with the training tokens, the pairs seen once that end and begin with them, and what each chunk holds of them.
+#: people and opened: customers and tables of the contexts, before each sweep and after the last.
+_LEXICON = (
+    "part long, lengths binary, letters binary, n_types long, n_tokens long, c binary, chunks array<long>, places array<binary>, "
+    "single binary, single_opened binary, people array<binary>, opened array<binary>"
+)
 
 
-def _pieces(batches):
-    for batch in batches:
-        for lo in range(0, batch.num_rows, WORD_ROWS):
-            yield batch.slice(lo, WORD_ROWS)
+def _scatter_words(bits: int):
+    """For mapInArrow: a chunk's words dealt out by the first bits of their hashes."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                key, n, words = _climb(row["hashes"]), _unpack(row["n_train"]), _unlettered(row["letters"], row["lengths"])
+                made = []
+                for k, a, b in _cuts(key, bits):
+                    letters, lengths = _letters(words[a:b])
+                    made.append({"part": k, "chunk": row["chunk"], "steps": _steps(key[a:b], (5, 6, 7, 8), k << (64 - bits)), "n": _pack(n[a:b]), "lengths": lengths, "letters": letters})
+                yield _batch(made, _DEALT_WORDS)
+        trim()
+
+    return run
+
+
+def _part(table: pa.Table) -> pa.RecordBatch:
+    """A part of the lexicon from what chunks hold of it."""
+    rows = table.to_pylist()
+    keys = [_climb(r["steps"]) for r in rows]
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    head = _heads(key[order])
+    at = np.empty(len(key), np.int64)
+    at[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(key))))
+    c = np.add.reduceat(_joined([r["n"] for r in rows])[order], head)
+    letters, lengths = _letters(pa.concat_arrays([_unlettered(r["letters"], r["lengths"]) for r in rows]).take(pa.array(order[head])))
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    places = [_steps(x) for x in np.split(at, ends)]
+    return _batch(
+        [{"part": rows[0]["part"], "lengths": lengths, "letters": letters, "n_types": int((c > 0).sum()), "n_tokens": int(c.sum()), "c": _pack(c), "chunks": [r["chunk"] for r in rows], "places": places, "people": [], "opened": []}],
+        _LEXICON,
+    )
+
+
+#: What a chunk counts of a part's words; its pairs that it counts and that occur more than once.
+_SUMS = "part long, chunk long, people binary, single binary, opened binary, single_opened binary"
+_OFTEN = "chunk long, hashes binary, first binary, second binary, c binary, twice long"
+_FACTS = _SUMS + _OFTEN.removeprefix("chunk long")
+
+
+def _facts(bits: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [_batch([], _FACTS)]
+        for row in left.to_pylist():
+            chunk = Chunk(row)
+            total, mine = chunk.counted(right.to_pylist())
+            n = len(chunk.ids)
+            all_, once = mine & (total > 0), mine & (total == 1)
+            sums = {"people": chunk.second[all_], "single": chunk.second[once], "opened": chunk.first[all_], "single_opened": chunk.first[once]}
+            sums = {k: np.bincount(v, minlength=n) for k, v in sums.items()}
+            out.append(_batch([{"part": k, "chunk": row["chunk"], **{name: _pack(v[a:b]) for name, v in sums.items()}} for k, a, b in _cuts(chunk.ids, bits)], _FACTS))
+            at = np.flatnonzero(mine & (total > 1))
+            at = at[np.lexsort((chunk.second[at], chunk.first[at]))]
+            pairs = {"first": _steps(chunk.first[at]), "second": _pack(chunk.second[at]), "c": _pack(total[at])}
+            out.append(_batch([{"chunk": row["chunk"], "hashes": row["hashes"], **pairs, "twice": int((total[at] == 2).sum())}], _FACTS))
+        trim()
+        return pa.Table.from_batches(out)
+
+    return run
 
 
-def _sweep(vocabulary: DataFrame, totals: Totals, samples: list[Sample], folder: str) -> None:
+def _begun(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A part with its chunks' sums, before the first sweep."""
+    out = []
+    for row in left.to_pylist():
+        sums = _summed(row, right.to_pylist(), ("people", "single", "opened", "single_opened"))
+        row |= {k: _pack(sums[k]) for k in ("single", "single_opened")} | {k: [_pack(sums[k])] for k in ("people", "opened")}
+        out.append(row)
+    return pa.Table.from_pylist(out, schema=_arrow(_LEXICON))
+
+
+def _grown(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A part with the tables of one more sweep."""
+    out = []
+    for row in left.to_pylist():
+        sums = _summed(row, right.to_pylist(), ("people", "opened"))
+        for k, once in (("people", "single"), ("opened", "single_opened")):
+            row[k].append(_pack(_counts(row[once]) + sums[k]))
+        out.append(row)
+    return pa.Table.from_pylist(out, schema=_arrow(_LEXICON))
+
+
+def _summed(row: dict, sums: list[dict], names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """The sums of chunks over a part's words."""
+    out = {k: np.zeros((len(row["lengths"]) - 1) // row["lengths"][0], np.int64) for k in names}
+    places = dict(zip(row["chunks"], row["places"], strict=True))
+    for one in sums:
+        at = _climb(places[one["chunk"]]).astype(np.int64)
+        for k in names:
+            out[k][at] += _counts(one[k])
+    return out
+
+
+def _sweep(lexicon: DataFrame, totals: Totals, samples: list[Sample], folder: str) -> None:
     """Seat all words by the last sample (if any), note its tables, and fit the next sample's character model."""
-    send = vocabulary.sparkSession.sparkContext.broadcast((totals, samples[-1] if samples else None, len(samples) - 1))
+    send = lexicon.sparkSession.sparkContext.broadcast((totals, samples[-1] if samples else None, len(samples) - 1))
 
     def run(batches):
         t_, sample, sweep = send.value
         tables = 0.0
         held_k, held_n, size = [], [], 0
-        for batch in _pieces(batches):
-            words, c = column(batch, "word"), np.asarray(column(batch, "people"))
-            t = np.ones(len(c)) if sample is None else t_.seated(words, word_ids(words), c, sample, sweep)[0]
-            tables += t.sum()
-            key, of = cells_of(words)
-            k, at = np.unique(key, return_inverse=True)
-            held_k.append(k)
-            held_n.append(np.bincount(at, weights=t[of]))
-            size += len(k)
-            if size > 1_000_000:
-                k, at = np.unique(np.concatenate(held_k), return_inverse=True)
-                held_k, held_n, size = [k], [np.bincount(at, weights=np.concatenate(held_n))], len(k) // 2
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            people, all_ = _counts(row["last"]), _unlettered(row["letters"], row["lengths"])
+            used = np.flatnonzero(people > 0)
+            for lo in range(0, len(used), WORD_ROWS):
+                at = used[lo : lo + WORD_ROWS]
+                words, c = all_.take(pa.array(at)), people[at]
+                t = np.ones(len(c)) if sample is None else t_.seated(words, word_ids(words), c, sample, sweep)[0]
+                tables += t.sum()
+                key, of = cells_of(words)
+                k, _, at = _distinct(key)
+                held_k.append(k)
+                held_n.append(np.bincount(at, weights=t[of]))
+                size += len(k)
+                if size > 1_000_000:
+                    k, at = np.unique(np.concatenate(held_k), return_inverse=True)
+                    held_k, held_n, size = [k], [np.bincount(at, weights=np.concatenate(held_n))], len(k) // 2
         if held_k:
             k, at = np.unique(np.concatenate(held_k), return_inverse=True)
             n = np.bincount(at, weights=np.concatenate(held_n))
             yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(n, tables))], names=["cell", "n"])
 
-    got = vocabulary.filter("people > 0").mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
-    name = f"cells-{len(samples)}"
-    got = _table(got, folder, name)
+    got = lexicon.select("lengths", "letters", F.element_at("people", -1).alias("last")).mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
+    got = _table(got, folder, f"cells-{len(samples)}")
     tables = got.filter("cell < 0").agg(F.sum("n")).first()[0] or 0.0
     if samples:
         samples[-1].tables = float(tables)
@@ -456,34 +610,76 @@ def _sweep(vocabulary: DataFrame, totals: Totals, samples: list[Sample], folder:
         samples.append(Sample(characters, float(tables)))
 
 
-def _rated(lexicon: DataFrame, totals: Totals, sample: Sample, sweep: int) -> DataFrame:
-    """``lexicon`` with p: the words' probabilities without a context, by a sample."""
-    send = lexicon.sparkSession.sparkContext.broadcast((totals, sample))
+#: What a part answers a chunk: its words' training tokens, probabilities without a context by sweep, and tables of the contexts.
+_ANSWERS = "chunk long, part long, c binary, ps array<binary>, opened array<binary>"
+
+
+def _answers(lexicon: DataFrame, state: list[tuple[Totals, Sample]], sweeps: range) -> DataFrame:
+    """The parts' answers to all chunks: for each of ``sweeps`` probabilities, and tables before each and after the last if it stands."""
+    send = lexicon.sparkSession.sparkContext.broadcast(state)
 
     def run(batches):
-        t_, sample_ = send.value
-        for batch in _pieces(batches):
-            word, c = column(batch, "word"), np.asarray(column(batch, "people"))
-            tables, base = t_.seated(word, word_ids(word), c, sample_, sweep)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.maximum(t_.predictive(c, tables, base, sample_), 1e-300))], names=[*batch.schema.names, "p"])
+        held = send.value
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            words = _unlettered(row["letters"], row["lengths"])
+            ps = [np.empty(len(words)) for _ in sweeps]
+            for p, sweep in zip(ps, sweeps, strict=True):
+                t_, sample = held[sweep]
+                people = _counts(row["people"][sweep])
+                for lo in range(0, len(words), WORD_ROWS):
+                    some, c = words[lo : lo + WORD_ROWS], people[lo : lo + WORD_ROWS]
+                    tables, base = t_.seated(some, word_ids(some), c, sample, sweep)
+                    p[lo : lo + WORD_ROWS] = np.maximum(t_.predictive(c, tables, base, sample), 1e-300)
+            opened, n = [_counts(x) for x in row["opened"][sweeps[0] :]], _counts(row["c"])
+            made, size = [], 0
+            for chunk, places in zip(row["chunks"], row["places"], strict=True):
+                at = _climb(places).astype(np.int64)
+                made.append({"chunk": chunk, "part": row["part"], "c": _pack(n[at]), "ps": [p[at].tobytes() for p in ps], "opened": [_pack(x[at]) for x in opened]})
+                size += len(at)
+                if size > WORD_ROWS:
+                    yield _batch(made, _ANSWERS)
+                    made, size = [], 0
+            yield _batch(made, _ANSWERS)
+        trim()
 
-    return lexicon.mapInArrow(run, lexicon.withColumn("p", F.lit(0.0)).schema)
+    return lexicon.select("part", "letters", "lengths", "c", "chunks", "places", "people", "opened").mapInArrow(run, _ANSWERS)
+
+
+def _seated(discount: float, sweep: int):
+    """For a chunk's pairs and the answers to it: the tables that its words' contexts and its contexts get in a sweep."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        answers = right.sort_by("part").to_pylist()
+        sizes = [len(a["ps"][0]) // 8 for a in answers]
+        p, opened = _joined([a["ps"][0] for a in answers], "<f8"), _joined([a["opened"][0] for a in answers])
+        out = [_batch([], _SUMS)]
+        for row in left.to_pylist():
+            first, second, c = _climb(row["first"]).astype(np.int64), _counts(row["second"]), _counts(row["c"])
+            t = seat(Chunk.ids_of(_climb(row["hashes"]), first, second), c, (STRENGTH + discount * opened[first]) * p[second], discount, 100 + sweep)
+            sums = {k: np.bincount(at, weights=t, minlength=len(p)).astype(np.int64) for k, at in (("people", second), ("opened", first))}
+            lo = 0
+            made = []
+            for a, n in zip(answers, sizes, strict=True):
+                made.append({"part": a["part"], "chunk": row["chunk"], **{k: _pack(v[lo : lo + n]) for k, v in sums.items()}})
+                lo += n
+            out.append(_batch(made, _SUMS))
+        trim()
+        return pa.Table.from_batches(out)
+
+    return run
 
 
-def _seated(pairs: DataFrame, lexicon: DataFrame, discount: float, sweep: int) -> DataFrame:
-    """``pairs`` (ctx, wid, c, key, t) with the last sweep's tables in their contexts added to t."""
-    known = lookup(pairs, lexicon.select("wid", "p"), ["wid"])
-    known = lookup(known, lexicon.select(F.col("wid").alias("ctx"), "opened"), ["ctx"])
+def _tallies(lexicon: DataFrame) -> tuple[int, ...]:
+    """(customers of the word restaurant, words with one, words with two, pairs seen once)."""
 
     def run(batches):
-        for batch in batches:
-            wid, ctx, c = (np.asarray(column(batch, n)) for n in ("wid", "ctx", "c"))
-            pull = (STRENGTH + discount * np.asarray(column(batch, "opened"))) * np.asarray(column(batch, "p"))
-            ids = mix64(ctx.view(np.uint64) + mix64(wid.view(np.uint64) + np.uint64(1)))
-            t = seat(ids, c, pull, discount, 100 + sweep)
-            yield pa.RecordBatch.from_arrays([column(batch, "ctx"), column(batch, "wid"), column(batch, "c"), column(batch, "key"), pa.array(np.asarray(column(batch, "t")) + t), pa.array(t)], names=["ctx", "wid", "c", "key", "t", "last"])
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            people = _counts(row["last"])
+            made = people.sum(), (people == 1).sum(), (people == 2).sum(), _counts(row["single"]).sum()
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in made], names=["people", "one", "two", "single"])
 
-    return known.mapInArrow(run, "ctx long, wid long, c long, key long, t double, last double")
+    got = lexicon.select(F.element_at("people", -1).alias("last"), "single").mapInArrow(run, "people long, one long, two long, single long")
+    return tuple(int(x) for x in got.agg(*(F.coalesce(F.sum(n), F.lit(0)) for n in got.columns)).first())
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -494,87 +690,85 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     score and score the model's, both log10 of the whole text's probability.  Ids may be null or repeat.
     Without training rows the character model is uniform.
     """
-    folder = shared_folder(docs.sparkSession)
+    spark = docs.sparkSession
+    folder = shared_folder(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    made = _table(rows.mapInArrow(_bags, _BAG_SCHEMA), folder, "bags")
-    words = _table(made.filter("word is not null").groupBy("word").agg(F.min("wid").alias("wid"), F.sum("n_train").alias("c")), folder, "words")
-    texts = _table(made.filter("tape is not null").select("chunk", "doc_ids", "held", "hashes", "sizes", "tape"), folder, "texts")
-    forget(docs.sparkSession, folder, "bags")
-    # parts of some 100,000 pairs, until there are 4,096
-    bits = int(np.clip(np.ceil(np.log2(8 * max(texts.count(), 1))), 4, 12))
-    dealt = texts.mapInArrow(_scatter(bits), "part long, chunk long, start long, steps binary, seen binary")
-    shared = _table(by_group(dealt, ["part"], _gathered(bits), "chunk long, shared binary"), folder, "shared")
-    facts = _table(texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_facts, _FACTS), folder, "facts")
-    often = facts.filter("chunk is not null").select("chunk", "gid", "key", "ctx", "wid", "c")
-    sums = facts.filter("chunk is null").groupBy("wid").agg(*(F.sum(n).alias(n) for n in ("people", "single", "opened", "single_opened", "room")))
-    once, twice = facts.agg(F.coalesce(F.sum("single"), F.lit(0)), F.count_if(F.col("c") == 2)).first()
+    bags = _table(rows.mapInArrow(_bags, _BAGS), folder, "bags")
+    n_words, n_tokens = bags.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    word_bits, pair_bits = _bits(n_words, PART_WORDS), _bits(n_tokens, PART_TOKENS)
+    dealt = bags.filter("letters is not null").select("chunk", "hashes", "n_train", "lengths", "letters").mapInArrow(_scatter_words(word_bits), _DEALT_WORDS)
+    words = _table(by_group(dealt, ["part"], _part, _LEXICON), folder, "words")
+    texts = _table(bags.filter("tape is not null").select("chunk", "doc_ids", "held", "hashes", "sizes", "tape"), folder, "texts")
+    forget(spark, folder, "bags")
+    tokens, types = (int(x or 0) for x in words.agg(F.sum("n_tokens"), F.sum("n_types")).first())
+
+    dealt = texts.select("chunk", "held", "hashes", "sizes", "tape").mapInArrow(_scatter(pair_bits), _DEALT)
+    shared = _table(by_group(dealt, ["part"], _gathered(pair_bits), _SHARED), folder, "shared")
+    slim = texts.select("chunk", "held", "hashes", "sizes", "tape")
+    facts = _table(slim.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_facts(word_bits), _FACTS), folder, "facts")
+    often = facts.filter("part is null").select("chunk", "hashes", "first", "second", "c")
+    sums = facts.filter("part is not null").select(*(x.split()[0] for x in _SUMS.split(", ")))
+    lexicon = _table(words.groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(_begun, _LEXICON), folder, "lexicon")
+    forget(spark, folder, "words")
+    twice = facts.agg(F.coalesce(F.sum("twice"), F.lit(0))).first()[0]
+    once = _tallies(lexicon)[3]
     discount = float(np.clip(once / max(once + 2 * twice, 1), 0.1, 0.95))
 
     # a pair seen once has one table in every sweep; only the others are reseated
-    lexicon = words.join(sums, "wid", "left").na.fill(0)
-    lexicon = lexicon.withColumns({"opened": F.col("opened").cast("double"), "ps": F.array().cast("array<double>"), "backs": F.array().cast("array<double>")})
-    lexicon = _table(lexicon, folder, "lexicon")
-    tokens, types = lexicon.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
-    tokens, types = int(tokens or 0), int(types)
-    again = often.filter("c is not null").select("ctx", "wid", "c", "key", F.lit(0.0).alias("t"))
-    forget(docs.sparkSession, folder, "words")
-
-    def totals_of(table: DataFrame) -> Totals:
-        people, one, two = table.agg(F.sum("people"), F.count_if(F.col("people") == 1), F.count_if(F.col("people") == 2)).first()
-        return Totals(int(people or 0), types, float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95)))
-
     samples: list[Sample] = []
-    _sweep(lexicon, totals_of(lexicon), samples, folder)
+    state: list[tuple[Totals, Sample]] = []
     for sweep in range(SAMPLES):
-        totals = totals_of(lexicon)
+        people, one, two, _ = _tallies(lexicon)
+        totals = Totals(people, types, float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95)))
+        if not samples:
+            _sweep(lexicon, totals, samples, folder)
         _sweep(lexicon, totals, samples, folder)
-        rated = _table(_rated(lexicon, totals, samples[sweep], sweep), folder, f"rated-{sweep}")
-        seated = _table(_seated(again, rated, discount, sweep), folder, f"seated-{sweep}")
-        again = seated.drop("last")
-        to_word = seated.groupBy("wid").agg(F.sum("last").cast("long").alias("more"))
-        to_room = seated.groupBy(F.col("ctx").alias("wid")).agg(F.sum("last").alias("more_opened"))
-        lexicon = rated.join(to_word, "wid", "left").join(to_room, "wid", "left").na.fill(0, ["more", "more_opened"])
-        lexicon = lexicon.withColumns({"people": F.col("single") + F.col("more"), "opened": F.col("single_opened") + F.col("more_opened")})
-        lexicon = lexicon.withColumns({"ps": F.array_append("ps", F.col("p")), "backs": F.array_append("backs", (STRENGTH + discount * F.col("opened")) / (STRENGTH + F.col("room")))})
-        lexicon = _table(lexicon.drop("more", "more_opened", "p"), folder, f"lexicon-{sweep}")
+        state.append((totals, samples[sweep]))
+        answers = _answers(lexicon, state, range(sweep, sweep + 1))
+        seated = often.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_seated(discount, sweep), _SUMS)
+        lexicon = _table(lexicon.groupBy("part").cogroup(seated.groupBy("part")).applyInArrow(_grown, _LEXICON), folder, f"lexicon-{sweep}")
         # what the next sweep doesn't read
-        old = ("lexicon",) if sweep == 0 else (f"lexicon-{sweep - 1}", f"seated-{sweep - 1}")
-        forget(docs.sparkSession, folder, f"rated-{sweep}", f"cells-{sweep}", *old)
+        forget(spark, folder, f"cells-{sweep}", f"lexicon-{sweep - 1}" if sweep else "lexicon")
+    forget(spark, folder, "facts")
 
-    # what a pair has of its own
-    own = again.select("key", (F.col("c") - discount * F.col("t") / SAMPLES).alias("own"))
-    kinds = {"at": "int", "own": "double", "c": "long", "room": "long", "ps": "array<double>", "backs": "array<double>", "shared": "binary"}
-    alike = lambda df: df.select("chunk", *(F.col(n) if n in df.columns else F.lit(None).cast(k).alias(n) for n, k in kinds.items()))
-    of_words = texts.select("chunk", "hashes").mapInArrow(_numbered, "chunk long, at int, wid long").join(lexicon.select("wid", "c", "room", "ps", "backs"), "wid")
-    of_pairs = often.select("chunk", F.col("gid").alias("at"), "key").join(own, "key")
-    local = alike(of_words).unionByName(alike(of_pairs)).unionByName(alike(shared))
+    kinds = dict(x.split() for x in ", ".join((_ANSWERS, _SHARED.removeprefix("chunk long, "))).split(", "))
+    alike = lambda df: df.select(*(F.col(n) if n in df.columns else F.lit(None).cast(k).alias(n) for n, k in kinds.items()))
+    local = alike(_answers(lexicon, state, range(SAMPLES))).unionByName(alike(shared))
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         (row,) = right.to_pylist()
         chunk = Chunk(row)
-        held = left.filter(left["c"].is_valid())
-        lid, size = held["at"].to_numpy(), len(chunk.ids)
-        c, room, ps, backs = np.zeros(size, np.int64), np.zeros(size), np.zeros((size, SAMPLES)), np.zeros((size, SAMPLES))
-        c[lid], room[lid] = held["c"].to_numpy(), held["room"].to_numpy()
-        for into, name in ((ps, "ps"), (backs, "backs")):
-            into[lid] = pa.compute.list_flatten(held[name]).to_numpy().reshape(-1, SAMPLES)
+        total, _ = chunk.counted(left.filter(left["places"].is_valid()).to_pylist())
+        answers = left.filter(left["c"].is_valid()).sort_by("part").to_pylist()
+        c = _joined([a["c"] for a in answers])
         base = np.log10((c + 0.5) / (tokens + 0.5 * (types + 1)))
-        total, _ = chunk.counted([x.as_py() for x in left["shared"].drop_null()])
-        mine = np.where(total > 0, 1 - discount, 0.0)
-        held = left.filter(left["own"].is_valid())
-        mine[held["at"].to_numpy()] = held["own"].to_numpy()
+        mine = np.where(total > 0, total - discount, 0.0)
         first, second = chunk.first, chunk.second
-        p = mine / (STRENGTH + room[first])
+        # every context is followed as often as it occurs
+        below = STRENGTH + c
+        ps = np.stack([_joined([a["ps"][k] for a in answers], "<f8") for k in range(SAMPLES)], 1)
+        opened = np.stack([_joined([a["opened"][k] for a in answers]) for k in range(SAMPLES + 1)], 1)
+        backs = (STRENGTH + discount * opened[:, 1:]) / below[:, None] / SAMPLES
+        at = np.flatnonzero(total > 1)
+        ids, n = chunk.key[at], total[at]
         for k in range(SAMPLES):
-            p += backs[first, k] * ps[second, k] / SAMPLES
-        p = np.log10(np.maximum(p, 1e-300))
+            t = seat(ids, n, (STRENGTH + discount * opened[:, k])[first[at]] * ps[:, k][second[at]], discount, 100 + k)
+            mine[at] -= discount * (t - 1) / SAMPLES
+        p = np.empty(len(total))
+        for lo in range(0, len(p), WORD_ROWS):
+            some = slice(lo, lo + WORD_ROWS)
+            x, y = first[some], second[some]
+            p[some] = np.log10(np.maximum(mine[some] / below[x] + np.einsum("ij,ij->i", backs[x], ps[y]), 1e-300))
         word = second[chunk.at]
         summed = lambda values: np.bincount(chunk.owner, weights=values, minlength=len(chunk.held))
         counts, knowns = np.bincount(chunk.owner, minlength=len(chunk.held)), summed(c[word] > 0).astype(np.int64)
-        return pa.Table.from_arrays(
+        out = pa.Table.from_arrays(
             [pa.array(row["doc_ids"], pa.int64()), pa.array(chunk.held), *map(pa.array, (counts, knowns, np.full(len(counts), tokens), summed(base[word]), summed(p[chunk.at])))],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
+        del chunk
+        trim()
+        return out
 
     return local.groupBy("chunk").cogroup(texts.withColumnRenamed("chunk", "of_chunk").groupBy("of_chunk")).applyInArrow(
         look_up, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
