@@ -211,6 +211,14 @@ def test_variants_match_brute_force(spark, vocabulary):
         assert (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) == (form[w], root(w), vocabulary[w], len(around[w]), None if form[w] is None else vocabulary[form[w]])
 
 
+def test_words_are_met_by_shuffles(spark, vocabulary):
+    """Rows of pivots and prefixes are many a word, which Spark doesn't see: a small table of words is no reason to broadcast them."""
+    df = spark.createDataFrame([*vocabulary.items()], "word string, n long")
+    for found in (spelling.near_words(df), spelling.group_variants(df, spark)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_no_words(spark):
     docs = spark.createDataFrame([(1, None), (2, "a b c")], "doc_id long, text string")
     assert spelling.variants(docs).count() == 0 and spelling.variants(docs.limit(0)).count() == 0

@@ -211,7 +211,8 @@ def near_words(words: DataFrame) -> DataFrame:
     mine = mine.select(F.col("word").alias("a"), F.col("n").alias("n_a"), F.explode(_keys(F.col("size"))).alias("key")).filter("key is not null")
     other = placed.select("word", "n", F.explode("prefix").alias("i"))
     other = other.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.explode(_keys(F.length("word"))).alias("key")).filter("key is not null")
-    met = mine.join(other, (mine["key"] == other["key"]) & (F.levenshtein("a", "b", 1) == 1))
+    # 24 and 12 rows a word, which Spark sizes as one: neither may be broadcast
+    met = mine.join(other.hint("merge"), (mine["key"] == other["key"]) & (F.levenshtein("a", "b", 1) == 1))
     turned = F.col("a") > F.col("b")
     pick = lambda x, y, name: F.when(turned, F.col(x)).otherwise(F.col(y)).alias(name)
     return met.select(pick("b", "a", "a"), pick("a", "b", "b"), pick("n_b", "n_a", "n_a"), pick("n_a", "n_b", "n_b")).distinct()
@@ -254,9 +255,10 @@ def group_variants(words: DataFrame, spark: SparkSession, ratio: int = FORM_RATI
     has = form_n >= ratio * F.col("n")
     best = materialize(best.select("word", "n_near", F.when(has, F.col("best.form")).alias("form"), F.when(has, form_n).alias("form_n")), folder, "best")
     known = roots(best.filter("form is not null"), folder)
+    # both grow with the words, and are sized by their packed files
     return (
-        words.join(best, "word", "left")
-        .join(known, "word", "left")
+        words.join(best.hint("merge"), "word", "left")
+        .join(known.hint("merge"), "word", "left")
         .select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
     )
 
