@@ -1,12 +1,14 @@
 """The text operators against brute force, exact round trips, held-out accuracy, and odd input."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +139,20 @@ def test_components(spark, tmp_path):
     assert got == {a: find(a) for a in root}
 
 
+def test_components_of_forests_that_change(spark, tmp_path):
+    """Links of a group are any of its spanning forests, another one each time that a task is run."""
+
+    def trees(batches):
+        for batch in batches:
+            rng = random.Random(os.urandom(8))
+            rows = [rng.sample((g * 100 + rng.randrange(k), g * 100 + k), 2) for g in batch.column(0).to_pylist() for k in range(1, 40)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b"])
+
+    edges = spark.range(20).mapInArrow(trees, "a long, b long")
+    got = {r["node"]: r["component"] for r in components(edges, f"file://{tmp_path}", "c").collect()}
+    assert got == {g * 100 + k: g * 100 for g in range(20) for k in range(40)}
+
+
 def test_lookup_with_hot_keys(spark):
     big = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(4000)], "k long, v long")
     small = spark.createDataFrame([(i, i * 10) for i in range(0, 4000, 2)] + [(1, 10)], "k long, x long")

@@ -96,9 +96,9 @@ def grouped_stream(
     return run
 
 
-def by_group(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> DataFrame:
-    """``fn`` (a function of one group's Arrow table) over every group of ``keys``."""
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(grouped_stream(keys, fn), schema)
+def by_group(df: DataFrame, keys: list[str], fn: Callable, schema: str, *order: str) -> DataFrame:
+    """``fn`` (a function of one group's Arrow table, by ``order`` if there is one) over every group of ``keys``."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(grouped_stream(keys, fn), schema)
 
 
 def lookup(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,13 +124,11 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b), for every node that has an edge.
 
     Labels fall to the smallest neighbour's and then to their label's label, until nothing changes; each
-    round is a table in the shared folder.
+    round is a table in the shared folder.  ``edges`` may be any forest of the links, another one each time that it is computed, so
+    both directions come from one row.
     """
-    both = materialize(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        folder,
-        f"{name}-edges",
-    )
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = materialize(edges.select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct(), folder, f"{name}-edges")
     labels = materialize(
         both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")),
         folder,

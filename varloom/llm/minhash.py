@@ -307,7 +307,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     near = by_group(_dealt(marked(groups, "marked")).join(one, "rep"), ["center", "i", "j"], _promising(percent), "center long, rep long")
     near = marked(near.distinct(), "near")
-    links = by_group(_dealt(near).join(sets_of(near), "rep"), ["center", "i", "j"], _links(percent), "a long, b long")
+    # in order, so that a task that is run again finds the same forest
+    links = by_group(_dealt(near).join(sets_of(near), "rep"), ["center", "i", "j"], _links(percent), "a long, b long", "rep")
     links = links.unionByName(settled.select(F.col("center").alias("a"), F.col("rep").alias("b")))
     found = components(links, folder, "components")
 
