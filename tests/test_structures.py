@@ -42,6 +42,20 @@ def test_dense_islands_are_dealt_out(spark, monkeypatch, seed):
     assert got == plainly_clustered(sig, ONT)
 
 
+def test_rows_are_placed_in_one_shuffle(spark):
+    """Numbers and islands over borders of stretches are those of the steps one by one; columns that a query doesn't ask for stay behind."""
+    rng = random.Random(5)
+    rows = [(c, t, b, b + n, n, rng.random(), f"r{rng.randrange(90)}", rng.randrange(3), "A" * 50, 0) for c in "xy" for t in range(4)
+            for b, n in ((rng.choice((999_000, 1_999_500, 5_000_000)) + rng.randrange(1500), rng.choice((40, 400, 1_200_000))) for _ in range(60))]
+    sig = spark.createDataFrame(rows, "contig string, sv_type long, begin_pos long, end_pos long, length long, quality double, template string, hp long, ins_bases string, tech int")
+    want = clusters.with_islands(sorted_signatures(sig), ONT).drop("repeated")
+    got = clusters.placed(sig, ONT).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    largest = want.groupBy("contig", "sv_type", "island").count().agg({"count": "max"}).first()[0]
+    assert clusters.most_rows(sig, ONT) >= largest
+    assert not {"ins_bases", "quality"} & set(clusters.with_clusters(sig, ONT, "length").columns)
+
+
 def test_matches_are_one_to_one(spark):
     """Crossing candidates, ties, regions' borders, other types and contigs, against all pairs sorted by hand."""
     rng = random.Random(6)

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.cluster import materialize, shared_folder
 from varloom.operators.graph import components
 from varloom.operators.grouping import codes, map_groups, numbers
-from varloom.operators.intervals import BIN, islands
-from varloom.operators.signatures import sorted_signatures
+from varloom.operators.intervals import BIN, STRETCH, islands
 from varloom.params import Params
 
 KEYS = ["contig", "sv_type"]
@@ -19,6 +18,8 @@ KEYS = ["contig", "sv_type"]
 LOCUS = ["contig", "sv_type", "locus"]
 #: A cluster's key: several clusters may begin in one thousand.
 CLUSTER = [*LOCUS, "cluster"]
+#: What clusters are made of, and the order of signatures.
+NEEDED = ["contig", "sv_type", "begin_pos", "end_pos", "length", "quality", "template", "hp"]
 #: Pairs of rows compared at once.
 PAIRS = 1 << 20
 #: Rows of an island that one task takes whole; a larger island is dealt out by its components.
@@ -42,16 +43,56 @@ def with_islands(sig: DataFrame, p: Params) -> DataFrame:
     return islands(sig, KEYS, "begin_pos", order, reach(p), "island")
 
 
+def placed(sig: DataFrame, p: Params) -> DataFrame:
+    """``sig`` with sig_id (the number in the order of its contig and type) and island, in one shuffle of the rows.
+
+    Both are running values over the same stretches.  A row per stretch has what came before it: the rows, how far they reach,
+    and the island that is open; the last needs one more pass, over begins and reaches alone.
+    """
+    order = [F.col("begin_pos"), F.col("length"), F.desc("quality"), F.col("template"), F.col("end_pos")]
+    stretch = [*KEYS, "_s"]
+    rows = sig.withColumns({"_s": F.floor(F.col("begin_pos") / STRETCH).cast("long"), "_r": reach(p)})
+    before = Window.partitionBy(*KEYS).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*stretch).agg(F.count(F.lit(1)).alias("_n"), F.max("_r").alias("_m"))
+    sums = sums.select(*stretch, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.max("_m").over(before).alias("_far"))
+
+    def opened(part: DataFrame, inside, carried: DataFrame) -> DataFrame:
+        """_opens: the row's begin, if no earlier row reaches it.  A row per stretch is broadcast: some thousands for a genome."""
+        seen = part.withColumn("_i", F.max("_r").over(inside.rowsBetween(Window.unboundedPreceding, -1))).join(F.broadcast(carried), stretch)
+        reached = F.greatest("_far", "_i")
+        return seen.withColumn("_opens", F.when(reached.isNull() | (F.col("begin_pos") > reached), F.col("begin_pos")))
+
+    # equal begins are of one island, whatever their order
+    alone = opened(rows.select(*stretch, "begin_pos", "_r"), Window.partitionBy(*stretch).orderBy("begin_pos"), sums.drop("_before"))
+    last = alone.groupBy(*stretch).agg(F.max("_opens").alias("_last")).select(*stretch, F.max("_last").over(before).alias("_open"))
+    inside = Window.partitionBy(*stretch).orderBy(*order)
+    found = opened(rows.withColumn("_k", F.row_number().over(inside)), inside, sums.join(last, stretch))
+    island = F.greatest("_open", F.max("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return found.select(*sig.columns, (F.col("_before") + F.col("_k") - 1).cast("long").alias("sig_id"), island.alias("island"))
+
+
+def most_rows(sig: DataFrame, p: Params) -> int:
+    """A bound of the rows of an island: those of neighbouring stretches that rows reach over."""
+    by = Window.partitionBy(*KEYS).orderBy("_s")
+    sums = sig.groupBy(*KEYS, F.floor(F.col("begin_pos") / STRETCH).alias("_s")).agg(F.count(F.lit(1)).alias("_n"), F.min("begin_pos").alias("_b"), F.max(reach(p)).alias("_m"))
+    reached = F.max("_m").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    cut = sums.withColumn("_cut", F.when(F.col("_b") <= reached, 0).otherwise(1)).withColumn("_run", F.sum("_cut").over(by))
+    return cut.groupBy(*KEYS, "_run").agg(F.sum("_n").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def in_groups(sig: DataFrame, p: Params) -> DataFrame:
     """``sig`` (with sig_id) with island and part: the groups that the rounds can be run in one by one.
 
     A part is a whole island, whose part is 0.  In an island of more than DENSE rows it is a component of the graph of brothers: a
     cluster takes in what holds a brother, so no cluster leaves its component, and what rounds do in one doesn't
-    depend on another.  Whether there may be such islands is told by the rows of a contig and type.
+    depend on another.  Whether there may be such islands is told by the rows of stretches.
     """
-    held = with_islands(sig, p)
-    most = sig.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if most <= DENSE:
+    return in_parts(with_islands(sig, p), sig, p)
+
+
+def in_parts(held: DataFrame, sig: DataFrame, p: Params) -> DataFrame:
+    """``held`` (``sig`` with sig_id and island) with part; see :func:`in_groups`."""
+    if most_rows(sig, p) <= DENSE:
         return held.withColumn("part", F.lit(0).cast("long"))
     folder = shared_folder(sig.sparkSession)
     held = materialize(held, folder, "islands")
@@ -192,11 +233,17 @@ def exact_clusters(sig: DataFrame, p: Params) -> DataFrame:
     return map_groups(held, [*KEYS, "island", "part"], ["sig_id"], run, "contig string, sv_type long, sig_id long, cluster long")
 
 
-def with_clusters(sig: DataFrame, p: Params) -> DataFrame:
+def with_clusters(sig: DataFrame, p: Params, *used: str) -> DataFrame:
     """Adds sig_id, cluster (the smallest number of its members), locus (the thousand in which the cluster begins), within
     (whether a row is of the middle rows of a cluster above the largest size, or the cluster isn't above it), and the counts n
-    and hp0 to hp2 of the cluster's rows within."""
-    held = in_groups(sorted_signatures(sig), p)
+    and hp0 to hp2 of the cluster's rows within.
+
+    With ``used`` only these columns stay beside those that clusters are made of, so only they are shuffled; quality then goes
+    unless it is named.
+    """
+    rows = sig.select(*NEEDED, *(c for c in sig.columns if c in used and c not in NEEDED)) if used else sig
+    held = in_parts(placed(rows, p), sig, p)
+    held = held.drop("quality") if used and "quality" not in used else held
     added = {"locus": "bigint", "cluster": "bigint", "within": "boolean", "n": "bigint", "hp0": "bigint", "hp1": "bigint", "hp2": "bigint"}
 
     def run(table: pa.Table, group: np.ndarray) -> pa.Table:

@@ -121,13 +121,13 @@ LOCI = "SELECT contig, sv_type, begin_pos - begin_pos % 1000 AS locus, CAST(min(
 @query("sig", "aln", sql="""SELECT l.contig, l.sv_type, l.locus, round(round(coalesce(sum(cov), 0), 6) / (l.e // 100 - l.b // 100 + 1), 4) AS average FROM loci l
 LEFT JOIN covw c ON c.contig = l.contig AND c.w BETWEEN l.b // 100 AND l.e // 100 GROUP BY l.contig, l.sv_type, l.locus, l.b, l.e""", covw=COV, loci=LOCI)
 def avg_coverage(sig: DataFrame, aln: DataFrame) -> DataFrame:
-    spans = C.with_clusters(sig, ONT).groupBy(*C.CLUSTER).agg(F.min("begin_pos").alias("b"), F.max("end_pos").alias("e"))
+    spans = C.with_clusters(sig, ONT, "begin_pos", "end_pos").groupBy(*C.CLUSTER).agg(F.min("begin_pos").alias("b"), F.max("end_pos").alias("e"))
     return V.average(V.windows(aln, ONT), spans, F.col("b"), F.col("e"), ONT).select(*C.LOCUS, F.round("average", 4).alias("average"))
 
 
 @query("sig", "aln", sql="SELECT l.contig, l.sv_type, l.locus, (SELECT count(*) FROM aln a WHERE a.contig = l.contig AND (flag & 2304) = 0 AND a.pos <= l.b AND a.ref_end >= l.e) AS n FROM loci l", loci=LOCI)
 def span_count(sig: DataFrame, aln: DataFrame) -> DataFrame:
-    spans = C.with_clusters(sig, ONT).groupBy(*C.CLUSTER).agg(F.min("begin_pos").alias("b"), F.max("end_pos").alias("e"))
+    spans = C.with_clusters(sig, ONT, "begin_pos", "end_pos").groupBy(*C.CLUSTER).agg(F.min("begin_pos").alias("b"), F.max("end_pos").alias("e"))
     return V.spanning(V.primary_segments(aln), spans, "b", "e").select(*C.LOCUS, "n")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -22,8 +23,10 @@ IDS = "SELECT *, row_number() OVER (PARTITION BY contig, sv_type ORDER BY begin_
 def stats(name: str, spark: str, sql: str) -> None:
     """A query of one row per cluster: expressions for Spark and for the oracle."""
 
+    used = re.findall("[a-z_]+", spark)
+
     def run(sig: DataFrame) -> DataFrame:
-        return C.with_clusters(sig, ONT).groupBy(*C.CLUSTER).agg(*(F.expr(e) for e in spark.split("; "))).drop("cluster")
+        return C.with_clusters(sig, ONT, *used).groupBy(*C.CLUSTER).agg(*(F.expr(e) for e in spark.split("; "))).drop("cluster")
 
     run.__name__ = name
     query("sig", sql=f"SELECT contig, sv_type, locus, {sql} FROM cl GROUP BY contig, sv_type, locus", cl=CL)(run)
@@ -115,7 +118,7 @@ def weight_sum(sig: DataFrame) -> DataFrame:
  SELECT *, row_number() OVER (PARTITION BY contig, sv_type, locus ORDER BY begin_pos, length, quality DESC, template, end_pos) - 1 AS r, count(*) OVER (PARTITION BY contig, sv_type, locus) AS m FROM cl)
 WHERE m <= {ONT.max_cluster} OR (r >= m // 2 - {ONT.max_cluster} // 2 AND r < m // 2 - {ONT.max_cluster} // 2 + {ONT.max_cluster}) GROUP BY ALL""", cl=CL)
 def cluster_cap(sig: DataFrame) -> DataFrame:
-    kept = C.with_clusters(sig, ONT).filter("within")
+    kept = C.with_clusters(sig, ONT, "begin_pos").filter("within")
     return kept.groupBy(*C.CLUSTER).agg(F.count(F.lit(1)).alias("n"), F.sum("begin_pos").alias("begins")).drop("cluster")
 
 
@@ -146,7 +149,7 @@ def hp_split(sig: DataFrame) -> DataFrame:
     # mean squares around haplotype 1's mean, from sums alone
     one, two = F.col("hp") == 1, F.col("hp") == 2
     square = F.col("length") * F.col("length")
-    g = C.with_clusters(sig, ONT).groupBy(*C.CLUSTER).agg(
+    g = C.with_clusters(sig, ONT, "length", "hp").groupBy(*C.CLUSTER).agg(
         *(f(F.when(h, x)).alias(n) for h, k in ((one, "1"), (two, "2")) for f, x, n in ((F.avg, F.col("length"), f"m{k}"), (F.avg, square, f"q{k}")))
     )
     around = lambda k: F.col(f"q{k}") - 2 * F.col("m1") * F.col(f"m{k}") + F.col("m1") * F.col("m1")
