@@ -31,6 +31,8 @@ def with_cutoffs(rows: DataFrame, p: Params) -> DataFrame:
     return g.withColumn("drop_untagged", F.coalesce(above & one_sided, F.lit(False))).withColumn("co", co)
 
 
+#: What :func:`measured` reads of signatures, beside what clusters are made of.
+USED = ("quality", "tech", "inv_left", "inv_right", "cn", "contig_id", "ins_bases")
 #: What belongs to a cluster as a whole, and stands in each of its rows.
 SHARED = ("n", "hp0", "hp1", "hp2", "shp", "drop_untagged", "co")
 

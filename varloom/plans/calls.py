@@ -82,15 +82,14 @@ OUTPUT = dict(**FINAL, named=NAMES, lined=LINES, infos=INFOS)
 
 
 def _clusters(sig: DataFrame) -> DataFrame:
-    rows = materialize(C.with_clusters(sig, ONT), shared_folder(sig.sparkSession), "clustered")
-    return K.measured(rows, ONT)
+    return K.measured(C.with_clusters(sig, ONT, *K.USED), ONT)
 
 
 def _filtered(sig: DataFrame, aln: DataFrame, contigs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(clusters with keep, coverage windows); both are used more than once, so both are tables."""
     folder = shared_folder(sig.sparkSession)
-    cov = materialize(V.windows(aln, ONT), folder, "coverage")
-    return materialize(K.filtered(_clusters(sig), V.cumulative(cov, contigs, ONT), ONT), folder, "clusters"), cov
+    cov = materialize(V.windows(aln, ONT), folder, "coverage", clean=True)
+    return materialize(K.filtered(_clusters(sig), V.cumulative(cov, contigs, ONT), ONT), folder, "clusters", clean=True), cov
 
 
 def _calls(sig: DataFrame, aln: DataFrame, contigs: DataFrame) -> DataFrame:
